@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op1_quality_rules": "quality",
     "op3_language_mixture": "language",
+    "op5_simhash_pigeonhole": "simhash",
 }
 
 
