@@ -9,6 +9,7 @@ MODULES = {
     "op1_quality_rules": "quality",
     "op3_language_mixture": "language",
     "op5_simhash_pigeonhole": "simhash",
+    "op6_bpe_transducer": "bpe",
 }
 
 
