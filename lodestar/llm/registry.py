@@ -10,6 +10,7 @@ MODULES = {
     "op3_language_mixture": "language",
     "op5_simhash_pigeonhole": "simhash",
     "op6_bpe_transducer": "bpe",
+    "op8_token_output": "token_output",
 }
 
 
