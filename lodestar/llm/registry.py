@@ -11,6 +11,7 @@ MODULES = {
     "op5_simhash_pigeonhole": "simhash",
     "op6_bpe_transducer": "bpe",
     "op8_token_output": "token_output",
+    "op9_genetic_packing": "packing",
 }
 
 
