@@ -7,6 +7,7 @@ from importlib import import_module
 #: name of the query: module that has query(spark, sf_dir), and ORACLE where SQL can express it
 MODULES = {
     "op1_quality_rules": "quality",
+    "op2_projection_forest": "vector_dedup",
     "op3_language_mixture": "language",
     "op5_simhash_pigeonhole": "simhash",
     "op6_bpe_transducer": "bpe",
