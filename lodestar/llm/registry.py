@@ -11,6 +11,7 @@ MODULES = {
     "op3_language_mixture": "language",
     "op5_simhash_pigeonhole": "simhash",
     "op6_bpe_transducer": "bpe",
+    "op7_multi_index_hashing": "hash_search",
     "op8_token_output": "token_output",
     "op9_genetic_packing": "packing",
 }
