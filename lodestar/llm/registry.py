@@ -9,6 +9,7 @@ MODULES = {
     "op1_quality_rules": "quality",
     "op2_projection_forest": "vector_dedup",
     "op3_language_mixture": "language",
+    "op4_prefix_intervals": "suffix_dedup",
     "op5_simhash_pigeonhole": "simhash",
     "op6_bpe_transducer": "bpe",
     "op7_multi_index_hashing": "hash_search",
