@@ -15,6 +15,7 @@ MODULES = {
     "op7_multi_index_hashing": "hash_search",
     "op8_token_output": "token_output",
     "op9_genetic_packing": "packing",
+    "op10_word_paths": "word_paths",
 }
 
 
