@@ -22,17 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (local tests)
-    a temporary folder is taken. Files of a table that nothing uses any more are the cleaner's.
+    Only where that is unset (local tests) a temporary folder is taken.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there.
+
+    Files of a table that nothing uses any more are the cleaner's.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -142,33 +142,48 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     A null text or one without a letter gets und and score 0; so do all texts if nothing was learned.
     One row for each row of docs, repeated ids and null ids included; other columns are left out.
     """
-    names = np.asarray([*model.languages, UNKNOWN], object)
-    # languages x BUCKETS numbers, whatever the size of docs
-    shared = docs.sparkSession.sparkContext.broadcast(model.probabilities)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers, whatever the size of docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
         for batch in batches:
-            for first, data, offsets in text_buffers(batch.column(1)):
-                for lo in range(0, len(offsets) - 1, BLOCK):
-                    part = offsets[lo : lo + BLOCK + 1]
-                    rows, mine = len(part) - 1, data[part[0] : part[-1]]
-                    letters = has_letter(mine, part - part[0])
-                    pick, score, sets = np.full(rows, len(p)), np.zeros(rows), [""] * rows
-                    if len(p) and letters.any():
-                        weights, chosen = infer_mixtures(trigram_counts(mine, part - part[0]), p)
-                        pick = np.where(letters, weights.argmax(1), len(p))
-                        score = np.where(letters, weights.max(1), 0.0).astype(float)
-                        order = np.argsort(-weights, axis=1, kind="stable")
-                        sets = [",".join(names[k] for k in o if ch[k]) if ok else "" for o, ch, ok in zip(order, chosen, letters, strict=True)]
-                    yield pa.record_batch(
-                        [batch.column(0).slice(first + lo, rows), pa.array(names[pick].tolist(), pa.string()), pa.array(np.round(np.clip(score, 0, 1), 6)), pa.array(sets, pa.string())],
-                        names=[id_col, "lang_pred", "score", "langs"],
-                    )
+            for first, pick, score, sets in _predicted(batch.column(1), shared.value):
+                yield pa.record_batch([batch.column(0).slice(first, len(pick)), pa.array(pick, pa.string()), pa.array(score), pa.array(sets, pa.string())], names=[id_col, "lang_pred", "score", "langs"])
 
     return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} bigint, lang_pred string, score double, langs string")
 
 
+def _predicted(texts: pa.Array, model: LanguageModel) -> Iterator[tuple[int, list[str], np.ndarray, list[str]]]:
+    """(first row, languages, proportions, sets) of neighbouring texts."""
+    p, names = model.probabilities, np.asarray([*model.languages, UNKNOWN], object)
+    for first, data, offsets in text_buffers(texts):
+        for lo in range(0, len(offsets) - 1, BLOCK):
+            part = offsets[lo : lo + BLOCK + 1]
+            rows, mine = len(part) - 1, data[part[0] : part[-1]]
+            letters = has_letter(mine, part - part[0])
+            pick, score, sets = np.full(rows, len(p)), np.zeros(rows), [""] * rows
+            if len(p) and letters.any():
+                weights, chosen = infer_mixtures(trigram_counts(mine, part - part[0]), p)
+                pick = np.where(letters, weights.argmax(1), len(p))
+                score = np.where(letters, weights.max(1), 0.0).astype(float)
+                order = np.argsort(-weights, axis=1, kind="stable")
+                sets = [",".join(names[k] for k in o if ch[k]) if ok else "" for o, ch, ok in zip(order, chosen, letters, strict=True)]
+            yield first + lo, names[pick].tolist(), np.round(np.clip(score, 0, 1), 6), sets
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.35, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose main language is known and makes up at least `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, pick, score, _ in _predicted(batch.column(at), shared.value):
+                keep = (np.asarray(pick, object) != UNKNOWN) & (score >= least)
+                yield batch.slice(first, len(pick)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict_languages(docs, fit_languages(docs)).select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "langs")

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE, crc_bucket, prefix_hash, span_hash, table, text_buffers, word_spans
 
@@ -93,10 +94,11 @@ class Rule:
 
     conditions: tuple[tuple[str, bool, float], ...]
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         out = F.lit(True)
         for name, above, threshold in self.conditions:
-            out = out & ((F.col(name) > threshold) if above else (F.col(name) <= threshold))
+            value = F.col(prefix + name)
+            out = out & ((value > threshold) if above else (value <= threshold))
         return out.cast("double")
 
     def holds(self, x: np.ndarray) -> np.ndarray:
@@ -113,10 +115,11 @@ class RuleModel:
     weights: tuple[float, ...]
     intercept: float
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
+        """The score over columns named as STATISTICS after the prefix."""
         total = F.lit(self.intercept)
         for rule, weight in zip(self.rules, self.weights, strict=True):
-            total = total + rule.column() * weight
+            total = total + rule.column(prefix) * weight
         return 1.0 / (1.0 + F.exp(-total))
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -249,6 +252,22 @@ def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
     return with_statistics(docs, id_col, text_col).select(id_col, F.round(model.column(), 9).alias("score"))
 
 
+def keep_good(docs: DataFrame, model: RuleModel, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text scores at least `least`; no row is moved for it."""
+    prefix = "_statistic_"
+    fields = T.StructType([*docs.schema.fields, *(T.StructField(prefix + s, T.DoubleType()) for s in STATISTICS)])
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for first, data, offsets in text_buffers(batch.column(at)):
+                out = statistics(data, offsets)
+                part = batch.slice(first, len(out))
+                yield pa.record_batch([*part.columns, *(pa.array(out[:, k]) for k in range(out.shape[1]))], names=[*part.schema.names, *(prefix + s for s in STATISTICS)])
+
+    return docs.mapInArrow(run, fields).where(F.round(model.column(prefix), 9) >= least).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))

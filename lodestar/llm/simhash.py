@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table, text_buffers, word_spans
+from .common import SPACE, cut, mix, partitions, table, text_buffers, word_spans
 from .components import components
 
 BITS = 64
@@ -29,10 +29,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int, seed: int) -> np.ndarray:
-    """The fingerprint of each text: bit i is set if it is in over half of the shingles' hashes."""
+def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int, seed: int, more: int = 0) -> np.ndarray:
+    """The fingerprint of each text: bit i is set if it is in over half of the shingles' hashes.
+
+    Columns after the first are fingerprints by other hashes, made from the first one.
+    """
     rows = len(offsets) - 1
-    out = np.zeros(rows, np.uint64)
+    out = np.zeros((rows, 1 + more), np.uint64)
     starts, ends, first = word_spans(data, offsets)
     if not len(starts):
         return out
@@ -51,29 +54,32 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int, seed: int) -
     h = np.fromiter((digest(view[a:b], seed) for a, b in zip(at[lo].tolist(), end[hi].tolist(), strict=True)), np.uint64, len(lo))
     full = np.flatnonzero(n_shingles)
     begin = (np.cumsum(n_shingles) - n_shingles)[full]
-    counts = np.zeros((len(full), BITS), np.int64)
     step = max(1, (1 << 22) // BITS)
-    for a in range(0, len(h), step):  # bits of a bounded number of hashes at a time
-        part = h[a : a + step]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        inside = np.searchsorted(begin, np.arange(a, a + len(part)), "right") - 1
-        edge = np.flatnonzero(np.diff(inside, prepend=-1))
-        counts[inside[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int64)
-    major = (counts * 2 > n_shingles[full][:, None]).astype(np.uint64)
-    out[full] = (major << np.arange(BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    for column in range(1 + more):
+        counts = np.zeros((len(full), BITS), np.int64)
+        for lo_ in range(0, len(h), step):  # bits of a bounded number of hashes at a time
+            part = h[lo_ : lo_ + step]
+            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            inside = np.searchsorted(begin, np.arange(lo_, lo_ + len(part)), "right") - 1
+            edge = np.flatnonzero(np.diff(inside, prepend=-1))
+            counts[inside[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int64)
+        major = (counts * 2 > n_shingles[full][:, None]).astype(np.uint64)
+        out[full, column] = (major << np.arange(BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        h = mix(h + np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 4, seed: int = 42) -> DataFrame:
-    """(id, f): the fingerprint as a signed long for each row of docs."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 4, seed: int = 42, more: int = 0) -> DataFrame:
+    """(id, f, g): the fingerprint as a signed long and the further ones, for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in text_buffers(batch.column(1)):
-                f = fingerprints(data, offsets, words, seed)
-                yield pa.record_batch([batch.column(0).slice(first, len(f)), pa.array(f.view(np.int64))], names=[id_col, "f"])
+                f = fingerprints(data, offsets, words, seed, more)
+                further = pa.array([r.tobytes() for r in np.ascontiguousarray(f[:, 1:])], pa.binary())
+                yield pa.record_batch([batch.column(0).slice(first, len(f)), pa.array(f[:, 0].copy().view(np.int64)), further], names=[id_col, "f", "g"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} bigint, f bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} bigint, f bigint, g binary")
 
 
 def plan_partitions(sample: np.ndarray, n: int, limit: int, parts: int) -> list[tuple[int, int]]:
@@ -152,8 +158,8 @@ def _probes(plan: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
     return out
 
 
-def _forest(f: np.ndarray, own: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of own (indexed) against all fingerprints f of a bucket."""
+def _forest(f: np.ndarray, g: np.ndarray, own: np.ndarray, limit: int, overall: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the links between own rows (indexed) and all rows of a bucket."""
     root = np.arange(len(f))
 
     def find(i: int) -> int:
@@ -163,23 +169,27 @@ def _forest(f: np.ndarray, own: np.ndarray, limit: int) -> tuple[np.ndarray, np.
         return i
 
     us, vs = [], []
-    step = max(1, (1 << 22) // max(1, len(f)))
+    step = max(1, (1 << 20) // max(1, len(f)))
     for lo in range(0, len(own), step):
         rows = own[lo : lo + step]
         a, b = np.nonzero(np.bitwise_count(f[rows][:, None] ^ f[None, :]) <= limit)
         a = rows[a]
-        a, b = a[a != b], b[a != b]
+        ok = a != b
+        a, b = a[ok], b[ok]
+        if g.shape[1] and len(a):
+            ok = np.bitwise_count(g[a] ^ g[b]).sum(1) + np.bitwise_count(f[a] ^ f[b]) <= overall
+            a, b = a[ok], b[ok]
         while len(a):
             roots = np.asarray([find(i) for i in range(len(f))]) if len(a) > len(f) else None
-            ra = roots[a] if roots is not None else np.asarray([find(i) for i in a])
-            rb = roots[b] if roots is not None else np.asarray([find(i) for i in b])
+            ra = roots[a] if roots is not None else np.asarray([find(i) for i in a.tolist()])
+            rb = roots[b] if roots is not None else np.asarray([find(i) for i in b.tolist()])
             open_ = ra != rb
             a, b = a[open_], b[open_]
             if not len(a):
                 break
             # one link for each root is enough in each pass
             _, first = np.unique(ra[open_], return_index=True)
-            for i in first:
+            for i in first.tolist():
                 x, y = find(int(a[i])), find(int(b[i]))
                 if x != y:
                     root[max(x, y)] = min(x, y)
@@ -188,60 +198,111 @@ def _forest(f: np.ndarray, own: np.ndarray, limit: int) -> tuple[np.ndarray, np.
     return np.asarray(us, np.int64), np.asarray(vs, np.int64)
 
 
-def hamming_links(points: DataFrame, limit: int, sample_rows: int = 4096) -> DataFrame:
+def hamming_links(points: DataFrame, limit: int, overall: int = 0, sample_rows: int = 4096) -> DataFrame:
     """(u, v): links that join what links of at most limit differing bits join.
 
-    points has distinct rows (f, node). A bucket's links are thinned to a spanning forest, which has
-    the same components. The plan is fitted on sample_rows fingerprints and the exact count; a probed
-    pattern meets the plain one in a bucket, and buckets over BUCKET are split into blocks of which
-    each pair is compared in a task of its own, so no task holds an unbounded bucket.
+    points has distinct rows (f, g, node). Where g holds further fingerprints, a link must also differ in
+    at most `overall` bits of f and g together. A bucket's links are thinned to a spanning forest, which
+    has the same components. The plan is fitted on sample_rows fingerprints and the exact count. A
+    bucket's plain patterns are compared with all that probe it; where there are more than BUCKET of
+    them, they are split and each part is compared in a group of its own.
     """
+    spark = points.sparkSession
     n = points.count()
     sample = np.asarray([r.f for r in points.orderBy(F.xxhash64("f")).limit(sample_rows).select("f").collect()], np.int64).view(np.uint64)
     probes = _probes(choose_plan(sample, n, limit))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(flipped: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, len(batch), 8192):
+                    part = batch.slice(lo, 8192)
+                    f = part.column(0).to_numpy().view(np.uint64)
+                    for k, mask, flips in probes:
+                        for i, flip in enumerate(flips if flipped else flips[:1]):
+                            key = mix(((f ^ np.uint64(flip)) & np.uint64(mask)) + np.uint64(k)) & ~np.uint64(63) | np.uint64(k)
+                            yield pa.record_batch([pa.array(key.view(np.int64)), part.column(0), part.column(1), part.column(2), pa.array(np.full(len(f), i == 0))], names=["key", "f", "g", "node", "plain"])
+
+        return run
+
+    schema = "key bigint, f bigint, g binary, node bigint, plain boolean"
+    plain = points.select("f", "g", "node").mapInArrow(deal(flipped=False), schema)
+    hot = plain.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BUCKET).select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("parts"))
+    keyed = points.select("f", "g", "node").mapInArrow(deal(flipped=True), schema).join(cut(hot), "key", "left")
+    # part -1: not split; a plain pattern of a split bucket is compared in its own part, the others meet them all
+    own = F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")
+    dealt = keyed.withColumn("own", own).withColumn("part", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("parts") - 1), F.array(F.lit(-1)))))
+    dealt = dealt.select("key", "part", "f", "g", "node", (F.col("plain") & (F.col("part") == F.coalesce("own", F.lit(-1)))).alias("plain"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, part = t.column("key").to_numpy(), t.column("part").to_numpy()
+            f, node, is_plain = t.column("f").to_numpy().view(np.uint64), t.column("node").to_numpy(), t.column("plain").to_numpy(zero_copy_only=False)
+            raw = b"".join(t.column("g").to_pylist())
+            g = np.frombuffer(raw, np.uint64).reshape(len(f), -1)
+            edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+            us, vs = [], []
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(f)], strict=True):
+                if b - a > 1 and is_plain[a:b].any():
+                    u, v = _forest(f[a:b], g[a:b], np.flatnonzero(is_plain[a:b]), limit, overall)
+                    us.append(node[a:b][u])
+                    vs.append(node[a:b][v])
+            if us:
+                yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+        wait: list[pa.RecordBatch] = []
         for batch in batches:
-            f = batch.column(0).to_numpy().view(np.uint64)
-            for k, mask, flips in probes:
-                for i, flip in enumerate(flips):
-                    key = (f ^ np.uint64(flip)) & np.uint64(mask)
-                    yield pa.record_batch([pa.array(np.full(len(f), k, np.int32)), pa.array(key.view(np.int64)), batch.column(0), batch.column(1), pa.array(np.full(len(f), i == 0))], names=["k", "key", "f", "node", "plain"])
-
-    keyed = cut(points.select("f", "node").mapInArrow(deal, "k int, key bigint, f bigint, node bigint, plain boolean"))
-    sizes = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("size"), F.max("plain").alias("met")).where((F.col("size") > 1) & F.col("met"))
-    blocks = F.ceil(F.col("size") / BUCKET).cast("int")
-    met = keyed.join(sizes.select("k", "key", blocks.alias("blocks")), ["k", "key"]).withColumn("block", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int"))
-    # a block meets itself and every other one once: pairs (lo, hi) of blocks
-    dealt = met.select("k", "key", "f", "node", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("lo"), F.greatest(o, F.col("block")).alias("hi")))).alias("pair"))
-
-    def compare(key, group):
-        f = group.column("f").to_numpy().view(np.uint64)
-        node, block = group.column("node").to_numpy(), group.column("block").to_numpy()
-        f, at = np.unique(f, return_index=True)
-        node, block = node[at], block[at]
-        lo = key[2].as_py()
-        us, vs = _forest(f, np.flatnonzero(block == lo), limit)
-        return pa.table({"u": pa.array(node[us] if len(us) else np.zeros(0, np.int64)), "v": pa.array(node[vs] if len(vs) else np.zeros(0, np.int64))})
-
-    return dealt.select("k", "key", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "f", "node", "block").groupBy("k", "key", "lo", "hi").applyInArrow(compare, "u bigint, v bigint")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, seed: int = 42) -> DataFrame:
+            if not len(batch):
+                continue
+            # all but the last group of what has come can be compared
+            key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            last = int(np.flatnonzero((key != key[-1]) | (part != part[-1]))[-1]) + 1 if (key[0], part[0]) != (key[-1], part[-1]) else 0
+            same = bool(wait) and (wait[-1].column(0)[0].as_py(), wait[-1].column(1)[0].as_py()) == (key[-1], part[-1])
+            if last or not same:
+                whole = [*wait, batch.slice(0, last)]
+                whole = [w for w in whole if len(w)]
+                if whole:
+                    yield from links(pa.Table.from_batches(whole).combine_chunks())
+                wait = []
+            wait.append(batch.slice(last))
+        if wait:
+            yield from links(pa.Table.from_batches(wait).combine_chunks())
+
+    return dealt.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "u bigint, v bigint")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, seed: int = 42, more: int = 0, overall: int = 0) -> DataFrame:
     """(id, f, component_id): the fingerprint and the smallest id reachable by links, for each row.
 
-    Copies share a fingerprint, and so a node: they are never paired. Null and empty texts, and those
-    of white space, have fingerprint zero. Rows of one id are one node each way they link. A row with
-    a null id gets the component of its fingerprint, but never names one (null if it is alone).
+    Links have at most limit differing bits and, if `more` further fingerprints are made, at most
+    `overall` of all bits. Copies share a fingerprint, and so a node: they are never paired. Null and
+    empty texts, and those of white space, have fingerprint zero. Rows of one id are one node each way
+    they link. A row with a null id gets the component of its fingerprint, but never names one (null
+    if it is alone).
     """
-    marked = cut(with_fingerprints(docs, id_col, text_col, words, seed))
+    marked = cut(with_fingerprints(docs, id_col, text_col, words, seed, more))
     # nodes are fingerprints' smallest ids; an id with several texts links their fingerprints
-    classes = cut(marked.groupBy("f").agg(F.min(id_col).alias("node")).where(F.col("node").isNotNull()))
-    many = marked.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("f").alias("f0"), F.max("f").alias("f1"), F.count_distinct("f").alias("n")).where(F.col("n") > 1).select(id_col)
-    same = marked.join(many, id_col).join(classes, "f").select(F.col(id_col).alias("u"), F.col("node").alias("v"))
-    found = cut(components(hamming_links(classes, limit).unionByName(same)))
-    of = classes.join(found, "node", "left").select("f", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(of, "f", "left").select(id_col, "f", "component_id")
+    classes = cut(marked.groupBy("f", "g").agg(F.min(id_col).alias("node")).where(F.col("node").isNotNull()))
+    many = marked.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count_distinct("f", "g").alias("n")).where(F.col("n") > 1).select(id_col)
+    same = marked.join(many, id_col).join(classes, ["f", "g"]).select(F.col(id_col).alias("u"), F.col("node").alias("v"))
+    found = cut(components(cut(hamming_links(classes, limit, overall)).unionByName(same)))
+    of = classes.join(found, "node", "left").select("f", "g", F.coalesce("component", "node").alias("component_id"))
+    return marked.join(of, ["f", "g"], "left").select(id_col, "f", "component_id")
+
+
+#: The stage of the pipeline: five-word shingles; 64 bits propose, 192 bits decide. Texts of a shingle
+#: similarity of 0.8 differ in about 15 % of the bits, unrelated ones in half.
+STAGE = {"words": 5, "limit": 10, "more": 2, "overall": 40}
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that are the smallest id of their near-duplicates, with all columns; null ids stay.
+
+    Rows that repeat a kept id stay too.
+    """
+    found = near_duplicates(docs, id_col, text_col, **(STAGE | how))
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("bigint") == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ segments (the run of windows of one anchor) have to meet, by their anchor's hash
 content are one class, whose copies are told apart by their places alone; only where an anchor has
 several classes does a class's content travel, once, to the task that compares them.
 
-Documents travel in compressed blocks, written once to the checkpoint folder and hash-partitioned
-there, so each later step brings its small answers to the blocks and not the texts to the answers.
+Documents travel in compressed blocks, written once to the checkpoint folder, so that each later step
+joins a few answers by block to compressed texts.
 """
 
 from __future__ import annotations
@@ -57,6 +57,8 @@ class Block:
     ids: np.ndarray  # NO_ID for null
     offsets: np.ndarray
     data: np.ndarray
+    null: np.ndarray  # which texts are null
+    more: pa.Table | None = None
 
     def symbols(self, spec: Windows) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
         """Symbols, their offsets by document, and the words' byte spans if symbols are words."""
@@ -77,37 +79,51 @@ class Block:
         return join(out, np.uint64), np.concatenate(firsts), (join([s for s, _ in spans], np.int64), join([e for _, e in spans], np.int64))
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, body) rows of neighbouring documents, in the checkpoint folder, partitioned by block."""
+def blocks(docs: DataFrame, id_col: str, text_col: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """(block, body) rows of neighbouring documents, in the checkpoint folder.
+
+    more: further columns of docs, which Block.more holds as a table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, made = [], [], 0, 0
+        ids, nulls, others, texts, size, made = [], [], [], [], 0, 0
 
         def out() -> pa.RecordBatch:
             lengths = [len(t) for t in texts]
-            body = pack(np.concatenate(ids), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), b"".join(texts))
+            rest = None
+            if others:
+                sink = pa.BufferOutputStream()
+                rest = pa.Table.from_batches(others)
+                with pa.ipc.new_stream(sink, rest.schema) as stream:
+                    stream.write_table(rest)
+                rest = sink.getvalue().to_pybytes()
+            body = pack(np.concatenate(ids), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), b"".join(texts), np.concatenate(nulls), rest)
             return pa.record_batch([pa.array([(TaskContext.get().partitionId() << 32) + made]), pa.array([body], pa.binary())], names=["block", "body"])
 
         for batch in batches:
             own = batch.column(0).fill_null(NO_ID).to_numpy()
+            null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             for first, data, offsets in text_buffers(batch.column(1)):
                 raw = data.tobytes()
                 ids.append(own[first : first + len(offsets) - 1])
+                nulls.append(null[first : first + len(offsets) - 1])
+                if more:
+                    others.append(batch.select(list(range(2, 2 + len(more)))).slice(first, len(offsets) - 1))
                 texts += [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 size += len(raw)
                 if size >= BLOCK_BYTES:
                     yield out()
-                    ids, texts, size, made = [], [], 0, made + 1
+                    ids, nulls, others, texts, size, made = [], [], [], [], 0, made + 1
         if texts:
             yield out()
 
-    made = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "block bigint, body binary")
-    return cut(made.repartition(partitions(docs.sparkSession), "block"))
+    made = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *(docs[c].alias(f"more_{k}") for k, c in enumerate(more))).mapInArrow(run, "block bigint, body binary")
+    return cut(made)
 
 
 def open_block(body: bytes) -> Block:
-    ids, offsets, data = unpack(body)
-    return Block(ids, offsets, np.frombuffer(data, np.uint8))
+    ids, offsets, data, null, more = unpack(body)
+    return Block(ids, offsets, np.frombuffer(data, np.uint8), null, pa.ipc.open_stream(more).read_all() if more is not None else None)
 
 
 @dataclass

@@ -14,6 +14,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import table
 from .windows import NO_ID, Block, Windows, blocks, repeated_windows
@@ -106,5 +108,39 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return repeated_windows(blocks(docs, id_col, text_col), spec, lambda c: compact(c, length), finish, finish.schema).withColumnRenamed("id", id_col)
 
 
+class _Replace(_Finish):
+    """The rows of a block with the kept words as their text; texts of which nothing goes stay as they are."""
+
+    def __init__(self, schema, names: list[str], id_col: str, text_col: str, size_col: str | None) -> None:
+        super().__init__(full=True)
+        self.schema, self.names, self.id_col, self.text_col, self.size_col = schema, names, id_col, text_col, size_col
+        self.empty = to_arrow_schema(schema).empty_table()
+
+    def __call__(self, b: Block, offsets: np.ndarray, words: tuple[np.ndarray, np.ndarray], gone: np.ndarray) -> pa.Table:
+        report = super().__call__(b, offsets, words, gone)
+        removed, kept = report.column("n_removed").to_pylist(), report.column("kept").to_pylist()
+        bounds = b.offsets.tolist()
+        texts = [k if r else None if n else b.data[x:y].tobytes().decode() for k, r, n, x, y in zip(kept, removed, b.null.tolist(), bounds, bounds[1:], strict=False)]
+        columns = {self.id_col: report.column("id"), self.text_col: pa.array(texts, pa.string())}
+        columns |= {n: b.more.column(k) for k, n in enumerate(self.names)} if b.more is not None else {}
+        if self.size_col:
+            old = columns[self.size_col].to_pylist()
+            columns[self.size_col] = pa.array([len(t) if r else o for t, r, o in zip(texts, removed, old, strict=True)], pa.int64())
+        want = self.empty.schema
+        return pa.table([columns[f.name].cast(f.type) for f in want], schema=want)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", length: int = 20) -> DataFrame:
+    """docs, all its rows and columns, with repeated words gone from the texts as remove_repeated_words says.
+
+    A text of which nothing goes stays byte for byte; others are their kept words, joined by single
+    spaces, and size_col (if any) gets their new number of characters.
+    """
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    finish = _Replace(docs.withColumn(id_col, F.col(id_col).cast("bigint")).withColumn(text_col, F.col(text_col).cast("string")).schema, rest, id_col, text_col, size_col if size_col in rest else None)
+    spec = Windows(length, max(2, length // 3), words=True)
+    return repeated_windows(blocks(docs, id_col, text_col, tuple(rest)), spec, lambda c: compact(c, length), finish, finish.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents"), full=False)
