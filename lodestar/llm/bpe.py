@@ -14,6 +14,7 @@ import os
 import re
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -25,14 +26,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: Words of the lexicon: what stands outside it costs time, never exactness.
-LEXICON_WORDS = 50_000
+LEXICON_WORDS = 100_000
 #: Longest word of the lexicon in bytes.
 LEXICON_BYTES = 48
+#: A word that stands less often in the corpus is no lexicon word.
+LEAST_COUNT = 8
 #: Words whose ids a worker keeps at hand.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 400_000
 
 # fixed values: the two pre-tokenizers' patterns, and the white space they go by
 _BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -60,6 +63,45 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Pairs:
+    """Rank and merged id by pair of ids: a hash table that many pairs look up at once."""
+
+    SLOTS = 1 << 18
+
+    def __init__(self, merges: list[tuple[int, int, int, int]]) -> None:
+        a, b, rank, made = (np.asarray(x, np.int64) for x in zip(*merges, strict=True))
+        size = max(self.SLOTS, 1 << (4 * len(a)).bit_length())
+        self.none, self.mask = len(a), size - 1
+        self.keys, self.ranks, self.made = np.full(size, -1, np.int64), np.full(size, self.none, np.int32), np.full(size, -1, np.int32)
+        key, todo, self.probes = a << 32 | b, np.arange(len(a)), 0
+        while len(todo):
+            slot = self._slot(key[todo], self.probes)
+            free = np.flatnonzero(self.keys[slot] == -1)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.ranks[slot[won]], self.made[slot[won]] = key[todo[won]], rank[todo[won]], made[todo[won]]
+            todo, self.probes = np.delete(todo, won), self.probes + 1
+
+    def _slot(self, key: np.ndarray, probe: int) -> np.ndarray:
+        return (((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) + probe) & self.mask
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = (a.astype(np.int64) << 32 | (b.astype(np.int64) & 0xFFFFFFFF)).ravel()
+        key[(a < 0).ravel() | (b < 0).ravel()] = -2
+        slot = self._slot(key, 0)
+        held = self.keys[slot]
+        hit = held == key
+        ranks, made = np.where(hit, self.ranks[slot], np.int32(self.none)), np.where(hit, self.made[slot], np.int32(-1))
+        todo, probe = np.flatnonzero(~hit & (held != -1) & (key != -2)), 1
+        while len(todo) and probe < self.probes:
+            slot = self._slot(key[todo], probe)
+            held = self.keys[slot]
+            hit = held == key[todo]
+            ranks[todo[hit]], made[todo[hit]] = self.ranks[slot[hit]], self.made[slot[hit]]
+            todo, probe = todo[~hit & (held != -1)], probe + 1
+        return ranks.reshape(a.shape), made.reshape(a.shape)
+
+
 class Vocabulary:
     """A tokenizer file of byte-level BPE, with or without an end-of-word suffix."""
 
@@ -79,6 +121,10 @@ class Vocabulary:
 
             self._normal = Tokenizer.from_str(content.decode()).normalizer
         byte_of = {c: b for b, c in enumerate(self._chars)}
+        self._first = np.asarray([self.ids.get(c, -1) for c in self._chars], np.int32)
+        self._last = np.asarray([self.ids.get(c + self.suffix, -1) for c in self._chars], np.int32)
+        self._whole = bool((self._first >= 0).all() and (self._last >= 0).all())
+        self._pairs = Pairs([(self.ids[a], self.ids[b], r, self.ids[a + b]) for (a, b), r in self.ranks.items()])
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in self.ids.items() if all(c in byte_of for c in token)} | {i: t.encode() for t, i in self.special.items()}
 
     def words(self, text: str) -> list[str]:
@@ -99,27 +145,65 @@ class Vocabulary:
 
     def merge(self, word: str) -> list[int]:
         """The ids of one pre-token by the merges in order of rank, leftmost first."""
-        if word in self.special:
-            return [self.special[word]]
-        parts = [self._chars[b] for b in word.encode()]
-        if not parts:
-            return []
-        parts[-1] += self.suffix
-        return [self.ids[p] for p in (self._merge_short(parts) if len(parts) <= 64 else self._merge_long(parts)) if p in self.ids]
-
-    def _merge_short(self, parts: list[str]) -> list[str]:
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            order = [ranks.get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
-            least = min(order)
-            if least == none:
-                break
-            i = order.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        return self.merge_all([word])[0]
+
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word. Words of like length are merged together, one merge a word and step."""
+        out: list[list[int]] = [[] for _ in words]
+        coded = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, coded), np.int64, len(words))
+        if self.special:
+            for i, w in enumerate(words):
+                if w in self.special:
+                    out[i], sizes[i] = [self.special[w]], 0
+        for lo, hi in ((1, 6), (7, 10), (11, 16), (17, 32), (33, 64)):
+            rows = np.flatnonzero((sizes >= lo) & (sizes <= hi))
+            if len(rows):
+                self._merge_rows([coded[i] for i in rows], sizes[rows], rows, out)
+        for i in np.flatnonzero(sizes > 64):
+            parts = [self._chars[b] for b in coded[i]]
+            parts[-1] += self.suffix
+            out[i] = [self.ids[p] for p in self._merge_long(parts) if p in self.ids]
+        return out
+
+    def _merge_rows(self, words: list[bytes], sizes: np.ndarray, rows: np.ndarray, out: list[list[int]]) -> None:
+        n, width = len(words), int(sizes.max())
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        column = np.arange(width)
+        inside = column < sizes[:, None]
+        symbols = np.full((n, width + 1), -1, np.int32)
+        symbols[:, :-1][inside] = self._first[flat]
+        symbols[np.arange(n), sizes - 1] = self._last[flat[np.cumsum(sizes) - 1]]
+        ranks, made = np.full((n, width), len(self.ranks), np.int32), np.full((n, width), -1, np.int32)
+        pair = column < sizes[:, None] - 1
+        ranks[pair], made[pair] = self._pairs.find(symbols[:, :-1][pair], symbols[:, 1:][pair])
+        left, none = np.arange(n), len(self.ranks)
+        while len(left):
+            at = ranks.argmin(1)
+            row = np.arange(len(left))
+            going = ranks[row, at] < none
+            if not going.all():
+                ended = symbols[~going]
+                counts = (ended >= 0).sum(1).tolist()
+                for i, ids, count in zip(rows[left[~going]].tolist(), ended.tolist(), counts, strict=True):
+                    out[i] = ids[:count] if self._whole else [x for x in ids if x >= 0]
+                left, symbols, ranks, made, at = left[going], symbols[going], ranks[going], made[going], at[going]
+                row = np.arange(len(left))
+                if not len(left):
+                    break
+            symbols[row, at] = made[row, at]
+            shift = column[None, :] + (column[None, :] > at[:, None])
+            symbols[:, :-1] = np.take_along_axis(symbols, shift, 1)
+            symbols[:, -1] = -1
+            shift[:, -1] = width - 1
+            ranks, made = np.take_along_axis(ranks, shift, 1), np.take_along_axis(made, shift, 1)
+            ranks[:, -1] = none
+            ranks[row, at], made[row, at] = self._pairs.find(symbols[row, at], symbols[row, at + 1])
+            back = np.flatnonzero(at > 0)
+            ranks[back, at[back] - 1], made[back, at[back] - 1] = self._pairs.find(symbols[back, at[back] - 1], symbols[back, at[back]])
 
     def _merge_long(self, parts: list[str]) -> list[str]:
-        """As _merge_short by a heap over linked symbols, for words of any length."""
+        """Merges by a heap over linked symbols, for words of any length."""
         n, ranks = len(parts), self.ranks
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(ranks[p], i, p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks]
@@ -281,12 +365,31 @@ class Encoder:
             new = set().union(*words)
         ordered = list(new)
         numbers = self.lexicon.find([w.encode() for w in ordered]).tolist() if self.lexicon is not None else [-1] * len(ordered)
+        unseen = [w for w, number in zip(ordered, numbers, strict=True) if number < 0]
+        self.kept.update(zip(unseen, map(self.entry, self.vocab.merge_all(unseen)), strict=True))
         for word, number in zip(ordered, numbers, strict=True):
-            self.kept[word] = self.entry(self.lexicon.word_ids(number) if number >= 0 else self.vocab.merge(word))
+            if number >= 0:
+                self.kept[word] = self.entry(self.lexicon.word_ids(number))
         return self.kept.__getitem__
 
 
-def text_groups(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(content: bytes, lexicon: str | None, kind: str) -> Encoder:
+    """The process's encoder: a later task of the same worker finds the words that an earlier one met.
+
+    kind: text for decimal ids joined by commas, or the array code of little-endian binary ids.
+    """
+    key = (hashlib.sha256(content).digest(), lexicon, kind)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        entry = (lambda ids: ",".join(map(str, ids))) if kind == "text" else (lambda ids: array(kind, ids).tobytes())
+        _ENCODERS[key] = Encoder(vocabulary(content), Lexicon.load(SparkFiles.get(lexicon)) if lexicon else None, entry)
+    return _ENCODERS[key]
+
+
+def text_groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
     """Neighbouring texts of about most characters together, with the first one's place; null as empty."""
     group, size, first = [], 0, 0
     for i, text in enumerate(texts):
@@ -313,20 +416,29 @@ def frequent_words(docs: DataFrame, content: bytes, text_col: str = "text", most
         for batch in batches:
             for text in batch.column(0):
                 seen.update(vocab.words(text.as_py() or ""))
-                if len(seen) > 2 * KEPT_WORDS:
+                if len(seen) > KEPT_WORDS:
                     yield out()
                     seen.clear()
         yield out()
 
     words = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").mapInArrow(count, "word string, n bigint")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r.word for r in top.select("word").collect()]
+    often = cut(words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT))
+    # the least count that leaves at most `most` words, from a few hundred bands of counts
+    band = F.floor(F.log2("n") * 16).cast("int")
+    least, total = None, 0
+    for row in often.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("band")).collect():
+        total += row["words"]
+        if total > most:
+            break
+        least = row["band"]
+    return sorted(r.word for r in often.where(band >= least).select("word").collect()) if least is not None else []
 
 
 def ship_lexicon(spark: SparkSession, content: bytes, words: list[str]) -> str:
     """Compile the words' automaton and hand its file to every executor; its name is returned."""
     vocab = vocabulary(content)
-    lexicon = Lexicon.compile({w.encode(): vocab.merge(w) for w in words if len(w.encode()) <= LEXICON_BYTES})
+    words = [w for w in words if len(w.encode()) <= LEXICON_BYTES]
+    lexicon = Lexicon.compile({w.encode(): ids for w, ids in zip(words, vocab.merge_all(words), strict=True)})
     folder = tempfile.mkdtemp(prefix="lodestar-lexicon-")
     made = os.path.join(folder, "made")
     lexicon.save(made)
@@ -366,12 +478,12 @@ def _encode(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
-        encoder = Encoder(vocab, Lexicon.load(SparkFiles.get(name)) if name else None, lambda ids: ",".join(map(str, ids)))
+        words_of = encoder(shared.value, name, "text")
         bytes_of = {str(i): b for i, b in vocab.bytes_of.items()}
         for batch in batches:
             for first, group in text_groups(batch.column(1).to_pylist()):
                 words = [vocab.words(t) for t in group]
-                get = encoder.entries(words)
+                get = words_of.entries(words)
                 ids = [",".join(filter(None, map(get, w))) for w in words]
                 texts = [decode(bytes_of, i) for i in ids]
                 own = batch.column(0).slice(first, len(group))

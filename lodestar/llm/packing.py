@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, text_groups, vocabulary
+from .bpe import encoder, text_groups, vocabulary
 from .common import cut, table
 
 #: Pieces of a shard: what one task assigns; a shard's last bin is all that dealing can cost.
@@ -129,12 +129,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
-        encoder = Encoder(vocab, None, lambda ids: np.asarray(ids, "<u4").tobytes())
+        words_of = encoder(shared.value, None, "I")
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for first, group in text_groups(batch.column(1).to_pylist()):
                 words = [vocab.words(t) for t in group]
-                get = encoder.entries(words)
+                get = words_of.entries(words)
                 at, piece, start, length, crc = [], [], [], [], []
                 for i, w in enumerate(words):
                     ids = b"".join(map(get, w)) + end

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, text_groups, vocabulary
+from .bpe import encoder, text_groups, vocabulary
 from .common import table
 
 #: Tokens that a task packs together.
@@ -97,7 +97,7 @@ def packed_rows(docs: DataFrame, tokenizer_path: str, row_tokens: int = 4096, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
-        encoder = Encoder(vocab, None, lambda ids: np.asarray(ids, kind).tobytes())
+        words_of = encoder(shared.value, None, "H" if bits == 16 else "I")
         end, width = np.asarray([end_id], kind).tobytes(), kind.itemsize
         # pieces in waiting: (document, start, ids)
         wait: list[tuple[int | None, int, bytes]] = []
@@ -125,7 +125,7 @@ def packed_rows(docs: DataFrame, tokenizer_path: str, row_tokens: int = 4096, en
         for batch in batches:
             for first, group in text_groups(batch.column(1).to_pylist()):
                 words = [vocab.words(t) for t in group]
-                get = encoder.entries(words)
+                get = words_of.entries(words)
                 for i, w in enumerate(words):
                     ids = b"".join(map(get, w)) + end
                     for lo in range(0, len(ids), row_tokens * width):
