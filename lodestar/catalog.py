@@ -1,22 +1,94 @@
-"""Every operator's query builder and its oracle SQL, by name."""
+"""Every operator by name: its query over the tables, and its oracle SQL.
+
+An operator is either a template, a function of a dialect that returns one SELECT over named tables, or
+a function of (spark, tables) that returns a DataFrame. Both run over any tables of the expected
+columns by apply(), and over a folder of Parquet tables by queries().
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
+from .plans.dialect import DUCK, SPARK, Dialect
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+#: Modules that register operators when they are imported.
+MODULES = ("operators.text", "operators.retrieval", "operators.joins", "operators.aggregates", "operators.ranking", "operators.planning", "operators.answers", "operators.evaluation", "operators.caching", "operators.chunking", "operators.greedy", "sources.readers", "streaming.twins")
+
+Template = Callable[[Dialect], str]
+Builder = Callable[[SparkSession, Callable[[str], DataFrame]], DataFrame]
+
+_TEMPLATES: dict[str, Template] = {}
+_BUILDERS: dict[str, Builder] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def template(name: str) -> Callable[[Template], Template]:
+    """Register a template, which is its own oracle in the other dialect."""
+
+    def add(f: Template) -> Template:
+        _TEMPLATES[name] = f
+        return f
+
+    return add
+
+
+def builder(name: str, oracle: str | Template | None = None) -> Callable[[Builder], Builder]:
+    """Register a DataFrame builder, with an oracle where SQL can express it."""
+
+    def add(f: Builder) -> Builder:
+        _BUILDERS[name] = f
+        if oracle is not None:
+            _ORACLES[name] = oracle(DUCK) if callable(oracle) else oracle
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for module in MODULES:
+        import_module(f"{__package__}.{module}")
+
+
+def names() -> list[str]:
+    _load()
+    return [*_TEMPLATES, *_BUILDERS]
+
+
+def apply(name: str, spark: SparkSession, tables: Callable[[str], DataFrame] | dict[str, DataFrame]) -> DataFrame:
+    """Run an operator over tables, given by name or by a function of the name."""
+    _load()
+    get = tables.__getitem__ if isinstance(tables, dict) else tables
+    if name in _BUILDERS:
+        return _BUILDERS[name](spark, get)
+    return run_sql(spark, _TEMPLATES[name](SPARK), get)
+
+
+def run_sql(spark: SparkSession, sql: str, get: Callable[[str], DataFrame]) -> DataFrame:
+    """Spark SQL over the tables that it names; the views are bound when the plan is made."""
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", sql):
+            get(t).createOrReplaceTempView(t)
+    return spark.sql(sql)
+
+
+def reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
+    return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid retrieval evaluation: BM25 and gram retrieval, fused by reciprocal ranks, against the gold."""
+    return apply("EVL06_retriever_comparison", spark, reader(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {n: lambda spark, sf_dir, n=n: apply(n, spark, reader(spark, sf_dir)) for n in names()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    _load()
+    return {n: t(DUCK) for n, t in _TEMPLATES.items()} | dict(_ORACLES)
