@@ -1 +1,213 @@
+"""Retrieval: inverted index, BM25, exact nearest neighbours, and fusion of ranked lists."""
 
+from __future__ import annotations
+
+from ..catalog import template
+from ..plans.dialect import Dialect
+
+# fixed values of the scoring formulas
+K1, B, EPSILON = 1.5, 0.75, 0.25
+RRF = 60
+DEPTH = 10
+
+
+def postings(d: Dialect) -> str:
+    """Common table expressions: term counts by document, lengths, frequencies, and idf with its floor."""
+    return f"""tok as (select doc_id, item as term from {d.unnest('documents', 'doc_id', d.tokens('text'), 'item')} t),
+        tf as (select doc_id, term, count(*) as tf from tok group by doc_id, term),
+        dl as (select doc_id, {d.size(d.tokens('text'))} as dl from documents),
+        stats as (select count(*) as n, avg(dl) as avgdl from dl),
+        df as (select term, count(*) as df from tf group by term),
+        raw as (select term, ln(n - df + 0.5) - ln(df + 0.5) as idf from df cross join stats),
+        floor_ as (select {EPSILON} * avg(idf) as eps from raw),
+        idf as (select term, case when idf < 0 then eps else idf end as idf from raw cross join floor_)"""
+
+
+def query_terms(d: Dialect, source: str = "benchmark", key: str = "item_id", text: str = "text") -> str:
+    return f"qt as (select {key} as query_id, item as term, count(*) as qn from {d.unnest(source, key, d.tokens(text), 'item')} t group by {key}, item)"
+
+
+def bm25(d: Dialect) -> str:
+    """bm as (query_id, doc_id, score): every document with a query term; repeated terms count again."""
+    return f"""{postings(d)}, {query_terms(d)},
+        bm as (select query_id, tf.doc_id, round(sum(qn * idf * tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * dl / avgdl))), 6) as score
+            from qt join tf on qt.term = tf.term join idf on idf.term = tf.term join dl on dl.doc_id = tf.doc_id cross join stats group by query_id, tf.doc_id)"""
+
+
+def ranked(name: str, source: str, k: int = DEPTH, positive: bool = True) -> str:
+    """name as (query_id, doc_id, score, rk): the k best of source."""
+    return f"{name} as (select * from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rk from {source}{' where score > 0' if positive else ''}) r_{name} where rk <= {k})"
+
+
+def sketch(d: Dialect) -> str:
+    """dn as (query_id, doc_id, score): a second scorer that shares few errors with BM25, idf-weighted presence of
+    long terms in the first 400 characters; it stands in for the dense list where no model is at hand."""
+    return f"""head as (select distinct doc_id, item as term from {d.unnest('documents', 'doc_id', d.terms('substr(text, 1, 400)'), 'item')} t),
+        dn as (select query_id, head.doc_id, round(sum(idf.idf), 6) as score from qt join head on qt.term = head.term join idf on idf.term = qt.term group by query_id, head.doc_id)"""
+
+
+def two_lists(d: Dialect) -> str:
+    return f"{bm25(d)}, {sketch(d)}, {ranked('sparse', 'bm')}, {ranked('dense', 'dn')}"
+
+
+def fused(d: Dialect) -> str:
+    return f"""{two_lists(d)}, both_ as (select query_id, doc_id, 1.0 / ({RRF} + rk) as part, cast(null as bigint) as dense_rank, cast(rk as bigint) as sparse_rank from sparse
+            union all select query_id, doc_id, 1.0 / ({RRF} + rk), cast(rk as bigint), cast(null as bigint) from dense),
+        fused as (select query_id, doc_id, round(cast(sum(part) as double), 8) as score, max(dense_rank) as dense_rank, max(sparse_rank) as sparse_rank from both_ group by query_id, doc_id)"""
+
+
+@template("RET01_bm25_index")
+def _index(d: Dialect) -> str:
+    return f"with {postings(d)} select term, df, round(idf.idf, 6) as idf, (select n from stats) as n, round((select avgdl from stats), 6) as avgdl from df join idf using (term)"
+
+
+@template("RET01_postings")
+def _postings(d: Dialect) -> str:
+    return f"with tok as (select doc_id, item as term from {d.unnest('documents', 'doc_id', d.tokens('text'), 'item')} t) select doc_id, term, count(*) as tf from tok group by doc_id, term"
+
+
+@template("RET02_bm25_score")
+def _score(d: Dialect) -> str:
+    return f"with {bm25(d)} select query_id, doc_id, score from bm"
+
+
+@template("RET03_bm25_retrieve")
+def _retrieve(d: Dialect) -> str:
+    return f"with {bm25(d)}, {ranked('top', 'bm')} select query_id, doc_id, score, cast(rk as int) as rank from top"
+
+
+@template("FIL02_positive_scores")
+def _positive(d: Dialect) -> str:
+    return f"with {bm25(d)} select query_id, count(*) as n from bm where score > 0 group by query_id"
+
+
+@template("JOI07_terms_with_postings")
+def _terms(d: Dialect) -> str:
+    return f"with {query_terms(d)}, tok as (select doc_id, item as term from {d.unnest('documents', 'doc_id', d.tokens('text'), 'item')} t) select query_id, doc_id, count(*) as hits from qt join tok on qt.term = tok.term group by query_id, doc_id"
+
+
+@template("TOP01_top_k")
+def _top(d: Dialect) -> str:
+    return f"with {bm25(d)}, {ranked('top', 'bm', 5)} select query_id, doc_id, cast(rk as int) as rank from top"
+
+
+def neighbours(d: Dialect, k: int = 10, queries: str = "vec_id % 20 = 0") -> str:
+    """nn as (query_id, vec_id, cosine, rk): queries are every twentieth vector, against all others."""
+    return f"""pairs as (select q.vec_id as query_id, v.vec_id, round({d.dot('q.embedding', 'v.embedding')}, 6) as cosine
+            from (select vec_id, embedding from embeddings where {queries}) q join embeddings v on q.vec_id <> v.vec_id),
+        nn as (select * from (select query_id, vec_id, cosine, row_number() over (partition by query_id order by cosine desc, vec_id) as rk from pairs) r where rk <= {k})"""
+
+
+@template("RET04_dense_retrieve")
+def _dense(d: Dialect) -> str:
+    return f"with {neighbours(d)} select query_id, vec_id, cast(rk as int) as rank, round(1 / (1 + (2 - 2 * cosine)), 6) as score from nn"
+
+
+@template("TOP02_nearest_neighbours")
+def _nearest(d: Dialect) -> str:
+    return f"with {neighbours(d, 20)} select query_id, vec_id, cast(rk as int) as rank, cosine from nn"
+
+
+@template("JOI06_query_by_vector")
+def _cross(d: Dialect) -> str:
+    return f"with {neighbours(d)} select query_id, count(*) as n, round(max(cosine), 6) as best from pairs group by query_id"
+
+
+def _halves(d: Dialect, k: int = 10) -> str:
+    half = lambda a, start: d.slice(a, str(start), "32")
+    score = lambda start: f"round({d.dot(half('q.embedding', start), half('v.embedding', start))}, 6)"
+    side = lambda name, start, n: f"{name} as (select * from (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rk from (select q.vec_id as query_id, v.vec_id, {score(start)} as score from (select vec_id, embedding from embeddings where vec_id % 20 = 0) q join embeddings v on q.vec_id <> v.vec_id) s_{name}) r_{name} where rk <= {n})"
+    return f"{side('t', 1, int(k * 0.6 * 2))}, {side('i', 33, int(k * 0.4 * 2))}"
+
+
+@template("RET05_dual_index_hybrid")
+def _dual(d: Dialect) -> str:
+    return f"""with {_halves(d)}, merged as (select query_id, vec_id, sum(ts) as text_score, sum(si) as image_score from (select query_id, vec_id, score as ts, 0.0 as si from t union all select query_id, vec_id, 0.0, score from i) u group by query_id, vec_id)
+        select * from (select query_id, vec_id, cast(round(0.6 * text_score + 0.4 * image_score, 6) as double) as score, cast(row_number() over (partition by query_id order by round(0.6 * text_score + 0.4 * image_score, 6) desc, vec_id) as int) as rank from merged) r where rank <= 10"""
+
+
+@template("RET06_image_retrieve")
+def _image(d: Dialect) -> str:
+    return f"with {_halves(d)} select query_id, vec_id, cast(rk as int) as rank, score from i"
+
+
+@template("RET07_similarities")
+def _similarities(d: Dialect) -> str:
+    x, y = "a.embedding", "b.embedding"
+    return f"""select a.vec_id as a, b.vec_id as b, round(dot, 6) as dot, round(dot / sqrt(aa * bb), 6) as cosine, round((dot / sqrt(aa * bb) + 1) / 2, 6) as unit_cosine
+        from (select a.vec_id as va, b.vec_id as vb, {d.dot(x, y)} as dot, {d.dot(x, x)} as aa, {d.dot(y, y)} as bb from (select * from embeddings where vec_id % 50 = 0) a join (select * from embeddings where vec_id % 25 = 0) b on a.label = b.label) p join embeddings a on a.vec_id = va join embeddings b on b.vec_id = vb"""
+
+
+@template("RET08_l2_normalize")
+def _normalize(d: Dialect) -> str:
+    scaled = d.map("embedding", "x", "cast(x as double) * 3")
+    norm = f"sqrt({d.dot('v', 'v')})"
+    return f"select vec_id, round({d.dot('u', 'u')}, 6) as squared, round({d.at('u', '1')}, 6) as x1, round({d.at('u', '64')}, 6) as x64 from (select vec_id, {d.map('v', 'x', 'x / n')} as u from (select vec_id, v, {norm} as n from (select vec_id, {scaled} as v from embeddings) s) t) w"
+
+
+@template("FUS01_reciprocal_rank_fusion")
+def _rrf(d: Dialect) -> str:
+    return f"with {fused(d)} select query_id, doc_id, score, dense_rank, sparse_rank from fused"
+
+
+@template("JOI04_full_outer_lists")
+def _outer(d: Dialect) -> str:
+    return f"with {two_lists(d)} select coalesce(s.query_id, e.query_id) as query_id, coalesce(s.doc_id, e.doc_id) as doc_id, cast(e.rk as bigint) as dense_rank, cast(s.rk as bigint) as sparse_rank from sparse s full outer join dense e on s.query_id = e.query_id and s.doc_id = e.doc_id"
+
+
+@template("FUS02_multi_query_fusion")
+def _multi(d: Dialect) -> str:
+    return f"""with {two_lists(d)}, grouped as (select cast(floor(query_id / 4) as bigint) as topic, query_id, doc_id, rk, 's' as list from sparse union all select cast(floor(query_id / 4) as bigint), query_id, doc_id, rk, 'd' from dense),
+        placed as (select topic, list, doc_id, row_number() over (partition by topic, list order by query_id, rk) as place from grouped)
+        select topic, doc_id, round(cast(sum(1.0 / ({RRF} + place)) as double), 8) as score from placed group by topic, doc_id"""
+
+
+@template("FUS03_calibrated_fusion")
+def _calibrated(d: Dialect) -> str:
+    return f"""with {two_lists(d)}, calibrated as (select query_id, doc_id, 1.0 / ({RRF} + rk) + 0.1 * score / coalesce(nullif(max(score) over (partition by query_id), 0), 1) as part from sparse
+            union all select query_id, doc_id, 1.0 / ({RRF} + rk) + 0.1 * score / coalesce(nullif(max(score) over (partition by query_id), 0), 1) from dense)
+        select query_id, doc_id, round(cast(sum(part) as double), 7) as score from calibrated group by query_id, doc_id"""
+
+
+@template("SET01_union_of_candidates")
+def _union(d: Dialect) -> str:
+    return f"with {two_lists(d)} select query_id, doc_id, min(first_list) as first_list from (select query_id, doc_id, 0 as first_list from dense union all select query_id, doc_id, 1 from sparse) u group by query_id, doc_id"
+
+
+@template("RER02_identity_rerank")
+def _identity(d: Dialect) -> str:
+    return f"with {bm25(d)}, {ranked('top', 'bm', 5)} select query_id, doc_id, score, score as rerank_score, cast(rk as int) as rank from top"
+
+
+@template("WIN05_min_max_normalization")
+def _minmax(d: Dialect) -> str:
+    return f"with {bm25(d)}, {ranked('top', 'bm')} select query_id, doc_id, round(case when hi = lo then 0.5 else (score - lo) / (hi - lo) end, 6) as relevance from (select query_id, doc_id, score, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from top) w"
+
+
+@template("WIN06_max_normalization")
+def _max(d: Dialect) -> str:
+    return f"with {bm25(d)}, {ranked('top', 'bm')} select query_id, doc_id, round(score / coalesce(nullif(max(score) over (partition by query_id), 0), 1), 6) as relevance from top"
+
+
+@template("JOI01_hits_with_metadata")
+def _metadata(d: Dialect) -> str:
+    return f"with {bm25(d)}, {ranked('top', 'bm')} select t.query_id, t.doc_id, coalesce(m.source, 'unknown') as source, coalesce(m.lang, 'text') as modality from top t left join (select * from documents where doc_id % 6 <> 0) m on m.doc_id = t.doc_id"
+
+
+@template("JOI02_full_content")
+def _content(d: Dialect) -> str:
+    return f"with {bm25(d)}, {ranked('top', 'bm')} select t.query_id, t.doc_id, coalesce(nullif(c.body, ''), nullif(m.body, ''), 'hit ' || t.doc_id) as content from top t left join (select doc_id, substr(text, 1, 80) as body from documents where doc_id % 3 = 0) c on c.doc_id = t.doc_id left join (select doc_id, source as body from documents where doc_id % 2 = 0) m on m.doc_id = t.doc_id"
+
+
+@template("EVL06_retriever_comparison")
+def _comparison(d: Dialect) -> str:
+    """Recall, MRR and nDCG at 10 by retriever, over the queries that some document holds verbatim."""
+    return f"""with {fused(d)}, {ranked('hybrid', 'fused')},
+        gold as (select b.item_id as query_id, x.doc_id from benchmark b join documents x on contains(x.text, b.text)),
+        many as (select query_id, count(*) as n_gold from gold group by query_id),
+        runs as (select 'bm25' as retriever, query_id, doc_id, rk from sparse union all select 'dense', query_id, doc_id, rk from dense union all select 'hybrid', query_id, doc_id, rk from hybrid),
+        names as (select distinct retriever from runs),
+        hits as (select retriever, r.query_id, count(*) as n_hit, min(rk) as first_hit, sum(1 / (ln(rk + 1) / ln(2))) as dcg from runs r join gold g on g.query_id = r.query_id and g.doc_id = r.doc_id group by retriever, r.query_id),
+        ideal as (select query_id, sum(1 / (ln(i + 1) / ln(2))) as idcg from (select query_id, row_number() over (partition by query_id order by doc_id) as i from gold) o where i <= 10 group by query_id)
+        select n.retriever, count(*) as queries, round(avg(cast(case when n_hit > 0 then 1 else 0 end as double)), 6) as recall_hit_10, round(avg(cast(coalesce(n_hit, 0) as double) / n_gold), 6) as recall_fraction_10, round(avg(coalesce(cast(1 as double) / first_hit, 0)), 6) as mrr, round(avg(coalesce(dcg / idcg, 0)), 6) as ndcg_10
+        from many m cross join names n join ideal i on i.query_id = m.query_id left join hits h on h.query_id = m.query_id and h.retriever = n.retriever group by n.retriever"""
