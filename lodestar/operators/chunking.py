@@ -1 +1,60 @@
+"""Chunking of texts by windows of tokens, sentences, paragraphs and similarity."""
 
+from __future__ import annotations
+
+from ..catalog import template
+from ..plans.dialect import Dialect
+
+# fixed values: window and overlap of tokens, and the limits of the semantic split
+SIZE, OVERLAP = 256, 64
+SIMILAR, LEAST_GROUP = 0.75, 2
+
+
+def spans(d: Dialect) -> str:
+    """Spans of 400 characters, 300 apart: (doc_id, start)."""
+    return f"(select doc_id, item as start from {d.unnest('documents', 'doc_id', d.count_up('0', 'greatest(n_chars - 1, 0)', '300'), 'item')} t)"
+
+
+@template("CHK01_token_windows")
+def _windows(d: Dialect) -> str:
+    n, step = d.size("w"), SIZE - OVERLAP
+    starts = d.count_up("0", f"greatest({n} - 1, 0)", str(step))
+    source = f"(select doc_id, {d.words('text')} as w from documents)"
+    return f"select doc_id, s as start, md5({d.join(d.slice('w', 's + 1', str(SIZE)), chr(39) + ' ' + chr(39))}) as chunk, least({SIZE}, n - s) as tokens from {d.unnest(f'(select doc_id, w, {n} as n from {source} x) y', 'doc_id, w, n', starts, 's')} t where n > 0 and (s = 0 or s - {step} + {SIZE} < n)"
+
+
+@template("CHK02_window_offsets")
+def _offsets(d: Dialect) -> str:
+    n, step = d.size("w"), SIZE - OVERLAP
+    starts = d.count_up("0", f"greatest({n} - 1, 0)", str(step))
+    source = f"(select doc_id, text, {d.words('text')} as w from documents)"
+    chunk = d.join(d.slice("w", "s + 1", str(SIZE)), "' '")
+    return f"select doc_id, s as start, char_start, case when char_start < 0 then 0 else char_start + n_chars end as char_end from (select doc_id, s, cast(instr(text, chunk) as bigint) - 1 as char_start, cast(length(chunk) as bigint) as n_chars from (select doc_id, text, s, {chunk} as chunk from {d.unnest(f'(select doc_id, text, w, {n} as n from {source} x) y', 'doc_id, text, w, n', starts, 's')} t where n > 0 and (s = 0 or s - {step} + {SIZE} < n)) c) e"
+
+
+@template("CHK05_page_offsets")
+def _pages(d: Dialect) -> str:
+    return "select source, doc_id, coalesce(cast(sum(n_chars + 2) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding) as bigint), 0) as offset_ from documents"
+
+
+@template("CHK08_semantic_split")
+def _semantic(d: Dialect) -> str:
+    """Runs of neighbouring vectors of a label; a similarity under the limit starts a new run; small runs are kept
+    and marked, where they would be lost otherwise."""
+    return f"""select label, run, count(*) as n, min(vec_id) as first_vec, count(*) < {LEAST_GROUP} as small from (select label, vec_id, cast(sum(case when s is null or s < {SIMILAR} then 1 else 0 end) over (partition by label order by vec_id rows between unbounded preceding and current row) as bigint) as run
+        from (select label, vec_id, {d.dot('embedding', 'before')} as s from (select label, vec_id, embedding, lag(embedding) over (partition by label order by vec_id) as before from embeddings) l) g) r group by label, run"""
+
+
+@template("CHK10_strategy")
+def _strategy(d: Dialect) -> str:
+    breaks = f"{d.size(d.split('text', chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n'))} - 1"
+    return f"select doc_id, case when {breaks} > 5 then 'paragraph' when {d.size(d.sentences('text'))} > 10 then 'semantic' else 'sentence' end as strategy from documents"
+
+
+@template("CHK12_headers")
+def _headers(d: Dialect) -> str:
+    """First and last lines that stand in at least half of a source's pages (two at least)."""
+    lines = d.split("text", r"\n")
+    return f"""with l as (select source, 'first' as place, {d.at(lines, '1')} as line from documents union all select source, 'last', {d.at(lines, d.size(lines))} from documents),
+        c as (select source, place, line, count(*) as n from l group by source, place, line), t as (select source, count(*) as pages from documents group by source)
+        select c.source, place, line, n from c join t on t.source = c.source where pages > 2 and n >= greatest(2, 0.05 * pages)"""

@@ -1 +1,78 @@
+"""Joins and set operations between collections."""
 
+from __future__ import annotations
+
+from ..catalog import template
+from ..plans.dialect import Dialect
+from .chunking import spans
+
+
+@template("JOI03_anti_union")
+def _anti(d: Dialect) -> str:
+    return "select doc_id, 'chunk' as origin from documents where doc_id % 3 <> 0 union all select l.doc_id, 'metadata' from labels l left join (select doc_id from documents where doc_id % 3 <> 0) c on c.doc_id = l.doc_id where c.doc_id is null"
+
+
+@template("JOI05_segments_around_frames")
+def _segments(d: Dialect) -> str:
+    at = d.seconds("ts")
+    return f"""with e as (select event_id, user_id, event_type, {at} as t from events)
+        select f.event_id, count(*) as n, {d.gather("s.event_type", "s.t, s.event_id", "' '")} as segments from e f join e s on s.user_id = f.user_id and s.t <= f.t + 3600 and s.t + 600 >= f.t - 3600 where f.event_type = 'click' group by f.event_id"""
+
+
+@template("JOI08_similar_lines")
+def _lines(d: Dialect) -> str:
+    """Pairs of queries that share 3-grams, blocked by them, with a Jaccard of 0.1 or more."""
+    return f"""with g as (select item_id, item as gram from {d.unnest('benchmark', 'item_id', d.grams('lower(substr(text, 1, 60))'), 'item')} t),
+        n as (select item_id, count(*) as n from g group by item_id)
+        select a.item_id as a, b.item_id as b, round(cast(count(*) as double) / (max(x.n) + max(y.n) - count(*)), 6) as jaccard from g a join g b on a.gram = b.gram and a.item_id < b.item_id join n x on x.item_id = a.item_id join n y on y.item_id = b.item_id
+        group by a.item_id, b.item_id having cast(count(*) as double) / (max(x.n) + max(y.n) - count(*)) >= 0.1"""
+
+
+@template("JOI09_gold_in_top")
+def _semi(d: Dialect) -> str:
+    return "select doc_id from documents where doc_id in (select doc_id from labels where quality = 1) and n_chars > 500"
+
+
+@template("JOI10_claims_with_chunks")
+def _claims(d: Dialect) -> str:
+    return f"""with cited as (select conv_id, turn, item as cite from {d.unnest("(select * from conversations where role = 'assistant')", 'conv_id, turn', d.array("'src' || (conv_id % 20)", "'src' || (turn % 7)", "'ghost'"), 'item')} t)
+        select * from (select c.conv_id, c.turn, c.cite, x.doc_id, cast(row_number() over (partition by c.conv_id, c.turn order by x.doc_id) as int) as place from cited c join (select source, min(doc_id) as doc_id from documents group by source) x on x.source = c.cite) r where place <= 8"""
+
+
+@template("JOI11_neighbour_chunks")
+def _neighbours(d: Dialect) -> str:
+    return "select doc_id, lag(doc_id) over (partition by source order by doc_id) as preceding, lead(doc_id) over (partition by source order by doc_id) as following from documents"
+
+
+@template("CHK04_page_spans")
+def _pages(d: Dialect) -> str:
+    """Chunks by the pages that their character spans touch: pages are 1,000 characters each."""
+    return f"""with c as {spans(d)}, p as (select doc_id, pos as page, (pos - 1) * 1000 as first_char, pos * 1000 as end_char from {d.unnest('documents', 'doc_id', d.count_up('1', 'greatest(1, floor((n_chars + 999) / 1000))'), 'page_no')} t)
+        select c.doc_id, c.start, coalesce(min(p.page), 1) as page_start, coalesce(max(p.page), 1) as page_end from c left join p on p.doc_id = c.doc_id and p.first_char < c.start + 400 and p.end_char > c.start group by c.doc_id, c.start"""
+
+
+@template("SET02_intersection_coverage")
+def _coverage(d: Dialect) -> str:
+    return f"select b.item_id, x.doc_id, {d.common('bt', 'xt')} as shared from (select item_id, {d.terms('text')} as bt from benchmark) b join (select doc_id, {d.terms('substr(text, 1, 500)')} as xt from documents where doc_id % 10 = 0) x on {d.common('bt', 'xt')} >= 3"
+
+
+@template("SET03_gram_jaccard")
+def _jaccard(d: Dialect) -> str:
+    shared, either = d.common("x", "y"), f"({d.size('x')} + {d.size('y')} - {d.common('x', 'y')})"
+    return f"select conv_id, turn, case when a = b then 1.0e0 when {either} = 0 then 0.0e0 else round(cast({shared} as double) / {either}, 6) end as jaccard from (select c.conv_id, c.turn, c.text as a, n.text as b, {d.grams('substr(c.text, 1, 120)')} as x, {d.grams('substr(n.text, 1, 120)')} as y from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1) p"
+
+
+@template("SET04_ordered_distinct")
+def _distinct(d: Dialect) -> str:
+    return "select conv_id, turn, role from (select conv_id, turn, role, row_number() over (partition by conv_id, lower(trim(role)) order by turn) as n from conversations) r where n = 1"
+
+
+@template("SET05_invalid_citations")
+def _invalid(d: Dialect) -> str:
+    used = d.array("source", "'src0'", "'ghost' || (doc_id % 3)")
+    return f"select doc_id, {d.join(d.without(used, d.array(*d.texts(*(f'src{i}' for i in range(15))))), chr(39) + ',' + chr(39))} as invalid from documents"
+
+
+@template("SET06_decomposed_union")
+def _decomposed(d: Dialect) -> str:
+    return "select topic, doc_id, min(part) as part from (select cast(floor(l.doc_id / 100) as bigint) as topic, l.doc_id, 0 as part from labels l where quality = 1 union all select cast(floor(l.doc_id / 100) as bigint), l.doc_id, 1 from labels l where toxic = 0) u group by topic, doc_id"

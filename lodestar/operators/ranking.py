@@ -1 +1,51 @@
+"""Window and ranking operators, sorts, limits and top-k."""
 
+from __future__ import annotations
+
+from ..catalog import template
+from ..plans.dialect import Dialect
+from .aggregates import simple
+
+# fixed values of the context budget
+BUDGET_SHARE = 0.92
+
+simple("WIN01_rank", "select source, doc_id, cast(row_number() over (partition by source order by n_chars desc, doc_id) as int) as rank from documents")
+simple(
+    "WIN02_neighbour_expansion",
+    """with hit as (select doc_id, source, cast(n_chars as double) as score from documents where doc_id % 10 = 3),
+        near as (select doc_id, source, lag(doc_id) over (partition by source order by doc_id) as p, lead(doc_id) over (partition by source order by doc_id) as f from documents),
+        parts as (select doc_id, score, 0 as kind from hit union all select p, score * 0.8, 1 from hit join near using (doc_id) where p is not null union all select f, score * 0.8, 2 from hit join near using (doc_id) where f is not null)
+        select doc_id, round(score, 6) as score, case kind when 0 then 'hit' when 1 then 'preceding' else 'following' end as context_type from (select doc_id, score, kind, row_number() over (partition by doc_id order by kind, score desc) as n from parts) r where n = 1""",
+)
+
+
+@template("WIN03_token_budget")
+def _budget(d: Dialect) -> str:
+    """By source: texts in order until the budget of tokens is full; a long one is cut to half the budget, and the
+    first that overflows to what is left, if that is over 100."""
+    budget = int(1200 * BUDGET_SHARE)
+    return f"""with t as (select source, doc_id, least(tokens, {budget // 2}) as tokens, tokens > {budget // 2} as cut from (select source, doc_id, greatest(1, cast(floor({d.size(d.words('text'))} * 1.3) as bigint)) as tokens from documents) x),
+        s as (select *, cast(sum(tokens) over (partition by source order by doc_id rows between unbounded preceding and current row) as bigint) as upto from t),
+        o as (select *, cast(sum(case when upto > {budget} then 1 else 0 end) over (partition by source order by doc_id rows between unbounded preceding and current row) as bigint) as over_ from s)
+        select source, doc_id, case when upto <= {budget} then tokens else {budget} - (upto - tokens) end as tokens, cut or upto > {budget} as truncated from o where over_ = 0 or (over_ = 1 and upto > {budget} and {budget} - (upto - tokens) > 100)"""
+
+
+simple("WIN04_first_occurrence", "select doc_id, source from (select doc_id, source, row_number() over (partition by text order by doc_id) as n from documents) r where n = 1")
+simple(
+    "WIN07_page_bucket_diversity",
+    "select doc_id, source, bucket from (select doc_id, source, bucket, row_number() over (partition by source order by doc_id) as a, row_number() over (partition by bucket order by doc_id) as b from (select doc_id, source, cast(floor(doc_id / 3) * 3 as bigint) as bucket from documents) x) r where a = 1 or b = 1",
+)
+simple(
+    "WIN08_keyframes",
+    """select user_id, event_id, ts from (select user_id, event_id, ts, place, n, row_number() over (partition by user_id, case when place = 1 or place = n then 0 else 1 end order by value desc, event_id) as best from (select *, row_number() over (partition by user_id order by ts, event_id) as place, count(*) over (partition by user_id) as n from events) p) r where place = 1 or place = n or best <= 6""",
+)
+simple("WIN10_frame_reduction", "select user_id, event_id, cast(row_number() over (partition by user_id order by ts, event_id) as int) as place from (select *, row_number() over (partition by user_id order by value desc, event_id) as n from events) r where n <= 5")
+simple(
+    "WIN11_table_rows",
+    """select user_id, table_row, count(*) as cells, min(event_id) as first_cell from (select user_id, event_id, cast(sum(case when before is null or value - before > 20 then 1 else 0 end) over (partition by user_id order by value, event_id rows between unbounded preceding and current row) as bigint) as table_row from (select user_id, event_id, value, lag(value) over (partition by user_id order by value, event_id) as before from events) g) s group by user_id, table_row""",
+)
+simple("WIN12_chart_zones", "select event_id, case when y < 0.15 then 'title' when y > 0.85 then 'x_axis' when x < 0.15 then 'y_axis' else 'body' end as zone from (select event_id, (value - floor(value)) as x, cast(event_id % 100 as double) / 100 as y from events) p")
+simple("TOP03_sort_with_fallback", "select doc_id, cast(row_number() over (order by case when any_rerank then coalesce(rerank, 0) else score end desc, doc_id) as int) as rank from (select doc_id, score, rerank, max(case when rerank is not null then 1 else 0 end) over () = 1 as any_rerank from (select doc_id, cast(n_chars as double) as score, cast(case when doc_id % 2 = 0 then doc_id % 13 end as double) as rerank from documents where doc_id % 10 = 0) x) r")
+simple("TOP04_hard_cap", "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 12")
+simple("TOP05_composite_sort", "select source, doc_id, cast(row_number() over (partition by source order by n_chars, doc_id) as int) as place from documents")
+simple("TOP06_query_cap", "select conv_id, turn from (select conv_id, turn, row_number() over (partition by conv_id order by turn) as n from conversations) r where n <= 5")
