@@ -1 +1,98 @@
+"""Verification of answers and the heuristics of generation."""
 
+from __future__ import annotations
+
+from ..catalog import template
+from ..plans.dialect import Dialect
+from .text import ABSTAIN, ABSTAIN_GENERATOR, answers, hedging
+
+# fixed values: weights of the final confidence
+WEIGHTS = (0.35, 0.30, 0.20, 0.15)
+GENERATOR_HEDGES = ("might", "could", "possibly", "perhaps", "may be", "seems")
+SUPPORTED = 0.65
+
+
+def level(x: str, high: float = 0.8, medium: float = 0.5) -> str:
+    return f"case when {x} >= {high} then 'HIGH' when {x} >= {medium} then 'MEDIUM' else 'LOW' end"
+
+
+def overlap(d: Dialect, hypothesis: str, evidence: str, factor: str) -> str:
+    """Share of the hypothesis's terms (arrays) that the evidence has, times the factor, at most 1."""
+    return f"least(1e0, cast({d.common(hypothesis, evidence)} as double) / greatest({d.size(hypothesis)}, 1) * {factor})"
+
+
+def checked(d: Dialect) -> str:
+    """ck: an answer with its terms, its context's terms, citations and cited share of sentences."""
+    cites = d.unique(d.map(d.all("answer", r"\[([^\[\]]+?)\]", 1), "c", "trim(c)"))
+    said = d.slice(d.filter(d.sentences("answer"), "s", "length(s) > 12"), "1", "8")
+    return f"""ck as (select *, {d.size(d.filter('used', 'u', 'u = cite'))} as n_valid, {d.size('used')} as n_used, {d.size(d.filter('said', 's', d.matches('s', r'\[[^\[\]]+\]')))} as n_cited, {d.size('said')} as n_said
+        from (select doc_id, answer, cite, text, {d.terms('answer')} as a_t, {d.terms('substr(text, 1, 400)')} as c_t, {cites} as used, {said} as said from {answers(d)} a) p)"""
+
+
+COVERAGE = "cast(n_cited as double) / greatest(n_said, 1)"
+CITATION = f"case when n_used = 0 then 0.2e0 else 0.3e0 + 0.4e0 * n_valid / n_used + 0.3e0 * least(1e0, {COVERAGE} / 0.3e0) end"
+
+
+def support(d: Dialect) -> str:
+    return f"case when {d.size('a_t')} = 0 then 0.5e0 else {overlap(d, 'a_t', 'c_t', '1.2e0')} end"
+
+
+def claim_pairs(d: Dialect) -> str:
+    """cl as (doc_id, place, claim, score): up to eight sentences and their overlap with the context."""
+    pairs = d.unnest("ck", "doc_id, c_t", "said", "claim", "place")
+    return f"cl as (select doc_id, place, claim, {overlap(d, d.terms('claim'), 'c_t', '1.3e0')} as score from {pairs} t)"
+
+
+template("VER01_overlap_score")(lambda d: f"with {checked(d)} select doc_id, round({overlap(d, 'a_t', 'c_t', '1.3e0')}, 6) as score from ck")
+template("VER02_mean_overlap")(lambda d: f"with {checked(d)}, {claim_pairs(d)} select doc_id, round(least(1e0, avg(score / 1.3e0) * 1.2e0), 6) as score from cl where {d.size(d.terms('claim'))} > 0 group by doc_id")
+template("VER03_evidence_support")(lambda d: f"with {checked(d)} select doc_id, round({support(d)}, 6) as score from ck")
+template("VER04_citation_score")(lambda d: f"with {checked(d)} select doc_id, n_used, n_valid, n_used - n_valid as n_invalid, round({COVERAGE}, 6) as coverage, round({CITATION}, 6) as score from ck")
+template("VER05_claim_pairs")(lambda d: f"with {checked(d)}, {claim_pairs(d)} select doc_id, place, claim from cl where place <= 8")
+template("VER06_claim_support")(lambda d: f"with {checked(d)}, {claim_pairs(d)} select doc_id, place, round(score, 6) as score, score >= {SUPPORTED} as supported from cl")
+
+
+def verdict(d: Dialect) -> str:
+    w = WEIGHTS
+    return f"""{checked(d)}, {claim_pairs(d)}, cs as (select doc_id, avg(case when score >= {SUPPORTED} then cast(1 as double) else 0 end) as claims from cl group by doc_id),
+        vd as (select ck.doc_id, answer, n_used, n_valid, n_said, n_cited, {support(d)} as evidence, greatest(0e0, least(1e0, {w[0]}e0 * {support(d)} + {w[1]}e0 * ({CITATION}) + {w[2]}e0 * coalesce(claims, 0.5e0) + {w[3]}e0 * 0.5e0 - cast({hedging(d, 'answer')} as double) - 0.1e0 * (n_used - n_valid))) as confidence, {d.any_of('lower(answer)', ABSTAIN)} as abstains from ck left join cs on cs.doc_id = ck.doc_id)"""
+
+
+template("VER07_final_confidence")(lambda d: f"with {verdict(d)} select doc_id, round(confidence, 6) as confidence, {level('round(confidence, 6)')} as level, round(confidence, 6) >= 0.7 as accepted, round(confidence, 6) > 0.25 and round(confidence, 6) < 0.7 as retry from vd")
+template("VER08_abstention")(lambda d: f"with {verdict(d)} select doc_id, case when abstains then 0.95e0 else round(confidence, 6) end as confidence, case when abstains then 'HIGH' else {level('round(confidence, 6)')} end as level, abstains or round(confidence, 6) >= 0.7 as verified from vd")
+template("VER09_reason")(
+    lambda d: f"""with {verdict(d)}, r as (select doc_id, confidence, n_valid, concat_ws('; ', case when n_used > n_valid then 'invalid citations: ' || (n_used - n_valid) end, case when {COVERAGE} < 0.3 then 'low citation coverage' end, case when evidence < 0.5 then 'weak evidence' end) as why from vd)
+    select doc_id, case when why <> '' then why when round(confidence, 6) >= 0.8 then 'strong grounding: ' || n_valid || ' valid citations' when round(confidence, 6) >= 0.6 then 'moderate grounding' else 'limited grounding' end as reason from r"""
+)
+
+
+@template("GEN01_generator_confidence")
+def _generator(d: Dialect) -> str:
+    long_terms = lambda x: d.unique(d.filter(d.words(f"lower({x})"), "w", "length(w) > 4"))
+    hedges = d.count_of("' ' || lower(answer) || ' '", tuple(f" {h} " for h in GENERATOR_HEDGES))
+    return f"""with {checked(d)}, g as (select doc_id, answer, n_used, n_valid, {long_terms('answer')} as a, {long_terms('substr(text, 1, 400)')} as c from ck)
+        select doc_id, case when {d.any_of('lower(answer)', ABSTAIN_GENERATOR)} then 0.92e0 else round(greatest(0e0, least(1e0, 0.55e0 + case when n_used > 0 then least(0.25e0, n_valid * 0.05e0) - (n_used - n_valid) * 0.08e0 else -0.15e0 end
+            + case when length(answer) > 150 and length(answer) < 1200 then 0.12e0 when length(answer) > 80 and length(answer) <= 150 then 0.05e0 when length(answer) < 50 then -0.12e0 else 0e0 end
+            + case when {d.size('a')} > 0 and {d.size('c')} > 0 then least(0.15e0, cast({d.common('a', 'c')} as double) / {d.size('a')} * 0.4e0) else 0e0 end - case when {hedges} > 3 then 0.08e0 else 0e0 end)), 6) end as confidence from g"""
+
+
+template("GEN02_evidence_structure")(lambda d: f"select doc_id, place, {d.strip(d.sub('sentence', r'\[[^\[\]]*\]', chr(39) * 2))} as claim, {d.join(d.all('sentence', r'\[([^\[\]]+?)\]', 1), chr(39) + '|' + chr(39))} as cite_ids from {d.unnest(answers(d) + ' a', 'doc_id', d.filter(d.sentences('answer'), 's', 'length(s) > 10'), 'sentence', 'place')} t where {d.matches('sentence', r'\[[^\[\]]+\]')}")
+
+
+@template("GEN03_extractive_answer")
+def _extractive(d: Dialect) -> str:
+    """Numbers beside 'heads' in a made context: in range, the preferred one, else the mode, ties to the smallest."""
+    context = "'It has ' || (doc_id % 40) || ' units, heads ' || (doc_id % 12) || ', heads = ' || (n_chars % 9) || ' and head count ' || (doc_id % 12)"
+    numbers = d.all("context", r"(?i)\bheads?\b[^0-9]{0,20}?([0-9]{1,3})", 1)
+    return f"""with n as (select doc_id, cast(item as int) as v from {d.unnest(f'(select doc_id, {context} as context from documents) c', 'doc_id', numbers, 'item')} t),
+        r as (select doc_id, v, row_number() over (partition by doc_id order by case when v = 8 then 0 else 1 end, count(*) desc, v) as k from n where v between 1 and 32 group by doc_id, v)
+        select d.doc_id, coalesce(cast(r.v as varchar(10)), 'Insufficient evidence') as answer from documents d left join r on r.doc_id = d.doc_id and k = 1"""
+
+
+@template("GEN04_small_model_confidence")
+def _small(d: Dialect) -> str:
+    a, c = d.unique(d.words("lower(answer)")), d.unique(d.words("lower(substr(text, 1, 400))"))
+    return f"select doc_id, confidence, {level('confidence', 0.7, 0.4)} as level from (select doc_id, case when {d.any_of('lower(answer)', ('don' + chr(39) + 't have', 'insufficient'))} then 0.2e0 when {d.any_of('lower(answer)', ('unsure', 'not clear'))} then 0.4e0 else round(least(0.7e0 + cast({d.common('a', 'c')} as double) / greatest({d.size('a')}, 1) * 0.2e0, 0.95e0), 6) end as confidence from (select doc_id, answer, {a} as a, {c} as c from {answers(d)} x) y) z"
+
+
+template("GEN06_source_list")(lambda d: f"select conv_id, {d.gather('source', 'first_turn', chr(39) + ',' + chr(39))} as sources from (select conv_id, 'src' || (turn % 3) as source, min(turn) as first_turn from conversations where turn <= 5 group by conv_id, 'src' || (turn % 3)) s group by conv_id")
+template("GEN07_prompt_choice")(lambda d: f"select doc_id, case when contains(answer, '[C') then case when length(answer) > 500 then 'few_shot' else 'structured' end else 'simple' end as prompt from (select doc_id, case when doc_id % 2 = 0 then replace(answer, '[src', '[Csrc') else answer end as answer from {answers(d)} a) b")

@@ -1 +1,31 @@
+"""Caches as relational operators: keys, fuzzy hits, lifetimes, eviction, replay, circuit breaking."""
 
+from __future__ import annotations
+
+from ..catalog import template
+from ..plans.dialect import Dialect
+
+DAY, HOUR = 86_400, 3_600
+
+
+def folded(d: Dialect, x: str) -> str:
+    return d.strip(d.sub(f"lower({x})", r"\s+", "' '"))
+
+
+template("CAC01_exact_key")(lambda d: f"select conv_id, turn, 'query:' || md5({folded(d, 'text')}) as cache_key from conversations")
+
+
+@template("CAC02_fuzzy_hit")
+def _fuzzy(d: Dialect) -> str:
+    """The best earlier query by gram Jaccard, blocked by a shared length band and first gram's presence."""
+    return f"""with g as (select conv_id, turn, item as gram from {d.unnest("(select * from conversations where role = 'user')", 'conv_id, turn', d.grams('substr(' + folded(d, 'text') + ', 1, 80)'), 'item')} t), n as (select conv_id, turn, count(*) as n from g group by conv_id, turn),
+        pairs as (select a.conv_id, a.turn, b.conv_id as hit_conv, b.turn as hit_turn, count(*) as shared from g a join g b on a.gram = b.gram and a.turn = b.turn and b.conv_id < a.conv_id and b.conv_id >= a.conv_id - 5 group by a.conv_id, a.turn, b.conv_id, b.turn),
+        s as (select p.*, round(cast(shared as double) / (x.n + y.n - shared), 6) as jaccard from pairs p join n x on x.conv_id = p.conv_id and x.turn = p.turn join n y on y.conv_id = p.hit_conv and y.turn = p.hit_turn)
+        select conv_id, turn, hit_conv, jaccard, jaccard >= 0.95 as hit from (select *, row_number() over (partition by conv_id, turn order by jaccard desc, hit_conv) as k from s) r where k = 1"""
+
+
+template("CAC03_lifetime")(lambda d: f"select event_id, case when c > 0.8 then {7 * DAY} when c > 0.5 then {DAY} else {HOUR} end as ttl from (select event_id, (event_id % 11) / 10e0 as c from events) e")
+template("CAC04_eviction")(lambda d: "select user_id, event_id, upto <= 1000 as kept from (select user_id, event_id, sum(length(props)) over (partition by user_id order by ts desc, event_id desc rows between unbounded preceding and current row) as upto from events) s")
+template("CAC05_plan_cache")(lambda d: f"select event_id, before is not null and t - before <= {DAY} as hit, key from (select event_id, substr(md5(lower(trim(event_type || ':' || user_id))), 1, 16) as key, t, lag(t) over (partition by event_type, user_id order by t, event_id) as before from (select event_id, event_type, user_id, {d.seconds('ts')} as t from events) e) l")
+template("CAC06_circuit_breaker")(lambda d: "select user_id, event_id, failures >= 5 as open_ from (select user_id, event_id, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as failures from events) f")
+template("CAC06_embedding_keys")(lambda d: "select d.doc_id, l.doc_id is not null as cached, 'doc:' || substr(md5('d' || d.doc_id), 1, 16) as cache_key from documents d left join labels l on l.doc_id = d.doc_id")

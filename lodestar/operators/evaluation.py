@@ -1 +1,90 @@
+"""Evaluation: retrieval and text metrics, gates, comparisons."""
 
+from __future__ import annotations
+
+from ..catalog import template
+from ..plans.dialect import Dialect
+from .answers import checked, claim_pairs
+from .retrieval import bm25, ranked, two_lists
+from .text import answers
+
+LOG2 = "ln({0}) / ln(2)"
+
+
+def judged(d: Dialect, depth: int = 10) -> str:
+    """rk: ranked hits with their grade; many: how much gold each query has. Gold holds the passage verbatim
+    (grade 2), or is a document of gold's source that shares the first 40 characters (grade 1)."""
+    return f"""{bm25(d)}, {ranked('top', 'bm', depth)},
+        gold as (select query_id, doc_id, max(grade) as grade from (select b.item_id as query_id, x.doc_id, 2 as grade from benchmark b join documents x on contains(x.text, b.text) union all select b.item_id, x.doc_id, 1 from benchmark b join documents x on contains(x.text, substr(b.text, 1, 40))) g group by query_id, doc_id),
+        many as (select query_id, count(*) as n_gold from gold group by query_id),
+        rk as (select t.query_id, t.doc_id, cast(t.rk as int) as rk, coalesce(g.grade, 0) as grade from top t join many m on m.query_id = t.query_id left join gold g on g.query_id = t.query_id and g.doc_id = t.doc_id)"""
+
+
+def _metric(name: str, expression: str, extra: str = "") -> None:
+    template(name)(lambda d: f"with {judged(d)}{extra} select m.query_id, {expression} from many m left join rk on rk.query_id = m.query_id group by m.query_id, n_gold")
+
+
+_metric("EVL01_hit_recall", "max(case when grade > 0 and rk <= 1 then 1 else 0 end) as hit_1, max(case when grade > 0 and rk <= 5 then 1 else 0 end) as hit_5, max(case when grade > 0 then 1 else 0 end) as hit_10")
+_metric("EVL02_fraction_recall", "round(cast(sum(case when grade > 0 and rk <= 5 then 1 else 0 end) as double) / n_gold, 6) as recall_5, round(cast(sum(case when grade > 0 then 1 else 0 end) as double) / n_gold, 6) as recall_10")
+_metric("EVL03_precision", "round(coalesce(cast(sum(case when grade > 0 and rk <= 5 then 1 else 0 end) as double) / nullif(least(5, count(rk)), 0), 0), 6) as precision_5")
+_metric("EVL04_reciprocal_rank", "round(coalesce(1e0 / min(case when grade > 0 then rk end), 0), 6) as reciprocal_rank")
+template("EVL05_ndcg")(
+    lambda d: f"""with {judged(d)}, ideal as (select query_id, sum((power(2, grade) - 1) / (ln(i + 1) / ln(2))) as best from (select query_id, grade, row_number() over (partition by query_id order by grade desc, doc_id) as i from gold) o where i <= 10 group by query_id),
+    got as (select query_id, sum((power(2, grade) - 1) / (ln(rk + 1) / ln(2))) as dcg from rk group by query_id)
+    select i.query_id, round(coalesce(dcg, 0) / best, 6) as ndcg_10 from ideal i left join got g on g.query_id = i.query_id"""
+)
+
+
+@template("EVL07_bleu_1")
+def _bleu(d: Dialect) -> str:
+    """Clipped unigram precision with the brevity penalty, of each turn against the one before."""
+    pair = "(select c.conv_id, c.turn, lower(n.text) as cand, lower(c.text) as ref from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1)"
+    return f"""with p as {pair}, c as (select conv_id, turn, item, count(*) as n from {d.unnest('p', 'conv_id, turn', d.words('cand'), 'item')} t group by conv_id, turn, item), r as (select conv_id, turn, item, count(*) as n from {d.unnest('p', 'conv_id, turn', d.words('ref'), 'item')} t group by conv_id, turn, item),
+        s as (select c.conv_id, c.turn, sum(least(c.n, coalesce(r.n, 0))) as hit, sum(c.n) as total from c left join r on r.conv_id = c.conv_id and r.turn = c.turn and r.item = c.item group by c.conv_id, c.turn), l as (select conv_id, turn, {d.size(d.words('cand'))} as cl, {d.size(d.words('ref'))} as rl from p)
+        select s.conv_id, s.turn, round(case when cl > rl then 1e0 else exp(1e0 - cast(rl as double) / greatest(cl, 1)) end * hit / total, 4) as bleu_1 from s join l on l.conv_id = s.conv_id and l.turn = s.turn"""
+
+
+def _rouge(name: str, n: int) -> None:
+    @template(name)
+    def sql(d: Dialect) -> str:
+        def grams(x: str) -> str:
+            w = d.tokens(x)
+            return w if n == 1 else d.map(d.count_up("1", f"greatest({d.size(w)} - {n - 1}, 1)"), "i", d.join(d.slice(w, "i", str(n)), "' '"))
+
+        pair = "(select c.conv_id, c.turn, substr(n.text, 1, 200) as cand, substr(c.text, 1, 200) as ref from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1)"
+        count = lambda x: f"(select conv_id, turn, item, count(*) as n from {d.unnest('p', 'conv_id, turn', grams(x), 'item')} t group by conv_id, turn, item)"
+        return f"""with p as {pair}, c as {count('cand')}, r as {count('ref')}, h as (select c.conv_id, c.turn, sum(least(c.n, r.n)) as hit from c join r on r.conv_id = c.conv_id and r.turn = c.turn and r.item = c.item group by c.conv_id, c.turn),
+            cn as (select conv_id, turn, sum(n) as n from c group by conv_id, turn), rn as (select conv_id, turn, sum(n) as n from r group by conv_id, turn)
+            select cn.conv_id, cn.turn, round(coalesce(2e0 * hit / (cn.n + rn.n), 0), 4) as f from cn join rn on rn.conv_id = cn.conv_id and rn.turn = cn.turn left join h on h.conv_id = cn.conv_id and h.turn = cn.turn"""
+
+
+_rouge("EVL08_rouge_1", 1)
+_rouge("EVL08_rouge_2", 2)
+template("EVL10_support_ratio")(lambda d: f"with {checked(d)}, {claim_pairs(d)} select doc_id, count(*) as claims, round(avg(case when score >= 0.7 then cast(1 as double) else 0 end), 6) as ratio from cl group by doc_id")
+
+
+@template("EVL11_correctness")
+def _correct(d: Dialect) -> str:
+    a, r = d.unique(d.words("lower(answer)")), d.unique(d.words("lower(ref)"))
+    return f"""select doc_id, case when lower(trim(answer)) = lower(trim(ref)) then true when contains(lower(answer), lower(ref)) or contains(lower(ref), lower(answer)) then true else 2e0 * {d.common('a', 'r')} / ({d.size('a')} + {d.size('r')}) >= 0.5 end as correct
+        from (select doc_id, answer, ref, {a} as a, {r} as r from (select doc_id, answer, substr(text, 1, 120) as ref from {answers(d)} x) y) z"""
+
+
+template("EVL13_keyword_score")(lambda d: f"select doc_id, round(cast({d.count_of('lower(text)', ('the', 'and', 'machine', 'que', 'der'))} as double) / 5, 6) as score from documents")
+template("EVL14_slo_gate")(
+    lambda d: f"""with {judged(d)}, q as (select m.query_id, n_gold, max(case when grade > 0 and rk <= 5 then 1 else 0 end) as hit, coalesce(1e0 / min(case when grade > 0 then rk end), 0) as rr from many m left join rk on rk.query_id = m.query_id group by m.query_id, n_gold),
+    v as (select avg(cast(hit as double)) as recall, avg(rr) as mrr from q), l as (select {d.percentile('value', 0.95)} as p95 from events)
+    select 'recall_hit_5' as check_name, round(recall, 6) as value, 0.8e0 as bound, recall >= 0.8 as ok from v union all select 'mrr', round(mrr, 6), 0.5e0, mrr >= 0.5 from v union all select 'p95_ms', round(p95, 6), 500e0, p95 <= 500 from l"""
+)
+template("EVL15_drift_gate")(
+    lambda d: f"""with {two_lists(d)}, gold as (select b.item_id as query_id, x.doc_id from benchmark b join documents x on contains(x.text, b.text)), n as (select count(distinct query_id) as n from gold),
+    base as (select cast(count(distinct g.query_id) as double) / max(n) as hit from sparse s join gold g on g.query_id = s.query_id and g.doc_id = s.doc_id cross join n), now_ as (select cast(count(distinct g.query_id) as double) / max(n) as hit from dense s join gold g on g.query_id = s.query_id and g.doc_id = s.doc_id cross join n)
+    select 'recall_hit_10' as metric, round(base.hit, 6) as baseline, round(now_.hit, 6) as current_value, base.hit - now_.hit > 0.03 as drifted from base cross join now_"""
+)
+template("EVL16_ablation")(
+    lambda d: f"""with {bm25(d)}, {ranked('a', 'bm', 1)}, {ranked('b', 'bm', 5)}, {ranked('c', 'bm', 10)}, gold as (select b.item_id as query_id, x.doc_id from benchmark b join documents x on contains(x.text, b.text)),
+    runs as (select 'k1' as variant, query_id, doc_id from a union all select 'k5', query_id, doc_id from b union all select 'k10', query_id, doc_id from c)
+    select variant, count(distinct r.query_id) as queries_hit, count(*) as hits from runs r join gold g on g.query_id = r.query_id and g.doc_id = r.doc_id group by variant"""
+)
+template("EVL17_blind_packing")(lambda d: "select conv_id, case when flip then 'b' else 'a' end as a_label, case when flip then t2 else t1 end as a_text, case when flip then t1 else t2 end as b_text from (select q.conv_id, substr(md5(cast(q.conv_id as varchar(20)) || ':13'), 1, 1) in ('0', '1', '2', '3', '4', '5', '6', '7') as flip, q.text as t1, a.text as t2 from conversations q join conversations a on a.conv_id = q.conv_id and q.turn = 0 and a.turn = 1) p")
+template("EVL18_rolling_tracker")(lambda d: "select user_id, window_no, count(*) as queries, round(avg(value), 6) as mean_latency, sum(case when event_type = 'error' then 1 else 0 end) as failures from (select user_id, value, event_type, cast(floor((row_number() over (partition by user_id order by ts, event_id) - 1) / 10) as bigint) as window_no from events) w group by user_id, window_no")
