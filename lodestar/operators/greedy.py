@@ -1 +1,254 @@
+"""Operators whose state is carried from item to item: one Arrow pass over documents or small groups."""
 
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..catalog import builder, run_sql
+from ..plans.dialect import SPARK
+from .retrieval import bm25, ranked
+
+# fixed values: limits of the chunkers in whitespace tokens, and of the diversification
+PACK, PACK_OVERLAP, SPLIT = 512, 128, 800
+LAMBDA, CANDIDATES = 0.7, 24
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_STRICT = re.compile(r"(?<=\S[.!?])\s+(?=[A-Z0-9\"'“])")
+
+
+def sentences(text: str) -> list[str]:
+    return [s for s in (x.strip() for x in _SENTENCE.split(text)) if s]
+
+
+def strict_sentences(text: str) -> list[str]:
+    return [s for s in (x.strip() for x in _STRICT.split(text)) if s]
+
+
+def pack_sentences(text: str, most: int = PACK, overlap: int = PACK_OVERLAP) -> list[str]:
+    """Sentences to chunks of at most `most` tokens; the next one begins with the last ones up to `overlap`."""
+    chunks, current = [], []
+    for s in sentences(text):
+        if current and sum(len(x.split()) for x in current) + len(s.split()) > most:
+            chunks.append(" ".join(current))
+            tail: list[str] = []
+            for x in reversed(current):
+                if sum(len(y.split()) for y in tail) + len(x.split()) > overlap:
+                    break
+                tail.insert(0, x)
+            current = tail
+        current.append(s)
+    return [*chunks, " ".join(current)] if current else chunks
+
+
+def pack_paragraphs(text: str, most: int = PACK) -> list[str]:
+    chunks, current, size = [], [], 0
+    for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
+        n = len(p.split())
+        if not p:
+            continue
+        if current and size + n > most:
+            chunks.append("\n\n".join(current))
+            current, size = [], 0
+        current.append(p)
+        size += n
+    return [*chunks, "\n\n".join(current)] if current else chunks
+
+
+def split_by_size(text: str, most: int = SPLIT) -> list[str]:
+    chunks, current, size = [], [], 0
+    for s in sentences(text):
+        n = len(s.split())
+        if current and size + n > most:
+            chunks.append(" ".join(current))
+            current, size = [], 0
+        current.append(s)
+        size += n
+    return [*chunks, " ".join(current)] if current else chunks
+
+
+def trim_last(text: str, least: int = 6) -> list[str]:
+    """The window without its last sentence, if that has fewer than `least` words and is not alone."""
+    found = strict_sentences(text)
+    return [" ".join(found[:-1] if len(found) >= 2 and len(found[-1].split()) < least else found)]
+
+
+def adaptive(text: str) -> list[str]:
+    return pack_paragraphs(text) if len(re.findall(r"\n\s*\n", text)) > 5 else pack_sentences(text)
+
+
+def chunked(docs: DataFrame, chunker: Callable[[str], list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, place, chunk, tokens) of the chunker's output for each text; null and empty texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, k, c, len(c.split())) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, c in enumerate(chunker(t or ""))]
+            ids, places, chunks, tokens = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(chunks, pa.string()), pa.array(tokens, pa.int32())], names=[id_col, "place", "chunk", "tokens"])
+
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} bigint, place int, chunk string, tokens int")
+
+
+for _name, _chunker in (("TXT06_strict_sentences", strict_sentences), ("CHK03_sentence_trimming", trim_last), ("CHK06_sentence_packing", pack_sentences), ("CHK07_paragraph_packing", pack_paragraphs), ("CHK09_size_split", split_by_size), ("CHK10_adaptive_chunks", adaptive), ("CHK11_topic_chunks", pack_sentences)):
+    builder(_name)(lambda spark, get, c=_chunker: chunked(get("documents"), c))
+
+
+def marginal_relevance(vectors: np.ndarray, scores: np.ndarray, n: int, trade: float = LAMBDA) -> list[int]:
+    """Greedy choice of n rows by trade * relevance - (1 - trade) * largest cosine to those chosen; ties to the first."""
+    span = scores.max() - scores.min()
+    relevance = np.full(len(scores), 0.5) if span == 0 else (scores - scores.min()) / span
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    return _greedy(relevance, lambda i: unit @ unit[i], n, trade, int(relevance.argmax()))
+
+
+def term_relevance(texts: list[str], scores: np.ndarray, n: int, trade: float = LAMBDA) -> list[int]:
+    """As marginal_relevance with the overlap of terms as similarity; the first row comes first."""
+    terms = [set(t.lower().split()) for t in texts]
+    like = lambda i: np.asarray([len(t & terms[i]) / max(1, min(len(t), len(terms[i]) + 1)) for t in terms])
+    return _greedy(scores, like, n, trade, 0)
+
+
+def _greedy(relevance: np.ndarray, like: Callable[[int], np.ndarray], n: int, trade: float, seed: int) -> list[int]:
+    chosen, nearest = [seed], like(seed)
+    while len(chosen) < min(n, len(relevance)):
+        value = trade * relevance - (1 - trade) * nearest
+        value[chosen] = -np.inf
+        chosen.append(int(value.argmax()))
+        nearest = np.maximum(nearest, like(chosen[-1]))
+    return chosen
+
+
+@builder("FUS04_mmr_embeddings")
+def _mmr(spark, get) -> DataFrame:
+    """For each label's queries: the nearest CANDIDATES vectors, diversified. A group is CANDIDATES rows."""
+    from .retrieval import neighbours
+
+    near = run_sql(spark, f"with {neighbours(SPARK, CANDIDATES)} select query_id, vec_id, cosine, embedding from nn join embeddings using (vec_id)", get)
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cosine", "vec_id"], ascending=[False, True]).reset_index(drop=True)
+        rows = marginal_relevance(np.stack(pdf.embedding).astype(float), pdf.cosine.to_numpy(), 10)
+        return pd.DataFrame({"query_id": pdf.query_id[rows], "vec_id": pdf.vec_id[rows], "place": range(1, len(rows) + 1)})
+
+    return near.groupBy("query_id").applyInPandas(pick, "query_id long, vec_id long, place int")
+
+
+def _hits(spark, get) -> DataFrame:
+    return run_sql(spark, f"with {bm25(SPARK)}, {ranked('top', 'bm', CANDIDATES)} select t.query_id, t.doc_id, t.score, cast(t.rk as int) as rk, d.source, substr(d.text, 1, 600) as content from top t join documents d on d.doc_id = t.doc_id", get)
+
+
+@builder("FUS05_mmr_terms")
+def _terms(spark, get) -> DataFrame:
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rk").reset_index(drop=True)
+        rows = term_relevance(pdf.content.tolist(), pdf.score.to_numpy(), 10)
+        return pd.DataFrame({"query_id": pdf.query_id[rows], "doc_id": pdf.doc_id[rows], "place": range(1, len(rows) + 1)})
+
+    return _hits(spark, get).groupBy("query_id").applyInPandas(pick, "query_id long, doc_id long, place int")
+
+
+def build_context(pdf: pd.DataFrame, most_chunks: int = 12, most_tokens: int = 1200) -> pd.DataFrame:
+    """Hits of one query to a context: first occurrences, best first, diversified, within the budget, cited."""
+    pdf = pdf.drop_duplicates("doc_id").sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
+    pdf = pdf.iloc[term_relevance(pdf.content.tolist(), pdf.score.to_numpy(), 2 * most_chunks)].reset_index(drop=True)
+    budget, used, parts = int(most_tokens * 0.92), 0, []
+    for row in pdf.itertuples():
+        text = row.content
+        tokens = max(1, int(len(text.split()) * 1.3))
+        if tokens > budget // 2:
+            text, tokens = text[: budget // 2 * 4] + "...", budget // 2
+        if used + tokens > budget:
+            if budget - used > 100:
+                parts.append((row, text[: (budget - used) * 4] + "..."))
+            break
+        parts.append((row, text))
+        used += tokens
+    seen: Counter = Counter()
+    out = []
+    for row, text in parts[:most_chunks]:
+        base = f"{row.source}#{row.doc_id}"
+        seen[base] += 1
+        out.append(f"[{base}{'' if seen[base] == 1 else f'~{seen[base]}'}] {text}")
+    return pd.DataFrame({"query_id": [pdf.query_id[0]], "context": ["\n\n".join(out)], "chunks": [len(out)], "tokens": [used]})
+
+
+@builder("FUS06_build_context")
+def _context(spark, get) -> DataFrame:
+    return _hits(spark, get).groupBy("query_id").applyInPandas(lambda pdf: build_context(pdf), "query_id long, context string, chunks int, tokens long")
+
+
+def sample_scenes(times: np.ndarray, values: np.ndarray, interval: float, change: float) -> np.ndarray:
+    """True for events kept: 0.9 * interval after the last kept one, or over `change` apart from it."""
+    keep = np.zeros(len(times), bool)
+    at, value = -math.inf, math.inf
+    for i, (t, v) in enumerate(zip(times.tolist(), values.tolist(), strict=True)):
+        if t - at >= 0.9 * interval or abs(v - value) > change:
+            keep[i], at, value = True, t, v
+    return keep
+
+
+@builder("WIN09_scene_sampling")
+def _scenes(spark, get) -> DataFrame:
+    """State is the last kept event of a user; a user's events stay in the order of time."""
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "event_id"])
+        return pdf[sample_scenes(pdf.t.to_numpy(), pdf.value.to_numpy(), 43_200.0, 60.0)][["user_id", "event_id"]]
+
+    return get("events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"), "value").groupBy("user_id").applyInPandas(pick, "user_id long, event_id long")
+
+
+def bleu(candidate: list[str], reference: list[str]) -> tuple[float, float, float, float]:
+    """Sentence BLEU-1 to 4 of tokens, an empty overlap smoothed to 0.1, rounded to four places."""
+    precisions = []
+    for n in range(1, 5):
+        c = Counter(tuple(candidate[i : i + n]) for i in range(len(candidate) - n + 1))
+        r = Counter(tuple(reference[i : i + n]) for i in range(len(reference) - n + 1))
+        hit, total = sum((c & r).values()), max(1, sum(c.values()))
+        if n == 1 and not hit:
+            return 0.0, 0.0, 0.0, 0.0
+        precisions.append((hit or 0.1) / total)
+    short = 1.0 if len(candidate) > len(reference) else math.exp(1 - len(reference) / max(1, len(candidate)))
+    weights = ((1,), (0.5, 0.5), (0.33, 0.33, 0.34), (0.25,) * 4)
+    return tuple(round(short * math.exp(sum(w * math.log(p) for w, p in zip(ws, precisions, strict=False))), 4) for ws in weights)
+
+
+def longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by rows."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def rouge_l(candidate: list[str], reference: list[str]) -> float:
+    if not candidate or not reference:
+        return 0.0
+    return round(2 * longest_common(candidate, reference) / (len(candidate) + len(reference)), 4)
+
+
+def _turns(get) -> DataFrame:
+    c = get("conversations")
+    return c.alias("c").join(c.alias("n"), (F.col("n.conv_id") == F.col("c.conv_id")) & (F.col("n.turn") == F.col("c.turn") + 1)).select("c.conv_id", "c.turn", F.lower("n.text").alias("cand"), F.lower("c.text").alias("ref"))
+
+
+def _scored(df: DataFrame, score: Callable[[str, str], tuple], names: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [score(a or "", b or "") for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(len(names)))], names=["conv_id", "turn", *names])
+
+    return df.mapInArrow(run, "conv_id long, turn long, " + ", ".join(f"{n} double" for n in names))
+
+
+builder("EVL07_bleu")(lambda spark, get: _scored(_turns(get), lambda a, b: (s := bleu(a.split(), b.split())) + (round(sum(s) / 4, 4),), ["bleu_1", "bleu_2", "bleu_3", "bleu_4", "bleu_avg"]))
+builder("EVL08_rouge_l")(lambda spark, get: _scored(_turns(get), lambda a, b: (rouge_l(a.split(), b.split()),), ["rouge_l"]))
