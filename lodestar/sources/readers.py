@@ -34,7 +34,7 @@ def modality(path: Column) -> Column:
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, page, text): whole files as one page, undecodable bytes ignored."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.lit(1).alias("page"), F.regexp_replace(F.decode("content", F.lit("UTF-8")), "�", "").alias("text"))
+    return raw.select("path", F.lit(1).alias("page"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\uFFFD", "").alias("text"))
 
 
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -19,8 +19,9 @@ LATE = "1 hour"
 
 
 def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """Events from files as they arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    """Events from files as they arrive in a folder; ts becomes a timestamp, as watermarks ask for."""
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def hourly_latency(events: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ def test_paragraphs_and_sizes():
 
 
 def test_marginal_relevance_avoids_copies():
-    v = np.array([[1.0, 0], [1.0, 0.01], [0, 1.0]])
-    assert g.marginal_relevance(v, np.array([1.0, 0.99, 0.5]), 2) == [0, 2]
+    v = np.array([[1.0, 0], [1.0, 0.01], [0, 1.0], [-1.0, 0]])
+    assert g.marginal_relevance(v, np.array([1.0, 0.6, 0.55, 0.0]), 2) == [0, 2]
     assert g.term_relevance(["a b c", "a b c", "x y z"], np.array([0.9, 0.8, 0.7]), 3)[:2] == [0, 2]
 
 
