@@ -24,6 +24,7 @@ from .components import components
 BITS = 64
 #: Fingerprints of a bucket that are compared with each other in one task; larger buckets are dealt out.
 BUCKET = 4096
+ROW_PRICE = 2000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -130,13 +131,16 @@ def plan_partitions(sample: np.ndarray, n: int, limit: int, parts: int) -> list[
 
 
 def choose_plan(sample: np.ndarray, n: int, limit: int) -> list[tuple[int, int]]:
-    """The cheapest plan over the numbers of partitions, judged by keys a fingerprint and candidates."""
+    """The cheapest plan over the numbers of partitions, judged by keys a fingerprint and candidates.
+
+    A key is a row that is shuffled; it costs as much as ROW_PRICE comparisons.
+    """
     best = None
     for parts in range(max(2, limit // 2), limit + 2):
         plan = plan_partitions(sample, n, limit, parts)
         keys = sum(sum(_choose(bin(m).count("1"), d) for d in range(t + 1)) for m, t in plan)
         dense = sum(n / 2.0 ** bin(m).count("1") * sum(_choose(bin(m).count("1"), d) for d in range(t + 1)) for m, t in plan)
-        price = keys * 20 + dense
+        price = keys * ROW_PRICE + dense
         if best is None or price < best[0]:
             best = (price, plan)
     return best[1]
@@ -158,8 +162,8 @@ def _probes(plan: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
     return out
 
 
-def _forest(f: np.ndarray, g: np.ndarray, own: np.ndarray, limit: int, overall: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the links between own rows (indexed) and all rows of a bucket."""
+def _forest(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of the links between the first own rows and all rows of a bucket."""
     root = np.arange(len(f))
 
     def find(i: int) -> int:
@@ -170,11 +174,10 @@ def _forest(f: np.ndarray, g: np.ndarray, own: np.ndarray, limit: int, overall:
 
     us, vs = [], []
     step = max(1, (1 << 20) // max(1, len(f)))
-    for lo in range(0, len(own), step):
-        rows = own[lo : lo + step]
-        a, b = np.nonzero(np.bitwise_count(f[rows][:, None] ^ f[None, :]) <= limit)
-        a = rows[a]
-        ok = a != b
+    for lo in range(0, own, step):
+        a, b = np.nonzero(np.bitwise_count(f[lo : min(own, lo + step), None] ^ f[None, lo:]) <= limit)
+        a, b = a + lo, b + lo
+        ok = a < b
         a, b = a[ok], b[ok]
         if g.shape[1] and len(a):
             ok = np.bitwise_count(g[a] ^ g[b]).sum(1) + np.bitwise_count(f[a] ^ f[b]) <= overall
@@ -244,9 +247,10 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, sample_rows:
             us, vs = [], []
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(f)], strict=True):
                 if b - a > 1 and is_plain[a:b].any():
-                    u, v = _forest(f[a:b], g[a:b], np.flatnonzero(is_plain[a:b]), limit, overall)
-                    us.append(node[a:b][u])
-                    vs.append(node[a:b][v])
+                    order = a + np.argsort(~is_plain[a:b], kind="stable")
+                    u, v = _forest(f[order], g[order], int(is_plain[a:b].sum()), limit, overall)
+                    us.append(node[order[u]])
+                    vs.append(node[order[v]])
             if us:
                 yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
