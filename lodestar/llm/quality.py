@@ -185,6 +185,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rat
                 step[inside] = (y - p)[inside].sum() / max(1e-6, (p * (1 - p))[inside].sum() + 1)
         total += rate * np.clip(step, -4, 4)
     kept = list(rules.values())
+    if not kept:  # too few rows to split
+        return RuleModel((), (), start)
     matrix = np.stack([r.holds(x) for r in kept], 1).astype(float)
     _, first = np.unique(matrix, axis=1, return_index=True)
     kept, matrix = [kept[i] for i in sorted(first)], matrix[:, sorted(first)]
@@ -255,6 +257,8 @@ def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
 def keep_good(docs: DataFrame, model: RuleModel, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, whose text scores at least `least`; no row is moved for it."""
     prefix = "_statistic_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
     fields = T.StructType([*docs.schema.fields, *(T.StructField(prefix + s, T.DoubleType()) for s in STATISTICS)])
     at = docs.columns.index(text_col)
 
