@@ -129,3 +129,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), full=False)
+
+
+#: The same rows by comparing everything with everything, in DuckDB.
+ORACLE = r"""
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+win as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as m from (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) as i from t) p),
+f as (select doc_id, i, row_number() over (partition by m order by doc_id, i) as n from win),
+d as (select doc_id, i from f where n > 1),
+e as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as fresh from d),
+r as (select doc_id, min(i) as a, max(i) + 100 as b from (select doc_id, i, sum(fresh) over (partition by doc_id order by i rows between unbounded preceding and current row) as g from e) q group by doc_id, g),
+cuts as (select doc_id, list(a order by a) as a, list(b order by a) as b, sum(b - a) as removed, count(*) as n from r group by doc_id),
+k as (select t.doc_id, length(h) // 2 as n_bytes, coalesce(removed, 0) as n_removed, coalesce(n, 0) as n_spans,
+  case when n is null then h else array_to_string(list_transform(range(0, n + 1), lambda j: substr(h, 2 * case when j = 0 then 0 else b[j] end + 1, 2 * (case when j = n then length(h) // 2 else a[j + 1] end - case when j = 0 then 0 else b[j] end))), '') end as kept
+  from t left join cuts on cuts.doc_id = t.doc_id)
+select doc_id, cast(n_bytes as bigint) as n_bytes, cast(n_removed as bigint) as n_removed, cast(n_spans as bigint) as n_spans, sha256(unhex(kept)) as kept_sha256 from k
+"""

@@ -202,3 +202,12 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+#: The same rows by comparing everything with everything, in DuckDB.
+ORACLE = r"""
+with recursive good as (select vec_id, label, cast(embedding as double[]) as v from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as u, b.vec_id as w from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.93),
+reach as (select vec_id as u, vec_id as w from embeddings where vec_id is not null union select r.u, l.w from reach r join links l on l.u = r.w)
+select e.vec_id, (select count(*) from links l where l.u = e.vec_id) as n_links, (select min(w) from reach r where r.u = e.vec_id) as component_id, (select min(w) from reach r where r.u = e.vec_id) = e.vec_id as kept from embeddings e
+"""

@@ -144,3 +144,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents"), full=False)
+
+
+#: The same rows by comparing everything with everything, in DuckDB.
+ORACLE = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, unnest(range(1, len(w) - 18)) as i, w from w),
+win as (select doc_id, i, md5(array_to_string(w[i:i+19], ' ')) as h from p),
+f as (select *, row_number() over (partition by h order by doc_id, i) as n from win),
+rep as (select distinct doc_id, i + k as spot from f, range(0, 20) r(k) where n > 1),
+g as (select doc_id, list(spot) as gone from rep group by doc_id),
+k as (select w.doc_id, w, coalesce(gone, []) as gone from w left join g on g.doc_id = w.doc_id),
+x as (select doc_id, len(w) as n_words, len(gone) as n_removed, case when len(gone) = 0 then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: not list_contains(gone, z[2])), lambda z: z[1]) end as kept from k)
+select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from x
+"""
