@@ -17,13 +17,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     neighbours are never gathered: only minima are, with partial sums before the shuffle.
     """
     now = cut(_clean(edges))
-    for _ in range(rounds):
-        large = _star(now, larger=True)
-        after = cut(_star(large, larger=False))
+    seen = _digest(now)
+    for _ in range(rounds if seen[0] else 0):
+        now = cut(_star(_star(now, larger=True), larger=False))
         # a fixed point has the same links: their number and a sum of their hashes say so
-        if _digest(after) == _digest(now):
+        before, seen = seen, _digest(now)
+        if before == seen:
             break
-        now = after
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -231,7 +231,7 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, sample_rows:
     schema = "key bigint, f bigint, g binary, node bigint, plain boolean"
     plain = points.select("f", "g", "node").mapInArrow(deal(flipped=False), schema)
     hot = plain.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BUCKET).select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("parts"))
-    keyed = points.select("f", "g", "node").mapInArrow(deal(flipped=True), schema).join(cut(hot), "key", "left")
+    keyed = points.select("f", "g", "node").mapInArrow(deal(flipped=True), schema).join(hot, "key", "left")
     # part -1: not split; a plain pattern of a split bucket is compared in its own part, the others meet them all
     own = F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")
     dealt = keyed.withColumn("own", own).withColumn("part", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("parts") - 1), F.array(F.lit(-1)))))
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(marked.groupBy("f", "g").agg(F.min(id_col).alias("node")).where(F.col("node").isNotNull()))
     many = marked.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count_distinct("f", "g").alias("n")).where(F.col("n") > 1).select(id_col)
     same = marked.join(many, id_col).join(classes, ["f", "g"]).select(F.col(id_col).alias("u"), F.col("node").alias("v"))
-    found = cut(components(cut(hamming_links(classes, limit, overall)).unionByName(same)))
+    found = components(hamming_links(classes, limit, overall).unionByName(same))
     of = classes.join(found, "node", "left").select("f", "g", F.coalesce("component", "node").alias("component_id"))
     return marked.join(of, ["f", "g"], "left").select(id_col, "f", "component_id")
 

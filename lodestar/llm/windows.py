@@ -4,7 +4,9 @@ Every window of `length` symbols (bytes or words) is anchored at its minimiser:
 `gram` symbols have the smallest hash. Equal windows have equal anchors at equal places, so only
 segments (the run of windows of one anchor) have to meet, by their anchor's hash. Segments of equal
 content are one class, whose copies are told apart by their places alone; only where an anchor has
-several classes does a class's content travel, once, to the task that compares them.
+several classes does a class's content travel, once, to the task that compares them. An anchor with very
+many classes (a passage's edge in a large part of all documents) is not compared in one task: its
+windows' hashes are grouped by Spark, with partial minima before the shuffle.
 
 Documents travel in compressed blocks, written once to the checkpoint folder, so that each later step
 joins a few answers by block to compressed texts.
@@ -31,6 +33,8 @@ BATCH = 1 << 20
 PLACE = 22
 #: Blocks whose anchors one part gathers.
 PART_BLOCKS = 8
+#: Classes of an anchor over which its windows are compared by their hashes, in Spark, and not in one task.
+HOT = 2048
 #: Stands for a null id: such rows come last in the order.
 NO_ID = np.iinfo(np.int64).max
 
@@ -231,7 +235,7 @@ def repeated_windows(source: DataFrame, spec: Windows, compare: Callable, finish
     with order = (document, place) of the class's first copy; it returns for each class the (first, last)
     places of windows in its content which also stand in a class of smaller order.
     """
-    n = source.count()
+    n, most = source.count(), HOT
     parts = max(2 * partitions(source.sparkSession), n // PART_BLOCKS)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,30 +271,39 @@ def repeated_windows(source: DataFrame, spec: Windows, compare: Callable, finish
         new_key[1:] = k[1:] != k[:-1]
         new_class[1:] = new_key[1:] | (c[1:] != c[:-1])
         group_of, class_of = np.cumsum(new_key) - 1, np.cumsum(new_class) - 1
-        entries, several = np.bincount(group_of), np.bincount(group_of, new_class) > 1
+        entries, distinct = np.bincount(group_of), np.bincount(group_of, new_class)
+        several = (distinct > 1).astype(np.uint8) + (distinct > most)
         again = (entries > 1) | (np.bincount(group_of, copies) > 0)
         lead = np.flatnonzero(new_class)[class_of]
         keep = np.flatnonzero(again[group_of])
-        return _answers(block[keep], [number[keep], doc[lead[keep]], place[lead[keep]], several[group_of[keep]]], 0)
+        columns = [number, doc[lead], place[lead], several[group_of]]
+        many = keep[several[group_of[keep]] == 2]
+        return pa.concat_tables([_answers(block[keep], [c[keep] for c in columns], 0), _answers(block[many], [c[many] for c in columns[:3]], 2)])
 
-    met = cut(source.mapInArrow(anchors, "part bigint, block bigint, body binary").groupBy("part").applyInArrow(meet, ANSWER))
+    answered = cut(source.mapInArrow(anchors, "part bigint, block bigint, body binary").groupBy("part").applyInArrow(meet, ANSWER))
+    met, hot = answered.where("kind = 0"), answered.where("kind = 2")
+
+    def leads(name: int, body: bytes, number: np.ndarray, doc: np.ndarray, place: np.ndarray):
+        """A block's symbols, segments, and those of its classes that are the first copies of theirs."""
+        b = open_block(body)
+        symbols, offsets, _ = b.symbols(spec)
+        s = segments(symbols, offsets, spec)
+        order, begin = classes(b.ids, s)
+        lead = order[begin][number]
+        holds = (b.ids[s.row[lead]] == doc) & (s.place[lead] == place)
+        return b, symbols, s, lead[holds], number[holds]
 
     def contents(key, block, answers):
         """Contents of the classes to be compared, from the blocks that hold their first copies."""
         none = pa.table({"part": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
         if not len(block) or not len(answers):
             return none
-        b, name = open_block(block.column("body")[0].as_py()), key[0].as_py()
+        name = key[0].as_py()
         number, doc, place, several = map(np.concatenate, zip(*(unpack(x) for x in answers.column("body").to_pylist()), strict=True))
-        number, doc, place = number[several], doc[several], place[several]
-        if not len(number):
+        few = several == 1
+        if not few.any():
             return none
-        symbols, offsets, _ = b.symbols(spec)
-        s = segments(symbols, offsets, spec)
-        order, begin = classes(b.ids, s)
-        lead = order[begin][number]
-        holds = (b.ids[s.row[lead]] == doc) & (s.place[lead] == place)
-        lead, number = lead[holds], number[holds]
+        b, symbols, s, lead, number = leads(name, block.column("body")[0].as_py(), number[few], doc[few], place[few])
         first, end = s.first[lead], s.last[lead] + spec.length
         width = symbols.dtype.itemsize
 
@@ -328,6 +341,34 @@ def repeated_windows(source: DataFrame, spec: Windows, compare: Callable, finish
     asked = keyed.cogroup(met.groupBy("block")).applyInArrow(contents, "part bigint, block bigint, body binary")
     decided = asked.groupBy("part").applyInArrow(decide, ANSWER)
 
+    def hashes(key, block, answers):
+        """Two hashes, order and place of every window of the hot anchors' classes, from their first copies."""
+        out = {c: pa.array([], pa.int64()) for c in ("h1", "h2", "doc", "place", "block", "number", "at")}
+        if not len(block) or not len(answers):
+            return pa.table(out)
+        number, doc, place = map(np.concatenate, zip(*(unpack(x) for x in answers.column("body").to_pylist()), strict=True))
+        b, symbols, s, lead, number = leads(key[0].as_py(), block.column("body")[0].as_py(), number, doc, place)
+        if len(lead):
+            count = s.last[lead] - s.first[lead] + 1
+            at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            start = np.repeat(s.first[lead], count) + at
+            values = (
+                *(span_hash(prefix_hash(x), start, start + spec.length).view(np.int64) for x in (symbols, mix(symbols.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))),
+                b.ids[np.repeat(s.row[lead], count)], np.repeat(s.place[lead] - s.anchor[lead], count) + start, np.full(len(at), key[0].as_py()), np.repeat(number, count).astype(np.int64), at,
+            )
+            out = dict(zip(out, (pa.array(v, pa.int64()) for v in values), strict=True))
+        return pa.table(out)
+
+    def settle(key, group):
+        at = group.column("at").to_numpy()
+        return _answers(np.full(len(at), key[0].as_py()), [group.column("number").to_numpy(), at, at], 1)
+
+    if not hot.isEmpty():
+        wide = cut(keyed.cogroup(hot.groupBy("block")).applyInArrow(hashes, "h1 bigint, h2 bigint, doc bigint, place bigint, block bigint, number bigint, at bigint"))
+        first_place = wide.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"))
+        later = wide.join(first_place, ["h1", "h2"]).where(F.struct("doc", "place") > F.col("first")).select("block", "number", "at")
+        decided = decided.unionByName(later.groupBy("block").applyInArrow(settle, ANSWER))
+
     def close(key, block, answers):
         empty = pa.schema([]).empty_table() if not len(block) else None
         if empty is not None:

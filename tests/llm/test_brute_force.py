@@ -150,6 +150,14 @@ def test_forest_finds_planted_links(spark):
     assert got == {i: (int(linked[i].sum()), want[i]) for i in range(len(x))} and linked.any()
 
 
+def test_hot_anchors_give_the_same(spark, results, monkeypatch):
+    from lodestar.llm import suffix_dedup, windows, word_paths
+
+    monkeypatch.setattr(windows, "HOT", 1)
+    for module, name in ((suffix_dedup, "op4_prefix_intervals"), (word_paths, "op10_word_paths")):
+        assert sorted(map(repr, (r.asDict() for r in module.query(spark, DATA).collect()))) == sorted(map(repr, results[name]))
+
+
 def test_interval_tree_of_suffixes():
     assert sorted((p, sorted(m)) for p, m in intervals([b"abab", b"abba", b"abab", b"b"], 1)) == [(2, [0, 1, 2]), (4, [0, 2])]
     found = maximal_repeats([(2, b"xxabcd"), (2, b"yxabcd"), (2, b"zzabce")], 4)
