@@ -78,14 +78,25 @@ def _generator(d: Dialect) -> str:
 template("GEN02_evidence_structure")(lambda d: f"select doc_id, place, {d.strip(d.sub('sentence', r'\[[^\[\]]*\]', chr(39) * 2))} as claim, {d.join(d.all('sentence', r'\[([^\[\]]+?)\]', 1), chr(39) + '|' + chr(39))} as cite_ids from {d.unnest(answers(d) + ' a', 'doc_id', d.filter(d.sentences('answer'), 's', 'length(s) > 10'), 'sentence', 'place')} t where {d.matches('sentence', r'\[[^\[\]]+\]')}")
 
 
+# fixed values: for each asked quantity the patterns of its number, the value preferred, and the range
+QUANTITIES = (
+    ("d_model", (r"(?i)\bd_?model\b[^0-9]{0,40}?([0-9]{2,5})", r"(?i)\bmodel dimension\b[^0-9]{0,40}?([0-9]{2,5})"), 512, (128, 20_000)),
+    ("d_k", (r"(?i)\bd_k\b[^0-9]{0,40}?([0-9]{1,4})", r"(?i)\bdk\b[^0-9]{0,40}?([0-9]{1,4})"), 64, (8, 512)),
+    ("d_ff", (r"(?i)\bd_ff\b[^0-9]{0,40}?([0-9]{2,5})", r"(?i)\bfeed[- ]forward\b[^0-9]{0,40}?([0-9]{2,5})"), 2048, (256, 20_000)),
+    ("heads", (r"(?i)\bheads?\b[^0-9]{0,20}?([0-9]{1,3})", r"(?i)h\s*=\s*([0-9]{1,3})"), 8, (1, 32)),
+)
+
+
 @template("GEN03_extractive_answer")
 def _extractive(d: Dialect) -> str:
-    """Numbers beside 'heads' in a made context: in range, the preferred one, else the mode, ties to the smallest."""
-    context = "'It has ' || (doc_id % 40) || ' units, heads ' || (doc_id % 12) || ', heads = ' || (n_chars % 9) || ' and head count ' || (doc_id % 12)"
-    numbers = d.all("context", r"(?i)\bheads?\b[^0-9]{0,20}?([0-9]{1,3})", 1)
-    return f"""with n as (select doc_id, cast(item as int) as v from {d.unnest(f'(select doc_id, {context} as context from documents) c', 'doc_id', numbers, 'item')} t),
-        r as (select doc_id, v, row_number() over (partition by doc_id order by case when v = 8 then 0 else 1 end, count(*) desc, v) as k from n where v between 1 and 32 group by doc_id, v)
-        select d.doc_id, coalesce(cast(r.v as varchar(10)), 'Insufficient evidence') as answer from documents d left join r on r.doc_id = d.doc_id and k = 1"""
+    """Numbers beside the asked quantity in a made context: in range, the preferred one, else the mode, ties to the
+    smallest; the optimizer by its name; else an abstention."""
+    context = "'With d_model = ' || (doc_id % 700) || ', d_k: ' || (doc_id % 90) || ' and d_k ' || (n_chars % 80) || '; feed-forward ' || (doc_id * 7 % 3000) || ', heads ' || (doc_id % 12) || ', h = ' || (n_chars % 9) || case when doc_id % 3 = 0 then '. Adam optimizer' else '' end"
+    asked = "case doc_id % 5 when 0 then 'd_model' when 1 then 'd_k' when 2 then 'd_ff' when 3 then 'heads' else 'optimizer' end"
+    source = f"(select doc_id, {context} as context, {asked} as intent from documents)"
+    numbers = " union all ".join(f"select doc_id, cast(item as int) as v, {best} as best from {d.unnest(f'(select * from {source} x{i}_{k} where intent = {d.text(name)}) c{i}_{k}', 'doc_id', d.all('context', pattern, 1), 'item')} t{i}_{k} where cast(item as int) between {low} and {high}" for i, (name, patterns, best, (low, high)) in enumerate(QUANTITIES) for k, pattern in enumerate(patterns))
+    return f"""with n as ({numbers}), r as (select doc_id, v, row_number() over (partition by doc_id order by case when v = max(best) then 0 else 1 end, count(*) desc, v) as k from n group by doc_id, v)
+        select s.doc_id, s.intent, case when s.intent = 'optimizer' then case when {d.matches('s.context', r'(?i)\bAdam\b')} then 'Adam' else 'Insufficient evidence' end else coalesce(cast(r.v as varchar(10)), 'Insufficient evidence') end as answer from {source} s left join r on r.doc_id = s.doc_id and k = 1"""
 
 
 @template("GEN04_small_model_confidence")

@@ -9,7 +9,7 @@ from ..plans.dialect import Dialect
 ABSTAIN = ("insufficient context", "i don't know", "cannot answer", "not enough information", "no evidence", "unable to determine", "not found in the context")
 ABSTAIN_GENERATOR = ("cannot answer", "cannot fully answer", "not provided in", "insufficient", "not enough", "unable to determine")
 HEDGES = ("might be", "could be", "possibly", "perhaps", "it seems", "it appears", "i think", "probably", "may have", "likely", "uncertain")
-LANGUAGES = (("en", "english"), ("de", "german"), ("fr", "french"), ("es", "spanish"), ("it", "italian"), ("pt", "portuguese"), ("nl", "dutch"), ("pl", "polish"), ("ru", "russian"), ("hi", "hindi"), ("te", "telugu"), ("ta", "tamil"), ("kn", "kannada"), ("ml", "malayalam"), ("bn", "bengali"), ("mr", "marathi"), ("gu", "gujarati"), ("pa", "punjabi"), ("ur", "urdu"), ("ne", "nepali"), ("zh", "chinese"), ("ja", "japanese"), ("ko", "korean"), ("ar", "arabic"))
+LANGUAGES = (("en", "english"), ("hi", "hindi"), ("te", "telugu"), ("ta", "tamil"), ("kn", "kannada"), ("ml", "malayalam"), ("bn", "bengali"), ("mr", "marathi"), ("gu", "gujarati"), ("pa", "punjabi"), ("ur", "urdu"), ("ne", "nepali"), ("zh", "chinese"), ("ja", "japanese"), ("ko", "korean"), ("ar", "arabic"), ("de", "german"), ("fr", "french"), ("es", "spanish"), ("pt", "portuguese"), ("ru", "russian"), ("it", "italian"), ("nl", "dutch"), ("pl", "polish"))
 
 
 def normalized(d: Dialect, x: str) -> str:
@@ -131,6 +131,12 @@ def _ocr(d: Dialect) -> str:
     return "select event_id, value from events where value >= 0.3"
 
 
+@template("FIL04_edge_density_gate")
+def _edges(d: Dialect) -> str:
+    """Frames whose edge density, here an event's value over 1000, is worth reading."""
+    return "select event_id, round(value / 1000, 6) as density from events where value / 1000 >= 0.15"
+
+
 @template("FIL07_malformed_chunks")
 def _malformed(d: Dialect) -> str:
     return "select doc_id, chunk_id from (select doc_id, case when doc_id % 9 = 0 then '' when doc_id % 10 = 0 then null else source || doc_id end as chunk_id from documents) t where chunk_id is not null and chunk_id <> ''"
