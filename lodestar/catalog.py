@@ -13,6 +13,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import ship
 from .plans.dialect import DUCK, SPARK, Dialect
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -64,6 +65,7 @@ def apply(name: str, spark: SparkSession, tables: Callable[[str], DataFrame] | d
     _load()
     get = tables.__getitem__ if isinstance(tables, dict) else tables
     if name in _BUILDERS:
+        ship(spark)
         return _BUILDERS[name](spark, get)
     return run_sql(spark, _TEMPLATES[name](SPARK), get)
 
