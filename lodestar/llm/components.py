@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Links of a checkpoint file, roughly.
+FILE_LINKS = 50_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link.
 
@@ -19,7 +23,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = cut(_clean(edges))
     seen = _digest(now)
     for _ in range(rounds if seen[0] else 0):
-        now = cut(_star(_star(now, larger=True), larger=False))
+        # few links need few files: what a round leaves is no more than what it was given
+        now = cut(_star(_star(now, larger=True), larger=False).coalesce(1 + seen[0] // FILE_LINKS))
         # a fixed point has the same links: their number and a sum of their hashes say so
         before, seen = seen, _digest(now)
         if before == seen:

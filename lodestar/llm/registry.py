@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .. import ship
+
 #: name of the query: module that has query(spark, sf_dir), and ORACLE where SQL can express it
 MODULES = {
     "op1_quality_rules": "quality",
@@ -19,8 +21,16 @@ MODULES = {
 }
 
 
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: import_module(f"{__package__}.{module}").query for name, module in MODULES.items()}
+    return {name: _shipped(import_module(f"{__package__}.{module}").query) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: The stage of the pipeline: five-word shingles; 64 bits propose, 192 bits decide. Texts of a shingle
 #: similarity of 0.8 differ in about 15 % of the bits, unrelated ones in half.
-STAGE = {"words": 5, "limit": 10, "more": 2, "overall": 40}
+STAGE = {"words": 5, "limit": 12, "more": 2, "overall": 36}
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

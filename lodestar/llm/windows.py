@@ -34,7 +34,7 @@ PLACE = 22
 #: Blocks whose anchors one part gathers.
 PART_BLOCKS = 8
 #: Classes of an anchor over which its windows are compared by their hashes, in Spark, and not in one task.
-HOT = 2048
+HOT = 1 << 15
 #: Stands for a null id: such rows come last in the order.
 NO_ID = np.iinfo(np.int64).max
 
