@@ -12,6 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar import ship
 from lodestar.llm.common import checkpoint_folder, table
 from lodestar.llm.language import fit_languages, keep_known
 from lodestar.llm.packing import pack_documents
@@ -54,6 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; what one keeps is written to the shared folder and read by the next."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
