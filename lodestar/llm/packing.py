@@ -25,8 +25,11 @@ from .common import cut, table
 SHARD_PIECES = 65_536
 ISLANDS = 3
 ROUNDS = 2
-POPULATION = 4
+POPULATION = 6
 GENERATIONS = 8
+#: Bins that a search goes through, and displaced items that are fitted tightly.
+WORK = 20_000
+TIGHT = 240
 
 Bins = list[tuple[int, ...]]
 
@@ -56,6 +59,46 @@ def best_fit(lengths: list[int], capacity: int, bins: list[list[int]] | None = N
     return [tuple(b) for b in bins]
 
 
+def tight_fit(lengths: list[int], capacity: int) -> Bins:
+    """New bins only: the longest item with the one or two others that leave the least room, again and again.
+
+    Quadratic, so for the displaced items of a step and not for a shard.
+    """
+    left, out = sorted(lengths), []
+    while left:
+        first = left.pop()
+        room, best = capacity - first, (0, ())
+        i, j = 0, len(left) - 1
+        while j >= 0 and left[j] > room:
+            j -= 1
+        if j >= 0:
+            best = (left[j], (j,))
+        while i < j:
+            total = left[i] + left[j]
+            if total > room:
+                j -= 1
+            else:
+                if total > best[0]:
+                    best = (total, (i, j))
+                i += 1
+        chosen = [first, *(left[k] for k in best[1])]
+        for k in sorted(best[1], reverse=True):
+            left.pop(k)
+        out.append(tuple(chosen))
+    return out
+
+
+def refit(displaced: list[int], kept: Bins, capacity: int) -> Bins:
+    """kept with the displaced items put back: by best fit, or in tight bins of their own if that is fitter."""
+    ways = [best_fit(sorted(displaced, reverse=True), capacity, [list(b) for b in kept])]
+    if len(displaced) <= TIGHT:
+        tight = tight_fit(displaced, capacity)
+        full = [b for b in tight if sum(b) == capacity]
+        rest = sorted((x for b in tight if sum(b) < capacity for x in b), reverse=True)
+        ways += [[*kept, *tight], best_fit(rest, capacity, [list(b) for b in [*kept, *full]])]
+    return max(ways, key=lambda w: fitness(w, capacity))
+
+
 def fitness(bins: Bins, capacity: int) -> tuple[int, float]:
     """Fewer bins first; then fuller ones (the sum of squared fills)."""
     return -len(bins), sum((sum(b) / capacity) ** 2 for b in bins)
@@ -79,15 +122,14 @@ def crossover(one: Bins, other: Bins, capacity: int, rng: np.random.Generator) -
                     displaced.append(x)
         else:
             kept.append(b)
-    return best_fit(sorted(displaced, reverse=True), capacity, [list(b) for b in [*kept, *brought]])
+    return refit(displaced, [*kept, *brought], capacity)
 
 
 def mutate(bins: Bins, capacity: int, rng: np.random.Generator) -> Bins:
     """Take the emptiest bins and a few others apart and fit their items anew."""
     order = np.argsort([sum(b) for b in bins], kind="stable")
-    gone = {*order[: max(1, len(bins) // 50)].tolist(), *rng.choice(len(bins), max(1, len(bins) // 20)).tolist()}
-    items = [x for k in gone for x in bins[k]]
-    return best_fit(sorted(items, reverse=True), capacity, [list(b) for k, b in enumerate(bins) if k not in gone])
+    gone = {*order[: max(1, len(bins) // 50)].tolist(), *rng.choice(len(bins), max(2, min(len(bins) // 10, TIGHT // 4))).tolist()}
+    return refit([x for k in gone for x in bins[k]], [b for k, b in enumerate(bins) if k not in gone], capacity)
 
 
 def evolve(counts: dict[int, int], capacity: int, seed: int, migrants: list[Bins] = ()) -> Bins:
@@ -100,12 +142,14 @@ def evolve(counts: dict[int, int], capacity: int, seed: int, migrants: list[Bins
     while len(people) < POPULATION and -max(fitness(p, capacity) for p in people)[0] > bound:
         noise = np.asarray(items) * (1 + rng.normal(0, 0.02 * len(people), len(items)))
         people.append(best_fit([items[i] for i in np.argsort(-noise, kind="stable")], capacity))
-    for _ in range(GENERATIONS):
+    # small shards get more generations for the same work
+    for _ in range(max(GENERATIONS, WORK // max(1, len(people[0])))):
         people.sort(key=lambda p: fitness(p, capacity), reverse=True)
         if len(people[0]) <= bound:
             break
         a, b = people[0], people[int(rng.integers(1, len(people)))]
-        people = [*people[: POPULATION - 3], crossover(a, b, capacity, rng), crossover(b, a, capacity, rng), mutate(a, capacity, rng)]
+        young = [crossover(a, b, capacity, rng), crossover(b, a, capacity, rng), mutate(a, capacity, rng), mutate(b, capacity, rng)]
+        people = sorted([*people, *young], key=lambda p: fitness(p, capacity), reverse=True)[:POPULATION]
     return max(people, key=lambda p: fitness(p, capacity))
 
 

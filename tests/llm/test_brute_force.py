@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -174,11 +175,15 @@ def test_packing(results, docs):
 
 
 def test_genetic_search_improves_on_best_fit():
-    counts = {4: 6, 5: 6, 6: 6, 7: 2, 3: 2}
-    best = packing.best_fit([x for x in sorted(counts, reverse=True) for _ in range(counts[x])], 15)
-    found = packing.evolve(counts, 15, seed=1)
-    assert len(found) <= len(best) and all(sum(b) <= 15 for b in found)
-    assert sorted(x for b in found for x in b) == sorted(x for x, n in counts.items() for _ in range(n))
+    rng, items = np.random.default_rng(0), []
+    for _ in range(40):  # triplets that fill a bin each
+        x, y = rng.integers(200, 400, 2).tolist()
+        items += [x, y, 1000 - x - y]
+    best = packing.best_fit(sorted(items, reverse=True), 1000)
+    found = packing.evolve(Counter(items), 1000, seed=1)
+    assert len(found) < len(best) and all(sum(b) <= 1000 for b in found)
+    assert sorted(x for b in found for x in b) == sorted(items)
+    assert len(packing.evolve(Counter(items), 1000, 2, [found])) <= len(found)  # a migrant is never lost
 
 
 def test_token_rows(results, docs):
