@@ -35,7 +35,7 @@ LEXICON_BYTES = 48
 #: A word that stands less often in the corpus is no lexicon word.
 LEAST_COUNT = 8
 #: Words whose ids a worker keeps at hand.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 
 # fixed values: the two pre-tokenizers' patterns, and the white space they go by
 _BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -192,11 +192,11 @@ class Vocabulary:
                 if not len(left):
                     break
             symbols[row, at] = made[row, at]
-            shift = column[None, :] + (column[None, :] > at[:, None])
-            symbols[:, :-1] = np.take_along_axis(symbols, shift, 1)
+            behind = column[None, :] > at[:, None]  # what stands behind the merged pair moves up
+            symbols[:, :-1] = np.where(behind, symbols[:, 1:], symbols[:, :-1])
             symbols[:, -1] = -1
-            shift[:, -1] = width - 1
-            ranks, made = np.take_along_axis(ranks, shift, 1), np.take_along_axis(made, shift, 1)
+            ranks[:, :-1] = np.where(behind[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            made[:, :-1] = np.where(behind[:, :-1], made[:, 1:], made[:, :-1])
             ranks[:, -1] = none
             ranks[row, at], made[row, at] = self._pairs.find(symbols[row, at], symbols[row, at + 1])
             back = np.flatnonzero(at > 0)
@@ -359,10 +359,10 @@ class Encoder:
 
     def entries(self, words: list[list[str]]) -> Callable[[str], object]:
         """A function that gives what entry makes of the ids, for every word of the given lists."""
-        new = set().union(*words) - self.kept.keys()
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = set().union(*words)
+        now = set().union(*words)
+        new = now - self.kept.keys()
+        if len(self.kept) + len(new) > KEPT_WORDS:  # what stands in these texts is kept
+            self.kept = {w: self.kept[w] for w in now - new}
         ordered = list(new)
         numbers = self.lexicon.find([w.encode() for w in ordered]).tolist() if self.lexicon is not None else [-1] * len(ordered)
         unseen = [w for w, number in zip(ordered, numbers, strict=True) if number < 0]
@@ -416,7 +416,7 @@ def frequent_words(docs: DataFrame, content: bytes, text_col: str = "text", most
         for batch in batches:
             for text in batch.column(0):
                 seen.update(vocab.words(text.as_py() or ""))
-                if len(seen) > KEPT_WORDS:
+                if len(seen) > KEPT_WORDS // 2:
                     yield out()
                     seen.clear()
         yield out()
