@@ -30,16 +30,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int, seed: int, more: int = 0) -> np.ndarray:
-    """The fingerprint of each text: bit i is set if it is in over half of the shingles' hashes.
-
-    Columns after the first are fingerprints by other hashes, made from the first one.
-    """
-    rows = len(offsets) - 1
-    out = np.zeros((rows, 1 + more), np.uint64)
+def shingles(data: np.ndarray, offsets: np.ndarray, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of all texts, in order, and how many of them each text has."""
     starts, ends, first = word_spans(data, offsets)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     # the words again, with one space after each, so that a shingle is one slice
     solid = ~SPACE[data]
     lengths = ends - starts
@@ -52,7 +47,26 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int, seed: int, m
     lo = np.repeat(first[:-1], n_shingles) + np.arange(int(n_shingles.sum())) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles)
     hi = np.minimum(lo + words, np.repeat(first[1:], n_shingles)) - 1
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(view[a:b], seed) for a, b in zip(at[lo].tolist(), end[hi].tolist(), strict=True)), np.uint64, len(lo))
+    return np.fromiter((digest(view[a:b], seed) for a, b in zip(at[lo].tolist(), end[hi].tolist(), strict=True)), np.uint64, len(lo)), n_shingles
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int, seed: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles."""
+    h, n = shingles(data, offsets, words, seed)
+    return [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int, seed: int) -> np.ndarray:
+    """The fingerprint of each text: bit i is set if it is in over half of the shingles' hashes."""
+    return majorities(*shingles(data, offsets, words, seed))
+
+
+def majorities(h: np.ndarray, n_shingles: np.ndarray, more: int = 0) -> np.ndarray:
+    """Fingerprints of hashes, so many for each text.
+
+    Columns after the first are fingerprints by other hashes, made from the first one.
+    """
+    out = np.zeros((len(n_shingles), 1 + more), np.uint64)
     full = np.flatnonzero(n_shingles)
     begin = (np.cumsum(n_shingles) - n_shingles)[full]
     step = max(1, (1 << 22) // BITS)
@@ -70,15 +84,14 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int, seed: int, m
     return out
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 4, seed: int = 42, more: int = 0) -> DataFrame:
-    """(id, f, g): the fingerprint as a signed long and the further ones, for each row of docs."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 4, seed: int = 42) -> DataFrame:
+    """(id, f, g): the fingerprint as a signed long and an empty g, for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in text_buffers(batch.column(1)):
-                f = fingerprints(data, offsets, words, seed, more)
-                further = pa.array([r.tobytes() for r in np.ascontiguousarray(f[:, 1:])], pa.binary())
-                yield pa.record_batch([batch.column(0).slice(first, len(f)), pa.array(f[:, 0].copy().view(np.int64)), further], names=[id_col, "f", "g"])
+                f = fingerprints(data, offsets, words, seed)
+                yield pa.record_batch([batch.column(0).slice(first, len(f)), pa.array(f[:, 0].copy().view(np.int64)), pa.array([b""] * len(f), pa.binary())], names=[id_col, "f", "g"])
 
     return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} bigint, f bigint, g binary")
 
@@ -162,8 +175,28 @@ def _probes(plan: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
     return out
 
 
+def _near(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs within the limits between the first own rows and all rows of a bucket."""
+    step = max(1, (1 << 20) // max(1, len(f)))
+    for lo in range(0, own, step):
+        a, b = np.nonzero(np.bitwise_count(f[lo : min(own, lo + step), None] ^ f[None, lo:]) <= limit)
+        a, b = a + lo, b + lo
+        ok = a < b
+        a, b = a[ok], b[ok]
+        if g.shape[1] and len(a):
+            ok = np.bitwise_count(g[a] ^ g[b]).sum(1) + np.bitwise_count(f[a] ^ f[b]) <= overall
+            a, b = a[ok], b[ok]
+        yield a, b
+
+
+def _between(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) -> tuple[np.ndarray, np.ndarray]:
+    """All those pairs whose groups, the last column of g, differ."""
+    found = [(a[ok], b[ok]) for a, b in _near(f, g[:, :-1], own, limit, overall) for ok in [g[a, -1] != g[b, -1]]]
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
 def _forest(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the links between the first own rows and all rows of a bucket."""
+    """Links of a spanning forest of those pairs."""
     root = np.arange(len(f))
 
     def find(i: int) -> int:
@@ -173,15 +206,7 @@ def _forest(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) ->
         return i
 
     us, vs = [], []
-    step = max(1, (1 << 20) // max(1, len(f)))
-    for lo in range(0, own, step):
-        a, b = np.nonzero(np.bitwise_count(f[lo : min(own, lo + step), None] ^ f[None, lo:]) <= limit)
-        a, b = a + lo, b + lo
-        ok = a < b
-        a, b = a[ok], b[ok]
-        if g.shape[1] and len(a):
-            ok = np.bitwise_count(g[a] ^ g[b]).sum(1) + np.bitwise_count(f[a] ^ f[b]) <= overall
-            a, b = a[ok], b[ok]
+    for a, b in _near(f, g, own, limit, overall):
         while len(a):
             roots = np.asarray([find(i) for i in range(len(f))]) if len(a) > len(f) else None
             ra = roots[a] if roots is not None else np.asarray([find(i) for i in a.tolist()])
@@ -201,30 +226,44 @@ def _forest(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) ->
     return np.asarray(us, np.int64), np.asarray(vs, np.int64)
 
 
-def hamming_links(points: DataFrame, limit: int, overall: int = 0, sample_rows: int = 4096) -> DataFrame:
+def _matrix(f: np.ndarray, g: list[bytes]) -> np.ndarray:
+    """All fingerprints of each row as columns."""
+    return np.column_stack([f.view(np.uint64), np.frombuffer(b"".join(g), np.uint64).reshape(len(f), -1)]) if len(f) else np.zeros((0, 1), np.uint64)
+
+
+def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int = 1, apart: bool = False, sample_rows: int = 4096) -> DataFrame:
     """(u, v): links that join what links of at most limit differing bits join.
 
     points has distinct rows (f, g, node). Where g holds further fingerprints, a link must also differ in
     at most `overall` bits of f and g together. A bucket's links are thinned to a spanning forest, which
-    has the same components. The plan is fitted on sample_rows fingerprints and the exact count. A
+    has the same components. With columns > 1 the first of g's fingerprints propose pairs as f does. With
+    apart the last column of g is a group, and all pairs of different groups are listed. The plan is fitted on sample_rows fingerprints and the exact count. A
     bucket's plain patterns are compared with all that probe it; where there are more than BUCKET of
     them, they are split and each part is compared in a group of its own.
     """
     spark = points.sparkSession
     n = points.count()
-    sample = np.asarray([r.f for r in points.orderBy(F.xxhash64("f")).limit(sample_rows).select("f").collect()], np.int64).view(np.uint64)
-    probes = _probes(choose_plan(sample, n, limit))
+    rows = points.orderBy(F.xxhash64("f")).limit(sample_rows).select("f", "g").collect()
+    sample = _matrix(np.asarray([r.f for r in rows], np.int64), [r.g for r in rows])
+    probes: list[tuple[int, int, int, list[int]]] = []  # the column that proposes, then as _probes
+    for column in range(columns):
+        probes += [(column, len(probes) + k, mask, flips) for k, mask, flips in _probes(choose_plan(np.ascontiguousarray(sample[:, column]) if len(rows) else np.zeros(0, np.uint64), n, limit))]
+    assert len(probes) <= 64  # a key's last six bits
 
     def deal(flipped: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, len(batch), 8192):
                     part = batch.slice(lo, 8192)
-                    f = part.column(0).to_numpy().view(np.uint64)
-                    for k, mask, flips in probes:
+                    whole = _matrix(part.column(0).to_numpy(), part.column(1).to_pylist()) if columns > 1 else None
+                    of, f, given = -1, part.column(0).to_numpy().view(np.uint64), part.columns[:2]
+                    for column, k, mask, flips in probes:
+                        if columns > 1 and column != of:
+                            of, f = column, np.ascontiguousarray(whole[:, column])
+                            given = [pa.array(f.view(np.int64)), pa.array([r.tobytes() for r in np.delete(whole, column, 1)], pa.binary())]
                         for i, flip in enumerate(flips if flipped else flips[:1]):
                             key = mix(((f ^ np.uint64(flip)) & np.uint64(mask)) + np.uint64(k)) & ~np.uint64(63) | np.uint64(k)
-                            yield pa.record_batch([pa.array(key.view(np.int64)), part.column(0), part.column(1), part.column(2), pa.array(np.full(len(f), i == 0))], names=["key", "f", "g", "node", "plain"])
+                            yield pa.record_batch([pa.array(key.view(np.int64)), *given, part.column(2), pa.array(np.full(len(f), i == 0))], names=["key", "f", "g", "node", "plain"])
 
         return run
 
@@ -248,7 +287,7 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, sample_rows:
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(f)], strict=True):
                 if b - a > 1 and is_plain[a:b].any():
                     order = a + np.argsort(~is_plain[a:b], kind="stable")
-                    u, v = _forest(f[order], g[order], int(is_plain[a:b].sum()), limit, overall)
+                    u, v = (_between if apart else _forest)(f[order], g[order], int(is_plain[a:b].sum()), limit, overall)
                     us.append(node[order[u]])
                     vs.append(node[order[v]])
             if us:
@@ -275,28 +314,96 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, sample_rows:
     return dealt.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, seed: int = 42, more: int = 0, overall: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, seed: int = 42) -> DataFrame:
     """(id, f, component_id): the fingerprint and the smallest id reachable by links, for each row.
 
-    Links have at most limit differing bits and, if `more` further fingerprints are made, at most
-    `overall` of all bits. Copies share a fingerprint, and so a node: they are never paired. Null and
-    empty texts, and those of white space, have fingerprint zero. Rows of one id are one node each way
-    they link. A row with a null id gets the component of its fingerprint, but never names one (null
-    if it is alone).
+    Links have at most limit differing bits. Copies share a fingerprint, and so a node: they are never
+    paired. Null and empty texts, and those of white space, have fingerprint zero. Rows of one id are one
+    node each way they link. A row with a null id gets the component of its fingerprint, but never names
+    one (null if it is alone).
     """
-    marked = cut(with_fingerprints(docs, id_col, text_col, words, seed, more))
+    marked = cut(with_fingerprints(docs, id_col, text_col, words, seed))
     # nodes are fingerprints' smallest ids; an id with several texts links their fingerprints
     classes = cut(marked.groupBy("f", "g").agg(F.min(id_col).alias("node")).where(F.col("node").isNotNull()))
     many = marked.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count_distinct("f", "g").alias("n")).where(F.col("n") > 1).select(id_col)
     same = marked.join(many, id_col).join(classes, ["f", "g"]).select(F.col(id_col).alias("u"), F.col("node").alias("v"))
-    found = components(hamming_links(classes, limit, overall).unionByName(same))
+    found = components(hamming_links(classes, limit).unionByName(same))
     of = classes.join(found, "node", "left").select("f", "g", F.coalesce("component", "node").alias("component_id"))
     return marked.join(of, ["f", "g"], "left").select(id_col, "f", "component_id")
 
 
-#: The stage of the pipeline: five-word shingles; 64 bits propose, 192 bits decide. Texts of a shingle
-#: similarity of 0.8 differ in about 15 % of the bits, unrelated ones in half.
-STAGE = {"words": 5, "limit": 12, "more": 2, "overall": 36}
+#: The stage of the pipeline: five-word shingles. Any of three fingerprints proposes, 192 bits thin out, and
+#: the shingle sets decide: a Jaccard similarity of at least `least` (a fraction). Texts of a similarity of 0.8
+#: differ in about 15 % of the bits, unrelated ones in half.
+STAGE = {"words": 5, "limit": 12, "more": 2, "overall": 36, "least": (4, 5)}
+
+#: Ids up to which the documents of proposed links are found by a broadcast.
+FEW = 1 << 20
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, limit: int = 12, more: int = 2, overall: int = 36, least: tuple[int, int] = (4, 5), seed: int = 42) -> DataFrame:
+    """(id, component_id): the smallest id reachable by links of a shingle similarity of at least `least`.
+
+    Nodes are distinct shingle sets, so copies are never paired; their fingerprints are of sets, not of
+    repeats. The bits propose a spanning forest, whose links are verified on the sets. Where one fails, the
+    groups at its ends may be joined by pairs that the forest left out: all proposed pairs between such
+    groups are verified as well. So every proposed pair is verified or lies in one group anyway.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in text_buffers(batch.column(1)):
+                sets = shingle_sets(data, offsets, words, seed)
+                n = np.asarray([len(x) for x in sets], np.int64)
+                f = majorities(np.concatenate(sets), n, more)
+                node = np.asarray([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
+                further = pa.array([r.tobytes() for r in np.ascontiguousarray(f[:, 1:])], pa.binary())
+                yield pa.record_batch([batch.column(0).slice(first, len(f)), pa.array(node.view(np.int64)), pa.array(n), pa.array(f[:, 0].copy().view(np.int64)), further], names=["id", "node", "n", "f", "g"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in text_buffers(batch.column(1)):
+                sets = shingle_sets(data, offsets, words, seed)
+                node = np.asarray([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
+                yield pa.record_batch([pa.array(node.view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    marked = cut(texts.mapInArrow(mark, "id bigint, node bigint, n bigint, f bigint, g binary"))
+    classes = cut(marked.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("f").alias("f"), F.first("g").alias("g")).where(F.col("id").isNotNull()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(u, v, ok) of distinct pairs: whether the sets are alike."""
+        a, b = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "uv")
+        sized = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(a, "u").join(b, "v")
+        sized = cut(sized.withColumn("may", F.least("nu", "nv") * least[1] >= F.greatest("nu", "nv") * least[0]))
+        may = sized.where("may")
+        ids = cut(may.select(F.col("u").alias("node")).unionByName(may.select(F.col("v").alias("node"))).distinct().join(classes, "node").select("id").distinct())
+        ids = F.broadcast(ids) if ids.count() <= FEW else ids
+        sets = texts.join(ids, "id", "left_semi").mapInArrow(listed, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+        both = may.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+        shared = F.size(F.array_intersect("su", "sv"))
+        alike = shared * least[1] >= (F.size("su") + F.size("sv") - shared) * least[0]
+        return cut(both.select("u", "v", alike.alias("ok")).unionByName(sized.where("not may").select("u", "v", F.lit(False).alias("ok"))))
+
+    many = marked.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where(F.col("u") != F.col("last")).select("id", "u")
+    same = marked.join(many, "id").select("u", F.col("node").alias("v"))  # an id with several texts links their sets
+    checked = verified(hamming_links(classes.select("f", "g", "node"), limit, overall, 1 + more))
+    links = checked.where("ok").select("u", "v").unionByName(same)
+    found = cut(components(links))
+    group = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    failed = checked.where("not ok").join(group("u"), "u", "left").join(group("v"), "v", "left").select(F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).where("cu <> cv")
+    open_ = cut(failed.select(F.col("cu").alias("at")).unionByName(failed.select(F.col("cv").alias("at"))).distinct())
+    if open_.count():
+        grouped = classes.join(found, "node", "left").withColumn("at", F.coalesce("component", "node")).join(open_, "at")
+        eight = F.unhex(F.lpad(F.hex("at"), 16, "0"))
+        points = cut(grouped.select("f", F.concat("g", eight).alias("g"), "node"))
+        pairs = hamming_links(points, limit, overall, 1 + more, apart=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        further = verified(pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti"))
+        found = cut(components(links.unionByName(further.where("ok").select("u", "v"))))
+    at = classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("at"))
+    of = at.join(at.groupBy("at").agg(F.min("id").alias("component_id")), "at").select("node", "component_id")
+    return marked.join(of, "node", "left").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -304,7 +411,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows that repeat a kept id stay too.
     """
-    found = near_duplicates(docs, id_col, text_col, **(STAGE | how))
+    found = similar_texts(docs, id_col, text_col, **(STAGE | how))
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col].cast("bigint") == gone["_gone"], "left_anti")
 

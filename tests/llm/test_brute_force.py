@@ -92,6 +92,16 @@ def test_pigeonhole_finds_every_link(spark, limit):
     assert got == components(len(f), np.argwhere(np.bitwise_count(f[:, None] ^ f[None, :]) <= limit).tolist())
 
 
+def test_stage_keeps_texts_that_are_no_copies(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(60):  # lone pairs of a Jaccard similarity of 0.7 to 0.78
+        base = rng.integers(1 << 40, size=300).tolist()
+        cut = int(rng.integers(37, 52))
+        rows += [(2 * k, " ".join(map(str, base))), (2 * k + 1, " ".join(map(str, base[cut:] + rng.integers(1 << 40, size=cut).tolist())))]
+    assert simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 120
+
+
 def test_bpe(results, docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
