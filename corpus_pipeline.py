@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL expresses none of the stages; tests/llm holds them against brute-force versions.
+#: SQL expresses none of the stages; tests/llm holds the near-duplicate stage against brute-force Jaccard.
 ORACLE_SQL = None
 
 

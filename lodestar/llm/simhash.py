@@ -332,16 +332,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of, ["f", "g"], "left").select(id_col, "f", "component_id")
 
 
-#: The stage of the pipeline: five-word shingles. Any of three fingerprints proposes, 192 bits thin out, and
+#: The stage of the pipeline: five-word shingles. Any of four fingerprints proposes, 256 bits thin out, and
 #: the shingle sets decide: a Jaccard similarity of at least `least` (a fraction). Texts of a similarity of 0.8
 #: differ in about 15 % of the bits, unrelated ones in half.
-STAGE = {"words": 5, "limit": 12, "more": 2, "overall": 36, "least": (4, 5)}
+STAGE = {"words": 5, "limit": 12, "more": 3, "overall": 64, "least": (4, 5)}
 
 #: Ids up to which the documents of proposed links are found by a broadcast.
 FEW = 1 << 20
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, limit: int = 12, more: int = 2, overall: int = 36, least: tuple[int, int] = (4, 5), seed: int = 42) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, limit: int = 12, more: int = 3, overall: int = 64, least: tuple[int, int] = (4, 5), seed: int = 42) -> DataFrame:
     """(id, component_id): the smallest id reachable by links of a shingle similarity of at least `least`.
 
     Nodes are distinct shingle sets, so copies are never paired; their fingerprints are of sets, not of

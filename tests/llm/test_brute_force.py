@@ -102,6 +102,31 @@ def test_stage_keeps_texts_that_are_no_copies(spark):
     assert simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 120
 
 
+def test_stage_links_by_shingle_similarity(spark):
+    """Lone pairs, chains and dense groups around 0.8, and repeats: the components are those of brute-force Jaccard."""
+    rng = np.random.default_rng(5)
+    word = lambda: "w" + str(rng.integers(1 << 40))
+    texts = []
+    for k in range(240):
+        base = [word() for _ in range(int(rng.integers(60, 400)))]
+        texts.append(base)
+        for _ in range([1, 1, 1, 5][k % 4]):
+            base = list(base if k % 8 != 7 else texts[-1])
+            n = len(base)
+            share = rng.uniform(0.1, 0.5)  # so much of the text is another: Jaccard 1 - share and less
+            cut = int(n * share / (1 + share))
+            base[n - cut :] = [word() for _ in range(cut)]
+            texts.append(base * (3 if k % 16 == 2 else 1))
+    texts += [["one", "two", "three"], ["ONE", "two", "three"], ["one", "two", "four"]]
+    sets = [{tuple(w.lower() for w in t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = components(len(texts), alike)
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs, **simhash.STAGE).collect()}
+    assert len(set(want)) < len(texts) and [got[i] for i in range(len(texts))] == want
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == sorted(set(want))
+
+
 def test_bpe(results, docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
