@@ -53,7 +53,8 @@ def _pages(d: Dialect) -> str:
 
 @template("SET02_intersection_coverage")
 def _coverage(d: Dialect) -> str:
-    return f"select b.item_id, x.doc_id, {d.common('bt', 'xt')} as shared from (select item_id, {d.terms('text')} as bt from benchmark) b join (select doc_id, {d.terms('substr(text, 1, 500)')} as xt from documents where doc_id % 10 = 0) x on {d.common('bt', 'xt')} >= 3"
+    return f"""with b as (select distinct item_id, item as term from {d.unnest('benchmark', 'item_id', d.long_tokens('text'), 'item')} t), x as (select distinct doc_id, item as term from {d.unnest('documents', 'doc_id', d.long_tokens('text'), 'item')} t)
+        select item_id, doc_id, count(*) as shared from b join x on b.term = x.term group by item_id, doc_id having count(*) >= 3"""
 
 
 @template("SET03_gram_jaccard")

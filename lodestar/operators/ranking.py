@@ -5,18 +5,18 @@ from __future__ import annotations
 from ..catalog import template
 from ..plans.dialect import Dialect
 from .aggregates import simple
+from .retrieval import bm25, ranked
 
 # fixed values of the context budget
 BUDGET_SHARE = 0.92
 
 simple("WIN01_rank", "select source, doc_id, cast(row_number() over (partition by source order by n_chars desc, doc_id) as int) as rank from documents")
-simple(
-    "WIN02_neighbour_expansion",
-    """with hit as (select doc_id, source, cast(n_chars as double) as score from documents where doc_id % 10 = 3),
-        near as (select doc_id, source, lag(doc_id) over (partition by source order by doc_id) as p, lead(doc_id) over (partition by source order by doc_id) as f from documents),
-        parts as (select doc_id, score, 0 as kind from hit union all select p, score * 0.8, 1 from hit join near using (doc_id) where p is not null union all select f, score * 0.8, 2 from hit join near using (doc_id) where f is not null)
-        select doc_id, round(score, 6) as score, case kind when 0 then 'hit' when 1 then 'preceding' else 'following' end as context_type from (select doc_id, score, kind, row_number() over (partition by doc_id order by kind, score desc) as n from parts) r where n = 1""",
-)
+@template("WIN02_neighbour_expansion")
+def _expansion(d: Dialect) -> str:
+    """Each query's BM25 hits in order, each followed by its neighbours in the source; what is seen first stays."""
+    return f"""with {bm25(d)}, {ranked('hit', 'bm')}, near as (select doc_id, lag(doc_id) over (partition by source order by doc_id) as p, lead(doc_id) over (partition by source order by doc_id) as f from documents),
+        parts as (select query_id, doc_id, score, rk, 0 as kind from hit union all select query_id, p, score * 0.8e0, rk, 1 from hit join near using (doc_id) where p is not null union all select query_id, f, score * 0.8e0, rk, 2 from hit join near using (doc_id) where f is not null)
+        select query_id, doc_id, round(score, 6) as score, case kind when 0 then 'hit' when 1 then 'preceding' else 'following' end as context_type from (select *, row_number() over (partition by query_id, doc_id order by rk, kind) as n from parts) r where n = 1"""
 
 
 @template("WIN03_token_budget")
@@ -45,7 +45,7 @@ simple(
     """select user_id, table_row, count(*) as cells, min(event_id) as first_cell from (select user_id, event_id, cast(sum(case when before is null or value - before > 20 then 1 else 0 end) over (partition by user_id order by value, event_id rows between unbounded preceding and current row) as bigint) as table_row from (select user_id, event_id, value, lag(value) over (partition by user_id order by value, event_id) as before from events) g) s group by user_id, table_row""",
 )
 simple("WIN12_chart_zones", "select event_id, case when y < 0.15 then 'title' when y > 0.85 then 'x_axis' when x < 0.15 then 'y_axis' else 'body' end as zone from (select event_id, (value - floor(value)) as x, cast(event_id % 100 as double) / 100 as y from events) p")
-simple("TOP03_sort_with_fallback", "select doc_id, cast(row_number() over (order by case when any_rerank then coalesce(rerank, 0) else score end desc, doc_id) as int) as rank from (select doc_id, score, rerank, max(case when rerank is not null then 1 else 0 end) over () = 1 as any_rerank from (select doc_id, cast(n_chars as double) as score, cast(case when doc_id % 2 = 0 then doc_id % 13 end as double) as rerank from documents where doc_id % 10 = 0) x) r")
+simple("TOP03_sort_with_fallback", "select doc_id, cast(row_number() over (order by case when any_rerank then coalesce(rerank, 0) else score end desc, doc_id) as int) as rank from (select doc_id, score, rerank, max(case when rerank is not null then 1 else 0 end) over () = 1 as any_rerank from (select doc_id, cast(n_chars as double) as score, cast(case when doc_id % 2 = 0 then doc_id % 13 end as double) as rerank from documents) x) r")
 simple("TOP04_hard_cap", "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 12")
 simple("TOP05_composite_sort", "select source, doc_id, cast(row_number() over (partition by source order by n_chars, doc_id) as int) as place from documents")
 simple("TOP06_query_cap", "select conv_id, turn from (select conv_id, turn, row_number() over (partition by conv_id order by turn) as n from conversations) r where n <= 5")

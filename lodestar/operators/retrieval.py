@@ -135,7 +135,7 @@ def _image(d: Dialect) -> str:
 def _similarities(d: Dialect) -> str:
     x, y = "a.embedding", "b.embedding"
     return f"""select a.vec_id as a, b.vec_id as b, round(dot, 6) as dot, round(dot / sqrt(aa * bb), 6) as cosine, round((dot / sqrt(aa * bb) + 1) / 2, 6) as unit_cosine
-        from (select a.vec_id as va, b.vec_id as vb, {d.dot(x, y)} as dot, {d.dot(x, x)} as aa, {d.dot(y, y)} as bb from (select * from embeddings where vec_id % 50 = 0) a join (select * from embeddings where vec_id % 25 = 0) b on a.label = b.label) p join embeddings a on a.vec_id = va join embeddings b on b.vec_id = vb"""
+        from (select a.vec_id as va, b.vec_id as vb, {d.dot(x, y)} as dot, {d.dot(x, x)} as aa, {d.dot(y, y)} as bb from embeddings a join embeddings b on a.label = b.label) p join embeddings a on a.vec_id = va join embeddings b on b.vec_id = vb"""
 
 
 @template("RET08_l2_normalize")

@@ -32,9 +32,13 @@ class Dialect:
         """Lower-cased word characters."""
         return self.all(f"lower({x})", r"[\p{L}\p{N}_]+")
 
+    def long_tokens(self, x: str) -> str:
+        """Lower-cased words of three characters or more."""
+        return self.all(f"lower({x})", r"[\p{L}\p{N}_]{3,}")
+
     def terms(self, x: str) -> str:
         """Distinct lower-cased words of three characters or more."""
-        return self.unique(self.all(f"lower({x})", r"[\p{L}\p{N}_]{3,}"))
+        return self.unique(self.long_tokens(x))
 
     def common(self, a: str, b: str) -> str:
         return self.size(self.both(a, b))

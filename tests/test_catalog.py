@@ -46,3 +46,16 @@ def test_entry_has_rows(spark):
 def test_operators_run_over_given_tables(spark):
     docs = spark.createDataFrame([(1, "a  b\r\n\r\n\r\n\r\nc-\nd", "en", "s", 10)], "doc_id long, text string, lang string, source string, n_chars long")
     assert catalog.apply("TXT01_normalize_whitespace", spark, {"documents": docs}).first().cleaned == "a b\n\ncd"
+
+
+def test_all_rows_are_asked(spark):
+    """Ids that no modulo filter would let through, and what stands late in a text."""
+    vectors = spark.createDataFrame([(k, [float(k), 1.0], 1) for k in (1, 2, 3)], "vec_id long, embedding array<float>, label int")
+    assert catalog.apply("RET07_similarities", spark, {"embeddings": vectors}).count() == 9
+    docs = spark.createDataFrame([(k, "filler " * 100 + f"alpha beta gamma word{k}", "en", "s", 10 * k) for k in (1, 2, 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    asked = spark.createDataFrame([(1, "alpha beta gamma word2")], "item_id long, text string")
+    found = catalog.apply("SET02_intersection_coverage", spark, {"documents": docs, "benchmark": asked}).collect()
+    assert {r.doc_id: r.shared for r in found} == {1: 3, 2: 4, 4: 3}
+    assert [r.doc_id for r in catalog.apply("TOP03_sort_with_fallback", spark, {"documents": docs}).orderBy("rank").collect()] == [4, 2, 1]
+    near = catalog.apply("WIN02_neighbour_expansion", spark, {"documents": docs, "benchmark": asked.selectExpr("item_id", "'word2' as text")}).collect()
+    assert {(r.query_id, r.doc_id, r.context_type) for r in near} == {(1, 2, "hit"), (1, 1, "preceding"), (1, 4, "following")}
