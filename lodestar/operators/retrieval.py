@@ -41,8 +41,8 @@ def ranked(name: str, source: str, k: int = DEPTH, positive: bool = True) -> str
 
 def sketch(d: Dialect) -> str:
     """dn as (query_id, doc_id, score): a second scorer that shares few errors with BM25, idf-weighted presence of
-    long terms in the first 400 characters; it stands in for the dense list where no model is at hand."""
-    return f"""head as (select distinct doc_id, item as term from {d.unnest('documents', 'doc_id', d.terms('substr(text, 1, 400)'), 'item')} t),
+    long terms in the whole text; it stands in for the dense list where no model is at hand."""
+    return f"""head as (select distinct doc_id, item as term from {d.unnest('documents', 'doc_id', d.long_tokens('text'), 'item')} t),
         dn as (select query_id, head.doc_id, round(sum(idf.idf), 6) as score from qt join head on qt.term = head.term join idf on idf.term = qt.term group by query_id, head.doc_id)"""
 
 

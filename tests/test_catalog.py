@@ -59,3 +59,12 @@ def test_all_rows_are_asked(spark):
     assert [r.doc_id for r in catalog.apply("TOP03_sort_with_fallback", spark, {"documents": docs}).orderBy("rank").collect()] == [4, 2, 1]
     near = catalog.apply("WIN02_neighbour_expansion", spark, {"documents": docs, "benchmark": asked.selectExpr("item_id", "'word2' as text")}).collect()
     assert {(r.query_id, r.doc_id, r.context_type) for r in near} == {(1, 2, "hit"), (1, 1, "preceding"), (1, 4, "following")}
+
+
+def test_dense_list_sees_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "filler " * 100 + "needle in the haystack", "en", "s", 722), (2, "filler of another kind", "en", "s", 22), (3, "plain", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    asked = spark.createDataFrame([(1, "needle in the haystack")], "item_id long, text string")
+    fused = catalog.apply("FUS01_reciprocal_rank_fusion", spark, {"documents": docs, "benchmark": asked, "part": docs}).collect()
+    assert {r.doc_id: r.dense_rank for r in fused} == {1: 1}
+    gold = catalog.apply("EVL06_retriever_comparison", spark, {"documents": docs, "benchmark": asked, "part": docs}).collect()
+    assert {r.retriever: r.recall_hit_10 for r in gold}["dense"] == 1
