@@ -26,7 +26,7 @@ def checked(d: Dialect) -> str:
     cites = d.unique(d.map(d.all("answer", r"\[([^\[\]]+?)\]", 1), "c", "trim(c)"))
     said = d.slice(d.filter(d.sentences("answer"), "s", "length(s) > 12"), "1", "8")
     return f"""ck as (select *, {d.size(d.filter('used', 'u', 'u = cite'))} as n_valid, {d.size('used')} as n_used, {d.size(d.filter('said', 's', d.matches('s', r'\[[^\[\]]+\]')))} as n_cited, {d.size('said')} as n_said
-        from (select doc_id, answer, cite, text, {d.terms('answer')} as a_t, {d.terms('substr(text, 1, 400)')} as c_t, {cites} as used, {said} as said from {answers(d)} a) p)"""
+        from (select doc_id, answer, cite, text, {d.terms('answer')} as a_t, {d.terms('text')} as c_t, {cites} as used, {said} as said from {answers(d)} a) p)"""
 
 
 COVERAGE = "cast(n_cited as double) / greatest(n_said, 1)"
@@ -69,7 +69,7 @@ template("VER09_reason")(
 def _generator(d: Dialect) -> str:
     long_terms = lambda x: d.unique(d.filter(d.words(f"lower({x})"), "w", "length(w) > 4"))
     hedges = d.count_of("' ' || lower(answer) || ' '", tuple(f" {h} " for h in GENERATOR_HEDGES))
-    return f"""with {checked(d)}, g as (select doc_id, answer, n_used, n_valid, {long_terms('answer')} as a, {long_terms('substr(text, 1, 400)')} as c from ck)
+    return f"""with {checked(d)}, g as (select doc_id, answer, n_used, n_valid, {long_terms('answer')} as a, {long_terms('text')} as c from ck)
         select doc_id, case when {d.any_of('lower(answer)', ABSTAIN_GENERATOR)} then 0.92e0 else round(greatest(0e0, least(1e0, 0.55e0 + case when n_used > 0 then least(0.25e0, n_valid * 0.05e0) - (n_used - n_valid) * 0.08e0 else -0.15e0 end
             + case when length(answer) > 150 and length(answer) < 1200 then 0.12e0 when length(answer) > 80 and length(answer) <= 150 then 0.05e0 when length(answer) < 50 then -0.12e0 else 0e0 end
             + case when {d.size('a')} > 0 and {d.size('c')} > 0 then least(0.15e0, cast({d.common('a', 'c')} as double) / {d.size('a')} * 0.4e0) else 0e0 end - case when {hedges} > 3 then 0.08e0 else 0e0 end)), 6) end as confidence from g"""
@@ -101,7 +101,7 @@ def _extractive(d: Dialect) -> str:
 
 @template("GEN04_small_model_confidence")
 def _small(d: Dialect) -> str:
-    a, c = d.unique(d.words("lower(answer)")), d.unique(d.words("lower(substr(text, 1, 400))"))
+    a, c = d.unique(d.words("lower(answer)")), d.unique(d.words("lower(text)"))
     return f"select doc_id, confidence, {level('confidence', 0.7, 0.4)} as level from (select doc_id, case when {d.any_of('lower(answer)', ('don' + chr(39) + 't have', 'insufficient'))} then 0.2e0 when {d.any_of('lower(answer)', ('unsure', 'not clear'))} then 0.4e0 else round(least(0.7e0 + cast({d.common('a', 'c')} as double) / greatest({d.size('a')}, 1) * 0.2e0, 0.95e0), 6) end as confidence from (select doc_id, answer, {a} as a, {c} as c from {answers(d)} x) y) z"
 
 

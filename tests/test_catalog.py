@@ -68,3 +68,9 @@ def test_dense_list_sees_whole_texts(spark):
     assert {r.doc_id: r.dense_rank for r in fused} == {1: 1}
     gold = catalog.apply("EVL06_retriever_comparison", spark, {"documents": docs, "benchmark": asked, "part": docs}).collect()
     assert {r.retriever: r.recall_hit_10 for r in gold}["dense"] == 1
+
+
+def test_evidence_is_the_whole_text(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"term{i:04d}" for i in range(60)), "en", "s", 539) for k in (4, 5, 6)], "doc_id long, text string, lang string, source string, n_chars long")
+    late = {r.doc_id: r.score for r in catalog.apply("VER01_overlap_score", spark, {"documents": docs}).collect()}
+    assert min(late.values()) == 1
