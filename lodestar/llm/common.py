@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -25,14 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a temporary folder is taken.
+    Only in local mode a temporary folder may stand in for it: on a cluster the executors would not share it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of whatever file system it lies in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there.
 
@@ -46,6 +56,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys that a salted join deals out, at most, and rows of a key that stay together in any case.
+HOT_KEYS = 50_000
+LEAST_HOT = 64
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, rows: int | None = None, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """left joined to right by keys, where some keys may stand in a large part of left's rows.
+
+    A key with over max(LEAST_HOT, rows / hot_keys) rows is cut into salts of that many rows, and right's
+    rows of it are repeated once a salt. So at most hot_keys keys are salted, which bounds the list of them
+    that is broadcast and the rows that are repeated. left should be cheap to read twice, or counts
+    given: (keys, _n) with the rows of each key, and rows, the number of left's rows.
+    """
+    rows = left.count() if rows is None else rows
+    limit = max(LEAST_HOT, -(-rows // hot_keys))
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
+    hot = F.broadcast(counts.where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
+    own = [c for c in left.columns if c not in keys] or keys
+    salt = F.coalesce(F.pmod(F.xxhash64(*own), F.col("_salts")), F.lit(0)).cast("int")
+    a = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    b = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
 def crc_bucket(column: str, modulus: int):
     """crc32 of the id as text, modulo modulus; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1)).cast("int")

@@ -1,8 +1,8 @@
 """Language identification by multilingual mixture inference.
 
 A document is a mixture of languages over hashed byte trigrams. Expectation-maximisation estimates
-the proportions; nested sets of the likeliest languages are compared by a penalised likelihood, so
-that a document gets the smallest set of languages that explains it.
+the proportions; nested sets of the likeliest languages, of any size, are compared by a penalised
+likelihood, so that a document gets the smallest set of languages that explains it.
 """
 
 from __future__ import annotations
@@ -90,38 +90,43 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return LanguageModel(tuple(lang for lang, _ in found), (counts / counts.sum(1, keepdims=True)).astype(np.float32))
 
 
-def infer_mixtures(counts: np.ndarray, p: np.ndarray, rounds: int = 12, most: int = 4, tail: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions by document (rows sum to 1 over the chosen set) and the chosen sets as booleans."""
-    c = counts.astype(np.float32)
+def infer_mixtures(counts: np.ndarray, p: np.ndarray, rounds: int = 12, still: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions by document (rows sum to 1 over the chosen set) and the chosen sets as booleans.
+
+    Expectation-maximisation over all languages ranks them; then the set of the likeliest grows by one
+    language at a time, with its own proportions, for as long as the likelihood less half the logarithm
+    of the document's length for each further language grows. Each document stops by itself, when no
+    proportion changes by `still` or more, so its row depends on no other document.
+    """
+    c, p = counts.astype(float), p.astype(float)
     n = np.maximum(c.sum(1, keepdims=True), 1)
     docs, langs = len(c), len(p)
 
-    def em(weights: np.ndarray, rounds: int) -> np.ndarray:
+    def em(weights: np.ndarray, of: np.ndarray, rounds: int) -> np.ndarray:
+        weights, going = weights.copy(), np.arange(len(of))
         for _ in range(rounds):
-            new = weights * ((c[live] / np.maximum(weights @ p, 1e-30)) @ p.T) / n[live]
-            done = np.abs(new - weights).max() < 2e-3
-            weights = new
-            if done:
+            w = weights[going]
+            new = w * ((c[of[going]] / np.maximum(w @ p, 1e-30)) @ p.T) / n[of[going]]
+            weights[going] = new
+            going = going[np.abs(new - w).max(1) >= still]
+            if not len(going):
                 break
         return weights
 
     live = np.arange(docs)
-    free = em(np.full((docs, langs), 1 / langs, np.float32), rounds)
-    order = np.argsort(-free, axis=1, kind="stable")
-    rank = np.argsort(order, axis=1, kind="stable")
-    best = np.where(rank == 0, np.float32(1), np.float32(0))
-    chosen = rank == 0
-    # a second language is weighed only where the free mixture gives it anything
-    live = np.flatnonzero((np.take_along_axis(free, order[:, 1:2], 1)[:, 0] > tail) if langs > 1 else np.zeros(docs, bool))
-    if len(live):
-        reached = np.full(docs, -np.inf)
-        for size in range(1, min(most, langs) + 1):
-            inside = rank[live] < size
-            w = em(np.where(inside, free[live] + 1e-3, 0).astype(np.float32) / np.where(inside, free[live] + 1e-3, 0).sum(1, keepdims=True).astype(np.float32), rounds // 2 if size > 1 else 0)
-            likelihood = (c[live] * np.log(np.maximum(w @ p, 1e-30))).sum(1) - 0.5 * (size - 1) * np.log(n[live, 0])
-            better = likelihood > reached[live]
-            reached[live[better]] = likelihood[better]
-            best[live[better]], chosen[live[better]] = w[better], inside[better]
+    free = em(np.full((docs, langs), 1 / langs), live, rounds)
+    rank = np.argsort(np.argsort(-free, axis=1, kind="stable"), axis=1, kind="stable")
+    best, chosen, reached = np.zeros((docs, langs)), np.zeros((docs, langs), bool), np.full(docs, -np.inf)
+    for size in range(1, langs + 1):
+        inside = rank[live] < size
+        w = np.where(inside, free[live] + 1e-3, 0)
+        w = em(w / w.sum(1, keepdims=True), live, rounds // 2 if size > 1 else 0)
+        likelihood = (c[live] * np.log(np.maximum(w @ p, 1e-30))).sum(1) - 0.5 * (size - 1) * np.log(n[live, 0])
+        better = likelihood > reached[live]
+        w, inside, live = w[better], inside[better], live[better]
+        reached[live], best[live], chosen[live] = likelihood[better], w, inside
+        if not len(live):
+            break
     return best / np.maximum(best.sum(1, keepdims=True), 1e-30), chosen
 
 

@@ -133,12 +133,15 @@ def mutate(bins: Bins, capacity: int, rng: np.random.Generator) -> Bins:
 
 
 def evolve(counts: dict[int, int], capacity: int, seed: int, migrants: list[Bins] = ()) -> Bins:
-    """The best packing found of counts[length] items of each length; stops at the lower bound."""
+    """The best packing found of counts[length] items of each length; stops at the lower bound.
+
+    Without migrants it starts from best fit; with them from the migrants alone.
+    """
     items = [x for x in sorted(counts, reverse=True) for _ in range(counts[x])]
     if not items:
         return []
     bound, rng = -(-sum(items) // capacity), np.random.default_rng(seed)
-    people = [*migrants, best_fit(items, capacity)]
+    people = list(migrants) or [best_fit(items, capacity)]
     while len(people) < POPULATION and -max(fitness(p, capacity) for p in people)[0] > bound:
         noise = np.asarray(items) * (1 + rng.normal(0, 0.02 * len(people), len(items)))
         people.append(best_fit([items[i] for i in np.argsort(-noise, kind="stable")], capacity))
@@ -165,11 +168,12 @@ def _unpacked(blob: bytes) -> Bins:
     return out
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32): every document's ids and end_id, cut only where over capacity."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32[, ids]): every document's ids and end_id, cut only where over capacity."""
     with open(tokenizer_path, "rb") as f:
         content = f.read()
     shared = docs.sparkSession.sparkContext.broadcast(content)
+    schema = f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
@@ -179,7 +183,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             for first, group in text_groups(batch.column(1).to_pylist()):
                 words = [vocab.words(t) for t in group]
                 get = words_of.entries(words)
-                at, piece, start, length, crc = [], [], [], [], []
+                at, piece, start, length, crc, parts = [], [], [], [], [], []
                 for i, w in enumerate(words):
                     ids = b"".join(map(get, w)) + end
                     for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
@@ -189,44 +193,71 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
                         start.append(lo // 4)
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
-                yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[id_col, "piece", "start", "length", "ids_crc32"])
+                        parts += [part] * with_ids
+                columns = [batch.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32))))
+                yield pa.record_batch(columns, names=[id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
 
 
 def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFrame:
     """pieces with sequence_id and offset: their places in sequences of at most capacity.
 
     Every row is an item of its own, repeated rows and null ids included. Lengths must be from 1 to
-    capacity: others raise an error. An empty table stays empty. Columns named _shard, _n or _k are not allowed.
+    capacity: others raise an error. An empty table stays empty. Columns of pieces that are called
+    sequence_id or offset are replaced; others stay, whatever their names. Each shard is packed by best
+    fit first; only shards that miss the lower bound are evolved, each island in a task of its own.
     """
-    pieces = cut(pieces.withColumn("_n", F.monotonically_increasing_id()))
-    n = pieces.count()
-    shards = max(1, -(-n // SHARD_PIECES))
-    sharded = pieces.withColumn("_shard", F.pmod(F.xxhash64("_n"), F.lit(shards)))
-    sizes = cut(sharded.groupBy("_shard", F.col(length_col).alias("length")).agg(F.count(F.lit(1)).alias("count")))
+    spark, taken = pieces.sparkSession, {"sequence_id", "offset", "_shard", "length"}
+    pieces = pieces.drop(*(c for c in pieces.columns if c.lower() in ("sequence_id", "offset")))
+    number = "_n"
+    while number in taken | {c.lower() for c in pieces.columns}:
+        number += "_"
+    pieces = cut(pieces.withColumn(number, F.monotonically_increasing_id()))
+    shards = max(1, -(-pieces.count() // SHARD_PIECES))
+    items = pieces.select(F.pmod(F.xxhash64(number), F.lit(shards)).alias("_shard"), F.col(number).alias("_n"), F.col(length_col).cast("bigint").alias("length"))
+    sizes = cut(items.groupBy("_shard", "length").agg(F.count(F.lit(1)).alias("count")))
+    schema = "_shard bigint, island int, fewer bigint, fuller double, bins binary"
+
+    def solution(shard: int, island: int, found: Bins) -> pa.Table:
+        score = fitness(found, capacity)
+        return pa.table({"_shard": pa.array([shard], pa.int64()), "island": pa.array([island], pa.int32()), "fewer": pa.array([score[0]], pa.int64()), "fuller": pa.array([float(score[1])]), "bins": pa.array([_packed(found)], pa.binary())})
+
+    def histogram_of(rows: pa.Table) -> dict[int, int]:
+        return dict(zip(rows.column("length").to_pylist(), rows.column("count").to_pylist(), strict=True))
+
+    def fit(key, histogram):
+        counts = histogram_of(histogram)
+        if None in counts or min(counts) < 1 or max(counts) > capacity:
+            raise ValueError(f"lengths must be from 1 to {capacity}")
+        return solution(key[0].as_py(), 0, best_fit([x for x in sorted(counts, reverse=True) for _ in range(counts[x])], capacity))
+
+    # shards are few and their tables small: without a number of partitions they would share tasks
+    first = cut(sizes.repartition(2 * shards, "_shard").groupBy("_shard").applyInArrow(fit, schema))
+    bound = sizes.groupBy("_shard").agg(F.ceil(F.sum(F.col("length") * F.col("count")) / capacity).alias("bound"))
+    missed = cut(first.join(bound, "_shard").where(-F.col("fewer") > F.col("bound")).select("_shard"))
+    n_missed, solutions = missed.count(), first
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
 
-    def island(round_: int):
+    def evolved(round_: int):
         def run(key, histogram, migrants):
-            counts = dict(zip(histogram.column("length").to_pylist(), histogram.column("count").to_pylist(), strict=True))
-            if min(counts) < 1 or max(counts) > capacity:
-                raise ValueError(f"lengths must be from 1 to {capacity}")
-            shard, number = key[0].as_py(), key[1].as_py()
-            found = evolve(counts, capacity, hash((shard, number, round_)) & 0x7FFFFFFF, [_unpacked(b) for b in migrants.column("bins").to_pylist()])
-            score = fitness(found, capacity)
-            return pa.table({"_shard": pa.array([shard], pa.int64()), "island": pa.array([number], pa.int32()), "fewer": pa.array([score[0]], pa.int64()), "fuller": pa.array([float(score[1])]), "bins": pa.array([_packed(found)], pa.binary())})
+            shard, island = key[0].as_py(), key[1].as_py()
+            return solution(shard, island, evolve(histogram_of(histogram), capacity, hash((shard, island, round_)) & 0x7FFFFFFF, [_unpacked(b) for b in migrants.column("bins").to_pylist()]))
 
         return run
 
-    schema = "_shard bigint, island int, fewer bigint, fuller double, bins binary"
-    spread = sizes.select("_shard", "length", "count", islands)
-    elites = pieces.sparkSession.createDataFrame([], schema)
-    for round_ in range(ROUNDS):
-        # the best of an island migrates to the next one, and stays on its own
-        after = elites.withColumn("island", F.explode(F.array("island", ((F.col("island") + 1) % ISLANDS).cast("int"))))
-        elites = cut(spread.groupBy("_shard", "island").cogroup(after.groupBy("_shard", "island")).applyInArrow(island(round_), schema))
-    best = elites.withColumn("_k", F.row_number().over(Window.partitionBy("_shard").orderBy(F.desc("fewer"), F.desc("fuller"), "island"))).where("_k = 1").select("_shard", "bins")
+    if n_missed:
+        tasks = 2 * n_missed * ISLANDS
+        spread = sizes.join(missed, "_shard").select("_shard", "length", "count", islands).repartition(tasks, "_shard", "island")
+        after = first.join(missed, "_shard").select("_shard", islands, "bins")
+        for round_ in range(ROUNDS):
+            elites = cut(spread.groupBy("_shard", "island").cogroup(after.repartition(tasks, "_shard", "island").groupBy("_shard", "island")).applyInArrow(evolved(round_), schema))
+            # the best of an island migrates to the next one, and stays on its own
+            after = elites.select("_shard", F.explode(F.array("island", ((F.col("island") + 1) % ISLANDS).cast("int"))).alias("island"), "bins")
+        solutions = first.join(missed, "_shard", "left_anti").unionByName(elites)
+    best = solutions.withColumn("_k", F.row_number().over(Window.partitionBy("_shard").orderBy(F.desc("fewer"), F.desc("fuller"), "island"))).where("_k = 1").select("_shard", "bins")
 
     def place(key, rows, solution):
         if not len(rows):
@@ -242,14 +273,16 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
         found = [slots[x].pop() for x in lengths]
         return pa.table({"_n": pa.array(ns, pa.int64()), "sequence_id": pa.array([base + s for s, _ in found], pa.int64()), "offset": pa.array([o for _, o in found], pa.int64())})
 
-    items = sharded.select("_shard", "_n", F.col(length_col).alias("length"))
-    placed = items.groupBy("_shard").cogroup(best.groupBy("_shard")).applyInArrow(place, "_n bigint, sequence_id bigint, offset bigint")
-    return pieces.join(placed, "_n").drop("_n")
+    placed = items.repartition(2 * shards, "_shard").groupBy("_shard").cogroup(best.repartition(2 * shards, "_shard").groupBy("_shard")).applyInArrow(place, "_n bigint, sequence_id bigint, offset bigint")
+    return pieces.join(placed.withColumnRenamed("_n", number), number).drop(number)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece of a document and its place; a null text counts as empty (end_id alone)."""
-    return pack(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row for each piece of a document and its place; a null text counts as empty (end_id alone).
+
+    Repeated ids and null ids are documents of their own; other columns of docs are left out.
+    """
+    return pack(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

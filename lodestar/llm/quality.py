@@ -222,7 +222,8 @@ def _lasso(matrix: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 600)
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: tuple[int, int] = (5, 0), sample_rows: int = 20_000) -> RuleModel:
     """Fit on at most sample_rows labelled rows (those of smallest hashed id) outside the held-out part.
 
-    held_out is (modulus, remainder) of crc32(id as text). Null ids and null labels teach nothing.
+    held_out is (modulus, remainder) of crc32(id as text). Null ids and null labels teach nothing; an id
+    that repeats teaches once, by its smallest label and statistics.
     """
     chosen = (
         labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("double").alias("_y"))
@@ -240,8 +241,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 out = statistics(data, offsets)
                 yield pa.record_batch([batch.column(0).slice(first, len(out)), batch.column(1).slice(first, len(out)), *(pa.array(out[:, k]) for k in range(out.shape[1]))], names=["_id", "_y", *STATISTICS])
 
-    rows = picked.mapInArrow(run, schema).toPandas().sort_values("_id", kind="stable")
-    rows = rows.head(sample_rows)  # an id that stands in docs more than once teaches more than once
+    # one row an id, so the driver gets no more than sample_rows, however often an id stands in docs or labels
+    least = picked.mapInArrow(run, schema).groupBy("_id").agg(F.min(F.struct("_y", *STATISTICS)).alias("least"))
+    rows = least.select("_id", "least.*").toPandas().sort_values("_id", kind="stable")
     return fit_rules(rows[list(STATISTICS)].to_numpy(float), (rows["_y"].to_numpy() > 0.5).astype(float))
 
 

@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, mix, partitions, table, text_buffers, word_spans
+from .common import SPACE, cut, mix, partitions, salted_join, table, text_buffers, word_spans
 from .components import components
 
 BITS = 64
-#: Fingerprints of a bucket that are compared with each other in one task; larger buckets are dealt out.
+#: Fingerprints of a bucket that are compared with each other in one task, and with how many others that
+#: probe it; larger buckets are dealt out.
 BUCKET = 4096
+PROBING = 1 << 16
 ROW_PRICE = 2000
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,15 +87,15 @@ def majorities(h: np.ndarray, n_shingles: np.ndarray, more: int = 0) -> np.ndarr
 
 
 def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 4, seed: int = 42) -> DataFrame:
-    """(id, f, g): the fingerprint as a signed long and an empty g, for each row of docs."""
+    """(id, f): the fingerprint as a signed long, for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in text_buffers(batch.column(1)):
                 f = fingerprints(data, offsets, words, seed)
-                yield pa.record_batch([batch.column(0).slice(first, len(f)), pa.array(f[:, 0].copy().view(np.int64)), pa.array([b""] * len(f), pa.binary())], names=[id_col, "f", "g"])
+                yield pa.record_batch([batch.column(0).slice(first, len(f)), pa.array(f[:, 0].copy().view(np.int64))], names=[id_col, "f"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} bigint, f bigint, g binary")
+    return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} bigint, f bigint")
 
 
 def plan_partitions(sample: np.ndarray, n: int, limit: int, parts: int) -> list[tuple[int, int]]:
@@ -231,6 +233,11 @@ def _matrix(f: np.ndarray, g: list[bytes]) -> np.ndarray:
     return np.column_stack([f.view(np.uint64), np.frombuffer(b"".join(g), np.uint64).reshape(len(f), -1)]) if len(f) else np.zeros((0, 1), np.uint64)
 
 
+def _part(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Part and slice of each row as one number."""
+    return t.column("part").to_numpy().astype(np.int64) << 32 | t.column("slice").to_numpy().astype(np.int64)
+
+
 def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int = 1, apart: bool = False, sample_rows: int = 4096) -> DataFrame:
     """(u, v): links that join what links of at most limit differing bits join.
 
@@ -239,7 +246,7 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
     has the same components. With columns > 1 the first of g's fingerprints propose pairs as f does. With
     apart the last column of g is a group, and all pairs of different groups are listed. The plan is fitted on sample_rows fingerprints and the exact count. A
     bucket's plain patterns are compared with all that probe it; where there are more than BUCKET of
-    them, they are split and each part is compared in a group of its own.
+    the former or PROBING of the latter, both are cut, and each part meets each slice in a group of its own.
     """
     spark = points.sparkSession
     n = points.count()
@@ -268,17 +275,25 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
         return run
 
     schema = "key bigint, f bigint, g binary, node bigint, plain boolean"
-    plain = points.select("f", "g", "node").mapInArrow(deal(flipped=False), schema)
-    hot = plain.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BUCKET).select("key", F.ceil(F.col("size") / BUCKET).cast("int").alias("parts"))
-    keyed = points.select("f", "g", "node").mapInArrow(deal(flipped=True), schema).join(hot, "key", "left")
-    # part -1: not split; a plain pattern of a split bucket is compared in its own part, the others meet them all
-    own = F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")
-    dealt = keyed.withColumn("own", own).withColumn("part", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("parts") - 1), F.array(F.lit(-1)))))
-    dealt = dealt.select("key", "part", "f", "g", "node", (F.col("plain") & (F.col("part") == F.coalesce("own", F.lit(-1)))).alias("plain"))
+    every = points.select("f", "g", "node").mapInArrow(deal(flipped=True), schema)
+    sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("plain").cast("long")).alias("plains"))
+    hot = cut(sizes.where((F.col("plains") > BUCKET) | (F.col("size") > PROBING) & (F.col("plains") > 0)).select("key", F.ceil(F.col("plains") / BUCKET).cast("int").alias("parts"), F.ceil(F.col("size") / PROBING).cast("int").alias("slices")))
+    # part -1: not split. A plain pattern of a split bucket is compared in its own part with every slice of those
+    # that probe the bucket, and is in one of these slices itself for the other parts
+    dealt = every.select("*", F.lit(-1).alias("part"), F.lit(0).alias("slice"))
+    if not hot.isEmpty():
+        keyed = every.join(F.broadcast(hot) if hot.count() <= FEW else hot, "key", "left")
+        own, at = F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("f", "node"), F.col("slices")).cast("int")
+        slices = lambda part: F.when(F.col("plain") & (part == F.col("own")), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array("at"))
+        groups = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: F.transform(slices(part), lambda k: F.struct(part.alias("part"), k.alias("slice")))))
+        one = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).alias("slice")))
+        dealt = keyed.withColumn("own", own).withColumn("at", at).withColumn("to", F.explode(F.when(F.col("parts").isNull(), one).otherwise(groups))).select("key", "f", "g", "node", "plain", "own", "to.part", "to.slice")
+        dealt = dealt.withColumn("plain", F.col("plain") & ((F.col("part") == -1) | (F.col("part") == F.col("own")))).drop("own")
+    dealt = dealt.select("key", "part", "slice", "f", "g", "node", "plain")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, part = t.column("key").to_numpy(), t.column("part").to_numpy()
+            key, part = t.column("key").to_numpy(), _part(t)
             f, node, is_plain = t.column("f").to_numpy().view(np.uint64), t.column("node").to_numpy(), t.column("plain").to_numpy(zero_copy_only=False)
             raw = b"".join(t.column("g").to_pylist())
             g = np.frombuffer(raw, np.uint64).reshape(len(f), -1)
@@ -298,9 +313,9 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
             if not len(batch):
                 continue
             # all but the last group of what has come can be compared
-            key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            key, part = batch.column(0).to_numpy(), _part(batch)
             last = int(np.flatnonzero((key != key[-1]) | (part != part[-1]))[-1]) + 1 if (key[0], part[0]) != (key[-1], part[-1]) else 0
-            same = bool(wait) and (wait[-1].column(0)[0].as_py(), wait[-1].column(1)[0].as_py()) == (key[-1], part[-1])
+            same = bool(wait) and (wait[-1].column(0)[0].as_py(), _part(wait[-1])[0]) == (key[-1], part[-1])
             if last or not same:
                 whole = [*wait, batch.slice(0, last)]
                 whole = [w for w in whole if len(w)]
@@ -311,7 +326,7 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
         if wait:
             yield from links(pa.Table.from_batches(wait).combine_chunks())
 
-    return dealt.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "u bigint, v bigint")
+    return dealt.repartition(partitions(spark), "key", "part", "slice").sortWithinPartitions("key", "part", "slice").mapInArrow(compare, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, seed: int = 42) -> DataFrame:
@@ -324,12 +339,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = cut(with_fingerprints(docs, id_col, text_col, words, seed))
     # nodes are fingerprints' smallest ids; an id with several texts links their fingerprints
-    classes = cut(marked.groupBy("f", "g").agg(F.min(id_col).alias("node")).where(F.col("node").isNotNull()))
-    many = marked.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count_distinct("f", "g").alias("n")).where(F.col("n") > 1).select(id_col)
-    same = marked.join(many, id_col).join(classes, ["f", "g"]).select(F.col(id_col).alias("u"), F.col("node").alias("v"))
-    found = components(hamming_links(classes, limit).unionByName(same))
-    of = classes.join(found, "node", "left").select("f", "g", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(of, ["f", "g"], "left").select(id_col, "f", "component_id")
+    classes = cut(marked.groupBy("f").agg(F.min(id_col).alias("node"), F.count(F.lit(1)).alias("_n")).where(F.col("node").isNotNull()))
+    several = marked.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("f").alias("least"), F.max("f").alias("most"), F.count(F.lit(1)).alias("_n")).where(F.col("least") != F.col("most"))
+    of = lambda x, name: classes.select(F.col("f").alias(x), F.col("node").alias(name))
+    ends = cut(salted_join(marked, several.select(id_col, "least"), [id_col], counts=several.select(id_col, "_n")).select("f", "least").distinct())
+    same = ends.join(of("f", "u"), "f").join(of("least", "v"), "least").select("u", "v")
+    found = components(hamming_links(classes.select("f", F.lit(b"").alias("g"), "node"), limit).unionByName(same))
+    to = classes.join(found, "node", "left").select("f", F.coalesce("component", "node").alias("component_id"))
+    return salted_join(marked, to, ["f"], "left", counts=classes.select("f", "_n")).select(id_col, "f", "component_id")
 
 
 #: The stage of the pipeline: five-word shingles. Any of four fingerprints proposes, 256 bits thin out, and
@@ -370,40 +387,47 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.record_batch([pa.array(node.view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     marked = cut(texts.mapInArrow(mark, "id bigint, node bigint, n bigint, f bigint, g binary"))
-    classes = cut(marked.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("f").alias("f"), F.first("g").alias("g")).where(F.col("id").isNotNull()))
+    classes = cut(marked.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("f").alias("f"), F.first("g").alias("g")).where(F.col("id").isNotNull()))
+
+    of = lambda df, x: df.groupBy(x).agg(F.count(F.lit(1)).alias("_n"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(u, v, ok) of distinct pairs: whether the sets are alike."""
         a, b = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "uv")
-        sized = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(a, "u").join(b, "v")
+        pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        sized = salted_join(salted_join(pairs, a, ["u"], rows=(n := pairs.count()), counts=of(pairs, "u")), b, ["v"], rows=n, counts=of(pairs, "v"))
         sized = cut(sized.withColumn("may", F.least("nu", "nv") * least[1] >= F.greatest("nu", "nv") * least[0]))
         may = sized.where("may")
         ids = cut(may.select(F.col("u").alias("node")).unionByName(may.select(F.col("v").alias("node"))).distinct().join(classes, "node").select("id").distinct())
         ids = F.broadcast(ids) if ids.count() <= FEW else ids
         sets = texts.join(ids, "id", "left_semi").mapInArrow(listed, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
-        both = may.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+        # a text of very many links is dealt out with them
+        one = salted_join(may.select("u", "v"), sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), ["u"], rows=n, counts=of(may, "u"))
+        both = salted_join(one, sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), ["v"], rows=n, counts=of(may, "v"))
         shared = F.size(F.array_intersect("su", "sv"))
         alike = shared * least[1] >= (F.size("su") + F.size("sv") - shared) * least[0]
         return cut(both.select("u", "v", alike.alias("ok")).unionByName(sized.where("not may").select("u", "v", F.lit(False).alias("ok"))))
 
-    many = marked.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where(F.col("u") != F.col("last")).select("id", "u")
-    same = marked.join(many, "id").select("u", F.col("node").alias("v"))  # an id with several texts links their sets
+    many = marked.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("last"), F.count(F.lit(1)).alias("_n")).where(F.col("u") != F.col("last"))
+    same = salted_join(marked, many.select("id", "u"), ["id"], counts=many.select("id", "_n")).select("u", F.col("node").alias("v"))  # an id with several texts links their sets
     checked = verified(hamming_links(classes.select("f", "g", "node"), limit, overall, 1 + more))
     links = checked.where("ok").select("u", "v").unionByName(same)
     found = cut(components(links))
     group = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    failed = checked.where("not ok").join(group("u"), "u", "left").join(group("v"), "v", "left").select(F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).where("cu <> cv")
+    wrong = cut(checked.where("not ok"))
+    failed = salted_join(salted_join(wrong, group("u"), ["u"], "left"), group("v"), ["v"], "left", counts=of(wrong, "v"), rows=wrong.count()).select(F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).where("cu <> cv")
     open_ = cut(failed.select(F.col("cu").alias("at")).unionByName(failed.select(F.col("cv").alias("at"))).distinct())
-    if open_.count():
-        grouped = classes.join(found, "node", "left").withColumn("at", F.coalesce("component", "node")).join(open_, "at")
+    if n_open := open_.count():
+        at = classes.join(found, "node", "left").withColumn("at", F.coalesce("component", "node"))
+        grouped = at.join(F.broadcast(open_), "at") if n_open <= FEW else salted_join(cut(at), open_, ["at"])
         eight = F.unhex(F.lpad(F.hex("at"), 16, "0"))
         points = cut(grouped.select("f", F.concat("g", eight).alias("g"), "node"))
         pairs = hamming_links(points, limit, overall, 1 + more, apart=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         further = verified(pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti"))
         found = cut(components(links.unionByName(further.where("ok").select("u", "v"))))
-    at = classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("at"))
-    of = at.join(at.groupBy("at").agg(F.min("id").alias("component_id")), "at").select("node", "component_id")
-    return marked.join(of, "node", "left").select(F.col("id").alias(id_col), "component_id")
+    at = cut(classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("at")))
+    to = salted_join(at, at.groupBy("at").agg(F.min("id").alias("component_id")), ["at"]).select("node", "component_id")
+    return salted_join(marked, to, ["node"], "left", counts=classes.select("node", "_n")).select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
