@@ -10,32 +10,47 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
-from .windows import NO_ID, Block, Windows, blocks, repeated_windows
+from .common import cut, salted_join, table
+from .windows import NO_ID, Opened, Runs, Windows, blocks, open_block, repeated_windows
 
 
-def intervals(texts: list[bytes], least: int) -> list[tuple[int, list[int]]]:
-    """(common prefix, members) of every interval of texts' suffix order with a prefix of at least `least`.
+def stack_scan(common: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """(prefix, first, end) of every interval of an ordered list whose neighbours share common[i] symbols.
 
-    Equal texts lie side by side and meet with their whole length as the common prefix.
+    common[i] belongs to entries i - 1 and i; common[0] is not used. Only intervals of `least` and more.
     """
-    order = sorted(range(len(texts)), key=texts.__getitem__)
-    out, stack = [], []  # stack: [common prefix, first position]
-    for i in range(1, len(order) + 1):
-        common = _common(texts[order[i - 1]], texts[order[i]]) if i < len(order) else -1
+    stack: list[list[int]] = []  # [prefix, first entry]
+    for i in range(1, len(common) + 1):
+        shared = common[i] if i < len(common) else -1
         first = i - 1
-        while stack and stack[-1][0] > common:
+        while stack and stack[-1][0] > shared:
             prefix, first = stack.pop()
             if prefix >= least:
-                out.append((prefix, order[first:i]))
-        if common >= 0 and (not stack or stack[-1][0] < common):
-            stack.append([common, first])
-    return out
+                yield prefix, first, i
+        if shared >= 0 and (not stack or stack[-1][0] < shared):
+            stack.append([shared, first])
+
+
+def _ordered(texts: list[bytes]) -> tuple[list[int], list[int]]:
+    """Order of the texts and the common prefixes of neighbours in it."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    return order, [0, *(_common(texts[a], texts[b]) for a, b in zip(order, order[1:], strict=False))]
+
+
+def intervals(texts: list[bytes], least: int) -> list[tuple[int, list[int]]]:
+    """(common prefix, members) of every interval of texts' suffix order with a prefix of at least `least`.
+
+    Equal texts lie side by side and meet with their whole length as the common prefix.
+    """
+    order, common = _ordered(texts)
+    return [(prefix, order[first:end]) for prefix, first, end in stack_scan(common, least)]
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -45,86 +60,153 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def maximal_repeats(strings: list[tuple[int, bytes]], length: int) -> list[tuple[int, int, list[int]]]:
-    """(left, right, members): members agree on `left` symbols before their anchor and `right` from it on.
+    """(left, right, members): all members that agree on `left` symbols before their anchor and `right` from it on.
 
-    strings are (anchor's place, content). Every pair of strings that share at least `length` bytes
-    around their anchors is in an entry with exactly the left and right extent which they share.
+    strings are (anchor's place, content). An entry is maximal: its members differ (or end) at once to
+    the right, and at once to the left. Every pair of strings that share at least `length` symbols around
+    their anchors is in an entry with exactly the left and right extent which they share. Left contexts
+    are put in order once; an interval's members are taken in that order, and the prefixes of neighbours
+    are range minima, so an interval costs its size and no comparison of strings.
     """
     out = []
     most = max(at for at, _ in strings)
-    rights = [text[at:] for at, text in strings]
-    lefts = [text[:at][::-1] for at, text in strings]
-    for right, members in intervals(rights, max(1, length - most)):
-        need = length - right
-        if need <= 0:
-            # the right extent is enough: those that differ at once to the left agree on it too
-            out.append((0, right, members))
-        for left, inner in intervals([lefts[i] for i in members], max(1, need)):
-            out.append((left, right, [members[i] for i in inner]))
+    order, common = _ordered([text[at:] for at, text in strings])
+    by_left, left_common = _ordered([text[:at][::-1] for at, text in strings])
+    rank = np.empty(len(strings), np.int64)
+    rank[by_left] = np.arange(len(strings))
+    minima = [np.asarray(left_common, np.int64)]  # of 1, 2, 4 ... neighbours
+    while 2 ** len(minima) < len(strings):
+        half = 2 ** (len(minima) - 1)
+        minima.append(np.minimum(minima[-1][:-half], minima[-1][half:]))
+    suffixes, shared = np.asarray(order, np.int64), np.asarray(common, np.int64)
+    for right, first, end in stack_scan(common, max(1, length - most)):
+        members = suffixes[first:end]
+        child = np.concatenate([[0], np.cumsum(shared[first + 1 : end] == right)])  # those of one child go on alike
+        place = np.argsort(rank[members])
+        members, child = members[place], child[place]
+        at = rank[members]
+        level = np.frexp((at[1:] - at[:-1]).astype(float))[1] - 1
+        lefts = [0, *(min(int(minima[k][i + 1]), int(minima[k][j - 2**k + 1])) for i, j, k in zip(at[:-1].tolist(), at[1:].tolist(), level.tolist(), strict=True))]
+        for left, lo, hi in stack_scan(lefts, max(0, length - right)):
+            if (child[lo:hi] != child[lo]).any():  # else they agree on more to the right, and are an entry there
+                out.append((left, right, members[lo:hi].tolist()))
     return out
 
 
-def compare(classes: list[tuple[tuple[int, int], int, bytes]], length: int) -> list[list[tuple[int, int]]]:
-    """For each class the windows (first, last place) that also stand in a class of smaller order."""
-    spans: list[list[tuple[int, int]]] = [[] for _ in classes]
+def compare(classes: list[tuple[tuple[int, int], int, bytes]], length: int) -> list[list[tuple[int, int, int, int]]]:
+    """For each class the windows (first, last place, other class, place there) that also stand in a class of smaller order."""
+    spans: list[list[tuple[int, int, int, int]]] = [[] for _ in classes]
     for left, right, members in maximal_repeats([(at, text) for _, at, text in classes], length):
-        earliest = min(classes[i][0] for i in members)
+        earliest = min(members, key=lambda i: classes[i][0])
         for i in members:
             order, at, text = classes[i]
-            if order > earliest:
+            if order > classes[earliest][0]:
                 first, last = max(0, at - left), min(len(text) - length, at + right - length)
                 if first <= last:
-                    spans[i].append((first, last))
+                    spans[i].append((first, last, earliest, classes[earliest][1] - at + first))
     return spans
 
 
 class _Finish:
     """Removes the bytes and reports on each document."""
 
-    SCHEMA = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, kept binary"
+    SCHEMA = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<array<bigint>>, sources array<array<bigint>>, kept binary"
 
-    def __init__(self, full: bool) -> None:
-        self.full = full
+    def __init__(self, full: bool, length: int) -> None:
+        self.full, self.length = full, length
         self.schema = self.SCHEMA if full else self.SCHEMA.partition(", spans")[0]
-        self.empty = self._table([], [], [], [], [], [], [])
+        self.empty = self._table([], [], [], [], [], [], [], [])
 
-    def _table(self, ids, n, removed, runs, sha, spans, kept) -> pa.Table:
+    def _table(self, ids, n, removed, runs, sha, spans, sources, kept) -> pa.Table:
         out = {"id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         if self.full:
-            out |= {"spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "kept": pa.array(kept, pa.binary())}
+            lists = pa.list_(pa.list_(pa.int64()))
+            out |= {"spans": pa.array(spans, lists), "sources": pa.array(sources, lists), "kept": pa.array(kept, pa.binary())}
         return pa.table(out)
 
-    def __call__(self, b: Block, offsets: np.ndarray, _, gone: np.ndarray) -> pa.Table:
-        bounds = offsets.tolist()
+    def __call__(self, b: Opened, gone: np.ndarray, found: Runs) -> pa.Table:
+        bounds, data = b.offsets.tolist(), b.block.data
         padded = np.concatenate([[0], np.cumsum(gone)])
-        removed = padded[offsets[1:]] - padded[offsets[:-1]]
+        removed = padded[b.offsets[1:]] - padded[b.offsets[:-1]]
         sha, runs, spans, kept = [], [], [], []
         for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
             mask = gone[lo:hi]
             if removed[k]:
                 edge = np.flatnonzero(np.diff(mask, prepend=False, append=False)).reshape(-1, 2)
-                left = b.data[lo:hi][~mask].tobytes()
+                left = data[lo:hi][~mask].tobytes()
             else:
-                edge, left = np.zeros((0, 2), np.int64), b.data[lo:hi].tobytes()
+                edge, left = np.zeros((0, 2), np.int64), data[lo:hi].tobytes()
             runs.append(len(edge))
             sha.append(hashlib.sha256(left).hexdigest())
             if self.full:
                 spans.append(edge.tolist())
                 kept.append(left)
-        return self._table([None if i == NO_ID else i for i in b.ids.tolist()], np.diff(offsets), removed, runs, sha, spans, kept)
+        return self._table([None if i == NO_ID else i for i in b.block.ids.tolist()], np.diff(b.offsets), removed, runs, sha, spans, by_row(b, found, self.length) if self.full else [], kept)
+
+
+def by_row(b: Opened, runs: Runs, length: int) -> list[list[list[int]]]:
+    """For each row of a block its verified runs as (first symbol, end, source's block, row there, place there)."""
+    out: list[list[list[int]]] = [[] for _ in b.block.ids]
+    own = np.searchsorted(b.offsets, runs[0], "right") - 1
+    for row, first, last, *source in zip(own.tolist(), *(x.tolist() for x in runs), strict=True):
+        out[row].append([first - int(b.offsets[row]), last - int(b.offsets[row]) + length, *source])
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, full: bool = True) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept]) for each row of docs.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, spans, sources, kept]) for each row of docs.
 
     Texts are taken as UTF-8 bytes, null as empty; matches never cross documents. A byte goes if a
     string of `length` bytes over it also starts earlier: in a smaller id, or earlier in the same
-    one. Rows of one id are the same document twice: what they hold at equal places is one
-    occurrence. Rows without an id come last and count as one document. Other columns do not matter.
+    one, and the bytes themselves have been compared. Rows of one id are the same document twice: what
+    they hold at equal places is one occurrence. Rows without an id come last and count as one document.
+    Other columns do not matter. sources are the removed runs as (first byte, end, block, row, place) of
+    their earliest source.
+    """
+    finish = _Finish(full, length)
+    return repeated_windows(blocks(docs, id_col, text_col), _spec(length), lambda c: compare(c, length), finish, finish.schema).withColumnRenamed("id", id_col)
+
+
+def _spec(length: int) -> Windows:
+    return Windows(length, max(8, length // 3), words=False)
+
+
+class _Places:
+    """The verified runs of a block as occurrences, and its own places for the sources that others name."""
+
+    schema = "sblock bigint, srow bigint, splace bigint, length bigint, doc bigint, start bigint, block bigint, row bigint"
+    empty = pa.table({c.split()[0]: pa.array([], pa.int64()) for c in schema.split(", ")})
+
+    def __init__(self, length: int) -> None:
+        self.length = length
+
+    def __call__(self, b: Opened, _, runs: Runs) -> pa.Table:
+        own = np.searchsorted(b.offsets, runs[0], "right") - 1
+        doc = [None if i == NO_ID else i for i in b.block.ids[own].tolist()]
+        columns = (*runs[2:], runs[1] - runs[0] + self.length, doc, runs[0] - b.offsets[own], np.full(len(own), b.name), own)
+        return pa.table({c.split()[0]: pa.array(x, pa.int64()) for c, x in zip(self.schema.split(", "), columns, strict=True)})
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+    """(group_doc, group_start, length, doc, start): repeats of at least `length` bytes with all their occurrences.
+
+    A group is a stretch of bytes at its earliest place (group_doc, group_start), which is its first
+    occurrence; the others are all places whose bytes equal it and that differ from it, or end, at once
+    on both sides. A null id is null here too; rows of no repeat are in no group.
     """
-    finish = _Finish(full)
-    spec = Windows(length, max(8, length // 3), words=False)
-    return repeated_windows(blocks(docs, id_col, text_col), spec, lambda c: compare(c, length), finish, finish.schema).withColumnRenamed("id", id_col)
+    source = blocks(docs, id_col, text_col)
+    finish = _Places(length)
+    found = cut(repeated_windows(source, _spec(length), lambda c: compare(c, length), finish, finish.schema))
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = open_block(body).ids
+                yield pa.record_batch([pa.array([name] * len(own), pa.int64()), pa.array(range(len(own)), pa.int64()), pa.array([None if i == NO_ID else i for i in own.tolist()], pa.int64())], names=["sblock", "srow", "group_doc"])
+
+    named = salted_join(found, source.mapInArrow(ids, "sblock bigint, srow bigint, group_doc bigint"), ["sblock", "srow"])
+    head = named.select("group_doc", F.col("splace").alias("group_start"), "length", F.col("group_doc").alias("doc"), F.col("splace").alias("start")).distinct()
+    return head.unionByName(named.select("group_doc", F.col("splace").alias("group_start"), "length", "doc", "start"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,12 @@ Every window of `length` symbols (bytes or words) is anchored at its minimiser:
 segments (the run of windows of one anchor) have to meet, by their anchor's hash. Segments of equal
 content are one class, whose copies are told apart by their places alone; only where an anchor has
 several classes does a class's content travel, once, to the task that compares them. An anchor with very
-many classes (a passage's edge in a large part of all documents) is not compared in one task: its
-windows' hashes are grouped by Spark, with partial minima before the shuffle.
+many classes (a passage's edge in a large part of all documents) is not compared in one task: Spark
+groups its windows, with partial minima before the shuffle.
+
+So far hashes speak. What they give is, for each document, runs of windows and where each has its
+earliest source. The sources' tiles are then joined to the blocks that need them, and a symbol goes only
+where a whole window over it equals its source, byte for byte.
 
 Documents travel in compressed blocks, written once to the checkpoint folder, so that each later step
 joins a few answers by block to compressed texts.
@@ -25,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, partitions, prefix_hash, span_hash, text_buffers, word_spans
+from .common import cut, mix, partitions, prefix_hash, salted_join, span_hash, text_buffers, word_spans
 
 BLOCK_BYTES = 2 << 20
 #: Symbols whose windows are anchored together; positions must fit in PLACE bits.
@@ -35,6 +39,8 @@ PLACE = 22
 PART_BLOCKS = 8
 #: Classes of an anchor over which its windows are compared by their hashes, in Spark, and not in one task.
 HOT = 1 << 15
+#: Symbols of a tile, in which sources travel to be verified.
+TILE_BYTES, TILE_WORDS = 2048, 256
 #: Stands for a null id: such rows come last in the order.
 NO_ID = np.iinfo(np.int64).max
 
@@ -47,6 +53,10 @@ class Windows:
     gram: int
     words: bool
 
+    @property
+    def tile(self) -> int:
+        return TILE_WORDS if self.words else TILE_BYTES
+
 
 def pack(*arrays) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
@@ -225,48 +235,156 @@ def _answers(block: np.ndarray, columns: list, kind: int) -> pa.Table:
 
 
 ANSWER = "block bigint, kind int, body binary"
+#: Windows of a block by place: first and last symbol, and the source of the first (block, row in it, place in the text).
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+class Opened:
+    """A block with its symbols, segments and classes."""
+
+    def __init__(self, name: int, body: bytes, spec: Windows) -> None:
+        self.name, self.spec, self.block = name, spec, open_block(body)
+        self.symbols, self.offsets, self.spans = self.block.symbols(spec)
+        self._segments = None
+
+    @property
+    def segments(self) -> tuple[Segments, np.ndarray, np.ndarray]:
+        """The segments, their order by class, and where each class begins in it."""
+        if self._segments is None:
+            s = segments(self.symbols, self.offsets, self.spec)
+            self._segments = (s, *classes(self.block.ids, s))
+        return self._segments
+
+    def copies(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All segments of the classes, and at which place in `number` the class of each stands."""
+        s, order, begin = self.segments
+        sizes = (np.append(begin[1:], len(order)) - begin)[number]
+        return order[np.repeat(begin[number] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))], np.repeat(np.arange(len(number)), sizes)
+
+    def first_copies(self, number: np.ndarray) -> np.ndarray:
+        _, order, begin = self.segments
+        return order[begin[number]]
+
+    def leads(self, number: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segments and numbers of those classes whose first copy is here."""
+        s, lead = self.segments[0], self.first_copies(number)
+        holds = (self.block.ids[s.row[lead]] == doc) & (s.place[lead] == place)
+        return lead[holds], number[holds]
+
+    def runs(self, answers: pa.Table) -> Runs:
+        """What the answers (kinds 0 and 1) say, where neighbouring windows with neighbouring sources are one run."""
+        s, _, _ = self.segments
+        parts: list[tuple] = []
+        for kind, body in zip(answers.column("kind").to_pylist(), answers.column("body").to_pylist(), strict=True):
+            if kind == 0:  # every copy but the first repeats it as a whole
+                number, doc, place, block, row, _ = unpack(body)
+                at, of = self.copies(number)
+                later = (self.block.ids[s.row[at]] != doc[of]) | (s.place[at] != place[of])
+                at, of = at[later], of[later]
+                parts.append((s.first[at], s.last[at], block[of], row[of], place[of] - (s.anchor - s.first)[at]))
+            elif kind == 1:  # these windows of the first copy
+                number, first, last, block, row, place = unpack(body)
+                at, of = self.copies(number)
+                lead = self.first_copies(number)[of]
+                same = (self.block.ids[s.row[at]] == self.block.ids[s.row[lead]]) & (s.place[at] == s.place[lead])
+                at, of = at[same], of[same]
+                parts.append((s.first[at] + first[of], s.first[at] + last[of], block[of], row[of], place[of]))
+        if not parts:
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
+        first, last, block, row, place = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+        own = np.searchsorted(self.offsets, first, "right") - 1
+        order = np.lexsort((first, first - place, row, block, own))
+        first, last, block, row, place, own = (x[order] for x in (first, last, block, row, place, own))
+        new = np.ones(len(first), bool)
+        new[1:] = (own[1:] != own[:-1]) | (block[1:] != block[:-1]) | (row[1:] != row[:-1]) | ((first - place)[1:] != (first - place)[:-1])
+        span = len(self.symbols) + 1  # the furthest end so far in the same alignment
+        group = np.cumsum(new)
+        reach = np.maximum.accumulate(group * span + last) - group * span
+        new[1:] |= first[1:] > reach[:-1] + 1
+        begin = np.flatnonzero(new)
+        return first[begin], np.maximum.reduceat(last, begin) if len(begin) else last, block[begin], row[begin], place[begin]
+
+    def content(self, row: int, first: int, last: int):
+        """Symbols [first, last) of a row's text: bytes, or a list of words as bytes."""
+        lo, hi = int(self.offsets[row]) + first, min(int(self.offsets[row]) + last, int(self.offsets[row + 1]))
+        if not self.spec.words:
+            return self.block.data[lo:hi].tobytes()
+        starts, ends = self.spans[0][lo:hi].tolist(), self.spans[1][lo:hi].tolist()
+        if not starts:
+            return []
+        base = starts[0]
+        raw = self.block.data[base : ends[-1]].tobytes()
+        return [raw[a - base : b - base] for a, b in zip(starts, ends, strict=True)]
+
+    def verified(self, runs: Runs, tiles: dict[tuple[int, int, int], bytes | list]) -> Runs:
+        """The parts of the runs in which every window equals its source; a source that is missing equals nothing."""
+        length, tile, out = self.spec.length, self.spec.tile, []
+        for first, last, block, row, place in zip(*(x.tolist() for x in runs), strict=True):
+            n = last - first + length
+            own = int(np.searchsorted(self.offsets, first, "right")) - 1
+            mine = self.content(own, first - int(self.offsets[own]), first - int(self.offsets[own]) + n)
+            if block == self.name:
+                theirs = self.content(row, place, place + n)
+            else:
+                theirs = [] if self.spec.words else b""
+                for k in range(place // tile, (place + n - 1) // tile + 1):
+                    part = tiles.get((block, row, k), theirs[:0])
+                    theirs += part[max(0, place - k * tile) : place + n - k * tile]
+            if mine == theirs:
+                out.append((first, last, block, row, place))
+                continue
+            # what differs stays: only windows without a difference count
+            differs = [k for k in range(n) if k >= len(theirs) or mine[k] != theirs[k]]
+            for a, z in zip([-1, *differs], [*differs, n], strict=True):
+                if z - a - 1 >= length:
+                    out.append((first + a + 1, first + z - length, block, row, place + a + 1))
+        return tuple(np.asarray(x, np.int64) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
 def repeated_windows(source: DataFrame, spec: Windows, compare: Callable, finish: Callable, schema: str) -> DataFrame:
-    """finish(block, symbol offsets, word spans, removed) for each block, where removed has a True for each
-    symbol in a window that also starts earlier.
+    """finish(opened block, removed, runs) for each block, where removed has a True for each symbol in a
+    window that also starts earlier, and runs are those windows with their sources, verified.
 
     compare(classes) gets, for one anchor, a list of (order, anchor's place in the content, content)
-    with order = (document, place) of the class's first copy; it returns for each class the (first, last)
-    places of windows in its content which also stand in a class of smaller order.
+    with order = (document, place) of the class's first copy; it returns for each class (first, last,
+    other class, its place there) for windows of its content which also stand in a class of smaller order.
     """
+    answers = find_sources(source, spec, compare)
+    return remove_verified(source, spec, answers, finish, schema)
+
+
+def find_sources(source: DataFrame, spec: Windows, compare: Callable) -> DataFrame:
+    """(block, kind, body): for the classes of each block where they stand first (0), and for windows of first copies (1)."""
     n, most = source.count(), HOT
     parts = max(2 * partitions(source.sparkSession), n // PART_BLOCKS)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                b = open_block(body)
-                symbols, offsets, _ = b.symbols(spec)
-                s = segments(symbols, offsets, spec)
-                order, begin = classes(b.ids, s)
+                b = Opened(name, body, spec)
+                s, order, begin = b.segments
                 lead = order[begin]
                 copies = np.diff(np.append(begin, len(order))) > 1
                 key, content = s.key[lead], s.content[lead]
                 split = [key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8), content.astype(np.uint32), (content >> np.uint64(32)).astype(np.uint16)]
                 doc, row = np.unique(s.row[lead], return_inverse=True)
 
-                def more(pick, ids=b.ids, doc=doc, row=row):
+                def more(pick, ids=b.block.ids, doc=doc, row=row):
                     used, at = np.unique(row[pick], return_inverse=True)
-                    return ids[doc[used]], at.astype(np.uint16 if len(used) < 65536 else np.uint32)
+                    return ids[doc[used]], doc[used].astype(np.uint32), at.astype(np.uint16 if len(used) < 65536 else np.uint32)
 
                 yield from _deal(name, (key % np.uint64(parts)).astype(np.int64), parts, [*split, s.place[lead].astype(np.uint32), copies, np.arange(len(lead), dtype=np.uint32)], more)
 
     def meet(key, group):
         """The anchors that stand more than once: each class's first copy, and whether classes must be compared."""
-        columns = [[] for _ in range(7)]
+        columns = [[] for _ in range(8)]
         for name, body in zip(group.column("block").to_pylist(), group.column("body").to_pylist(), strict=True):
-            k0, k1, c0, c1, place, copies, number, ids, at = unpack(body)
-            for out, x in zip(columns, (k0.astype(np.uint64) | k1.astype(np.uint64) << np.uint64(32), c0.astype(np.uint64) | c1.astype(np.uint64) << np.uint64(32), ids[at], place.astype(np.int64), copies, number, np.full(len(number), name)), strict=True):
+            k0, k1, c0, c1, place, copies, number, ids, rows, at = unpack(body)
+            for out, x in zip(columns, (k0.astype(np.uint64) | k1.astype(np.uint64) << np.uint64(32), c0.astype(np.uint64) | c1.astype(np.uint64) << np.uint64(32), ids[at], place.astype(np.int64), copies, number, rows[at], np.full(len(number), name)), strict=True):
                 out.append(x)
-        k, c, doc, place, copies, number, block = map(np.concatenate, columns)
+        k, c, doc, place, copies, number, row, block = map(np.concatenate, columns)
         order = np.lexsort((place, doc, c, k))
-        k, c, doc, place, copies, number, block = (x[order] for x in (k, c, doc, place, copies, number, block))
+        k, c, doc, place, copies, number, row, block = (x[order] for x in (k, c, doc, place, copies, number, row, block))
         new_key, new_class = np.ones(len(k), bool), np.ones(len(k), bool)
         new_key[1:] = k[1:] != k[:-1]
         new_class[1:] = new_key[1:] | (c[1:] != c[:-1])
@@ -276,64 +394,53 @@ def repeated_windows(source: DataFrame, spec: Windows, compare: Callable, finish
         again = (entries > 1) | (np.bincount(group_of, copies) > 0)
         lead = np.flatnonzero(new_class)[class_of]
         keep = np.flatnonzero(again[group_of])
-        columns = [number, doc[lead], place[lead], several[group_of]]
-        many = keep[several[group_of[keep]] == 2]
-        return pa.concat_tables([_answers(block[keep], [c[keep] for c in columns], 0), _answers(block[many], [c[many] for c in columns[:3]], 2)])
-
-    answered = cut(source.mapInArrow(anchors, "part bigint, block bigint, body binary").groupBy("part").applyInArrow(meet, ANSWER))
-    met, hot = answered.where("kind = 0"), answered.where("kind = 2")
-
-    def leads(name: int, body: bytes, number: np.ndarray, doc: np.ndarray, place: np.ndarray):
-        """A block's symbols, segments, and those of its classes that are the first copies of theirs."""
-        b = open_block(body)
-        symbols, offsets, _ = b.symbols(spec)
-        s = segments(symbols, offsets, spec)
-        order, begin = classes(b.ids, s)
-        lead = order[begin][number]
-        holds = (b.ids[s.row[lead]] == doc) & (s.place[lead] == place)
-        return b, symbols, s, lead[holds], number[holds]
+        return _answers(block[keep], [c[keep] for c in (number, doc[lead], place[lead], block[lead], row[lead], several[group_of])], 0)
+
+    met = cut(source.mapInArrow(anchors, "part bigint, block bigint, body binary").groupBy("part").applyInArrow(meet, ANSWER))
+    nothing = pa.table({"part": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
 
     def contents(key, block, answers):
         """Contents of the classes to be compared, from the blocks that hold their first copies."""
-        none = pa.table({"part": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
         if not len(block) or not len(answers):
-            return none
-        name = key[0].as_py()
-        number, doc, place, several = map(np.concatenate, zip(*(unpack(x) for x in answers.column("body").to_pylist()), strict=True))
+            return nothing
+        number, doc, place, _, _, several = map(np.concatenate, zip(*(unpack(x) for x in answers.column("body").to_pylist()), strict=True))
         few = several == 1
         if not few.any():
-            return none
-        b, symbols, s, lead, number = leads(name, block.column("body")[0].as_py(), number[few], doc[few], place[few])
+            return nothing
+        b = Opened(key[0].as_py(), block.column("body")[0].as_py(), spec)
+        s = b.segments[0]
+        lead, number = b.leads(number[few], doc[few], place[few])
         first, end = s.first[lead], s.last[lead] + spec.length
-        width = symbols.dtype.itemsize
+        width = b.symbols.dtype.itemsize
 
         def more(pick):
-            return (b"".join(symbols[x:y].tobytes() for x, y in zip(first[pick].tolist(), end[pick].tolist(), strict=True)), ((end - first)[pick] * width).astype(np.uint16))
+            return (b"".join(b.symbols[x:y].tobytes() for x, y in zip(first[pick].tolist(), end[pick].tolist(), strict=True)), (end - first)[pick] * width)
 
-        columns = [s.key[lead], s.content[lead], b.ids[s.row[lead]], s.place[lead], (s.anchor - s.first)[lead].astype(np.uint16), number]
-        dealt = list(_deal(name, (s.key[lead] % np.uint64(parts)).astype(np.int64), parts, columns, more))
-        return pa.Table.from_batches(dealt) if dealt else none
+        columns = [s.key[lead], s.content[lead], b.block.ids[s.row[lead]], s.place[lead], s.row[lead], (s.anchor - s.first)[lead].astype(np.uint32), number]
+        dealt = list(_deal(b.name, (s.key[lead] % np.uint64(parts)).astype(np.int64), parts, columns, more))
+        return pa.Table.from_batches(dealt) if dealt else nothing
 
     def decide(key, group):
-        columns, bodies = [[] for _ in range(7)], []
+        columns, bodies = [[] for _ in range(8)], []
         for name, body in zip(group.column("block").to_pylist(), group.column("body").to_pylist(), strict=True):
             *own, text, sizes = unpack(body)
             for out, x in zip(columns, (*own, np.full(len(own[0]), name)), strict=True):
                 out.append(x)
             ends = np.cumsum(sizes.astype(np.int64)).tolist()
             bodies += [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        k, c, doc, place, at, number, block = map(np.concatenate, columns)
+        k, c, doc, place, row, at, number, block = map(np.concatenate, columns)
         order = np.lexsort((c, k))
         edges = np.flatnonzero(np.diff(k[order], prepend=np.uint64(1 << 63)))
-        out = ([], [], [], [])
+        out = ([], [], [], [], [], [], [])
         for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
             if z - a < 2:
                 continue
-            pick = order[a:z]
+            pick = order[a:z].tolist()
             group_of = [((int(doc[i]), int(place[i])), int(at[i]), bodies[i]) for i in pick]
-            for i, spans in zip(pick.tolist(), compare(group_of), strict=True):
-                for first, last in spans:
-                    for to, x in zip(out, (int(block[i]), int(number[i]), first, last), strict=True):
+            for i, spans in zip(pick, compare(group_of), strict=True):
+                for first, last, other, there in spans:
+                    j = pick[other]
+                    for to, x in zip(out, (int(block[i]), int(number[i]), first, last, int(block[j]), int(row[j]), int(place[j]) - int(at[j]) + there), strict=True):
                         to.append(x)
         return _answers(np.asarray(out[0], np.int64), [np.asarray(x, np.int64) for x in out[1:]], 1)
 
@@ -343,57 +450,102 @@ def repeated_windows(source: DataFrame, spec: Windows, compare: Callable, finish
 
     def hashes(key, block, answers):
         """Two hashes, order and place of every window of the hot anchors' classes, from their first copies."""
-        out = {c: pa.array([], pa.int64()) for c in ("h1", "h2", "doc", "place", "block", "number", "at")}
+        names = ("h1", "h2", "doc", "place", "block", "row", "number", "at")
+        out = {c: pa.array([], pa.int64()) for c in names}
         if not len(block) or not len(answers):
             return pa.table(out)
-        number, doc, place = map(np.concatenate, zip(*(unpack(x) for x in answers.column("body").to_pylist()), strict=True))
-        b, symbols, s, lead, number = leads(key[0].as_py(), block.column("body")[0].as_py(), number, doc, place)
+        number, doc, place, _, _, several = map(np.concatenate, zip(*(unpack(x) for x in answers.column("body").to_pylist()), strict=True))
+        many = several == 2
+        if not many.any():
+            return pa.table(out)
+        b = Opened(key[0].as_py(), block.column("body")[0].as_py(), spec)
+        s = b.segments[0]
+        lead, number = b.leads(number[many], doc[many], place[many])
         if len(lead):
             count = s.last[lead] - s.first[lead] + 1
             at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             start = np.repeat(s.first[lead], count) + at
             values = (
-                *(span_hash(prefix_hash(x), start, start + spec.length).view(np.int64) for x in (symbols, mix(symbols.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))),
-                b.ids[np.repeat(s.row[lead], count)], np.repeat(s.place[lead] - s.anchor[lead], count) + start, np.full(len(at), key[0].as_py()), np.repeat(number, count).astype(np.int64), at,
+                *(span_hash(prefix_hash(x), start, start + spec.length).view(np.int64) for x in (b.symbols, mix(b.symbols.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))),
+                b.block.ids[np.repeat(s.row[lead], count)], np.repeat(s.place[lead] - s.anchor[lead], count) + start, np.full(len(at), b.name), np.repeat(s.row[lead], count), np.repeat(number, count).astype(np.int64), at,
             )
-            out = dict(zip(out, (pa.array(v, pa.int64()) for v in values), strict=True))
+            out = dict(zip(names, (pa.array(v, pa.int64()) for v in values), strict=True))
         return pa.table(out)
 
     def settle(key, group):
-        at = group.column("at").to_numpy()
-        return _answers(np.full(len(at), key[0].as_py()), [group.column("number").to_numpy(), at, at], 1)
-
-    if not hot.isEmpty():
-        wide = cut(keyed.cogroup(hot.groupBy("block")).applyInArrow(hashes, "h1 bigint, h2 bigint, doc bigint, place bigint, block bigint, number bigint, at bigint"))
-        first_place = wide.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"))
-        later = wide.join(first_place, ["h1", "h2"]).where(F.struct("doc", "place") > F.col("first")).select("block", "number", "at")
+        number, at, block, row, place = (group.column(c).to_numpy() for c in ("number", "at", "sblock", "srow", "splace"))
+        return _answers(np.full(len(at), key[0].as_py()), [number, at, at, block, row, place], 1)
+
+    wide = cut(keyed.cogroup(met.groupBy("block")).applyInArrow(hashes, "h1 bigint, h2 bigint, doc bigint, place bigint, block bigint, row bigint, number bigint, at bigint")) if _any_hot(met) else None
+    if wide is not None:
+        first_place = wide.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place", "block", "row")).alias("lead"), F.count(F.lit(1)).alias("_n"))
+        found = salted_join(wide, first_place.select("h1", "h2", "lead"), ["h1", "h2"], counts=first_place.select("h1", "h2", "_n"))
+        later = found.where(F.struct("doc", "place") > F.struct("lead.doc", "lead.place")).select("block", "number", "at", F.col("lead.block").alias("sblock"), F.col("lead.row").alias("srow"), F.col("lead.place").alias("splace"))
         decided = decided.unionByName(later.groupBy("block").applyInArrow(settle, ANSWER))
+    return met.unionByName(cut(decided))
+
+
+def _any_hot(met: DataFrame) -> bool:
+    """Whether an anchor has over HOT classes."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = [bool((unpack(x)[5] == 2).any()) for x in batch.column(0).to_pylist()]
+            if any(hot):
+                yield pa.record_batch([pa.array([True])], names=["hot"])
+
+    return not met.select("body").mapInArrow(look, "hot boolean").isEmpty()
+
+
+def remove_verified(source: DataFrame, spec: Windows, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """finish for each block, after the sources that the answers name have been compared."""
+    tile = spec.tile
+    where = ("sblock", "srow", "tile", "block")
+
+    def ask(key, block, given):
+        """The tiles of other blocks that this one needs."""
+        out = {c: pa.array([], pa.int64()) for c in where}
+        if len(block) and len(given):
+            b = Opened(key[0].as_py(), block.column("body")[0].as_py(), spec)
+            first, last, sblock, srow, place = (x[far] for runs in [b.runs(given)] for far in [runs[2] != b.name] for x in runs)
+            low, high = place // tile, (place + last - first + spec.length - 1) // tile
+            count = high - low + 1
+            k = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            wanted = np.unique(np.stack([np.repeat(sblock, count), np.repeat(srow, count), k, np.full(len(k), b.name)]), axis=1)
+            out = dict(zip(where, (pa.array(x, pa.int64()) for x in wanted), strict=True))
+        return pa.table(out)
+
+    def serve(key, block, asked):
+        out = {"sblock": [], "srow": [], "tile": [], "body": []}
+        if len(block) and len(asked):
+            b = Opened(key[0].as_py(), block.column("body")[0].as_py(), spec)
+            for row, k in zip(asked.column("srow").to_pylist(), asked.column("tile").to_pylist(), strict=True):
+                got = b.content(row, k * tile, k * tile + tile)
+                for c, x in zip(out, (b.name, row, k, pickle.dumps((b.name, row, k, b" ".join(got) if spec.words else got), 5)), strict=True):
+                    out[c].append(x)
+        return pa.table({c: pa.array(v, pa.binary() if c == "body" else pa.int64()) for c, v in out.items()})
+
+    keyed = source.groupBy("block")
+    asked = cut(keyed.cogroup(answers.groupBy("block")).applyInArrow(ask, "sblock bigint, srow bigint, tile bigint, block bigint"))
+    tiles = asked.groupBy("sblock", "srow", "tile").agg(F.count(F.lit(1)).alias("_n"))
+    served = keyed.cogroup(tiles.withColumnRenamed("sblock", "block").groupBy("block")).applyInArrow(serve, "sblock bigint, srow bigint, tile bigint, body binary")
+    # a tile that very many blocks need is dealt out with them
+    given = salted_join(asked, served, ["sblock", "srow", "tile"], counts=tiles).select("block", F.lit(3).alias("kind"), "body")
 
     def close(key, block, answers):
-        empty = pa.schema([]).empty_table() if not len(block) else None
-        if empty is not None:
+        if not len(block):
             return finish.empty
-        b = open_block(block.column("body")[0].as_py())
-        symbols, offsets, spans = b.symbols(spec)
-        change = np.zeros(len(symbols) + 1, np.int64)
+        b = Opened(key[0].as_py(), block.column("body")[0].as_py(), spec)
+        change, runs = np.zeros(len(b.symbols) + 1, np.int64), tuple(np.zeros(0, np.int64) for _ in range(5))
         if len(answers):
-            s = segments(symbols, offsets, spec)
-            order, begin = classes(b.ids, s)
-            ends = np.append(begin[1:], len(order))
-            kinds = answers.column("kind").to_pylist()
-            for kind, body in zip(kinds, answers.column("body").to_pylist(), strict=True):
-                if kind == 0:  # every copy but the first goes as a whole
-                    number, doc, place, _ = unpack(body)
-                    sizes = ends[number] - begin[number]
-                    at = order[np.repeat(begin[number] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
-                    later = (b.ids[s.row[at]] != np.repeat(doc, sizes)) | (s.place[at] != np.repeat(place, sizes))
-                    np.add.at(change, s.first[at[later]], 1)
-                    np.add.at(change, s.last[at[later]] + spec.length, -1)
-                else:
-                    number, first, last = unpack(body)
-                    lead = order[begin[number]]
-                    np.add.at(change, s.first[lead] + first, 1)
-                    np.add.at(change, s.first[lead] + last + spec.length, -1)
-        return finish(b, offsets, spans, np.cumsum(change)[:-1] > 0)
-
-    return keyed.cogroup(met.unionByName(decided).groupBy("block")).applyInArrow(close, schema)
+            kind = answers.column("kind").to_numpy()
+            found = {}
+            for body in answers.filter(pa.array(kind == 3)).column("body").to_pylist():
+                *at, got = pickle.loads(body)
+                found[tuple(at)] = got.split(b" ") if spec.words else got
+            runs = b.verified(b.runs(answers.filter(pa.array(kind != 3))), found)
+            np.add.at(change, runs[0], 1)
+            np.add.at(change, runs[1] + spec.length, -1)
+        return finish(b, np.cumsum(change)[:-1] > 0, runs)
+
+    return keyed.cogroup(answers.unionByName(given).groupBy("block")).applyInArrow(close, schema)

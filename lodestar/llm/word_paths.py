@@ -18,37 +18,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import table
-from .windows import NO_ID, Block, Windows, blocks, repeated_windows
+from .windows import NO_ID, Opened, Runs, Windows, blocks, repeated_windows
 
 WORD = 8  # bytes of a word's hash
 
 
-def compact(classes: list[tuple[tuple[int, int], int, bytes]], length: int) -> list[list[tuple[int, int]]]:
-    """For each class the (first, last) edges of its paths that come from a class of smaller order.
+def compact(classes: list[tuple[tuple[int, int], int, bytes]], length: int) -> list[list[tuple[int, int, int, int]]]:
+    """For each class its runs of edges (first, last, other class, place there) that a class of smaller order has.
 
-    Classes are (order, anchor's place, word hashes). The place of an edge in its source is the class's
-    place less the anchor's, plus the edge's place in the class.
+    Classes are (order, anchor's place, word hashes). A run goes on while the earliest class that has the
+    next edge is the same and has it at the next place; the paths of the graph are made of such runs.
     """
     size = length * WORD
-    source: dict[bytes, tuple[tuple[int, int], int]] = {}  # edge: its earliest class, and its place there
-    for order, at, words in sorted(classes):
+    source: dict[bytes, tuple[int, int]] = {}  # edge: its earliest class, and its place there
+    for c in sorted(range(len(classes)), key=lambda i: classes[i][0]):
+        words = classes[c][2]
         for place, k in enumerate(range(0, len(words) - size + 1, WORD)):
-            source.setdefault(words[k : k + size], (order, place - at))
+            source.setdefault(words[k : k + size], (c, place))
     out = []
-    for order, at, words in classes:
-        paths: list[tuple[int, int]] = []
+    for order, _, words in classes:
+        runs: list[tuple[int, int, int, int]] = []
         before = None
         for place, k in enumerate(range(0, len(words) - size + 1, WORD)):
-            first, offset = source[words[k : k + size]]
-            if first >= order:
+            c, there = source[words[k : k + size]]
+            if classes[c][0] >= order:
                 before = None
                 continue
-            if before == (first, offset - 1):  # the node between has one way in and one way out
-                paths[-1] = (paths[-1][0], place)
+            if before == (c, there - 1):
+                first, _, _, start = runs[-1]
+                runs[-1] = (first, place, c, start)
             else:
-                paths.append((place, place))
-            before = (first, offset)
-        out.append(paths)
+                runs.append((place, place, c, there))
+            before = (c, there)
+        out.append(runs)
     return out
 
 
@@ -68,16 +70,17 @@ class _Finish:
             out |= {"spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "kept": pa.array(kept, pa.string())}
         return pa.table(out)
 
-    def __call__(self, b: Block, offsets: np.ndarray, words: tuple[np.ndarray, np.ndarray], gone: np.ndarray) -> pa.Table:
+    def __call__(self, b: Opened, gone: np.ndarray, _: Runs) -> pa.Table:
+        offsets, words, data = b.offsets, b.spans, b.block.data
         starts, ends = words[0][~gone], words[1][~gone]
         # the kept words again, each followed by one space
         lengths = ends - starts
         at = np.cumsum(lengths + 1) - lengths - 1
         flat = np.full(int((lengths + 1).sum()), 0x20, np.uint8)
-        cover = np.zeros(len(b.data) + 1, np.int8)
+        cover = np.zeros(len(data) + 1, np.int8)
         cover[starts] += 1
         np.add.at(cover, ends, -1)
-        flat[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(starts)), lengths)] = b.data[np.cumsum(cover[:-1], dtype=np.int8).astype(bool)]
+        flat[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(starts)), lengths)] = data[np.cumsum(cover[:-1], dtype=np.int8).astype(bool)]
         text = flat.tobytes()
         removed_before = np.concatenate([[0], np.cumsum(gone)])
         first = (offsets - removed_before[offsets]).tolist()
@@ -91,7 +94,7 @@ class _Finish:
         if self.full:
             spans = [np.flatnonzero(np.diff(gone[lo:hi], prepend=False, append=False)).reshape(-1, 2).tolist() for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
         removed = removed_before[offsets[1:]] - removed_before[offsets[:-1]]
-        return self._table([None if i == NO_ID else i for i in b.ids.tolist()], np.diff(offsets), removed, sha, spans, kept)
+        return self._table([None if i == NO_ID else i for i in b.block.ids.tolist()], np.diff(offsets), removed, sha, spans, kept)
 
 
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, full: bool = True) -> DataFrame:
@@ -116,8 +119,8 @@ class _Replace(_Finish):
         self.schema, self.names, self.id_col, self.text_col, self.size_col = schema, names, id_col, text_col, size_col
         self.empty = to_arrow_schema(schema).empty_table()
 
-    def __call__(self, b: Block, offsets: np.ndarray, words: tuple[np.ndarray, np.ndarray], gone: np.ndarray) -> pa.Table:
-        report = super().__call__(b, offsets, words, gone)
+    def __call__(self, opened: Opened, gone: np.ndarray, runs: Runs) -> pa.Table:
+        report, b = super().__call__(opened, gone, runs), opened.block
         removed, kept = report.column("n_removed").to_pylist(), report.column("kept").to_pylist()
         bounds = b.offsets.tolist()
         texts = [k if r else None if n else b.data[x:y].tobytes().decode() for k, r, n, x, y in zip(kept, removed, b.null.tolist(), bounds, bounds[1:], strict=False)]
