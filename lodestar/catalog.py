@@ -7,6 +7,7 @@ columns by apply(), and over a folder of Parquet tables by queries().
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 from importlib import import_module
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ship
 from .plans.dialect import DUCK, SPARK, Dialect
+from .plans.prepared import PREPARED, prepare
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: Modules that register operators when they are imported.
@@ -70,12 +72,35 @@ def apply(name: str, spark: SparkSession, tables: Callable[[str], DataFrame] | d
     return run_sql(spark, _TEMPLATES[name](SPARK), get)
 
 
+_NAMED = re.compile(rf"\b(from|join)(\s+)({'|'.join((*TABLES, *PREPARED))})\b(?!\s*\.)")
+_NUMBERS = itertools.count()
+
+
 def run_sql(spark: SparkSession, sql: str, get: Callable[[str], DataFrame]) -> DataFrame:
-    """Spark SQL over the tables that it names; the views are bound when the plan is made."""
-    for t in TABLES:
-        if re.search(rf"\b{t}\b", sql):
-            get(t).createOrReplaceTempView(t)
-    return spark.sql(sql)
+    """Spark SQL over the tables that it names after from or join.
+
+    They are bound to views of their own names, which are gone when the plan is made: the caller's views
+    stay as they are.
+    """
+    views: dict[str, str] = {}
+
+    def bound(m: re.Match) -> str:
+        t = m.group(3)
+        if t not in views:
+            views[t] = f"_{t}_{next(_NUMBERS)}"
+            (prepare(spark, t, get) if t in PREPARED else get(t)).createTempView(views[t])
+        return f"{m.group(1)}{m.group(2)}{views[t]}" + (f" as {t}" if aliased(m) else "")
+
+    def aliased(m: re.Match) -> bool:
+        """Whether the table goes by its own name: no other follows."""
+        return not re.match(r"\s+(?!(?:where|join|cross|left|full|inner|on|using|group|order|limit|lateral|union|having)\b)\w", sql[m.end() :])
+
+    bound_sql = _NAMED.sub(bound, sql)
+    try:
+        return spark.sql(bound_sql)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:

@@ -15,13 +15,31 @@ def folded(d: Dialect, x: str) -> str:
 template("CAC01_exact_key")(lambda d: f"select conv_id, turn, 'query:' || md5({folded(d, 'text')}) as cache_key from conversations")
 
 
+# fixed value: the least similarity of a fuzzy hit
+FUZZY = 0.95
+
+
 @template("CAC02_fuzzy_hit")
 def _fuzzy(d: Dialect) -> str:
-    """The best earlier query by gram Jaccard, blocked by a shared length band and first gram's presence."""
-    return f"""with g as (select conv_id, turn, item as gram from {d.unnest("(select * from conversations where role = 'user')", 'conv_id, turn', d.grams('substr(' + folded(d, 'text') + ', 1, 80)'), 'item')} t), n as (select conv_id, turn, count(*) as n from g group by conv_id, turn),
-        pairs as (select a.conv_id, a.turn, b.conv_id as hit_conv, b.turn as hit_turn, count(*) as shared from g a join g b on a.gram = b.gram and a.turn = b.turn and b.conv_id < a.conv_id and b.conv_id >= a.conv_id - 5 group by a.conv_id, a.turn, b.conv_id, b.turn),
-        s as (select p.*, round(cast(shared as double) / (x.n + y.n - shared), 6) as jaccard from pairs p join n x on x.conv_id = p.conv_id and x.turn = p.turn join n y on y.conv_id = p.hit_conv and y.turn = p.hit_turn)
-        select conv_id, turn, hit_conv, jaccard, jaccard >= 0.95 as hit from (select *, row_number() over (partition by conv_id, turn order by jaccard desc, hit_conv) as k from s) r where k = 1"""
+    """Each user's query with the most similar one asked before it in any conversation, if it is similar enough; of
+    equals the earliest. Similarity is the Jaccard index of whole queries' character 3-grams, 1 for equal queries.
+
+    Equal queries are one. In Spark two queries meet by a rare gram: if the Jaccard index is at least t, then the
+    rarest n - ceil(t * n) + 1 of the n grams of each (by a fixed order) have one in common.
+    """
+    asked = f"asked as (select conv_id, turn, {folded(d, 'text')} as q from conversations where role = 'user'), texts as (select q, min(conv_id * 100000 + turn) as first_at from asked group by q)"
+    if d.spark:
+        order = "row_number() over (partition by g.id order by often, g.gram)"
+        pairs = f"""t as (select q, first_at, first_at as id, {d.grams('q')} as grams from texts), g as (select id, size(grams) as n, item as gram from {d.unnest('t', 'id, grams', 'grams', 'item')} u),
+            f as (select gram, count(*) as often from g group by gram), p as (select id, n, gram from (select g.id, n, g.gram, {order} as k from g join f on f.gram = g.gram) r where k <= n - ceil({FUZZY} * n) + 1),
+            near as (select distinct a.id as a, b.id as b from p a join p b on a.gram = b.gram and a.id > b.id and b.n >= {FUZZY} * a.n and a.n >= {FUZZY} * b.n),
+            pairs as (select x.q, y.first_at as hit_at, cast(size(array_intersect(x.grams, y.grams)) as double) / size(array_union(x.grams, y.grams)) as s from near join t x on x.id = near.a join t y on y.id = near.b)"""
+    else:
+        pairs = f"""t as (select q, first_at, {d.grams('q')} as grams from texts), near as (select x.q, y.first_at as hit_at, len(list_intersect(x.grams, y.grams)) as both_, len(x.grams) + len(y.grams) as total from t x join t y on y.first_at < x.first_at),
+            pairs as (select q, hit_at, case when total > both_ then cast(both_ as double) / (total - both_) else 0 end as s from near)"""
+    return f"""with {asked}, {pairs}, same as (select a.conv_id, a.turn, first_at as hit_at, cast(1 as double) as s from asked a join texts t on t.q = a.q where first_at < a.conv_id * 100000 + a.turn),
+        every as (select * from same union all select a.conv_id, a.turn, hit_at, s from asked a join pairs p on p.q = a.q where s >= {FUZZY} and hit_at < a.conv_id * 100000 + a.turn)
+        select conv_id, turn, cast(floor(hit_at / 100000) as bigint) as hit_conv, cast(hit_at % 100000 as bigint) as hit_turn, round(s, 6) as similarity from (select *, row_number() over (partition by conv_id, turn order by s desc, hit_at) as k from every) r where k = 1"""
 
 
 template("CAC03_lifetime")(lambda d: f"select event_id, case when c > 0.8 then {7 * DAY} when c > 0.5 then {DAY} else {HOUR} end as ttl from (select event_id, (event_id % 11) / 10e0 as c from events) e")

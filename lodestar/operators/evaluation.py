@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..catalog import template
 from ..plans.dialect import Dialect
 from .answers import checked, claim_pairs
-from .retrieval import bm25, ranked, two_lists
+from .retrieval import bm25, fused, gold, ranked, two_lists
 from .text import answers
 
 LOG2 = "ln({0}) / ln(2)"
@@ -15,7 +15,7 @@ def judged(d: Dialect, depth: int = 10) -> str:
     """rk: ranked hits with their grade; many: how much gold each query has. Gold holds the passage verbatim
     (grade 2), or is a document of gold's source that shares the first 40 characters (grade 1)."""
     return f"""{bm25(d)}, {ranked('top', 'bm', depth)},
-        gold as (select query_id, doc_id, max(grade) as grade from (select b.item_id as query_id, x.doc_id, 2 as grade from benchmark b join documents x on contains(x.text, b.text) union all select b.item_id, x.doc_id, 1 from benchmark b join documents x on contains(x.text, substr(b.text, 1, 40))) g group by query_id, doc_id),
+        gold as (select query_id, doc_id, max(grade) as grade from (select query_id, doc_id, 2 as grade from ({gold(d)}) g2 union all select query_id, doc_id, 1 from ({gold(d, 40)}) g1) g group by query_id, doc_id),
         many as (select query_id, count(*) as n_gold from gold group by query_id),
         rk as (select t.query_id, t.doc_id, cast(t.rk as int) as rk, coalesce(g.grade, 0) as grade from top t join many m on m.query_id = t.query_id left join gold g on g.query_id = t.query_id and g.doc_id = t.doc_id)"""
 
@@ -48,10 +48,10 @@ def _rouge(name: str, n: int) -> None:
     @template(name)
     def sql(d: Dialect) -> str:
         def grams(x: str) -> str:
-            w = d.tokens(x)
+            w = d.all(f"lower({x})", "[a-z0-9]+")
             return w if n == 1 else d.map(d.count_up("1", f"greatest({d.size(w)} - {n - 1}, 1)"), "i", d.join(d.slice(w, "i", str(n)), "' '"))
 
-        pair = "(select c.conv_id, c.turn, substr(n.text, 1, 200) as cand, substr(c.text, 1, 200) as ref from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1)"
+        pair = "(select c.conv_id, c.turn, n.text as cand, c.text as ref from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1)"
         count = lambda x: f"(select conv_id, turn, item, count(*) as n from {d.unnest('p', 'conv_id, turn', grams(x), 'item')} t group by conv_id, turn, item)"
         return f"""with p as {pair}, c as {count('cand')}, r as {count('ref')}, h as (select c.conv_id, c.turn, sum(least(c.n, r.n)) as hit from c join r on r.conv_id = c.conv_id and r.turn = c.turn and r.item = c.item group by c.conv_id, c.turn),
             cn as (select conv_id, turn, sum(n) as n from c group by conv_id, turn), rn as (select conv_id, turn, sum(n) as n from r group by conv_id, turn)
@@ -63,28 +63,64 @@ _rouge("EVL08_rouge_2", 2)
 template("EVL10_support_ratio")(lambda d: f"with {checked(d)}, {claim_pairs(d)} select doc_id, count(*) as claims, round(avg(case when score >= 0.7 then cast(1 as double) else 0 end), 6) as ratio from cl group by doc_id")
 
 
-@template("EVL11_correctness")
-def _correct(d: Dialect) -> str:
-    a, r = d.unique(d.words("lower(answer)")), d.unique(d.words("lower(ref)"))
-    return f"""select doc_id, case when lower(trim(answer)) = lower(trim(ref)) then true when contains(lower(answer), lower(ref)) or contains(lower(ref), lower(answer)) then true else 2e0 * {d.common('a', 'r')} / ({d.size('a')} + {d.size('r')}) >= 0.5 end as correct
-        from (select doc_id, answer, ref, {a} as a, {r} as r from (select doc_id, answer, substr(text, 1, 120) as ref from {answers(d)} x) y) z"""
+@template("EVL09_corpus_bleu")
+def _corpus_bleu(d: Dialect) -> str:
+    """BLEU-4 of all turns against the ones before: clipped n-gram counts are added up over the corpus first. The
+    hypothesis is the next turn; without a match of some length the score is 0."""
+    pair = "(select c.conv_id, c.turn, lower(n.text) as cand, lower(c.text) as ref from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1)"
+    run = lambda w, n: d.map(d.count_up("1", f"greatest({d.size(w)} - {n - 1}, 1)"), "i", d.join(d.slice(w, "i", str(n)), "' '"))
+    parts = []
+    for n in range(1, 5):
+        count = lambda x, n=n: f"(select conv_id, turn, item, count(*) as n from {d.unnest('w', 'conv_id, turn', run(x, n), 'item')} t where {d.size(d.words('item'))} = {n} group by conv_id, turn, item)"
+        parts.append(f"select {n} as n, cast(sum(least(c.n, coalesce(r.n, 0))) as double) as hit, cast(sum(c.n) as double) as total from {count('cand')} c left join {count('ref')} r on r.conv_id = c.conv_id and r.turn = c.turn and r.item = c.item")
+    return f"""with p as {pair}, w as (select conv_id, turn, {d.words('cand')} as cand, {d.words('ref')} as ref from p), g as ({' union all '.join(parts)}),
+        l as (select cast(sum({d.size('cand')}) as double) as cl, cast(sum({d.size('ref')}) as double) as rl from w)
+        select round(case when min(hit) > 0 then 100 * exp(avg(ln(greatest(hit, 1) / total))) * case when max(cl) > max(rl) then 1e0 else exp(1e0 - max(rl) / max(cl)) end else 0e0 end, 4) as bleu from g cross join l"""
 
 
 template("EVL13_keyword_score")(lambda d: f"select doc_id, round(cast({d.count_of('lower(text)', ('the', 'and', 'machine', 'que', 'der'))} as double) / 5, 6) as score from documents")
-template("EVL14_slo_gate")(
-    lambda d: f"""with {judged(d)}, q as (select m.query_id, n_gold, max(case when grade > 0 and rk <= 5 then 1 else 0 end) as hit, coalesce(1e0 / min(case when grade > 0 then rk end), 0) as rr from many m left join rk on rk.query_id = m.query_id group by m.query_id, n_gold),
-    v as (select avg(cast(hit as double)) as recall, avg(rr) as mrr from q), l as (select {d.percentile('value', 0.95)} as p95 from events)
-    select 'recall_hit_5' as check_name, round(recall, 6) as value, 0.8e0 as bound, recall >= 0.8 as ok from v union all select 'mrr', round(mrr, 6), 0.5e0, mrr >= 0.5 from v union all select 'p95_ms', round(p95, 6), 500e0, p95 <= 500 from l"""
-)
-template("EVL15_drift_gate")(
-    lambda d: f"""with {two_lists(d)}, gold as (select b.item_id as query_id, x.doc_id from benchmark b join documents x on contains(x.text, b.text)), n as (select count(distinct query_id) as n from gold),
-    base as (select cast(count(distinct g.query_id) as double) / max(n) as hit from sparse s join gold g on g.query_id = s.query_id and g.doc_id = s.doc_id cross join n), now_ as (select cast(count(distinct g.query_id) as double) / max(n) as hit from dense s join gold g on g.query_id = s.query_id and g.doc_id = s.doc_id cross join n)
-    select 'recall_hit_10' as metric, round(base.hit, 6) as baseline, round(now_.hit, 6) as current_value, base.hit - now_.hit > 0.03 as drifted from base cross join now_"""
-)
-template("EVL16_ablation")(
-    lambda d: f"""with {bm25(d)}, {ranked('a', 'bm', 1)}, {ranked('b', 'bm', 5)}, {ranked('c', 'bm', 10)}, gold as (select b.item_id as query_id, x.doc_id from benchmark b join documents x on contains(x.text, b.text)),
-    runs as (select 'k1' as variant, query_id, doc_id from a union all select 'k5', query_id, doc_id from b union all select 'k10', query_id, doc_id from c)
-    select variant, count(distinct r.query_id) as queries_hit, count(*) as hits from runs r join gold g on g.query_id = r.query_id and g.doc_id = r.doc_id group by variant"""
-)
+# fixed values: the service levels, by check
+SLO = (("retrieval recall_hit@5", "<", 0.80, 3), ("retrieval mrr", "<", 0.50, 3), ("retrieval ndcg@10", "<", 0.60, 3), ("retrieval p95_ms", ">", 500.0, 1), ("pipeline p95_ms", ">", 8000.0, 1), ("load qps", "<", 0.1, 3))
+MAX_DROP = 0.03
+
+
+def run_metrics(d: Dialect, runs: str) -> str:
+    """rm as (run, recall_hit_5, mrr, ndcg_10), means over the queries that have gold, of runs (run, query_id, doc_id, rk)."""
+    gain = f"1e0 / ({LOG2.format('rk + 1')})"
+    return f"""gd as ({gold(d)}), gm as (select query_id, count(*) as n_gold from gd group by query_id), rs as ({runs}), rn as (select distinct run from rs),
+        rh as (select run, rs.query_id, min(rk) as first_, sum(case when rk <= 10 then {gain} else 0e0 end) as dcg from rs join gd on gd.query_id = rs.query_id and gd.doc_id = rs.doc_id group by run, rs.query_id),
+        ri as (select query_id, sum(1e0 / ({LOG2.format('i + 1')})) as best from (select query_id, row_number() over (partition by query_id order by doc_id) as i from gd) o where i <= 10 group by query_id),
+        rm as (select rn.run, avg(case when first_ <= 5 then 1e0 else 0e0 end) as recall_hit_5, avg(coalesce(1e0 / first_, 0e0)) as mrr, avg(coalesce(dcg / best, 0e0)) as ndcg_10 from gm cross join rn join ri on ri.query_id = gm.query_id left join rh on rh.query_id = gm.query_id and rh.run = rn.run group by rn.run)"""
+
+
+@template("EVL14_slo_gate")
+def _slo(d: Dialect) -> str:
+    """Six checks and their violations. An event stands for a request: a click for a retrieval, any for a pipeline's run."""
+    values = ("recall_hit_5", "mrr", "ndcg_10", "click_p95", "all_p95", "qps")
+    checks = " union all ".join(f"select {i} as place, {d.text(name)} as check_name, cast({v} as double) as value, {bound}e0 as bound, not ({v} {sign} {bound}) as ok, case when {v} {sign} {bound} then {d.text(name + ' ')} || {d.fixed(v, n)} || {d.text(f' {sign} {bound:.{n}f}')} end as violation from m" for i, ((name, sign, bound, n), v) in enumerate(zip(SLO, values, strict=True)))
+    return f"""with {bm25(d)}, {ranked('sparse', 'bm')}, {run_metrics(d, "select 'bm25' as run, query_id, doc_id, rk from sparse")},
+        l as (select {d.percentile("case when event_type = 'click' then value end", 0.95)} as click_p95, {d.percentile('value', 0.95)} as all_p95, count(*) / (max({d.seconds('ts')}) - min({d.seconds('ts')})) as qps from events), m as (select * from rm cross join l)
+        select place, check_name, round(value, 6) as value, bound, ok, violation from ({checks}) c"""
+
+
+@template("EVL15_drift_gate")
+def _drift(d: Dialect) -> str:
+    """Three metrics of a current run (the second list) against a baseline (BM25); a drop over the limit is drift."""
+    values = (("recall_hit@5", "recall_hit_5"), ("mrr", "mrr"), ("ndcg@10", "ndcg_10"))
+    rows = " union all ".join(f"select '{name}' as metric, b.{v} as baseline, c.{v} as current_value from rm b join rm c on b.run = 'a' and c.run = 'b'" for name, v in values)
+    drop = f"'(drop=' || {d.fixed('baseline - current_value', 3)} || ')'"
+    return f"""with {two_lists(d)}, {run_metrics(d, "select 'a' as run, query_id, doc_id, rk from sparse union all select 'b', query_id, doc_id, rk from dense")}
+        select metric, round(baseline, 6) as baseline, round(current_value, 6) as current_value, baseline - current_value > {MAX_DROP} as drifted, case when baseline - current_value > {MAX_DROP} then metric || ' dropped ' || {d.fixed('baseline', 3)} || ' -> ' || {d.fixed('current_value', 3)} || ' ' || {drop} end as violation from ({rows}) r"""
+
+
+@template("EVL16_ablation")
+def _ablation(d: Dialect) -> str:
+    """The retriever comparison over variants: each list alone, their fusion, and the fusion of shorter lists."""
+    short = "select query_id, doc_id, sum(1e0 / (60 + rk)) as score from (select query_id, doc_id, rk from sparse where rk <= 5 union all select query_id, doc_id, rk from dense where rk <= 5) h group by query_id, doc_id"
+    runs = " union all ".join(f"select '{name}' as run, query_id, doc_id, rk from {source}" for name, source in (("sparse_only", "sparse"), ("dense_only", "dense"), ("fused", "hybrid"), ("fused_top_5", "halved")))
+    return f"""with {fused(d)}, {ranked('hybrid', 'fused')}, sh as (select query_id, doc_id, round(score, 8) as score from ({short}) s), {ranked('halved', 'sh')}, {run_metrics(d, runs)}
+        select run as variant, round(recall_hit_5, 6) as recall_hit_5, round(mrr, 6) as mrr, round(ndcg_10, 6) as ndcg_10 from rm"""
+
+
 template("EVL17_blind_packing")(lambda d: "select conv_id, case when flip then 'b' else 'a' end as a_label, case when flip then t2 else t1 end as a_text, case when flip then t1 else t2 end as b_text from (select q.conv_id, substr(md5(cast(q.conv_id as varchar(20)) || ':13'), 1, 1) in ('0', '1', '2', '3', '4', '5', '6', '7') as flip, q.text as t1, a.text as t2 from conversations q join conversations a on a.conv_id = q.conv_id and q.turn = 0 and a.turn = 1) p")
 template("EVL18_rolling_tracker")(lambda d: "select user_id, window_no, count(*) as queries, round(avg(value), 6) as mean_latency, sum(case when event_type = 'error' then 1 else 0 end) as failures from (select user_id, value, event_type, cast(floor((row_number() over (partition by user_id order by ts, event_id) - 1) / 10) as bigint) as window_no from events) w group by user_id, window_no")

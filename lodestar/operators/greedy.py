@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import builder, run_sql
+from ..functions.stem import stem
 from ..plans.dialect import SPARK
 from .retrieval import bm25, ranked
 
@@ -34,18 +35,19 @@ def strict_sentences(text: str) -> list[str]:
 
 def pack_sentences(text: str, most: int = PACK, overlap: int = PACK_OVERLAP) -> list[str]:
     """Sentences to chunks of at most `most` tokens; the next one begins with the last ones up to `overlap`."""
-    chunks, current = [], []
+    chunks, current, size = [], [], 0  # current: (sentence, its tokens)
     for s in sentences(text):
-        if current and sum(len(x.split()) for x in current) + len(s.split()) > most:
-            chunks.append(" ".join(current))
-            tail: list[str] = []
-            for x in reversed(current):
-                if sum(len(y.split()) for y in tail) + len(x.split()) > overlap:
-                    break
-                tail.insert(0, x)
-            current = tail
-        current.append(s)
-    return [*chunks, " ".join(current)] if current else chunks
+        n = len(s.split())
+        if current and size + n > most:
+            chunks.append(" ".join(x for x, _ in current))
+            first, size = len(current), 0
+            while first and size + current[first - 1][1] <= overlap:
+                first -= 1
+                size += current[first][1]
+            current = current[first:]
+        current.append((s, n))
+        size += n
+    return [*chunks, " ".join(x for x, _ in current)] if current else chunks
 
 
 def pack_paragraphs(text: str, most: int = PACK) -> list[str]:
@@ -141,7 +143,7 @@ def _mmr(spark, get) -> DataFrame:
 
 
 def _hits(spark, get) -> DataFrame:
-    return run_sql(spark, f"with {bm25(SPARK)}, {ranked('top', 'bm', CANDIDATES)} select t.query_id, t.doc_id, t.score, cast(t.rk as int) as rk, d.source, substr(d.text, 1, 600) as content from top t join documents d on d.doc_id = t.doc_id", get)
+    return run_sql(spark, f"with {bm25(SPARK)}, {ranked('top', 'bm', CANDIDATES)} select t.query_id, t.doc_id, t.score, cast(t.rk as int) as rk, d.source, d.text as content from top t join documents d on d.doc_id = t.doc_id", get)
 
 
 @builder("FUS05_mmr_terms")
@@ -230,10 +232,45 @@ def longest_common(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
+def rouge_tokens(text: str, stemmed: bool = True) -> list[str]:
+    """Lower-case runs of ASCII letters and digits; those of over three characters as stems."""
+    words = re.findall("[a-z0-9]+", text.lower())
+    return [stem(w) if len(w) > 3 else w for w in words] if stemmed else words
+
+
+def f_measure(hit: int, a: int, b: int) -> float:
+    return round(2 * hit / (a + b), 4) if hit else 0.0
+
+
+def rouge(candidate: str, reference: str) -> tuple[float, float, float]:
+    """ROUGE-1, -2 and -L, F-measures of stemmed tokens."""
+    a, b = rouge_tokens(candidate), rouge_tokens(reference)
+    pairs = lambda w: Counter(zip(w, w[1:], strict=False))
+    two = sum((pairs(a) & pairs(b)).values())
+    return f_measure(sum((Counter(a) & Counter(b)).values()), len(a), len(b)), f_measure(two, max(0, len(a) - 1), max(0, len(b) - 1)), rouge_l(a, b)
+
+
 def rouge_l(candidate: list[str], reference: list[str]) -> float:
-    if not candidate or not reference:
-        return 0.0
-    return round(2 * longest_common(candidate, reference) / (len(candidate) + len(reference)), 4)
+    return f_measure(longest_common(candidate, reference), len(candidate), len(reference))
+
+
+def support_ratio(answer: str, evidence: str) -> float:
+    """Share of the answer's sentences whose words of three characters and more stand to 0.7 (times 1.3) in the evidence."""
+    terms = lambda t: set(re.findall(r"\w{3,}", t.lower()))
+    known, said = terms(evidence), [terms(x) for x in sentences(answer) if len(x) > 12][:8]
+    return sum(min(1.0, 1.3 * len(t & known) / max(1, len(t))) >= 0.7 for t in said) / len(said) if said else 0.0
+
+
+def correct(answer: str, reference: str, claims: float, similarity: float = 0.0) -> bool:
+    """The cascade: same text, reference in the answer, similarity (of a model, if there is one), ROUGE-L, then weighted
+    signals; without a reference the claims' support."""
+    if not reference:
+        return claims >= 0.5
+    a, r = answer.strip().lower(), reference.strip().lower()
+    overlap = rouge(answer, reference)[2]
+    if a == r or r in a or similarity >= 0.7 or overlap >= 0.5:
+        return True
+    return 0.3 * (similarity >= 0.5) + 0.3 * (overlap >= 0.3) + 0.4 * (claims >= 0.5) >= 0.5
 
 
 def _turns(get) -> DataFrame:
@@ -251,4 +288,16 @@ def _scored(df: DataFrame, score: Callable[[str, str], tuple], names: list[str])
 
 
 builder("EVL07_bleu")(lambda spark, get: _scored(_turns(get), lambda a, b: (s := bleu(a.split(), b.split())) + (round(sum(s) / 4, 4),), ["bleu_1", "bleu_2", "bleu_3", "bleu_4", "bleu_avg"]))
-builder("EVL08_rouge_l")(lambda spark, get: _scored(_turns(get), lambda a, b: (rouge_l(a.split(), b.split()),), ["rouge_l"]))
+builder("EVL08_rouge_l")(lambda spark, get: _scored(_turns(get), lambda a, b: (rouge_l(rouge_tokens(a, stemmed=False), rouge_tokens(b, stemmed=False)),), ["rouge_l"]))
+builder("EVL08_rouge_stemmed")(lambda spark, get: _scored(_turns(get), rouge, ["rouge_1", "rouge_2", "rouge_l"]))
+
+
+@builder("EVL11_correctness")
+def _correctness(spark, get) -> DataFrame:
+    """Each turn as an answer to be judged by the one before as its reference and evidence."""
+
+    def judged(a: str, b: str) -> tuple[float, float, float]:
+        claims = support_ratio(a, b)
+        return rouge(a, b)[2], round(claims, 6), float(correct(a, b, claims))
+
+    return _scored(_turns(get), judged, ["rouge_l", "claim_ratio", "correct"]).withColumn("correct", F.col("correct") == 1)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from ..catalog import template
 from ..plans.dialect import Dialect
+from .answers import checked, evidence_claims
 from .chunking import spans
+from .retrieval import bm25, gold, ranked
 
 
 @template("JOI03_anti_union")
@@ -14,9 +16,12 @@ def _anti(d: Dialect) -> str:
 
 @template("JOI05_segments_around_frames")
 def _segments(d: Dialect) -> str:
-    at = d.seconds("ts")
+    """An event within an hour of a segment of ten minutes: both go by hours, the frame's own and those around it."""
+    at, hour = d.seconds("ts"), "cast(floor(t / 3600) as bigint)"
+    frames = f"(select event_id, user_id, t, bin from {d.unnest(chr(40) + 'select * from e where event_type = ' + d.text('click') + ') c', 'event_id, user_id, t', d.count_up(hour + ' - 2', hour + ' + 1'), 'bin')} u)"
+    segments = f"(select *, {hour} as bin from e)"
     return f"""with e as (select event_id, user_id, event_type, {at} as t from events)
-        select f.event_id, count(*) as n, {d.gather("s.event_type", "s.t, s.event_id", "' '")} as segments from e f join e s on s.user_id = f.user_id and s.t <= f.t + 3600 and s.t + 600 >= f.t - 3600 where f.event_type = 'click' group by f.event_id"""
+        select f.event_id, count(*) as n, {d.gather("s.event_type", "s.t, s.event_id", "' '")} as segments from {frames} f join {segments} s on s.user_id = f.user_id and s.bin = f.bin and s.t <= f.t + 3600 and s.t + 600 >= f.t - 3600 group by f.event_id"""
 
 
 @template("JOI08_similar_lines")
@@ -30,13 +35,16 @@ def _lines(d: Dialect) -> str:
 
 @template("JOI09_gold_in_top")
 def _semi(d: Dialect) -> str:
-    return "select doc_id from documents where doc_id in (select doc_id from labels where quality = 1) and n_chars > 500"
+    """The hits among each query's ten best that are gold."""
+    return f"with {bm25(d)}, {ranked('top', 'bm')}, g as ({gold(d)}) select query_id, doc_id, cast(rk as int) as rank from top where exists (select 1 from g where g.query_id = top.query_id and g.doc_id = top.doc_id)"
 
 
 @template("JOI10_claims_with_chunks")
 def _claims(d: Dialect) -> str:
-    return f"""with cited as (select conv_id, turn, item as cite from {d.unnest("(select * from conversations where role = 'assistant')", 'conv_id, turn', d.array("'src' || (conv_id % 20)", "'src' || (turn % 7)", "'ghost'"), 'item')} t)
-        select * from (select c.conv_id, c.turn, c.cite, x.doc_id, cast(row_number() over (partition by c.conv_id, c.turn order by x.doc_id) as int) as place from cited c join (select source, min(doc_id) as doc_id from documents group by source) x on x.source = c.cite) r where place <= 8"""
+    """Claims of answers with the chunks that they cite, eight of an answer at most; unknown citations join nothing."""
+    return f"""with {checked(d)}, {evidence_claims(d)}, cited as (select doc_id, place, claim, pos as cite_place, cite_id from {d.unnest('ev', 'doc_id, place, claim', 'cite_ids', 'cite_id')} t),
+        chunks as (select source || '#' || doc_id as chunk_id, doc_id as chunk_doc, n_chars from documents)
+        select doc_id, cast(k as int) as pair, claim, chunk_doc, n_chars from (select c.doc_id, claim, chunk_doc, n_chars, row_number() over (partition by c.doc_id order by place, cite_place) as k from cited c join chunks h on h.chunk_id = c.cite_id) r where k <= 8"""
 
 
 @template("JOI11_neighbour_chunks")
@@ -60,7 +68,7 @@ def _coverage(d: Dialect) -> str:
 @template("SET03_gram_jaccard")
 def _jaccard(d: Dialect) -> str:
     shared, either = d.common("x", "y"), f"({d.size('x')} + {d.size('y')} - {d.common('x', 'y')})"
-    return f"select conv_id, turn, case when a = b then 1.0e0 when {either} = 0 then 0.0e0 else round(cast({shared} as double) / {either}, 6) end as jaccard from (select c.conv_id, c.turn, c.text as a, n.text as b, {d.grams('substr(c.text, 1, 120)')} as x, {d.grams('substr(n.text, 1, 120)')} as y from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1) p"
+    return f"select conv_id, turn, case when a = b then 1.0e0 when {either} = 0 then 0.0e0 else round(cast({shared} as double) / {either}, 6) end as jaccard from (select c.conv_id, c.turn, c.text as a, n.text as b, {d.grams('c.text')} as x, {d.grams('n.text')} as y from conversations c join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1) p"
 
 
 @template("SET04_ordered_distinct")

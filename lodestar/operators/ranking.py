@@ -31,10 +31,17 @@ def _budget(d: Dialect) -> str:
 
 
 simple("WIN04_first_occurrence", "select doc_id, source from (select doc_id, source, row_number() over (partition by text order by doc_id) as n from documents) r where n = 1")
-simple(
-    "WIN07_page_bucket_diversity",
-    "select doc_id, source, bucket from (select doc_id, source, bucket, row_number() over (partition by source order by doc_id) as a, row_number() over (partition by bucket order by doc_id) as b from (select doc_id, source, cast(floor(doc_id / 3) * 3 as bigint) as bucket from documents) x) r where a = 1 or b = 1",
-)
+@template("WIN07_page_bucket_diversity")
+def _diverse(d: Dialect) -> str:
+    """Each query's hits whose source or page bucket comes first with them, 2 * 12 at most; where that leaves under
+    three, the other hits fill up to twelve. A hit's page is the place of its document in tens of ids; buckets have three."""
+    return f"""with {bm25(d)}, {ranked('hit', 'bm', 20)}, x as (select query_id, h.doc_id, rk, source, cast(floor(floor(h.doc_id / 10) / 3) * 3 as bigint) as bucket from hit h join documents m on m.doc_id = h.doc_id),
+        o as (select *, row_number() over (partition by query_id, source order by rk) as a, row_number() over (partition by query_id, bucket order by rk) as b, count(*) over (partition by query_id) as n from x),
+        k as (select *, case when a = 1 or b = 1 then 0 else 1 end as rest, sum(case when a = 1 or b = 1 then 1 else 0 end) over (partition by query_id) as kept from o),
+        p as (select *, row_number() over (partition by query_id order by rest, rk) as place from k)
+        select query_id, doc_id, cast(place as int) as place from p where (rest = 0 and place <= 24) or (rest = 1 and kept < least(3, n) and place <= 12)"""
+
+
 simple(
     "WIN08_keyframes",
     """select user_id, event_id, ts from (select user_id, event_id, ts, place, n, row_number() over (partition by user_id, case when place = 1 or place = n then 0 else 1 end order by value desc, event_id) as best from (select *, row_number() over (partition by user_id order by ts, event_id) as place, count(*) over (partition by user_id) as n from events) p) r where place = 1 or place = n or best <= 6""",

@@ -13,14 +13,16 @@ DEPTH = 10
 
 def postings(d: Dialect) -> str:
     """Common table expressions: term counts by document, lengths, frequencies, and idf with its floor."""
+    if d.spark:
+        return "df as (select term, df from prepared_lexicon), idf as (select term, idf from prepared_lexicon), stats as (select n, avgdl from prepared_stats)"
     return f"""tok as (select doc_id, item as term from {d.unnest('documents', 'doc_id', d.tokens('text'), 'item')} t),
-        tf as (select doc_id, term, count(*) as tf from tok group by doc_id, term),
-        dl as (select doc_id, {d.size(d.tokens('text'))} as dl from documents),
-        stats as (select count(*) as n, avg(dl) as avgdl from dl),
-        df as (select term, count(*) as df from tf group by term),
-        raw as (select term, ln(n - df + 0.5) - ln(df + 0.5) as idf from df cross join stats),
-        floor_ as (select {EPSILON} * avg(idf) as eps from raw),
-        idf as (select term, case when idf < 0 then eps else idf end as idf from raw cross join floor_)"""
+        tf as materialized (select doc_id, term, count(*) as tf from tok group by doc_id, term),
+        dl as materialized (select doc_id, {d.size(d.tokens('text'))} as dl from documents),
+        stats as materialized (select count(*) as n, avg(dl) as avgdl from dl),
+        df as materialized (select term, count(*) as df from tf group by term),
+        raw as materialized (select term, ln(n - df + 0.5) - ln(df + 0.5) as idf from df cross join stats),
+        floor_ as materialized (select {EPSILON} * avg(idf) as eps from raw),
+        idf as materialized (select term, case when idf < 0 then eps else idf end as idf from raw cross join floor_)"""
 
 
 def query_terms(d: Dialect, source: str = "benchmark", key: str = "item_id", text: str = "text") -> str:
@@ -29,6 +31,8 @@ def query_terms(d: Dialect, source: str = "benchmark", key: str = "item_id", tex
 
 def bm25(d: Dialect) -> str:
     """bm as (query_id, doc_id, score): every document with a query term; repeated terms count again."""
+    if d.spark:
+        return "bm as (select query_id, doc_id, score from prepared_bm)"
     return f"""{postings(d)}, {query_terms(d)},
         bm as (select query_id, tf.doc_id, round(sum(qn * idf * tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * dl / avgdl))), 6) as score
             from qt join tf on qt.term = tf.term join idf on idf.term = tf.term join dl on dl.doc_id = tf.doc_id cross join stats group by query_id, tf.doc_id)"""
@@ -42,6 +46,8 @@ def ranked(name: str, source: str, k: int = DEPTH, positive: bool = True) -> str
 def sketch(d: Dialect) -> str:
     """dn as (query_id, doc_id, score): a second scorer that shares few errors with BM25, idf-weighted presence of
     long terms in the whole text; it stands in for the dense list where no model is at hand."""
+    if d.spark:
+        return "dn as (select query_id, doc_id, score from prepared_dn)"
     return f"""head as (select distinct doc_id, item as term from {d.unnest('documents', 'doc_id', d.long_tokens('text'), 'item')} t),
         dn as (select query_id, head.doc_id, round(sum(idf.idf), 6) as score from qt join head on qt.term = head.term join idf on idf.term = qt.term group by query_id, head.doc_id)"""
 
@@ -56,13 +62,23 @@ def fused(d: Dialect) -> str:
         fused as (select query_id, doc_id, round(cast(sum(part) as double), 8) as score, max(dense_rank) as dense_rank, max(sparse_rank) as sparse_rank from both_ group by query_id, doc_id)"""
 
 
+def gold(d: Dialect, n: int | None = None) -> str:
+    """(query_id, doc_id): the documents that hold a benchmark passage, or its first n characters, verbatim."""
+    if d.spark:
+        return "select query_id, doc_id from prepared_gold" + (f"_{n}" if n else "")
+    needle = f"substr(b.text, 1, {n})" if n else "b.text"
+    return f"select b.item_id as query_id, x.doc_id from benchmark b join documents x on contains(x.text, {needle})"
+
+
 @template("RET01_bm25_index")
 def _index(d: Dialect) -> str:
-    return f"with {postings(d)} select term, df, round(idf.idf, 6) as idf, (select n from stats) as n, round((select avgdl from stats), 6) as avgdl from df join idf using (term)"
+    return f"with {postings(d)} select df.term, df, round(idf.idf, 6) as idf, n, round(avgdl, 6) as avgdl from df join idf on idf.term = df.term cross join stats"
 
 
 @template("RET01_postings")
 def _postings(d: Dialect) -> str:
+    if d.spark:
+        return "select doc_id, term, tf from prepared_postings"
     return f"with tok as (select doc_id, item as term from {d.unnest('documents', 'doc_id', d.tokens('text'), 'item')} t) select doc_id, term, count(*) as tf from tok group by doc_id, term"
 
 
@@ -83,6 +99,8 @@ def _positive(d: Dialect) -> str:
 
 @template("JOI07_terms_with_postings")
 def _terms(d: Dialect) -> str:
+    if d.spark:
+        return f"with {query_terms(d)} select query_id, doc_id, sum(tf) as hits from qt join prepared_postings p on qt.term = p.term group by query_id, doc_id"
     return f"with {query_terms(d)}, tok as (select doc_id, item as term from {d.unnest('documents', 'doc_id', d.tokens('text'), 'item')} t) select query_id, doc_id, count(*) as hits from qt join tok on qt.term = tok.term group by query_id, doc_id"
 
 
@@ -91,10 +109,12 @@ def _top(d: Dialect) -> str:
     return f"with {bm25(d)}, {ranked('top', 'bm', 5)} select query_id, doc_id, cast(rk as int) as rank from top"
 
 
-def neighbours(d: Dialect, k: int = 10, queries: str = "vec_id % 20 = 0") -> str:
+def neighbours(d: Dialect, k: int = 10) -> str:
     """nn as (query_id, vec_id, cosine, rk): queries are every twentieth vector, against all others."""
+    if d.spark:
+        return f"nn as (select query_id, vec_id, cosine, rk from prepared_nn where rk <= {k})"
     return f"""pairs as (select q.vec_id as query_id, v.vec_id, round({d.dot('q.embedding', 'v.embedding')}, 6) as cosine
-            from (select vec_id, embedding from embeddings where {queries}) q join embeddings v on q.vec_id <> v.vec_id),
+            from (select vec_id, embedding from embeddings where vec_id % 20 = 0) q join embeddings v on q.vec_id <> v.vec_id),
         nn as (select * from (select query_id, vec_id, cosine, row_number() over (partition by query_id order by cosine desc, vec_id) as rk from pairs) r where rk <= {k})"""
 
 
@@ -110,10 +130,14 @@ def _nearest(d: Dialect) -> str:
 
 @template("JOI06_query_by_vector")
 def _cross(d: Dialect) -> str:
+    if d.spark:
+        return "select query_id, t.n - own.n as n, cosine as best from prepared_nn join (select vec_id, count(*) as n from embeddings where vec_id % 20 = 0 group by vec_id) own on own.vec_id = query_id cross join (select count(*) as n from embeddings) t where rk = 1"
     return f"with {neighbours(d)} select query_id, count(*) as n, round(max(cosine), 6) as best from pairs group by query_id"
 
 
 def _halves(d: Dialect, k: int = 10) -> str:
+    if d.spark:
+        return ", ".join(f"{name} as (select query_id, vec_id, cosine as score, rk from prepared_halves where span = {span} and rk <= {int(k * share * 2)})" for name, span, share in (("t", 0, 0.6), ("i", 1, 0.4)))
     half = lambda a, start: d.slice(a, str(start), "32")
     score = lambda start: f"round({d.dot(half('q.embedding', start), half('v.embedding', start))}, 6)"
     side = lambda name, start, n: f"{name} as (select * from (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rk from (select q.vec_id as query_id, v.vec_id, {score(start)} as score from (select vec_id, embedding from embeddings where vec_id % 20 = 0) q join embeddings v on q.vec_id <> v.vec_id) s_{name}) r_{name} where rk <= {n})"
@@ -196,14 +220,14 @@ def _metadata(d: Dialect) -> str:
 
 @template("JOI02_full_content")
 def _content(d: Dialect) -> str:
-    return f"with {bm25(d)}, {ranked('top', 'bm')} select t.query_id, t.doc_id, coalesce(nullif(c.body, ''), nullif(m.body, ''), 'hit ' || t.doc_id) as content from top t left join (select doc_id, substr(text, 1, 80) as body from documents where doc_id % 3 = 0) c on c.doc_id = t.doc_id left join (select doc_id, source as body from documents where doc_id % 2 = 0) m on m.doc_id = t.doc_id"
+    return f"with {bm25(d)}, {ranked('top', 'bm')} select t.query_id, t.doc_id, coalesce(nullif(c.body, ''), nullif(m.body, ''), 'hit ' || t.doc_id) as content from top t left join (select doc_id, text as body from documents where doc_id % 3 = 0) c on c.doc_id = t.doc_id left join (select doc_id, source as body from documents where doc_id % 2 = 0) m on m.doc_id = t.doc_id"
 
 
 @template("EVL06_retriever_comparison")
 def _comparison(d: Dialect) -> str:
     """Recall, MRR and nDCG at 10 by retriever, over the queries that some document holds verbatim."""
     return f"""with {fused(d)}, {ranked('hybrid', 'fused')},
-        gold as (select b.item_id as query_id, x.doc_id from benchmark b join documents x on contains(x.text, b.text)),
+        gold as ({gold(d)}),
         many as (select query_id, count(*) as n_gold from gold group by query_id),
         runs as (select 'bm25' as retriever, query_id, doc_id, rk from sparse union all select 'dense', query_id, doc_id, rk from dense union all select 'hybrid', query_id, doc_id, rk from hybrid),
         names as (select distinct retriever from runs),

@@ -64,7 +64,7 @@ scalar("TXT12_content_pick_fusion", lambda d: {"picked": picked(d)}, source=moda
 scalar("TXT13_content_pick_index", lambda d: {"picked": f"case modality when 'image' then {d.first('ocr_text', 'caption')} when 'audio' then {d.first('transcript')} when 'video' then {d.first('transcript', 'caption', 'ocr_text')} else {d.first('content')} end", "meta_picked": d.first("content", "caption", "ocr_text", "transcript")}, source=modal)
 scalar("TXT14_snippet", lambda d: {"snippet": "substr(text, 1, 500)"})
 scalar("TXT15_caption_and_ocr", lambda d: {"combined": f"concat_ws(chr(10), case when {d.strip('caption')} <> '' then '[CAPTION] ' || {d.strip('caption')} end, case when {d.strip('ocr_text')} <> '' then '[OCR] ' || {d.strip('ocr_text')} end)"}, source=modal)
-scalar("TXT16_citation_part", lambda d: {"part": "coalesce(nullif(" + d.sub(d.sub(d.strip(d.sub("substr(url || ' [' || page_id || '] é', 1, 60)", r"[\[\]]", "''")), r"\s+", "'_'"), r"[^\p{L}\p{N}_\-.#]+", "'_'") + ", ''), 'unknown')"}, source="pages", key="page_id")
+scalar("TXT16_citation_part", lambda d: {"part": "coalesce(nullif(" + d.sub(d.sub(d.strip(d.sub("url || ' [' || page_id || '] é'", r"[\[\]]", "''")), r"\s+", "'_'"), r"[^\p{L}\p{N}_\-.#]+", "'_'") + ", ''), 'unknown')"}, source="pages", key="page_id")
 scalar("TXT18_chunk_id", lambda d: {"chunk_id": f"source || '_0_' || n_chars || '_' || substr({d.sha1("concat_ws('|', source, 0, n_chars)")}, 1, 16)"})
 scalar("TXT20_claims", lambda d: {"claims": d.join(d.filter(d.sentences(d.strip(d.sub(d.sub(d.sub("answer", r"\[[^\]]*\]", "' '"), r"(?i)\*\*answer:\*\*|answer:", "' '"), r"\s+", "' '"))), "c", d.size(d.words("c")) + " >= 2"), "'|'")}, source=answers)
 scalar("TXT21_response_cleanup", lambda d: {"cleaned": d.strip(d.sub(d.sub(d.sub("'**Answer:** Based on the context, ' || answer || chr(10) || chr(10) || chr(10) || '```'", r"```[a-z]*", "''"), r"^\s*(\*\*)?Answer:(\*\*)?\s*(Based on[^,:]*context[,:]\s*)?", "''"), r"\n\n+", "chr(10) || chr(10)"))}, source=answers)
@@ -91,14 +91,47 @@ def hedging(d: Dialect, x: str) -> str:
 
 
 scalar("FIL06_hedging_penalty", lambda d: {"penalty": f"round(cast({hedging(d, 'answer')} as double), 6)"}, source=answers)
-scalar("TXT26_chat_response", lambda d: {"response": f"case when contains(upper(answer), 'INSUFFICIENT CONTEXT') then 'I do not have enough information in the documents to answer that.' else concat_ws(chr(10), case when answer like '%.' then answer else answer || '.' end, case when doc_id % 2 = 0 then chr(10) || substr(text, 1, 100) end, case when {hedging(d, 'answer')} >= 0.2 then chr(10) || 'Note: the available information is limited.' end) end"}, source=answers)
+# fixed values: the composed response's wording, in order
+NOTHING = "I couldn't generate a response based on the available information."
+NOT_ENOUGH = ("I don't have enough information in the provided documents to answer that confidently.", "I don’t have enough information in the provided documents to answer that confidently.")
+SHARE = "If you can share more context—such as the specific section, page, or figure—you want explained, I can give you a much more precise answer."
+DETAIL, EXTRACTED = "Here’s how to understand this in more detail:", "Based on the document, here’s what can be extracted:"
+LIMITED = "⚠️ Note: The available information is limited, so this explanation may not capture all details."
+FURTHER = "If you want to explore this further, you could:"
+
+
+def chat_response(d: Dialect, concise: str, long: str, intent: str, level: str, actions: str) -> str:
+    """The response for a short and a long answer, an intent, a confidence level and an array of next actions."""
+    c, more, nl = d.strip(f"coalesce({concise}, '')"), d.strip(f"coalesce({long}, '')"), "chr(10)"
+    t = lambda s: f"{d.text(s)}"
+    lead = f"case when {intent} in ('analytical', 'comparison') then {t(DETAIL)} || {nl} || {nl} when {intent} = 'extraction' then {t(EXTRACTED)} || {nl} || {nl} else '' end"
+    steps = f"{nl} || '- ' || {d.join(d.slice(actions, '1', '2'), nl + ' || ' + d.text('- '))}"
+    body = f"concat_ws({nl}, case when {c} = '' then null when {c} like '%.' then {c} else {c} || '.' end, case when {more} <> '' then {nl} || {lead} || {more} end, case when {level} = 'LOW' then {nl} || {t(LIMITED)} end, case when {d.size(actions)} > 0 then {nl} || {t(FURTHER)} || {steps} end)"
+    return f"case when {c} = 'Insufficient evidence' then {t(NOT_ENOUGH[0])} || {nl} || {nl} || {t(SHARE)} when contains(upper({c}), 'INSUFFICIENT CONTEXT') then {t(NOT_ENOUGH[1])} || {nl} || {nl} || {t(SHARE)} else {d.strip(body)} end"
+
+
+@template("TXT26_chat_response")
+def _chat(d: Dialect) -> str:
+    """Answers with the intent, level and next actions that their ids stand for, as the tables hold none."""
+    made = f"""(select doc_id, case when doc_id % 13 = 0 then 'Insufficient evidence' else answer end as concise, case when doc_id % 2 = 0 then text else '' end as long_answer, case doc_id % 4 when 0 then 'factual_qa' when 1 then 'analytical' when 2 then 'extraction' else 'comparison' end as intent,
+        case when {hedging(d, 'answer')} >= 0.2 then 'LOW' else 'HIGH' end as level, {d.slice(d.array("'read ' || source", "'ask for ' || lang", "'stop'"), '1', 'cast(doc_id % 4 as int)')} as actions from {answers(d)} a)"""
+    return f"select doc_id, {chat_response(d, 'concise', 'long_answer', 'intent', 'level', 'actions')} as response from {made} m"
+
+
+# fixed values: the verdicts on averages, by band
+BANDS = (
+    ("confidence", ">=", ((0.90, "✅ Excellent confidence scores (≥0.90)"), (0.80, "✓ Good confidence scores (≥0.80)")), "⚠️  Confidence needs improvement (<0.80)"),
+    ("citation_rate", ">=", ((0.80, "✅ Excellent grounding/citation rate (≥80%)"), (0.60, "✓ Good grounding/citation rate (≥60%)")), "⚠️  Citations need improvement (<60%)"),
+    ("seconds", "<=", ((5.0, "✅ Excellent latency (≤5s)"), (10.0, "✓ Good latency (≤10s)")), "⚠️  Latency needs optimization (>10s)"),
+    ("words", ">=", ((100, "✅ Comprehensive answers (≥100 words)"), (50, "✓ Adequate answer length (≥50 words)")), "⚠️  Answers too brief (<50 words)"),
+)
 
 
 @template("TXT33_banding")
 def _banding(d: Dialect) -> str:
-    return f"""select event_type, case when c >= 0.9 then 'excellent' when c >= 0.8 then 'good' else 'needs work' end as confidence,
-        case when v <= 5 then 'fast' when v <= 10 then 'fair' else 'slow' end as speed
-        from (select event_type, avg(case when value > 5 then 1.0 else 0.0 end) as c, avg(value) as v from events group by event_type) t"""
+    """Verdicts on each language's average quality, toxicity, hundreds of characters (as seconds) and words."""
+    columns = ", ".join("case " + " ".join(f"when {name} {sign} {limit} then {d.text(said)}" for limit, said in bands) + f" else {d.text(rest)} end as {name}" for name, sign, bands, rest in BANDS)
+    return f"""select lang, {columns} from (select lang, avg(cast(quality as double)) as confidence, avg(cast(1 - toxic as double)) as citation_rate, avg(cast(n_chars as double)) / 100 as seconds, avg(cast({d.size(d.words('text'))} as double)) as words from documents x join labels l on l.doc_id = x.doc_id group by lang) v"""
 
 
 @template("TXT17_citation_ids")

@@ -38,7 +38,7 @@ class Dialect:
 
     def terms(self, x: str) -> str:
         """Distinct lower-cased words of three characters or more."""
-        return self.unique(self.long_tokens(x))
+        return self.distinct(self.long_tokens(x))
 
     def common(self, a: str, b: str) -> str:
         return self.size(self.both(a, b))
@@ -46,7 +46,7 @@ class Dialect:
     def grams(self, x: str, n: int = 3) -> str:
         """Distinct character n-grams; a shorter text has none."""
         cut = self.map(self.count_up("1", f"greatest(length({x}) - {n - 1}, 1)"), "i", f"substr({x}, cast(i as int), {n})")
-        return self.unique(self.filter(cut, "g", f"length(g) = {n}"))
+        return self.distinct(self.filter(cut, "g", f"length(g) = {n}"))
 
 
 class SparkDialect(Dialect):
@@ -98,6 +98,10 @@ class SparkDialect(Dialect):
     def unique(self, a: str) -> str:
         return f"array_distinct({a})"
 
+    def distinct(self, a: str) -> str:
+        """As unique, in any order."""
+        return f"array_distinct({a})"
+
     def both(self, a: str, b: str) -> str:
         return f"array_intersect({a}, {b})"
 
@@ -143,6 +147,13 @@ class SparkDialect(Dialect):
     def sha1(self, x: str) -> str:
         return f"sha1({x})"
 
+    def percent(self, x: str) -> str:
+        """A share as whole percents, halves to the even one."""
+        return f"cast(cast(bround({x} * 100, 0) as bigint) as string) || '%'"
+
+    def fixed(self, x: str, n: int) -> str:
+        return f"format_string('%.{n}f', {x})"
+
     def hms(self, s: str) -> str:
         return f"format_string('%02d:%02d:%02d', cast(floor({s} / 3600) as int), cast(floor({s} % 3600 / 60) as int), cast(floor({s} % 60) as int))"
 
@@ -194,6 +205,9 @@ class DuckDialect(Dialect):
         # in the order of first places, as Spark's
         return f"list_transform(list_filter(list_zip({a}, range(1, len({a}) + 1)), lambda z: list_position({a}, z[1]) = z[2]), lambda z: z[1])"
 
+    def distinct(self, a: str) -> str:
+        return f"list_distinct({a})"
+
     def both(self, a: str, b: str) -> str:
         return f"list_intersect({a}, {b})"
 
@@ -236,6 +250,12 @@ class DuckDialect(Dialect):
     def sha1(self, x: str) -> str:
         return f"sha1({x})"
 
+    def percent(self, x: str) -> str:
+        return f"cast(cast(round_even({x} * 100, 0) as bigint) as varchar) || '%'"
+
+    def fixed(self, x: str, n: int) -> str:
+        return f"printf('%.{n}f', {x})"
+
     def hms(self, s: str) -> str:
         return f"printf('%02d:%02d:%02d', cast(floor({s} / 3600) as int), cast(floor({s} % 3600 / 60) as int), cast(floor({s} % 60) as int))"
 

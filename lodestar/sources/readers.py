@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import builder, template
+from ..operators.retrieval import gold
 from ..plans.dialect import Dialect
 
 # fixed values: suffixes by kind
@@ -183,8 +184,8 @@ def _html(d: Dialect) -> str:
 
 template("SRC12_dispatch")(lambda d: f"select page_id, case when suffix in ('html', 'htm') then 'html' when suffix in ('csv', 'json', 'pdf', 'docx', 'xlsx', 'pptx', 'txt', 'md') then suffix else 'unsupported' end as reader from (select page_id, lower({d.extract('url', r'\.([A-Za-z0-9]+)$', 1)}) as suffix from pages) s")
 template("SRC13_jsonl_scan")(lambda d: f"select event_id, {d.json('props', 'session')} as session from events where props is not null and trim(props) <> '' and props like '{{%}}'")
-template("SRC14_ground_truth")(lambda d: "select b.item_id as query_id, x.doc_id as chunk_id, 1e0 as grade from benchmark b join documents x on contains(x.text, b.text) where trim(b.text) <> ''")
-template("SRC15_graded_truth")(lambda d: "select 'line_' || b.item_id as query_id, count(*) as n_gold, sum(case when contains(x.text, b.text) then 2 else 1 end) as total_grade from benchmark b join documents x on contains(x.text, substr(b.text, 1, 40)) group by b.item_id")
+template("SRC14_ground_truth")(lambda d: f"select g.query_id, g.doc_id as chunk_id, 1e0 as grade from ({gold(d)}) g join benchmark on item_id = g.query_id where trim(text) <> ''")
+template("SRC15_graded_truth")(lambda d: f"select 'line_' || s.query_id as query_id, count(*) as n_gold, sum(case when full_.doc_id is not null then 2 else 1 end) as total_grade from ({gold(d, 40)}) s left join ({gold(d)}) full_ on full_.query_id = s.query_id and full_.doc_id = s.doc_id group by s.query_id")
 template("SRC17_embedded_images")(lambda d: f"select page_id, {d.size(d.all('html', r'<img[^>]*>'))} as images, {d.size(d.all('html', r'data:image/[a-z]+;base64,([A-Za-z0-9+/=]+)', 1))} as inline_images from pages")
 builder("SRC01_document_listing")(lambda spark, get: get("documents").select("source", "doc_id").orderBy("source", "doc_id"))
 builder("SRC02_whole_texts")(lambda spark, get: get("documents").select("doc_id", F.lit(1).alias("page"), F.regexp_replace("text", "�", "").alias("text")))
