@@ -58,8 +58,8 @@ class Windows:
         return TILE_WORDS if self.words else TILE_BYTES
 
 
-def pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
+def pack(*arrays, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(arrays, 5))
 
 
 def unpack(blob: bytes) -> tuple:
@@ -111,7 +111,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, more: tuple[str, ...] =
                 with pa.ipc.new_stream(sink, rest.schema) as stream:
                     stream.write_table(rest)
                 rest = sink.getvalue().to_pybytes()
-            body = pack(np.concatenate(ids), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), b"".join(texts), np.concatenate(nulls), rest)
+            body = pack(np.concatenate(ids), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), b"".join(texts), np.concatenate(nulls), rest, level=3)
             return pa.record_batch([pa.array([(TaskContext.get().partitionId() << 32) + made]), pa.array([body], pa.binary())], names=["block", "body"])
 
         for batch in batches:
@@ -482,7 +482,7 @@ def find_sources(source: DataFrame, spec: Windows, compare: Callable) -> DataFra
         found = salted_join(wide, first_place.select("h1", "h2", "lead"), ["h1", "h2"], counts=first_place.select("h1", "h2", "_n"))
         later = found.where(F.struct("doc", "place") > F.struct("lead.doc", "lead.place")).select("block", "number", "at", F.col("lead.block").alias("sblock"), F.col("lead.row").alias("srow"), F.col("lead.place").alias("splace"))
         decided = decided.unionByName(later.groupBy("block").applyInArrow(settle, ANSWER))
-    return met.unionByName(cut(decided))
+    return met.unionByName(decided)
 
 
 def _any_hot(met: DataFrame) -> bool:
@@ -500,20 +500,22 @@ def _any_hot(met: DataFrame) -> bool:
 def remove_verified(source: DataFrame, spec: Windows, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """finish for each block, after the sources that the answers name have been compared."""
     tile = spec.tile
-    where = ("sblock", "srow", "tile", "block")
 
     def ask(key, block, given):
-        """The tiles of other blocks that this one needs."""
-        out = {c: pa.array([], pa.int64()) for c in where}
-        if len(block) and len(given):
-            b = Opened(key[0].as_py(), block.column("body")[0].as_py(), spec)
-            first, last, sblock, srow, place = (x[far] for runs in [b.runs(given)] for far in [runs[2] != b.name] for x in runs)
-            low, high = place // tile, (place + last - first + spec.length - 1) // tile
-            count = high - low + 1
-            k = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-            wanted = np.unique(np.stack([np.repeat(sblock, count), np.repeat(srow, count), k, np.full(len(k), b.name)]), axis=1)
-            out = dict(zip(where, (pa.array(x, pa.int64()) for x in wanted), strict=True))
-        return pa.table(out)
+        """A block's runs, and the tiles of other blocks that it needs for them."""
+        if not len(block) or not len(given):
+            return pa.table({"block": pa.array([], pa.int64()), "runs": pa.array([], pa.binary()), **{c: pa.array([], pa.int64()) for c in ("sblock", "srow", "tile")}})
+        b = Opened(key[0].as_py(), block.column("body")[0].as_py(), spec)
+        runs = b.runs(given)
+        far = runs[2] != b.name
+        first, last, sblock, srow, place = (x[far] for x in runs)
+        low, high = place // tile, (place + last - first + spec.length - 1) // tile
+        count = high - low + 1
+        k = np.repeat(low - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        wanted = np.unique(np.stack([np.repeat(sblock, count), np.repeat(srow, count), k]), axis=1)
+        n = wanted.shape[1]
+        columns = {"block": pa.array([b.name] * (n + 1), pa.int64()), "runs": pa.array([pack(*runs)] + [None] * n, pa.binary())}
+        return pa.table(columns | {c: pa.array([None, *x.tolist()], pa.int64()) for c, x in zip(("sblock", "srow", "tile"), wanted, strict=True)})
 
     def serve(key, block, asked):
         out = {"sblock": [], "srow": [], "tile": [], "body": []}
@@ -526,26 +528,29 @@ def remove_verified(source: DataFrame, spec: Windows, answers: DataFrame, finish
         return pa.table({c: pa.array(v, pa.binary() if c == "body" else pa.int64()) for c, v in out.items()})
 
     keyed = source.groupBy("block")
-    asked = cut(keyed.cogroup(answers.groupBy("block")).applyInArrow(ask, "sblock bigint, srow bigint, tile bigint, block bigint"))
+    laid = cut(keyed.cogroup(answers.groupBy("block")).applyInArrow(ask, "block bigint, runs binary, sblock bigint, srow bigint, tile bigint"))
+    asked = laid.where("runs is null").select("block", "sblock", "srow", "tile")
     tiles = asked.groupBy("sblock", "srow", "tile").agg(F.count(F.lit(1)).alias("_n"))
     served = keyed.cogroup(tiles.withColumnRenamed("sblock", "block").groupBy("block")).applyInArrow(serve, "sblock bigint, srow bigint, tile bigint, body binary")
     # a tile that very many blocks need is dealt out with them
-    given = salted_join(asked, served, ["sblock", "srow", "tile"], counts=tiles).select("block", F.lit(3).alias("kind"), "body")
+    given = salted_join(asked, served, ["sblock", "srow", "tile"], counts=tiles).select("block", F.lit(1).alias("kind"), "body")
+    given = laid.where("runs is not null").select("block", F.lit(0).alias("kind"), F.col("runs").alias("body")).unionByName(given)
 
-    def close(key, block, answers):
+    def close(key, block, given):
         if not len(block):
             return finish.empty
         b = Opened(key[0].as_py(), block.column("body")[0].as_py(), spec)
-        change, runs = np.zeros(len(b.symbols) + 1, np.int64), tuple(np.zeros(0, np.int64) for _ in range(5))
-        if len(answers):
-            kind = answers.column("kind").to_numpy()
-            found = {}
-            for body in answers.filter(pa.array(kind == 3)).column("body").to_pylist():
+        change, runs, found = np.zeros(len(b.symbols) + 1, np.int64), tuple(np.zeros(0, np.int64) for _ in range(5)), {}
+        for kind, body in zip(given.column("kind").to_pylist(), given.column("body").to_pylist(), strict=True) if len(given) else ():
+            if kind == 0:
+                runs = unpack(body)
+            else:
                 *at, got = pickle.loads(body)
                 found[tuple(at)] = got.split(b" ") if spec.words else got
-            runs = b.verified(b.runs(answers.filter(pa.array(kind != 3))), found)
+        if len(runs[0]):
+            runs = b.verified(runs, found)
             np.add.at(change, runs[0], 1)
             np.add.at(change, runs[1] + spec.length, -1)
         return finish(b, np.cumsum(change)[:-1] > 0, runs)
 
-    return keyed.cogroup(answers.unionByName(given).groupBy("block")).applyInArrow(close, schema)
+    return keyed.cogroup(given.groupBy("block")).applyInArrow(close, schema)
