@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Iterator
@@ -37,6 +38,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def release() -> None:
+    """Give unused memory back to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of whatever file system it lies in."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

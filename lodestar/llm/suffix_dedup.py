@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, salted_join, table
-from .windows import NO_ID, Opened, Runs, Windows, blocks, open_block, repeated_windows
+from .windows import NO_ID, Opened, Runs, Windows, blocks, occurrences, repeated_windows
 
 
 def stack_scan(common: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -171,42 +171,23 @@ def _spec(length: int) -> Windows:
     return Windows(length, max(8, length // 3), words=False)
 
 
-class _Places:
-    """The verified runs of a block as occurrences, and its own places for the sources that others name."""
-
-    schema = "sblock bigint, srow bigint, splace bigint, length bigint, doc bigint, start bigint, block bigint, row bigint"
-    empty = pa.table({c.split()[0]: pa.array([], pa.int64()) for c in schema.split(", ")})
-
-    def __init__(self, length: int) -> None:
-        self.length = length
-
-    def __call__(self, b: Opened, _, runs: Runs) -> pa.Table:
-        own = np.searchsorted(b.offsets, runs[0], "right") - 1
-        doc = [None if i == NO_ID else i for i in b.block.ids[own].tolist()]
-        columns = (*runs[2:], runs[1] - runs[0] + self.length, doc, runs[0] - b.offsets[own], np.full(len(own), b.name), own)
-        return pa.table({c.split()[0]: pa.array(x, pa.int64()) for c, x in zip(self.schema.split(", "), columns, strict=True)})
-
-
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """(group_doc, group_start, length, doc, start): repeats of at least `length` bytes with all their occurrences.
 
-    A group is a stretch of bytes at its earliest place (group_doc, group_start), which is its first
-    occurrence; the others are all places whose bytes equal it and that differ from it, or end, at once
-    on both sides. A null id is null here too; rows of no repeat are in no group.
+    A group is a stretch of bytes at its earliest place (group_doc, group_start): a longest one that some
+    other place holds and of which every window stands there first. Its occurrences are that place and
+    all others that hold it, alone or within a longer repeat, so a group that lies in another's stretch
+    has the other's occurrences too; nested repeats cost as many rows. A null id is null here too;
+    documents without repeats are in no group.
     """
-    source = blocks(docs, id_col, text_col)
-    finish = _Places(length)
-    found = cut(repeated_windows(source, _spec(length), lambda c: compare(c, length), finish, finish.schema))
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = open_block(body).ids
-                yield pa.record_batch([pa.array([name] * len(own), pa.int64()), pa.array(range(len(own)), pa.int64()), pa.array([None if i == NO_ID else i for i in own.tolist()], pa.int64())], names=["sblock", "srow", "group_doc"])
-
-    named = salted_join(found, source.mapInArrow(ids, "sblock bigint, srow bigint, group_doc bigint"), ["sblock", "srow"])
-    head = named.select("group_doc", F.col("splace").alias("group_start"), "length", F.col("group_doc").alias("doc"), F.col("splace").alias("start")).distinct()
-    return head.unionByName(named.select("group_doc", F.col("splace").alias("group_start"), "length", "doc", "start"))
+    found = cut(occurrences(docs, id_col, text_col, _spec(length), lambda c: compare(c, length)))
+    source = ["sblock", "srow"]
+    groups = found.select(*source, F.col("sdoc").alias("group_doc"), F.col("splace").alias("group_start"), F.col("length").alias("group_length")).distinct()
+    pairs = salted_join(found.select(*source, "splace", "length", "doc", "start"), groups, source)
+    inside = (F.col("group_start") >= F.col("splace")) & (F.col("group_start") + F.col("group_length") <= F.col("splace") + F.col("length"))
+    held = pairs.where(inside).select("group_doc", "group_start", F.col("group_length").alias("length"), "doc", (F.col("start") + F.col("group_start") - F.col("splace")).alias("start"))
+    head = groups.select("group_doc", "group_start", F.col("group_length").alias("length"), F.col("group_doc").alias("doc"), F.col("group_start").alias("start"))
+    return head.unionByName(held).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, partitions, prefix_hash, salted_join, span_hash, text_buffers, word_spans
+from .common import cut, mix, partitions, prefix_hash, release, salted_join, span_hash, text_buffers, word_spans
 
 BLOCK_BYTES = 2 << 20
 #: Symbols whose windows are anchored together; positions must fit in PLACE bits.
@@ -551,6 +551,66 @@ def remove_verified(source: DataFrame, spec: Windows, answers: DataFrame, finish
             runs = b.verified(runs, found)
             np.add.at(change, runs[0], 1)
             np.add.at(change, runs[1] + spec.length, -1)
-        return finish(b, np.cumsum(change)[:-1] > 0, runs)
+        out = finish(b, np.cumsum(change)[:-1] > 0, runs)
+        del b, found
+        release()
+        return out
 
     return keyed.cogroup(given.groupBy("block")).applyInArrow(close, schema)
+
+
+class _Places:
+    """The verified runs of a block as rows."""
+
+    schema = "sblock bigint, srow bigint, splace bigint, length bigint, block bigint, row bigint, doc bigint, start bigint"
+    names = [c.split()[0] for c in schema.split(", ")]
+    empty = pa.table({c: pa.array([], pa.int64()) for c in names})
+
+    def __init__(self, length: int) -> None:
+        self.length = length
+
+    def __call__(self, b: Opened, _, runs: Runs) -> pa.Table:
+        first, last, *source = runs
+        own = np.searchsorted(b.offsets, first, "right") - 1
+        doc = [None if i == NO_ID else i for i in b.block.ids[own].tolist()]
+        columns = (*source, last - first + self.length, np.full(len(own), b.name), own, doc, first - b.offsets[own])
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(self.names, columns, strict=True)})
+
+
+def occurrences(docs: DataFrame, id_col: str, text_col: str, spec: Windows, compare: Callable) -> DataFrame:
+    """The runs of windows that stand earlier too: (sdoc, sblock, srow, splace) is where a run's windows stand first,
+    length its symbols, (doc, block, row, start) the run. All are verified."""
+    source, finish = blocks(docs, id_col, text_col), _Places(spec.length)
+    found = cut(repeated_windows(source, spec, compare, finish, finish.schema))
+    # copies of a segment name its first copy, whose own windows may stand earlier yet
+    own = found.groupBy(F.col("block").alias("sblock"), F.col("row").alias("srow")).agg(F.sort_array(F.collect_list(F.struct("start", "length", "sblock", "srow", "splace"))).alias("own"))
+    first = salted_join(found, own, ["sblock", "srow"], "left").select(*_Places.names, "own")
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                lo, hi = r["splace"], r["splace"] + r["length"] - spec.length  # windows
+                rest, done = [], lo
+                for o in r["own"] or ():  # in order of places; of runs that overlap the first one counts
+                    a, z = max(done, o["start"]), min(hi, o["start"] + o["length"] - spec.length)
+                    if a <= z:
+                        rest.append((a, z, o["sblock"], o["srow"], o["splace"] + a - o["start"]))
+                        done = z + 1
+                at = lo
+                for a, z, *to in [*rest, (hi + 1, hi + 1, 0, 0, 0)]:
+                    if at < a:  # these stand first in the source itself
+                        out.append((r["sblock"], r["srow"], at, a - at - 1 + spec.length, r["block"], r["row"], r["doc"], r["start"] + at - lo))
+                    if a <= hi:
+                        out.append((*to, z - a + spec.length, r["block"], r["row"], r["doc"], r["start"] + a - lo))
+                    at = z + 1
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 8)], names=_Places.names)
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = open_block(body).ids
+                yield pa.record_batch([pa.array([name] * len(own), pa.int64()), pa.array(range(len(own)), pa.int64()), pa.array([None if i == NO_ID else i for i in own.tolist()], pa.int64())], names=["sblock", "srow", "sdoc"])
+
+    resolved = cut(first.mapInArrow(resolve, _Places.schema))
+    return salted_join(resolved, source.mapInArrow(ids, "sblock bigint, srow bigint, sdoc bigint"), ["sblock", "srow"])

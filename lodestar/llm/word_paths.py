@@ -1,10 +1,10 @@
 """Substring dedup by compaction of a de Bruijn graph of words.
 
 An edge is a run of `length` words, from the node of its first length - 1 words to that of its last.
-Edges are dealt out by their minimiser, so equal edges meet in one task, and the edges that stand more
-than once are compacted there to paths: maximal runs along which the earliest source goes on without
-a branch. The paths go back to the blocks of their sources by a join, where they are laid over the
-words again: paths that meet end to start become one span, and only what the source really holds goes.
+Edges are dealt out by their minimiser, so equal edges meet in one task, and an edge that stands more
+than once is known by its earliest place. Edges whose places go on alike are one run: a document's
+runs are joined to their sources' blocks by coordinates, compared word by word, and removed.
+repeated_paths compacts the same runs to the graph's paths without branches, by joins.
 """
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
-from .windows import NO_ID, Opened, Runs, Windows, blocks, repeated_windows
+from .common import cut, salted_join, table
+from .windows import NO_ID, Opened, Runs, Windows, blocks, occurrences, repeated_windows
 
 WORD = 8  # bytes of a word's hash
 
@@ -111,6 +111,85 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return repeated_windows(blocks(docs, id_col, text_col), spec, lambda c: compact(c, length), finish, finish.schema).withColumnRenamed("id", id_col)
 
 
+def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20) -> DataFrame:
+    """(path, place, doc, start, n_words): the compacted paths of the graph of repeated edges, by their sources.
+
+    An edge is a run of `length` words that stands more than once; it is known by its earliest place. A
+    node is the run of length - 1 words between two edges. A path is a longest chain of edges whose inner
+    nodes have one way in and one way out; it consists of stretches of source documents, one after the
+    other, each of n_words words from word `start` of document `doc`. Paths are numbered by nothing in
+    particular. Edges come verified; stretches are cut where a document enters or leaves, and chained
+    across documents by joins that double the distance each round. A ring begins at some stretch.
+    Null ids are null here too, and null and empty texts have no edges.
+    """
+    spec = Windows(length, max(2, length // 3), words=True)
+    runs = cut(occurrences(docs, id_col, text_col, spec, lambda c: compact(c, length)))
+    at = F.struct
+    edges = F.col("length") - length  # edges of a run, less one
+    # ways from edge to edge that are not simply the next place of the same source; an edge beside a run that is in
+    # none stands first where it is
+    turn = Window.partitionBy("block", "row").orderBy("start")  # the runs of one document
+    there, end = at(F.col("sblock").alias("block"), F.col("srow").alias("row"), F.col("splace").alias("place")), F.col("start") + edges
+    beside = lambda place: at("block", "row", place.alias("place"))
+    far = at(F.col("sblock").alias("block"), F.col("srow").alias("row"), (F.col("splace") + edges).alias("place"))
+    around = runs.select("block", "row", there.alias("first"), far.alias("last"), F.col("start"), end.alias("end"))
+    around = around.withColumn("prior", F.lag("last").over(turn)).withColumn("prior_end", F.lag("end").over(turn)).withColumn("later_start", F.lead("start").over(turn))
+    into = around.where("start > 0").select(F.when(F.col("prior_end") + 1 == F.col("start"), F.col("prior")).otherwise(beside(F.col("start") - 1)).alias("a"), F.col("first").alias("b"))
+    out_of = around.where("later_start is null or later_start > end + 1").select(F.col("last").alias("a"), beside(F.col("end") + 1).alias("b"))
+    links = into.unionByName(out_of).distinct()
+    links = cut(links.where(~((F.col("a.block") == F.col("b.block")) & (F.col("a.row") == F.col("b.row")) & (F.col("a.place") + 1 == F.col("b.place")))))
+    # steps of the number of runs over each place of a document; a link counts if both its ends are covered
+    document = Window.partitionBy("block", "row").orderBy("place")  # the marks of one document
+    source = [F.col("sblock").alias("block"), F.col("srow").alias("row")]
+    steps = runs.select(*source, F.col("splace").alias("place"), F.lit(1).alias("step")).unionByName(runs.select(*source, (F.col("splace") + edges + 1).alias("place"), F.lit(-1).alias("step")))
+
+    def swept(marks: DataFrame) -> DataFrame:
+        """marks (block, row, place, step, cut), one a place, with the depth from the place on, and before it."""
+        one = marks.groupBy("block", "row", "place").agg(F.sum("step").alias("step"), F.max("cut").alias("cut"))
+        deep = one.withColumn("depth", F.sum("step").over(document))
+        return deep.withColumn("end", F.lead("place").over(document) - 1).withColumn("before", F.lag("depth", 1, 0).over(document))
+
+    ends = links.select("a.*").unionByName(links.select("b.*"))
+    covered = cut(swept(steps.withColumn("cut", F.lit(0)).unionByName(ends.select("*", F.lit(0).alias("step"), F.lit(1).alias("cut")))).where("cut = 1 and depth > 0").select(at("block", "row", "place").alias("end_")))
+    links = cut(links.join(covered, F.col("a") == F.col("end_"), "left_semi").join(covered, F.col("b") == F.col("end_"), "left_semi"))
+    cuts = links.select("a.block", "a.row", (F.col("a.place") + 1).alias("place")).unionByName(links.select("b.*"))
+    # stretches: places that some run covers, cut at the links
+    parts = swept(steps.withColumn("cut", F.lit(0)).unionByName(cuts.select("*", F.lit(0).alias("step"), F.lit(1).alias("cut"))))
+    parts = parts.withColumn("n", F.sum(F.when((F.col("cut") == 1) | (F.col("before") == 0), 1).otherwise(0)).over(document)).where("depth > 0")
+    pieces = cut(parts.groupBy("block", "row", "n").agg(F.min("place").alias("lo"), F.max("end").alias("hi")).select(F.xxhash64("block", "row", "lo").alias("id"), "block", "row", "lo", "hi"))
+    head = pieces.select(at("block", "row", F.col("lo").alias("place")).alias("b"), F.col("id").alias("to"))
+    tail = pieces.select(at("block", "row", F.col("hi").alias("place")).alias("a"), F.col("id").alias("from"))
+    next_ = tail.select("from", F.struct(F.col("a.block").alias("block"), F.col("a.row").alias("row"), (F.col("a.place") + 1).alias("place")).alias("b")).join(head, "b").select("from", "to")
+    ways = cut(links.join(tail, "a").join(head, "b").select("from", "to").unionByName(next_).distinct())
+    # nodes with one way in and one way out
+    single = lambda c: ways.groupBy(c).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select(c)
+    chain = ways.join(single("from"), "from", "left_semi").join(single("to"), "to", "left_semi")
+    ids = pieces.select("id")
+    placed = _along(pieces.select("id"), chain)
+    if not (rings := cut(placed.where("moves"))).isEmpty():  # a ring is cut before its smallest piece
+        placed = _along(pieces.select("id"), chain.join(rings.select(F.col("least").alias("to")).distinct(), "to", "left_anti"))
+    named = runs.select(*source, F.col("sdoc").alias("doc")).distinct()
+    return placed.select("id", F.col("back").alias("path"), F.col("far").alias("place")).join(pieces, "id").join(named, ["block", "row"]).select("path", "place", "doc", F.col("lo").alias("start"), (F.col("hi") - F.col("lo") + length).alias("n_words"))
+
+
+def _along(ids: DataFrame, chain: DataFrame) -> DataFrame:
+    """(id, back, far, least, moves): each id's head by the chain (from, to), how far it is, and the smallest id on the way.
+
+    Every id points back; each round it takes over where the id that it points to points, so distances
+    double. After as many rounds as the number of ids has bits only those of rings move.
+    """
+    back = F.coalesce("from", "id")
+    now = cut(ids.join(chain.select(F.col("to").alias("id"), "from"), "id", "left").select("id", back.alias("back"), F.col("from").isNotNull().cast("bigint").alias("far"), F.least("id", back).alias("least"), F.col("from").isNotNull().alias("moves")))
+    n = now.count()
+    for _ in range(n.bit_length() + 1):
+        other = now.select(F.col("id").alias("back"), F.col("back").alias("further"), F.col("far").alias("more"), F.col("least").alias("low"))
+        moved = salted_join(now.select("id", "back", "far", "least"), other, ["back"], rows=n)
+        now = cut(moved.select("id", F.col("further").alias("back"), (F.col("far") + F.col("more")).alias("far"), F.least("least", "low").alias("least"), (F.col("further") != F.col("back")).alias("moves")))
+        if now.where("moves").isEmpty():
+            break
+    return now
+
+
 class _Replace(_Finish):
     """The rows of a block with the kept words as their text; texts of which nothing goes stay as they are."""
 
