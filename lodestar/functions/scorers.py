@@ -52,12 +52,15 @@ def term_overlap(queries: pd.Series, passages: pd.Series) -> pd.Series:
     return pd.Series([min(1.0, 1.3 * len(words(q) & words(p)) / max(1, len(words(q)))) for q, p in zip(queries, passages, strict=True)])
 
 
-def rerank(hits: DataFrame, scorer: PairScorer | None = None, n: int = 50, query_col: str = "query", text_col: str = "content") -> DataFrame:
-    """hits with rerank_score, the best n of each query_id; without a scorer the order stays as it is."""
+def rerank(hits: DataFrame, scorer: PairScorer | None = None, n: int = 50, query_col: str = "query", text_col: str = "content", most_chars: int | None = 2000) -> DataFrame:
+    """hits with rerank_score, the best n of each query_id; without a scorer the order stays as it is.
+
+    A scorer reads the first most_chars of a passage, as models have a limit; None: all of it.
+    """
     if scorer is None:
         scored = hits.withColumn("rerank_score", F.col("score"))
     else:
-        score = F.pandas_udf(lambda q, p: scorer(q, p.str.slice(0, 2000)).astype(float), "double")
+        score = F.pandas_udf(lambda q, p: scorer(q, p.str.slice(0, most_chars)).astype(float), "double")
         scored = hits.withColumn("rerank_score", score(F.col(query_col), F.col(text_col)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "doc_id"))
     return scored.withColumn("rank", place).where(F.col("rank") <= n)

@@ -156,8 +156,9 @@ def _terms(spark, get) -> DataFrame:
     return _hits(spark, get).groupBy("query_id").applyInPandas(pick, "query_id long, doc_id long, place int")
 
 
-def build_context(pdf: pd.DataFrame, most_chunks: int = 12, most_tokens: int = 1200) -> pd.DataFrame:
-    """Hits of one query to a context: first occurrences, best first, diversified, within the budget, cited."""
+def context_parts(pdf: pd.DataFrame, most_chunks: int = 12, most_tokens: int = 1200) -> tuple[list[tuple[str, str]], int]:
+    """((citation, text), ...) of one query's hits (doc_id, score, source, content), and their tokens: first
+    occurrences, best first, diversified, within the budget, long ones cut."""
     pdf = pdf.drop_duplicates("doc_id").sort_values(["score", "doc_id"], ascending=[False, True]).reset_index(drop=True)
     pdf = pdf.iloc[term_relevance(pdf.content.tolist(), pdf.score.to_numpy(), 2 * most_chunks)].reset_index(drop=True)
     budget, used, parts = int(most_tokens * 0.92), 0, []
@@ -177,8 +178,13 @@ def build_context(pdf: pd.DataFrame, most_chunks: int = 12, most_tokens: int = 1
     for row, text in parts[:most_chunks]:
         base = f"{row.source}#{row.doc_id}"
         seen[base] += 1
-        out.append(f"[{base}{'' if seen[base] == 1 else f'~{seen[base]}'}] {text}")
-    return pd.DataFrame({"query_id": [pdf.query_id[0]], "context": ["\n\n".join(out)], "chunks": [len(out)], "tokens": [used]})
+        out.append((f"{base}{'' if seen[base] == 1 else f'~{seen[base]}'}", text))
+    return out, used
+
+
+def build_context(pdf: pd.DataFrame, most_chunks: int = 12, most_tokens: int = 1200) -> pd.DataFrame:
+    parts, used = context_parts(pdf, most_chunks, most_tokens)
+    return pd.DataFrame({"query_id": [pdf.query_id.iloc[0]], "context": ["\n\n".join(f"[{cite}] {text}" for cite, text in parts)], "chunks": [len(parts)], "tokens": [used]})
 
 
 @builder("FUS06_build_context")

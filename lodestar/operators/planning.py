@@ -43,9 +43,10 @@ def complexity(d: Dialect) -> str:
     return f"case when {d.size(d.words('q'))} > 25 or {marks} > 1 then 'complex' when {d.size(d.words('q'))} > 12 or {d.any_of('lower(q)', CONJUNCTIONS)} then 'medium' else 'simple' end"
 
 
-def planned(d: Dialect) -> str:
+def planned(d: Dialect, source: str | None = None) -> str:
+    """source (item_id, q), by default the made questions, with intent, complexity and modalities."""
     image = f"({intent(d)} = 'visual_reasoning' or {d.any_of('lower(q)', IMAGE)})"
-    return f"(select item_id, q, {intent(d)} as intent, {complexity(d)} as complexity, {image} as image, {d.any_of('lower(q)', AUDIO)} as audio, {d.any_of('lower(q)', VIDEO)} as video, 1 + cast({image} as int) + cast({d.any_of('lower(q)', AUDIO)} as int) + cast({d.any_of('lower(q)', VIDEO)} as int) as n from {asked(d)} a)"
+    return f"(select item_id, q, {intent(d)} as intent, {complexity(d)} as complexity, {image} as image, {d.any_of('lower(q)', AUDIO)} as audio, {d.any_of('lower(q)', VIDEO)} as video, 1 + cast({image} as int) + cast({d.any_of('lower(q)', AUDIO)} as int) + cast({d.any_of('lower(q)', VIDEO)} as int) as n from {source or asked(d)} a)"
 
 
 def _plan(name: str, columns) -> None:
@@ -55,7 +56,12 @@ def _plan(name: str, columns) -> None:
 _plan("PLN01_intent", lambda d: "intent")
 _plan("PLN02_complexity", lambda d: f"complexity, case when {d.size(d.words('q'))} > 20 then 'complex' when {d.size(d.words('q'))} > 10 then 'medium' else 'simple' end as local_complexity")
 _plan("PLN03_modalities", lambda d: "concat_ws(',', 'text', case when image then 'image' end, case when audio then 'audio' end, case when video then 'video' end) as modalities, round(cast(1 as double) / n, 6) as weight")
-_plan("PLN04_strategy", lambda d: f"case when complexity = 'simple' then 'dense_only' when intent in ('explanatory', 'comparative') then 'hybrid' when intent = 'visual_reasoning' then 'multimodal_fusion' else 'hybrid' end as strategy, case when complexity = 'simple' then 20 else {DENSE_K} end as dense_k, case when complexity = 'simple' then 0 when intent = 'visual_reasoning' then {SPARSE_K // 2} else {SPARSE_K} end as sparse_k, case when complexity = 'simple' then 10 else {RERANK_K} end as rerank_k")
+def strategy() -> str:
+    """strategy and the k of each step, over planned()."""
+    return f"case when complexity = 'simple' then 'dense_only' when intent in ('explanatory', 'comparative') then 'hybrid' when intent = 'visual_reasoning' then 'multimodal_fusion' else 'hybrid' end as strategy, case when complexity = 'simple' then 20 else {DENSE_K} end as dense_k, case when complexity = 'simple' then 0 when intent = 'visual_reasoning' then {SPARSE_K // 2} else {SPARSE_K} end as sparse_k, case when complexity = 'simple' then 10 else {RERANK_K} end as rerank_k"
+
+
+_plan("PLN04_strategy", lambda d: strategy())
 _plan("PLN05_tools", lambda d: f"concat_ws(',', case when image and {d.any_of('lower(q)', OCR)} then 'ocr_extractor' end, case when {d.any_of('lower(q)', TABLE)} then 'table_parser' end, case when {d.any_of('lower(q)', COMPUTE)} then 'code_interpreter' end) as tools")
 _CONFIDENCE = "least(1e0, greatest(0e0, case when complexity = 'simple' then 1.1e0 else 1e0 end * 0.95e0 * case when n > 2 then 0.9e0 else 1e0 end))"
 _plan("PLN06_confidence", lambda d: f"round({_CONFIDENCE}, 6) as confidence, case when {_CONFIDENCE} >= 0.8 then 'HIGH' when {_CONFIDENCE} >= 0.5 then 'MEDIUM' else 'LOW' end as level")
@@ -68,9 +74,9 @@ def replaced(d: Dialect, x: str, pairs, guard: str | None = None) -> str:
     return f"trim({x})"
 
 
-def _stepwise(d: Dialect, pairs) -> str:
+def _stepwise(d: Dialect, pairs, asked_: str | None = None) -> str:
     """As replaced() with a guard on the original, one select for each rule: nested cases would double each time."""
-    source = f"(select item_id, q, q as t from {asked(d)} a)"
+    source = f"(select item_id, q, q as t from {asked_ or asked(d)} a)"
     for i, (a, b) in enumerate(pairs):
         source = f"(select item_id, q, case when contains(lower(q), {d.text(a)}) then replace(replace(t, {d.text(a)}, {d.text(b)}), {d.text(a.upper())}, {d.text(b.upper())}) else t end as t from {source} s{i})"
     return source
@@ -81,10 +87,13 @@ template("QEX02_technical")(lambda d: f"select item_id, trim(t) as technical fro
 template("QEX03_simplified")(lambda d: f"select item_id, {replaced(d, 'q', SIMPLE)} as simplified from {asked(d)} a")
 
 
-@template("QEX05_variants")
-def _variants(d: Dialect) -> str:
-    return f"""with v as (select item_id, 0 as place, q as variant from {asked(d)} a union all select item_id, 1, {replaced(d, 'q', CONTRACTIONS)} from {asked(d)} b union all select item_id, 2, trim(t) from {_stepwise(d, TECHNICAL)} c union all select item_id, 3, {replaced(d, 'q', SIMPLE)} from {asked(d)} e)
-        select item_id, place, variant from (select item_id, place, variant, n, row_number() over (partition by item_id order by place) as k from (select *, row_number() over (partition by item_id, lower(trim(variant)) order by place) as n from v) r where n = 1) s where k <= 5"""
+def variants(d: Dialect, source: str) -> str:
+    """(item_id, place, variant) of source (item_id, q): the question and its rewritings, each once, five at most."""
+    return f"""(with v as (select item_id, 0 as place, q as variant from {source} a union all select item_id, 1, {replaced(d, 'q', CONTRACTIONS)} from {source} b union all select item_id, 2, trim(t) from {_stepwise(d, TECHNICAL, source)} c union all select item_id, 3, {replaced(d, 'q', SIMPLE)} from {source} e)
+        select item_id, place, variant from (select item_id, place, variant, n, row_number() over (partition by item_id order by place) as k from (select *, row_number() over (partition by item_id, lower(trim(variant)) order by place) as n from v) r where n = 1) s where k <= 5)"""
+
+
+template("QEX05_variants")(lambda d: f"select item_id, place, variant from {variants(d, asked(d))} w")
 
 
 @template("QEX06_decomposition")

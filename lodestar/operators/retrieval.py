@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ..catalog import template
+from ..catalog import builder, template
 from ..plans.dialect import Dialect
+from ..plans.prepared import best, prepare
 
 # fixed values of the scoring formulas
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -235,3 +236,20 @@ def _comparison(d: Dialect) -> str:
         ideal as (select query_id, sum(1 / (ln(i + 1) / ln(2))) as idcg from (select query_id, row_number() over (partition by query_id order by doc_id) as i from gold) o where i <= 10 group by query_id)
         select n.retriever, count(*) as queries, round(avg(cast(case when n_hit > 0 then 1 else 0 end as double)), 6) as recall_hit_10, round(avg(cast(coalesce(n_hit, 0) as double) / n_gold), 6) as recall_fraction_10, round(avg(coalesce(cast(1 as double) / first_hit, 0)), 6) as mrr, round(avg(coalesce(dcg / idcg, 0)), 6) as ndcg_10
         from many m cross join names n join ideal i on i.query_id = m.query_id left join hits h on h.query_id = m.query_id and h.retriever = n.retriever group by n.retriever"""
+
+
+def _reranked(d: Dialect) -> str:
+    """The oracle of RER01: each query's fifty best by the share of its words in the passage."""
+    words = lambda x: f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: length(w) >= 3))"
+    return f"""with {bm25(d)}, {ranked('top', 'bm', 50)}, s as (select t.query_id, t.doc_id, least(1e0, 1.3e0 * len(list_intersect({words('b.text')}, {words('x.text')})) / greatest(1, len({words('b.text')}))) as share from top t join benchmark b on b.item_id = t.query_id join documents x on x.doc_id = t.doc_id)
+        select query_id, doc_id, round(share, 6) as rerank_score, cast(k as int) as rank from (select *, row_number() over (partition by query_id order by share desc, doc_id) as k from s) r where k <= 10"""
+
+
+@builder("RER01_rerank", _reranked)
+def _rerank(spark, get):
+    from ..functions.scorers import rerank, term_overlap
+
+    hits = best(prepare(spark, "prepared_bm", get).where("score > 0"), 50)
+    texts = hits.join(get("benchmark").selectExpr("item_id as query_id", "text as query"), "query_id").join(get("documents").selectExpr("doc_id", "text as content"), "doc_id")
+    found = rerank(texts, term_overlap, 10, most_chars=None)
+    return found.selectExpr("query_id", "doc_id", "round(rerank_score, 6) as rerank_score", "cast(rank as int) as rank")

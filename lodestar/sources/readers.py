@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from ..catalog import builder, template
 from ..operators.retrieval import gold
 from ..plans.dialect import Dialect
+from ..plans.store import checkpoint_folder
 
 # fixed values: suffixes by kind
 TEXT = ("txt", "md", "csv", "json", "html", "htm", "pdf", "docx", "xlsx", "xls", "pptx")
@@ -22,9 +26,9 @@ IMAGE, AUDIO, VIDEO = ("png", "jpg", "jpeg", "webp", "bmp"), ("mp3", "wav", "m4a
 
 
 def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = TEXT) -> DataFrame:
-    """(path, length, modificationTime, suffix) of the files with a known suffix, by suffix and path."""
+    """(path, length, modificationTime, suffix) of the files with a known suffix, in no order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).drop("content")
-    return files.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).where(F.col("suffix").isin(*suffixes)).orderBy("suffix", "path")
+    return files.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).where(F.col("suffix").isin(*suffixes))
 
 
 def modality(path: Column) -> Column:
@@ -41,8 +45,13 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """(path, page, text): cells joined by a space, rows by a line end, in the order of the file."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x != "")
-    return raw.select("path", F.lit(1).alias("page"), F.array_join(F.transform(lines, lambda x: F.array_join(F.transform(F.split(x, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.regexp_replace(c, r'^"|"$', "")), " ")), "\n").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # a quoted cell may hold commas, quotes and line ends
+            texts = ["\n".join(" ".join(r) for r in csv.reader(io.StringIO(t or "", newline="")) if r) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([1] * len(texts), pa.int32()), pa.array(texts, pa.string())], names=["path", "page", "text"])
+
+    return raw.mapInArrow(run, "path string, page int, text string")
 
 
 def read_json_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -126,8 +135,8 @@ def _xlsx(content: bytes) -> list[str]:
 OFFICE = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx}
 
 
-def read_office(spark: SparkSession, path: str) -> DataFrame:
-    """(path, page, text) of docx, pptx and xlsx files; a file that cannot be read has no pages."""
+def office_pages(files: DataFrame) -> DataFrame:
+    """(path, page, text) of files (path, content): docx, pptx and xlsx; one that cannot be read has no pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,11 +144,58 @@ def read_office(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rows += [(name, k, t) for k, t in enumerate(OFFICE[name.rsplit(".", 1)[-1].lower()](content), 1)]
-                except (KeyError, zipfile.BadZipFile, ElementTree.ParseError, ValueError, IndexError):
+                except (KeyError, TypeError, zipfile.BadZipFile, ElementTree.ParseError, ValueError, IndexError):
                     continue
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["path", "page", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, page int, text string")
+    return files.select("path", "content").where("path is not null").mapInArrow(run, "path string, page int, text string")
+
+
+def read_office(spark: SparkSession, path: str) -> DataFrame:
+    """office_pages of the files of a path."""
+    return office_pages(spark.read.format("binaryFile").load(path))
+
+
+def _zipped(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def make_docx(lines: list[str]) -> bytes:
+    """The least docx with a paragraph a line."""
+    body = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in lines)
+    return _zipped({"word/document.xml": f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>'})
+
+
+def make_pptx(slides: list[str]) -> bytes:
+    return _zipped({f"ppt/slides/slide{k}.xml": f'<p:sld xmlns:p="p" xmlns:a="a"><a:t>{escape(x)}</a:t></p:sld>' for k, x in enumerate(slides, 1)})
+
+
+def make_xlsx(title: str, rows: list[list[str]]) -> bytes:
+    cells = "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{escape(c)}</t></is></c>' for c in r) + "</row>" for r in rows)
+    return _zipped({"xl/workbook.xml": f'<workbook xmlns="m"><sheets><sheet name="{escape(title)}"/></sheets></workbook>', "xl/worksheets/sheet1.xml": f"<worksheet xmlns='m'><sheetData>{cells}</sheetData></worksheet>"})
+
+
+def _nations(get, suffix: str, make) -> DataFrame:
+    """Office files made of each region's nations, read again."""
+    listed = get("nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(f"region{k}.{suffix}", make(k, [(x["n_nationkey"], x["n_name"]) for x in n])) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["path", "content"])
+
+    return office_pages(listed.mapInArrow(files, "path string, content binary"))
+
+
+def _rewritten(spark: SparkSession, df: DataFrame, write, read) -> DataFrame:
+    """df, written to a folder of the shared checkpoint folder and read from there."""
+    path = f"{checkpoint_folder(spark)}/sink-{uuid.uuid4().hex}"
+    write(df, path)
+    return read(path)
 
 
 def embedded_images(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -187,7 +243,12 @@ template("SRC13_jsonl_scan")(lambda d: f"select event_id, {d.json('props', 'sess
 template("SRC14_ground_truth")(lambda d: f"select g.query_id, g.doc_id as chunk_id, 1e0 as grade from ({gold(d)}) g join benchmark on item_id = g.query_id where trim(text) <> ''")
 template("SRC15_graded_truth")(lambda d: f"select 'line_' || s.query_id as query_id, count(*) as n_gold, sum(case when full_.doc_id is not null then 2 else 1 end) as total_grade from ({gold(d, 40)}) s left join ({gold(d)}) full_ on full_.query_id = s.query_id and full_.doc_id = s.doc_id group by s.query_id")
 template("SRC17_embedded_images")(lambda d: f"select page_id, {d.size(d.all('html', r'<img[^>]*>'))} as images, {d.size(d.all('html', r'data:image/[a-z]+;base64,([A-Za-z0-9+/=]+)', 1))} as inline_images from pages")
-builder("SRC01_document_listing")(lambda spark, get: get("documents").select("source", "doc_id").orderBy("source", "doc_id"))
-builder("SRC02_whole_texts")(lambda spark, get: get("documents").select("doc_id", F.lit(1).alias("page"), F.regexp_replace("text", "�", "").alias("text")))
+builder("SRC01_document_listing", "select source, doc_id from documents")(lambda spark, get: get("documents").select("source", "doc_id"))
+builder("SRC02_whole_texts", "select doc_id, 1 as page, replace(text, chr(65533), '') as text from documents")(lambda spark, get: get("documents").select("doc_id", F.lit(1).alias("page"), F.regexp_replace("text", "�", "").alias("text")))
 builder("SRC19_synthetic_vectors")(lambda spark, get: synthetic_vectors(spark, 1000))
-builder("SRC20_tiny_corpus")(lambda spark, get: tiny_corpus(spark))
+builder("SRC20_tiny_corpus", "select 'doc' || k || '_c1' as chunk_id, 'doc' || k || '.pdf' as source, content, token_count from (values (1, 'Retrieval finds passages that answer a question.', 30), (2, 'Fusion joins ranked lists into one.', 28), (3, 'Verification checks claims against evidence.', 25)) v(k, content, token_count)")(lambda spark, get: tiny_corpus(spark))
+builder("SRC08_docx", "select 'region' || n_regionkey || '.docx' as path, 1 as page, string_agg(n_name, chr(10) order by n_nationkey) as text from nation group by n_regionkey")(lambda spark, get: _nations(get, "docx", lambda k, n: make_docx([x for _, x in n])))
+builder("SRC09_pptx", "select 'region' || n_regionkey || '.pptx' as path, cast(row_number() over (partition by n_regionkey order by n_nationkey) as int) as page, n_name as text from nation")(lambda spark, get: _nations(get, "pptx", lambda k, n: make_pptx([x for _, x in n])))
+builder("SRC10_xlsx", "select 'region' || n_regionkey || '.xlsx' as path, 1 as page, 'Sheet: nations' || chr(10) || string_agg(n_nationkey || ' ' || n_name, chr(10) order by n_nationkey) as text from nation group by n_regionkey")(lambda spark, get: _nations(get, "xlsx", lambda k, n: make_xlsx("nations", [[str(i), x] for i, x in n])))
+builder("SNK01_chunk_lines", "select doc_id, source, n_chars, text from documents")(lambda spark, get: _rewritten(spark, get("documents").select("doc_id", "source", "n_chars", "text"), write_chunks, lambda path: read_jsonl(spark, path, "doc_id long, source string, n_chars long, text string")))
+builder("SNK06_vectors", "select vec_id, len(embedding) as dims, round(cast(embedding[1] as double), 6) as x1, label from embeddings")(lambda spark, get: _rewritten(spark, get("embeddings"), write_vectors, spark.read.parquet).selectExpr("vec_id", "cast(size(embedding) as bigint) as dims", "round(cast(embedding[0] as double), 6) as x1", "label"))
