@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from ..catalog import template
+from pyspark.sql import functions as F
+
+from ..catalog import builder, template
 from ..plans.dialect import Dialect
+from ..plans.ordered import running
 
 # fixed values: window and overlap of tokens, and the limits of the semantic split
 SIZE, OVERLAP = 256, 64
@@ -32,9 +35,10 @@ def _offsets(d: Dialect) -> str:
     return f"select doc_id, s as start, char_start, case when char_start < 0 then 0 else char_start + n_chars end as char_end from (select doc_id, s, cast(instr(text, chunk) as bigint) - 1 as char_start, cast(length(chunk) as bigint) as n_chars from (select doc_id, text, s, {chunk} as chunk from {d.unnest(f'(select doc_id, text, w, {n} as n from {source} x) y', 'doc_id, text, w, n', starts, 's')} t where n > 0 and (s = 0 or s - {step} + {SIZE} < n)) c) e"
 
 
-@template("CHK05_page_offsets")
-def _pages(d: Dialect) -> str:
-    return "select source, doc_id, coalesce(cast(sum(n_chars + 2) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding) as bigint), 0) as offset_ from documents"
+@builder("CHK05_page_offsets", "select source, doc_id, coalesce(cast(sum(n_chars + 2) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding) as bigint), 0) as offset_ from documents")
+def _pages(spark, get):
+    found = running(get("documents").select("source", "doc_id", "n_chars"), ["source"], [F.asc("doc_id")], {"upto": F.col("n_chars").cast("bigint") + 2})
+    return found.select("source", "doc_id", (F.col("upto") - F.col("n_chars") - 2).alias("offset_"))
 
 
 @template("CHK08_semantic_split")

@@ -49,6 +49,8 @@ def _claims(d: Dialect) -> str:
 
 @template("JOI11_neighbour_chunks")
 def _neighbours(d: Dialect) -> str:
+    if d.spark:
+        return "select doc_id, preceding, following from prepared_beside"
     return "select doc_id, lag(doc_id) over (partition by source order by doc_id) as preceding, lead(doc_id) over (partition by source order by doc_id) as following from documents"
 
 

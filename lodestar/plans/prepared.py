@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import beside
 from .search import Index, best, build_index, nearest_vectors, verbatim
 from .store import stamp, stored
 
@@ -79,6 +80,7 @@ PREPARED: dict[str, Callable[[Get], DataFrame]] = {
     "prepared_gold_40": lambda get: _gold(get, 40),
     "prepared_nn": _nn,
     "prepared_halves": _halves,
+    "prepared_beside": lambda get: _once("beside", get, ("documents",), lambda: stored(beside(get("documents").select("source", "doc_id"), ["source"], [F.asc("doc_id")], "doc_id"))),
 }
 
 
