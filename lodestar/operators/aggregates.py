@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..catalog import template
+from pyspark.sql import functions as F
+
+from ..catalog import builder, template
 from ..plans.dialect import Dialect
 
 
@@ -45,3 +47,10 @@ simple("SRC18_latest_files", "select source, doc_id from (select source, doc_id,
 # generic relational coverage on the star schema: an extension, not in the inventory
 simple("EXT_pricing_summary", "select l_returnflag, l_linestatus, round(sum(cast(l_quantity as double)), 2) as qty, round(sum(cast(l_extendedprice as double)), 2) as price, count(*) as n from lineitem group by l_returnflag, l_linestatus")
 simple("EXT_nation_revenue", "select n_name, round(sum(cast(l_extendedprice as double) * (1 - cast(l_discount as double))), 2) as revenue from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join nation on c_nationkey = n_nationkey group by n_name")
+
+
+@builder("AGG04_percentile_sketch")
+def _sketch(spark, get):
+    """As AGG04_percentile by a sketch of bounded size: each value's rank is off by at most a 10,000th of the rows."""
+    p = lambda q: F.percentile_approx("value", q, 10_000)
+    return get("events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.9).alias("p90"))

@@ -192,10 +192,10 @@ def _context(spark, get) -> DataFrame:
     return _hits(spark, get).groupBy("query_id").applyInPandas(lambda pdf: build_context(pdf), "query_id long, context string, chunks int, tokens long")
 
 
-def sample_scenes(times: np.ndarray, values: np.ndarray, interval: float, change: float) -> np.ndarray:
+def sample_scenes(times: np.ndarray, values: np.ndarray, interval: float, change: float, last: tuple[float, float] = (-math.inf, math.inf)) -> np.ndarray:
     """True for events kept: 0.9 * interval after the last kept one, or over `change` apart from it."""
     keep = np.zeros(len(times), bool)
-    at, value = -math.inf, math.inf
+    at, value = last
     for i, (t, v) in enumerate(zip(times.tolist(), values.tolist(), strict=True)):
         if t - at >= 0.9 * interval or abs(v - value) > change:
             keep[i], at, value = True, t, v
@@ -204,13 +204,24 @@ def sample_scenes(times: np.ndarray, values: np.ndarray, interval: float, change
 
 @builder("WIN09_scene_sampling")
 def _scenes(spark, get) -> DataFrame:
-    """State is the last kept event of a user; a user's events stay in the order of time."""
+    """A user's events come in the order of time, batch by batch; only the last kept event is carried on."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"])
-        return pdf[sample_scenes(pdf.t.to_numpy(), pdf.value.to_numpy(), 43_200.0, 60.0)][["user_id", "event_id"]]
-
-    return get("events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"), "value").groupBy("user_id").applyInPandas(pick, "user_id long, event_id long")
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, last = None, (-math.inf, math.inf)
+        for batch in batches:
+            parts = []
+            for key, pdf in batch.groupby("user_id", sort=False):
+                if key != user:
+                    user, last = key, (-math.inf, math.inf)
+                kept = pdf[sample_scenes(pdf.t.to_numpy(), pdf.value.to_numpy(), 43_200.0, 60.0, last)]
+                if len(kept):
+                    last = (kept.t.iloc[-1], kept.value.iloc[-1])
+                parts.append(kept[["user_id", "event_id"]])
+            if parts:
+                yield pd.concat(parts)
+
+    events = get("events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"), "value")
+    return events.where("user_id is not null").repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInPandas(pick, "user_id long, event_id long")
 
 
 def bleu(candidate: list[str], reference: list[str]) -> tuple[float, float, float, float]:

@@ -37,8 +37,13 @@ def user_sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
 
 
 def distinct_events(events: DataFrame) -> DataFrame:
-    """Each event id once; as a stream, within the watermark."""
-    return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
+    """Each event id once: its first row by time and then by the other columns; as a stream, what comes first within
+    the watermark."""
+    if events.isStreaming:
+        return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
+    rest = [c for c in events.columns if c not in ("event_id", "ts")]
+    first = events.groupBy("event_id").agg(F.min(F.struct("ts", *rest)).alias("first"))
+    return first.select("event_id", "first.*").select(*events.columns)
 
 
 def failure_tracker(events: DataFrame, limit: int = 5) -> DataFrame:
