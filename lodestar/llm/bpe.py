@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table
 
 #: Words of the lexicon: what stands outside it costs time, never exactness.
 LEXICON_WORDS = 100_000
@@ -35,7 +35,9 @@ LEXICON_BYTES = 48
 #: A word that stands less often in the corpus is no lexicon word.
 LEAST_COUNT = 8
 #: Words whose ids a worker keeps at hand.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
+#: Words of like length that are merged together.
+MERGED_WORDS = 1 << 15
 
 # fixed values: the two pre-tokenizers' patterns, and the white space they go by
 _BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -157,8 +159,9 @@ class Vocabulary:
                 if w in self.special:
                     out[i], sizes[i] = [self.special[w]], 0
         for lo, hi in ((1, 6), (7, 10), (11, 16), (17, 32), (33, 64)):
-            rows = np.flatnonzero((sizes >= lo) & (sizes <= hi))
-            if len(rows):
+            fitting = np.flatnonzero((sizes >= lo) & (sizes <= hi))
+            for first in range(0, len(fitting), MERGED_WORDS):
+                rows = fitting[first : first + MERGED_WORDS]
                 self._merge_rows([coded[i] for i in rows], sizes[rows], rows, out)
         for i in np.flatnonzero(sizes > 64):
             parts = [self._chars[b] for b in coded[i]]
@@ -389,7 +392,7 @@ def encoder(content: bytes, lexicon: str | None, kind: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def text_groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def text_groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Neighbouring texts of about most characters together, with the first one's place; null as empty."""
     group, size, first = [], 0, 0
     for i, text in enumerate(texts):
@@ -493,6 +496,7 @@ def _encode(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, le
                     yield pa.record_batch([own, *columns], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     yield pa.record_batch([own, pa.array([[int(x) for x in i.split(",")] if i else [] for i in ids], pa.list_(pa.int32())), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
+        release()
 
     schema = f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else f"{id_col} bigint, ids array<int>, decoded string"
     return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, table, text_buffers
+from .common import crc_bucket, release, table, text_buffers
 
 #: Buckets of trigrams: a fixed size, so the model's size depends on the number of languages alone.
 BUCKETS = 1 << 13
@@ -185,6 +185,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.35, text_
             for first, pick, score, _ in _predicted(batch.column(at), shared.value):
                 keep = (np.asarray(pick, object) != UNKNOWN) & (score >= least)
                 yield batch.slice(first, len(pick)).filter(pa.array(keep))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

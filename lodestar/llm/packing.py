@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, text_groups, vocabulary
-from .common import cut, table
+from .common import cut, release, table
 
 #: Pieces of a shard: what one task assigns; a shard's last bin is all that dealing can cost.
 SHARD_PIECES = 65_536
 ISLANDS = 3
 ROUNDS = 2
-POPULATION = 6
+POPULATION = 4
 GENERATIONS = 8
 #: Bins that a search goes through, and displaced items that are fitted tightly.
 WORK = 20_000
@@ -198,6 +198,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<u4").astype(np.int32))))
                 yield pa.record_batch(columns, names=[id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
+        release()
 
     return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, crc_bucket, prefix_hash, span_hash, table, text_buffers, word_spans
+from .common import SPACE, crc_bucket, prefix_hash, release, span_hash, table, text_buffers, word_spans
 
 STATISTICS = ("n_bytes", "n_words", "mean_word", "max_word", "upper", "digit", "symbol", "stop", "bar", "line", "same_next", "distinct", "capital_words", "marked_words", "common_share")
 
@@ -270,6 +270,7 @@ def keep_good(docs: DataFrame, model: RuleModel, least: float = 0.3, text_col: s
                 out = statistics(data, offsets)
                 part = batch.slice(first, len(out))
                 yield pa.record_batch([*part.columns, *(pa.array(out[:, k]) for k in range(out.shape[1]))], names=[*part.schema.names, *(prefix + s for s in STATISTICS)])
+        release()
 
     return docs.mapInArrow(run, fields).where(F.round(model.column(prefix), 9) >= least).select(*docs.columns)
 
