@@ -9,7 +9,7 @@ estimated candidate counts. Every candidate is verified on all 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, mix, partitions, salted_join, table, text_buffers, word_spans
+from .common import HOT_KEYS, SPACE, cut, mix, partitions, release, salted_join, table, text_buffers, word_spans
 from .components import components
 
 BITS = 64
@@ -191,12 +191,6 @@ def _near(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) -> I
         yield a, b
 
 
-def _between(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) -> tuple[np.ndarray, np.ndarray]:
-    """All those pairs whose groups, the last column of g, differ."""
-    found = [(a[ok], b[ok]) for a, b in _near(f, g[:, :-1], own, limit, overall) for ok in [g[a, -1] != g[b, -1]]]
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
-
-
 def _forest(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of those pairs."""
     root = np.arange(len(f))
@@ -238,14 +232,13 @@ def _part(t: pa.Table | pa.RecordBatch) -> np.ndarray:
     return t.column("part").to_numpy().astype(np.int64) << 32 | t.column("slice").to_numpy().astype(np.int64)
 
 
-def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int = 1, apart: bool = False, sample_rows: int = 4096) -> DataFrame:
+def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int = 1, sample_rows: int = 4096) -> DataFrame:
     """(u, v): links that join what links of at most limit differing bits join.
 
     points has distinct rows (f, g, node). Where g holds further fingerprints, a link must also differ in
     at most `overall` bits of f and g together. A bucket's links are thinned to a spanning forest, which
-    has the same components. With columns > 1 the first of g's fingerprints propose pairs as f does. With
-    apart the last column of g is a group, and all pairs of different groups are listed. The plan is fitted on sample_rows fingerprints and the exact count. A
-    bucket's plain patterns are compared with all that probe it; where there are more than BUCKET of
+    has the same components. With columns > 1 the first of g's fingerprints propose pairs as f does. The
+    plan is fitted on sample_rows fingerprints and the exact count. A bucket's plain patterns are compared with all that probe it; where there are more than BUCKET of
     the former or PROBING of the latter, both are cut, and each part meets each slice in a group of its own.
     """
     spark = points.sparkSession
@@ -276,8 +269,12 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
 
     schema = "key bigint, f bigint, g binary, node bigint, plain boolean"
     every = points.select("f", "g", "node").mapInArrow(deal(flipped=True), schema)
-    sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("plain").cast("long")).alias("plains"))
-    hot = cut(sizes.where((F.col("plains") > BUCKET) | (F.col("size") > PROBING) & (F.col("plains") > 0)).select("key", F.ceil(F.col("plains") / BUCKET).cast("int").alias("parts"), F.ceil(F.col("size") / PROBING).cast("int").alias("slices")))
+    plain = points.select("f", "g", "node").mapInArrow(deal(flipped=False), schema)
+    hot = cut(plain.groupBy("key").agg(F.count(F.lit(1)).alias("plains")).where(F.col("plains") > BUCKET))
+    # who probes a bucket is plain in a neighbouring one, so without large buckets no bucket has many to probe it
+    if not hot.isEmpty():
+        sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("plain").cast("long")).alias("plains"))
+        hot = cut(sizes.where((F.col("plains") > BUCKET) | (F.col("size") > PROBING) & (F.col("plains") > 0)).select("key", F.ceil(F.col("plains") / BUCKET).cast("int").alias("parts"), F.ceil(F.col("size") / PROBING).cast("int").alias("slices")))
     # part -1: not split. A plain pattern of a split bucket is compared in its own part with every slice of those
     # that probe the bucket, and is in one of these slices itself for the other parts
     dealt = every.select("*", F.lit(-1).alias("part"), F.lit(0).alias("slice"))
@@ -302,7 +299,7 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(f)], strict=True):
                 if b - a > 1 and is_plain[a:b].any():
                     order = a + np.argsort(~is_plain[a:b], kind="stable")
-                    u, v = (_between if apart else _forest)(f[order], g[order], int(is_plain[a:b].sum()), limit, overall)
+                    u, v = _forest(f[order], g[order], int(is_plain[a:b].sum()), limit, overall)
                     us.append(node[order[u]])
                     vs.append(node[order[v]])
             if us:
@@ -358,15 +355,101 @@ STAGE = {"words": 5, "limit": 12, "more": 3, "overall": 64, "least": (4, 5)}
 FEW = 1 << 20
 
 
+#: Links of a text up to which they meet its shingles in one task.
+MANY_LINKS = 1024
+
+
+def _with_set(links: DataFrame, sets: DataFrame, end: str, counts: DataFrame, rows: int) -> DataFrame:
+    if counts.where(F.col("_n") > MANY_LINKS).isEmpty():
+        return links.join(sets, end)
+    return salted_join(links, sets, [end], counts=counts, rows=max(rows, MANY_LINKS * HOT_KEYS))
+
+
+#: Texts of a block that is compared with another one in a task, and columns of shingles at a time.
+TEXTS = 256
+SHINGLES = 8192
+
+
+def _across(placed: DataFrame, classes: DataFrame, texts: DataFrame, listed: Callable, least: tuple[int, int]) -> DataFrame | None:
+    """(u, v): links that join what links between different groups of a cluster join; None if no cluster has several.
+
+    placed has (node, cluster, at), at being the group. Every text outside a cluster's largest group is
+    compared with every text of another group, by their sets and in pairs of blocks, and only links come
+    out, thinned to a forest. The largest group's texts are not compared with one another.
+    """
+    groups = cut(placed.groupBy("cluster", "at").agg(F.count(F.lit(1)).alias("n")))
+    clusters = groups.groupBy("cluster").agg(F.max(F.struct("n", "at")).alias("top"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    blocks = lambda n: F.ceil(n / TEXTS).cast("int")
+    clusters = cut(clusters.select("cluster", "_n", F.col("top.at").alias("largest"), blocks(F.col("top.n")).alias("inner"), blocks(F.col("_n") - F.col("top.n")).alias("outer")))
+    if clusters.isEmpty():
+        return None
+    points = cut(salted_join(placed, clusters.drop("_n"), ["cluster"], counts=clusters.select("cluster", "_n")).withColumn("inside", F.col("at") == F.col("largest")))
+    ids = cut(points.join(classes, "node").select("id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= FEW else ids
+    sets = texts.join(ids, "id", "left_semi").mapInArrow(listed, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    key = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    # outer blocks meet each other (kind 0) and the blocks of the largest group (kind 1)
+    met = F.concat(F.transform(upto(F.col("outer")), lambda k: key(0, F.least("own", k), F.greatest("own", k))), F.transform(upto(F.col("inner")), lambda k: key(1, F.col("own"), k)))
+    to = F.when(F.col("inside"), F.transform(upto(F.col("outer")), lambda k: key(1, k, F.col("own")))).otherwise(met)
+    dealt = points.join(sets, "node").withColumn("own", own).withColumn("to", F.explode(to)).select("cluster", "to.kind", "to.a", "to.b", "inside", "own", "node", "at", "shingles")
+
+    def compare(key, group):
+        kind, a, b = (k.as_py() for k in key[1:])
+        group = group.combine_chunks().sort_by("node")
+        inside, block = group.column("inside").to_numpy(zero_copy_only=False), group.column("own").to_numpy()
+        node, at = group.column("node").to_numpy(), group.column("at").to_numpy()
+        column = group.column("shingles").combine_chunks()
+        begin = np.asarray(column.offsets, np.int64) - int(column.offsets[0].as_py())
+        flat, row = column.flatten().to_numpy(), np.repeat(np.arange(len(node)), np.diff(begin))
+        left = np.flatnonzero(~inside & (block == a))
+        right = np.flatnonzero(inside) if kind else np.flatnonzero(~inside & (block == b))
+        us, vs = similar_pairs(flat, row, np.diff(begin), left, right, at, least)
+        return pa.table({"u": pa.array(node[us]), "v": pa.array(node[vs])})
+
+    return cut(dealt.groupBy("cluster", "kind", "a", "b").applyInArrow(compare, "u bigint, v bigint"))
+
+
+def similar_pairs(flat: np.ndarray, row: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs of left and right rows of different groups (at) whose sets are alike.
+
+    flat holds the rows' sets one after the other, row the row of each element.
+    """
+    shared = np.zeros((len(left), len(right)), np.float32)
+    values, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    several = np.cumsum(often > 1) - 1  # what stands in one set only is in no intersection
+    code, row = several[code][often[code] > 1], row[often[code] > 1]
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    place = np.full((2, len(sizes)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, SHINGLES):
+        a, z = np.searchsorted(code, (lo, lo + SHINGLES))
+        sides = []
+        for side, n in ((place[0], len(left)), (place[1], len(right))):
+            at_ = side[row[a:z]]
+            ones = np.zeros((n, SHINGLES), np.float32)
+            ones[at_[at_ >= 0], code[a:z][at_ >= 0] - lo] = 1
+            sides.append(ones)
+        shared += sides[0] @ sides[1].T
+    shared = shared.astype(float)
+    alike = shared * least[1] >= (sizes[left][:, None] + sizes[right][None, :] - shared) * least[0]
+    i, j = np.nonzero(alike & (at[left][:, None] != at[right][None, :]))
+    # one link for each pair of groups is enough
+    a, b = at[left][i], at[right][j]
+    _, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)
+    return left[i[first]], right[j[first]]
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, limit: int = 12, more: int = 3, overall: int = 64, least: tuple[int, int] = (4, 5), seed: int = 42) -> DataFrame:
     """(id, component_id): the smallest id reachable by links of a shingle similarity of at least `least`.
 
     Nodes are distinct shingle sets, so copies are never paired; their fingerprints are of sets, not of
     repeats. The bits propose a spanning forest, whose links are verified on the sets. Where one fails, the
-    groups at its ends may be joined by pairs that the forest left out: all proposed pairs between such
-    groups are verified as well. So every proposed pair is verified or lies in one group anyway.
+    groups at its ends may be joined by pairs that the forest left out: texts of different groups of such a
+    cluster are compared by their sets. So every proposed pair is verified or lies in one group anyway.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,6 +461,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 node = np.asarray([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
                 further = pa.array([r.tobytes() for r in np.ascontiguousarray(f[:, 1:])], pa.binary())
                 yield pa.record_batch([batch.column(0).slice(first, len(f)), pa.array(node.view(np.int64)), pa.array(n), pa.array(f[:, 0].copy().view(np.int64)), further], names=["id", "node", "n", "f", "g"])
+        release()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,9 +485,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ids = cut(may.select(F.col("u").alias("node")).unionByName(may.select(F.col("v").alias("node"))).distinct().join(classes, "node").select("id").distinct())
         ids = F.broadcast(ids) if ids.count() <= FEW else ids
         sets = texts.join(ids, "id", "left_semi").mapInArrow(listed, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
-        # a text of very many links is dealt out with them
-        one = salted_join(may.select("u", "v"), sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), ["u"], rows=n, counts=of(may, "u"))
-        both = salted_join(one, sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), ["v"], rows=n, counts=of(may, "v"))
+        # only a text of very many links is dealt out with them: sets are wide, and lie by node already
+        one = _with_set(may.select("u", "v"), sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u", of(may, "u"), n)
+        both = _with_set(one, sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v", of(may, "v"), n)
         shared = F.size(F.array_intersect("su", "sv"))
         alike = shared * least[1] >= (F.size("su") + F.size("sv") - shared) * least[0]
         return cut(both.select("u", "v", alike.alias("ok")).unionByName(sized.where("not may").select("u", "v", F.lit(False).alias("ok"))))
@@ -413,18 +497,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     checked = verified(hamming_links(classes.select("f", "g", "node"), limit, overall, 1 + more))
     links = checked.where("ok").select("u", "v").unionByName(same)
     found = cut(components(links))
-    group = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    wrong = cut(checked.where("not ok"))
-    failed = salted_join(salted_join(wrong, group("u"), ["u"], "left"), group("v"), ["v"], "left", counts=of(wrong, "v"), rows=wrong.count()).select(F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv")).where("cu <> cv")
-    open_ = cut(failed.select(F.col("cu").alias("at")).unionByName(failed.select(F.col("cv").alias("at"))).distinct())
-    if n_open := open_.count():
-        at = classes.join(found, "node", "left").withColumn("at", F.coalesce("component", "node"))
-        grouped = at.join(F.broadcast(open_), "at") if n_open <= FEW else salted_join(cut(at), open_, ["at"])
-        eight = F.unhex(F.lpad(F.hex("at"), 16, "0"))
-        points = cut(grouped.select("f", F.concat("g", eight).alias("g"), "node"))
-        pairs = hamming_links(points, limit, overall, 1 + more, apart=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        further = verified(pairs.join(checked.select("u", "v"), ["u", "v"], "left_anti"))
-        found = cut(components(links.unionByName(further.where("ok").select("u", "v"))))
+    # all that bits propose lies in one cluster; where links failed, its groups may yet belong together
+    cluster = components(checked.select("u", "v")).withColumnRenamed("component", "cluster")
+    placed = cut(cluster.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("at")))
+    if further := _across(placed, classes, texts, listed, least):
+        found = cut(components(links.unionByName(further)))
     at = cut(classes.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("at")))
     to = salted_join(at, at.groupBy("at").agg(F.min("id").alias("component_id")), ["at"]).select("node", "component_id")
     return salted_join(marked, to, ["node"], "left", counts=classes.select("node", "_n")).select(F.col("id").alias(id_col), "component_id")

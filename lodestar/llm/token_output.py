@@ -86,7 +86,9 @@ def packed_rows(docs: DataFrame, tokenizer_path: str, row_tokens: int = 4096, en
     (the same numbers without the end); doc_ids and starts: each piece's document and its first
     token's place there; n_tokens without padding; ids_crc32 of the ids' bytes. Each document ends
     with end_id. A null text counts as empty: it is end_id alone. Null and repeated ids are kept as
-    they are; other columns are left out. No documents: no rows.
+    they are; other columns are left out. No documents: no rows. A task packs BUFFER_TOKENS at a time:
+    the pieces of rows filled under WELL_FILLED wait for its next documents, unless they are over half
+    of the buffer, and its last rows go as they are. So nothing is left out.
     """
     with open(tokenizer_path, "rb") as f:
         content = f.read()

@@ -404,3 +404,33 @@ def test_pipeline_leaves_one_table_and_writes_ids(spark):
     folder = re.search(r"(/.*pipeline-[0-9a-f]{32})/", out.inputFiles()[0]).group(1) if out.inputFiles() else None
     if folder and os.path.isdir(folder):
         assert os.listdir(folder) == ["substrings"]
+
+
+def test_similar_pairs_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(simhash, "SHINGLES", 16)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 60)
+    sets = [np.unique(np.where(rng.random(60) < rng.uniform(0, 0.25), rng.integers(0, 1 << 60, 60), base)[: rng.integers(40, 61)]) for _ in range(40)] + [np.zeros(0, np.int64)]
+    flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    row, at, own, other = np.repeat(np.arange(41), sizes), np.arange(41) // 2, np.arange(0, 25), np.arange(15, 41)
+    got = {frozenset((at[u], at[v])) for u, v in zip(*simhash.similar_pairs(flat, row, sizes, own, other, at, (4, 5)), strict=True)}
+    want = {frozenset((at[i], at[j])) for i in own for j in other if at[i] != at[j] and len(np.intersect1d(sets[i], sets[j])) * 5 >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert got == want and want
+
+
+def test_clusters_are_compared_by_blocks(spark, monkeypatch):
+    """A cluster in which many proposed links fail: its components are those of brute-force Jaccard, in blocks of three."""
+    monkeypatch.setattr(simhash, "TEXTS", 3)
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 250)]
+    texts = []
+    for _ in range(50):
+        words = list(base)
+        for _ in range(int(rng.integers(1, 10))):
+            words[int(rng.integers(250))] = f"n{rng.integers(1 << 40)}"
+        texts.append(words)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = components(50, [(a, b) for a in range(50) for b in range(a) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs, **simhash.STAGE).collect()}
+    assert [got[i] for i in range(50)] == want and 1 < len(set(want)) < 50
