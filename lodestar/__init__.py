@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -21,6 +23,7 @@ def ship(spark) -> None:
     name = f"lodestar-{hashlib.sha256(body.getvalue()).hexdigest()[:16]}.zip"
     if name in spark.sparkContext._python_includes:
         return
-    made = Path(tempfile.mkdtemp(prefix="lodestar-")) / name
+    made = Path(tempfile.mkdtemp(prefix="lodestar-")) / name  # the driver serves it to executors until it ends
+    atexit.register(shutil.rmtree, made.parent, True)
     made.write_bytes(body.getvalue())
     spark.sparkContext.addPyFile(str(made))
