@@ -35,9 +35,9 @@ LEXICON_BYTES = 48
 #: A word that stands less often in the corpus is no lexicon word.
 LEAST_COUNT = 8
 #: Words whose ids a worker keeps at hand.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 #: Words of like length that are merged together.
-MERGED_WORDS = 1 << 15
+MERGED_WORDS = 1 << 14
 
 # fixed values: the two pre-tokenizers' patterns, and the white space they go by
 _BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -149,27 +149,29 @@ class Vocabulary:
         """The ids of one pre-token by the merges in order of rank, leftmost first."""
         return self.merge_all([word])[0]
 
-    def merge_all(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word. Words of like length are merged together, one merge a word and step."""
-        out: list[list[int]] = [[] for _ in words]
+    def merge_all(self, words: list[str], code: str | None = None) -> list:
+        """The ids of each word, as a list or as bytes of an array code. Words of like length are merged together, one
+        merge a word and step."""
+        out: list = [b"" if code else []] * len(words)
+        made = (lambda ids: array(code, ids).tobytes()) if code else list
         coded = [w.encode() for w in words]
         sizes = np.fromiter(map(len, coded), np.int64, len(words))
         if self.special:
             for i, w in enumerate(words):
                 if w in self.special:
-                    out[i], sizes[i] = [self.special[w]], 0
+                    out[i], sizes[i] = made([self.special[w]]), 0
         for lo, hi in ((1, 6), (7, 10), (11, 16), (17, 32), (33, 64)):
             fitting = np.flatnonzero((sizes >= lo) & (sizes <= hi))
             for first in range(0, len(fitting), MERGED_WORDS):
                 rows = fitting[first : first + MERGED_WORDS]
-                self._merge_rows([coded[i] for i in rows], sizes[rows], rows, out)
+                self._merge_rows([coded[i] for i in rows], sizes[rows], rows, out, code, made)
         for i in np.flatnonzero(sizes > 64):
             parts = [self._chars[b] for b in coded[i]]
             parts[-1] += self.suffix
-            out[i] = [self.ids[p] for p in self._merge_long(parts) if p in self.ids]
+            out[i] = made([self.ids[p] for p in self._merge_long(parts) if p in self.ids])
         return out
 
-    def _merge_rows(self, words: list[bytes], sizes: np.ndarray, rows: np.ndarray, out: list[list[int]]) -> None:
+    def _merge_rows(self, words: list[bytes], sizes: np.ndarray, rows: np.ndarray, out: list, code: str | None, made: Callable[[list[int]], object]) -> None:
         n, width = len(words), int(sizes.max())
         flat = np.frombuffer(b"".join(words), np.uint8)
         column = np.arange(width)
@@ -177,9 +179,9 @@ class Vocabulary:
         symbols = np.full((n, width + 1), -1, np.int32)
         symbols[:, :-1][inside] = self._first[flat]
         symbols[np.arange(n), sizes - 1] = self._last[flat[np.cumsum(sizes) - 1]]
-        ranks, made = np.full((n, width), len(self.ranks), np.int32), np.full((n, width), -1, np.int32)
+        ranks, merged = np.full((n, width), len(self.ranks), np.int32), np.full((n, width), -1, np.int32)
         pair = column < sizes[:, None] - 1
-        ranks[pair], made[pair] = self._pairs.find(symbols[:, :-1][pair], symbols[:, 1:][pair])
+        ranks[pair], merged[pair] = self._pairs.find(symbols[:, :-1][pair], symbols[:, 1:][pair])
         left, none = np.arange(n), len(self.ranks)
         while len(left):
             at = ranks.argmin(1)
@@ -188,22 +190,29 @@ class Vocabulary:
             if not going.all():
                 ended = symbols[~going]
                 counts = (ended >= 0).sum(1).tolist()
-                for i, ids, count in zip(rows[left[~going]].tolist(), ended.tolist(), counts, strict=True):
-                    out[i] = ids[:count] if self._whole else [x for x in ids if x >= 0]
-                left, symbols, ranks, made, at = left[going], symbols[going], ranks[going], made[going], at[going]
+                ends = rows[left[~going]].tolist()
+                if code and self._whole:  # each word's ids are a slice of the rows' bytes
+                    wide = ended.astype(f"<u{array(code).itemsize}")
+                    flat, step, size = wide.tobytes(), wide.strides[0], wide.itemsize
+                    for i, k, count in zip(ends, range(0, len(flat), step), counts, strict=True):
+                        out[i] = flat[k : k + count * size]
+                else:
+                    for i, ids, count in zip(ends, ended.tolist(), counts, strict=True):
+                        out[i] = made(ids[:count] if self._whole else [x for x in ids if x >= 0])
+                left, symbols, ranks, merged, at = left[going], symbols[going], ranks[going], merged[going], at[going]
                 row = np.arange(len(left))
                 if not len(left):
                     break
-            symbols[row, at] = made[row, at]
+            symbols[row, at] = merged[row, at]
             behind = column[None, :] > at[:, None]  # what stands behind the merged pair moves up
             symbols[:, :-1] = np.where(behind, symbols[:, 1:], symbols[:, :-1])
             symbols[:, -1] = -1
             ranks[:, :-1] = np.where(behind[:, :-1], ranks[:, 1:], ranks[:, :-1])
-            made[:, :-1] = np.where(behind[:, :-1], made[:, 1:], made[:, :-1])
+            merged[:, :-1] = np.where(behind[:, :-1], merged[:, 1:], merged[:, :-1])
             ranks[:, -1] = none
-            ranks[row, at], made[row, at] = self._pairs.find(symbols[row, at], symbols[row, at + 1])
+            ranks[row, at], merged[row, at] = self._pairs.find(symbols[row, at], symbols[row, at + 1])
             back = np.flatnonzero(at > 0)
-            ranks[back, at[back] - 1], made[back, at[back] - 1] = self._pairs.find(symbols[back, at[back] - 1], symbols[back, at[back]])
+            ranks[back, at[back] - 1], merged[back, at[back] - 1] = self._pairs.find(symbols[back, at[back] - 1], symbols[back, at[back]])
 
     def _merge_long(self, parts: list[str]) -> list[str]:
         """Merges by a heap over linked symbols, for words of any length."""
@@ -356,8 +365,8 @@ class Lexicon:
 class Encoder:
     """Ids of texts: words of the lexicon by the automaton, others by merges; recent words are kept."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None, entry: Callable[[list[int]], object]) -> None:
-        self.vocab, self.lexicon, self.entry = vocab, lexicon, entry
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None, entry: Callable[[list[int]], object], code: str | None = None) -> None:
+        self.vocab, self.lexicon, self.entry, self.code = vocab, lexicon, entry, code
         self.kept: dict[str, object] = {}
 
     def entries(self, words: list[list[str]]) -> Callable[[str], object]:
@@ -368,9 +377,10 @@ class Encoder:
             self.kept = {w: self.kept[w] for w in now - new}
         ordered = list(new)
         numbers = self.lexicon.find([w.encode() for w in ordered]).tolist() if self.lexicon is not None else [-1] * len(ordered)
-        unseen = [w for w, number in zip(ordered, numbers, strict=True) if number < 0]
-        self.kept.update(zip(unseen, map(self.entry, self.vocab.merge_all(unseen)), strict=True))
-        for word, number in zip(ordered, numbers, strict=True):
+        unseen = [w for w, number in zip(ordered, numbers, strict=True) if number < 0] if self.lexicon is not None else ordered
+        merged = self.vocab.merge_all(unseen, self.code)
+        self.kept.update(zip(unseen, merged if self.code else map(self.entry, merged), strict=True))
+        for word, number in zip(ordered, numbers, strict=True) if len(unseen) < len(ordered) else ():
             if number >= 0:
                 self.kept[word] = self.entry(self.lexicon.word_ids(number))
         return self.kept.__getitem__
@@ -388,11 +398,11 @@ def encoder(content: bytes, lexicon: str | None, kind: str) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS.clear()
         entry = (lambda ids: ",".join(map(str, ids))) if kind == "text" else (lambda ids: array(kind, ids).tobytes())
-        _ENCODERS[key] = Encoder(vocabulary(content), Lexicon.load(SparkFiles.get(lexicon)) if lexicon else None, entry)
+        _ENCODERS[key] = Encoder(vocabulary(content), Lexicon.load(SparkFiles.get(lexicon)) if lexicon else None, entry, None if kind == "text" else kind)
     return _ENCODERS[key]
 
 
-def text_groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_groups(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
     """Neighbouring texts of about most characters together, with the first one's place; null as empty."""
     group, size, first = [], 0, 0
     for i, text in enumerate(texts):
