@@ -18,6 +18,9 @@ MODULES = {
     "op8_token_output": "token_output",
     "op9_genetic_packing": "packing",
     "op10_word_paths": "word_paths",
+    "op11_digest_counts": "token_counts",
+    "op12_prefix_trie": "prefix_trie",
+    "op13_parity_bands": "spelling",
 }
 
 
