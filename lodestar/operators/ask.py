@@ -54,7 +54,7 @@ def retrieve(plans: DataFrame, chunks: DataFrame, index: Index, vectors: DataFra
     """(item_id, doc_id, score): every variant's sparse and dense list, as deep as planned times factor, fused by ranks."""
     asked = stored(_with_view(plans.select("item_id", "q"), lambda v: f"select item_id, place, variant, xxhash64(item_id, place) as vid from {variants(D, v)} w"))
     depth = plans.select("item_id", "dense_k", "sparse_k")
-    sparse = best(index.score(asked, "vid", "variant").where("score > 0"), 100 * factor).select(F.col("query_id").alias("vid"), "doc_id", "rk", F.lit("sparse_k").alias("list"))
+    sparse = index.top(asked, 100 * factor, "vid", "variant").select(F.col("query_id").alias("vid"), "doc_id", "rk", F.lit("sparse_k").alias("list"))
     embedded = embed(asked.select("vid", F.col("variant").alias("text")), embedder)
     dense = nearest_vectors(vectors.select(F.col("doc_id").alias("vid"), "embedding"), embedded, 100 * factor, id_col="vid").where("cosine > 0").select(F.col("query_id").alias("vid"), F.col("vec_id").alias("doc_id"), "rk", F.lit("dense_k").alias("list"))
     lists = sparse.unionByName(dense).join(asked.select("vid", "item_id"), "vid").join(depth, "item_id")

@@ -143,7 +143,7 @@ def _mmr(spark, get) -> DataFrame:
 
 
 def _hits(spark, get) -> DataFrame:
-    return run_sql(spark, f"with {bm25(SPARK)}, {ranked('top', 'bm', CANDIDATES)} select t.query_id, t.doc_id, t.score, cast(t.rk as int) as rk, d.source, d.text as content from top t join documents d on d.doc_id = t.doc_id", get)
+    return run_sql(spark, f"with {bm25(SPARK, CANDIDATES)}, {ranked('top', 'bm', CANDIDATES)} select t.query_id, t.doc_id, t.score, cast(t.rk as int) as rk, d.source, d.text as content from top t join documents d on d.doc_id = t.doc_id", get)
 
 
 @builder("FUS05_mmr_terms")

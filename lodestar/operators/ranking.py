@@ -66,7 +66,7 @@ def _first(spark, get):
 def _diverse(d: Dialect) -> str:
     """Each query's hits whose source or page bucket comes first with them, 2 * 12 at most; where that leaves under
     three, the other hits fill up to twelve. A hit's page is the place of its document in tens of ids; buckets have three."""
-    return f"""with {bm25(d)}, {ranked('hit', 'bm', 20)}, x as (select query_id, h.doc_id, rk, source, cast(floor(floor(h.doc_id / 10) / 3) * 3 as bigint) as bucket from hit h join documents m on m.doc_id = h.doc_id),
+    return f"""with {bm25(d, 20)}, {ranked('hit', 'bm', 20)}, x as (select query_id, h.doc_id, rk, source, cast(floor(floor(h.doc_id / 10) / 3) * 3 as bigint) as bucket from hit h join documents m on m.doc_id = h.doc_id),
         o as (select *, row_number() over (partition by query_id, source order by rk) as a, row_number() over (partition by query_id, bucket order by rk) as b, count(*) over (partition by query_id) as n from x),
         k as (select *, case when a = 1 or b = 1 then 0 else 1 end as rest, sum(case when a = 1 or b = 1 then 1 else 0 end) over (partition by query_id) as kept from o),
         p as (select *, row_number() over (partition by query_id order by rest, rk) as place from k)

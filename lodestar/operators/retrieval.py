@@ -30,10 +30,13 @@ def query_terms(d: Dialect, source: str = "benchmark", key: str = "item_id", tex
     return f"qt as (select {key} as query_id, item as term, count(*) as qn from {d.unnest(source, key, d.tokens(text), 'item')} t group by {key}, item)"
 
 
-def bm25(d: Dialect) -> str:
-    """bm as (query_id, doc_id, score): every document with a query term; repeated terms count again."""
+def bm25(d: Dialect, k: int | None = DEPTH) -> str:
+    """bm as (query_id, doc_id, score): every document with a query term; repeated terms count again.
+
+    In Spark only the k best of a query, which are found without scoring the others; None: all of them.
+    """
     if d.spark:
-        return "bm as (select query_id, doc_id, score from prepared_bm)"
+        return f"bm as (select query_id, doc_id, score from prepared_{'bm' if k is None else 'top_10' if k <= 10 else 'top_50'})"
     return f"""{postings(d)}, {query_terms(d)},
         bm as (select query_id, tf.doc_id, round(sum(qn * idf * tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * dl / avgdl))), 6) as score
             from qt join tf on qt.term = tf.term join idf on idf.term = tf.term join dl on dl.doc_id = tf.doc_id cross join stats group by query_id, tf.doc_id)"""
@@ -48,7 +51,7 @@ def sketch(d: Dialect) -> str:
     """dn as (query_id, doc_id, score): a second scorer that shares few errors with BM25, idf-weighted presence of
     long terms in the whole text; it stands in for the dense list where no model is at hand."""
     if d.spark:
-        return "dn as (select query_id, doc_id, score from prepared_dn)"
+        return "dn as (select query_id, doc_id, score from prepared_long_10)"
     return f"""head as (select distinct doc_id, item as term from {d.unnest('documents', 'doc_id', d.long_tokens('text'), 'item')} t),
         dn as (select query_id, head.doc_id, round(sum(idf.idf), 6) as score from qt join head on qt.term = head.term join idf on idf.term = qt.term group by query_id, head.doc_id)"""
 
@@ -85,7 +88,7 @@ def _postings(d: Dialect) -> str:
 
 @template("RET02_bm25_score")
 def _score(d: Dialect) -> str:
-    return f"with {bm25(d)} select query_id, doc_id, score from bm"
+    return f"with {bm25(d, None)} select query_id, doc_id, score from bm"
 
 
 @template("RET03_bm25_retrieve")
@@ -95,7 +98,7 @@ def _retrieve(d: Dialect) -> str:
 
 @template("FIL02_positive_scores")
 def _positive(d: Dialect) -> str:
-    return f"with {bm25(d)} select query_id, count(*) as n from bm where score > 0 group by query_id"
+    return f"with {bm25(d, None)} select query_id, count(*) as n from bm where score > 0 group by query_id"
 
 
 @template("JOI07_terms_with_postings")
@@ -249,7 +252,7 @@ def _reranked(d: Dialect) -> str:
 def _rerank(spark, get):
     from ..functions.scorers import rerank, term_overlap
 
-    hits = best(prepare(spark, "prepared_bm", get).where("score > 0"), 50)
+    hits = prepare(spark, "prepared_top_50", get)
     texts = hits.join(get("benchmark").selectExpr("item_id as query_id", "text as query"), "query_id").join(get("documents").selectExpr("doc_id", "text as content"), "doc_id")
     found = rerank(texts, term_overlap, 10, most_chars=None)
     return found.selectExpr("query_id", "doc_id", "round(rerank_score, 6) as rerank_score", "cast(rank as int) as rank")

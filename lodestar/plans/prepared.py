@@ -36,18 +36,14 @@ def index(get: Get) -> Index:
     return _once("index", get, ("documents",), lambda: build_index(get("documents")))
 
 
-def _hits(get: Get) -> DataFrame:
-    return _once("hits", get, ("documents", "benchmark"), lambda: stored(index(get).hits(get("benchmark"), "item_id", "text")))
-
-
 def _bm(get: Get) -> DataFrame:
-    return _once("bm", get, ("documents", "benchmark"), lambda: stored(index(get).score(get("benchmark"), hits=_hits(get))))
+    """Every score: only for those who want all of them, and not kept."""
+    return index(get).score(get("benchmark"))
 
 
-def _dn(get: Get) -> DataFrame:
-    """The second list: idf of the query's long terms that stand in the text."""
-    long_ = lambda: _hits(get).where(F.length("term") >= 3)
-    return _once("dn", get, ("documents", "benchmark"), lambda: stored(long_().groupBy("query_id", "doc_id").agg(F.round(F.sum("idf"), 6).alias("score"))))
+def _top(get: Get, k: int, presence: int | None = None) -> DataFrame:
+    """The k best by BM25; with presence the second list: idf of the query's long terms that stand in the text."""
+    return _once(f"top{k}-{presence}", get, ("documents", "benchmark"), lambda: stored(index(get).top(get("benchmark"), k, presence=presence)))
 
 
 def _gold(get: Get, n: int | None) -> DataFrame:
@@ -75,7 +71,9 @@ PREPARED: dict[str, Callable[[Get], DataFrame]] = {
     "prepared_stats": lambda get: index(get).stats,
     "prepared_postings": lambda get: index(get).postings,
     "prepared_bm": _bm,
-    "prepared_dn": _dn,
+    "prepared_top_10": lambda get: _top(get, 10),
+    "prepared_top_50": lambda get: _top(get, 50),
+    "prepared_long_10": lambda get: _top(get, 10, presence=3),
     "prepared_gold": lambda get: _gold(get, None),
     "prepared_gold_40": lambda get: _gold(get, 40),
     "prepared_nn": _nn,
