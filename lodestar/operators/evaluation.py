@@ -98,8 +98,9 @@ def _slo(d: Dialect) -> str:
     """Six checks and their violations. An event stands for a request: a click for a retrieval, any for a pipeline's run."""
     values = ("recall_hit_5", "mrr", "ndcg_10", "click_p95", "all_p95", "qps")
     checks = " union all ".join(f"select {i} as place, {d.text(name)} as check_name, cast({v} as double) as value, {bound}e0 as bound, not ({v} {sign} {bound}) as ok, case when {v} {sign} {bound} then {d.text(name + ' ')} || {d.fixed(v, n)} || {d.text(f' {sign} {bound:.{n}f}')} end as violation from m" for i, ((name, sign, bound, n), v) in enumerate(zip(SLO, values, strict=True)))
+    late = "prepared_latencies" if d.spark else f"""(select {d.percentile("case when event_type = 'click' then value end", 0.95)} as click_p95, {d.percentile('value', 0.95)} as all_p95 from events) x"""
     return f"""with {bm25(d)}, {ranked('sparse', 'bm')}, {run_metrics(d, "select 'bm25' as run, query_id, doc_id, rk from sparse")},
-        l as (select {d.percentile("case when event_type = 'click' then value end", 0.95)} as click_p95, {d.percentile('value', 0.95)} as all_p95, count(*) / (max({d.seconds('ts')}) - min({d.seconds('ts')})) as qps from events), m as (select * from rm cross join l)
+        l as (select click_p95, all_p95, qps from {late} cross join (select count(*) / (max({d.seconds('ts')}) - min({d.seconds('ts')})) as qps from events) r), m as (select * from rm cross join l)
         select place, check_name, round(value, 6) as value, bound, ok, violation from ({checks}) c"""
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ordered import beside
+from .quantiles import percentiles
 from .search import Index, best, build_index, nearest_vectors, verbatim
 from .store import stamp, stored
 
@@ -66,6 +67,13 @@ def _halves(get: Get) -> DataFrame:
     return _once("halves", get, ("embeddings",), lambda: stored(nearest_vectors(get("embeddings"), _asked(get), 12, ((0, 32), (32, 64)))))
 
 
+def _latencies(get: Get) -> DataFrame:
+    """(click_p95, all_p95) of the events, one row."""
+    events = get("events").select(F.col("value"), F.when(F.col("event_type") == "click", F.col("value")).alias("click"))
+    one = lambda c: percentiles(events, [], F.col(c), {f"{c}_p95": 0.95})
+    return one("click").crossJoin(F.broadcast(one("value").withColumnRenamed("value_p95", "all_p95")))
+
+
 PREPARED: dict[str, Callable[[Get], DataFrame]] = {
     "prepared_lexicon": lambda get: index(get).lexicon,
     "prepared_stats": lambda get: index(get).stats,
@@ -78,6 +86,7 @@ PREPARED: dict[str, Callable[[Get], DataFrame]] = {
     "prepared_gold_40": lambda get: _gold(get, 40),
     "prepared_nn": _nn,
     "prepared_halves": _halves,
+    "prepared_latencies": _latencies,
     "prepared_beside": lambda get: _once("beside", get, ("documents",), lambda: stored(beside(get("documents").select("source", "doc_id"), ["source"], [F.asc("doc_id")], "doc_id"))),
 }
 

@@ -315,18 +315,12 @@ def verbatim(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_
     return same.distinct()
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, spans: tuple[tuple[int, int], ...] | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(span, query_id, vec_id, cosine, rk): the k largest inner products, rounded to six places, of each span.
+#: What best_of_blocks returns.
+BEST = "span int, query_id bigint, vec_id bigint, cosine double"
 
-    spans are (first, end) components; all of them as one where none are given. Blocks of candidates meet
-    blocks of queries, and each pair of blocks keeps the best k of a query, ties to the smaller id.
-    """
-    v = F.col(vector_col).cast("array<double>")
-    base, asked = vectors.select(F.col(id_col).alias("id"), v.alias("v")), queries.select(F.col(id_col).alias("id"), v.alias("v"))
-    n, m = -(-max(1, base.count()) // BLOCK), -(-max(1, asked.count()) // QUERIES)
-    deal = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left, right = base.select(deal(n).alias("b"), every(m).alias("q"), "id", "v"), asked.select(every(n).alias("b"), deal(m).alias("q"), "id", "v")
+
+def best_of_blocks(k: int, spans: tuple[tuple[int, int], ...] | None = None):
+    """A function of two tables (id, v), a block of candidates and one of queries: each query's k best, without itself."""
 
     def run(candidates, wanted):
         out = ([], [], [], [])
@@ -346,7 +340,23 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, spans: tuple
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         return pa.table({"span": pa.array(join(out[0], np.int32), pa.int32()), "query_id": pa.array(join(out[1], np.int64), pa.int64()), "vec_id": pa.array(join(out[2], np.int64), pa.int64()), "cosine": pa.array(join(out[3], float), pa.float64())})
 
-    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(run, "span int, query_id bigint, vec_id bigint, cosine double")
+    return run
+
+
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, spans: tuple[tuple[int, int], ...] | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(span, query_id, vec_id, cosine, rk): the k largest inner products, rounded to six places, of each span.
+
+    spans are (first, end) components; all of them as one where none are given. Blocks of candidates meet
+    blocks of queries, and each pair of blocks keeps the best k of a query, ties to the smaller id.
+    """
+    v = F.col(vector_col).cast("array<double>")
+    base, asked = vectors.select(F.col(id_col).alias("id"), v.alias("v")), queries.select(F.col(id_col).alias("id"), v.alias("v"))
+    n, m = -(-max(1, base.count()) // BLOCK), -(-max(1, asked.count()) // QUERIES)
+    deal = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left, right = base.select(deal(n).alias("b"), every(m).alias("q"), "id", "v"), asked.select(every(n).alias("b"), deal(m).alias("q"), "id", "v")
+
+    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(best_of_blocks(k, spans), BEST)
     place = F.row_number().over(Window.partitionBy("span", "query_id").orderBy(F.desc("cosine"), "vec_id"))
     return found.withColumn("rk", place).where(F.col("rk") <= k)
 
