@@ -82,10 +82,6 @@ def trim_last(text: str, least: int = 6) -> list[str]:
     return [" ".join(found[:-1] if len(found) >= 2 and len(found[-1].split()) < least else found)]
 
 
-def adaptive(text: str) -> list[str]:
-    return pack_paragraphs(text) if len(re.findall(r"\n\s*\n", text)) > 5 else pack_sentences(text)
-
-
 def chunked(docs: DataFrame, chunker: Callable[[str], list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, place, chunk, tokens) of the chunker's output for each text; null and empty texts have none."""
 
@@ -98,7 +94,7 @@ def chunked(docs: DataFrame, chunker: Callable[[str], list[str]], id_col: str =
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} bigint, place int, chunk string, tokens int")
 
 
-for _name, _chunker in (("TXT06_strict_sentences", strict_sentences), ("CHK03_sentence_trimming", trim_last), ("CHK06_sentence_packing", pack_sentences), ("CHK07_paragraph_packing", pack_paragraphs), ("CHK09_size_split", split_by_size), ("CHK10_adaptive_chunks", adaptive), ("CHK11_topic_chunks", pack_sentences)):
+for _name, _chunker in (("TXT06_strict_sentences", strict_sentences), ("CHK03_sentence_trimming", trim_last), ("CHK06_sentence_packing", pack_sentences), ("CHK07_paragraph_packing", pack_paragraphs), ("CHK09_size_split", split_by_size), ("CHK11_topic_chunks", pack_sentences)):
     builder(_name)(lambda spark, get, c=_chunker: chunked(get("documents"), c))
 
 
