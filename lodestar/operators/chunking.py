@@ -59,10 +59,11 @@ def _strategy(d: Dialect) -> str:
 HEADER_PAGES, HEADER_SHARE, HEADER_CHARS = 2, 0.5, 10
 
 
-def without_headers(d: Dialect, pages: str) -> str:
+def without_headers(d: Dialect, pages: str, counted: str | None = None) -> str:
     """(file, page, text, header, footer): pages (file, page, text) without the line that begins, or ends, at least half
     of a file's pages that have one (two at least), the most frequent and of those the smallest. Lines are stripped
-    first; a page's line goes if its first (for footers: last) ten characters agree with that line's."""
+    first; a page's line goes if its first (for footers: last) ten characters agree with that line's. counted: a
+    relation (file, kind, line, n, own) of the first (h) and last (f) lines, if n counts more than equal lines."""
     lines, strip = d.split("text", r"\n"), d.strip
     own = d.split(strip("text"), r"\n")
     n = HEADER_CHARS
@@ -73,17 +74,22 @@ def without_headers(d: Dialect, pages: str) -> str:
     cut_head = f"h.line is not null and p.first_ <> '' and ({starts('p.first_', head)} or {starts('h.line', f'substr(p.first_, 1, {n})')})"
     cut_foot = f"f.line is not null and p.last_ <> '' and ({ends('p.last_', foot)} or {ends('f.line', tail('p.last_'))})"
     kept = d.join(d.slice("lines", "1 + b", f"greatest({d.size('lines')} - b - c, 0)"), "chr(10)")
+    c = f"select file, kind, line, n, own from {counted} c_" if counted else "select file, kind, line, count(*) as n, count(*) as own from l group by file, kind, line"
     return f"""(with p as (select file, page, lines, {strip(d.at('lines', '1'))} as first_, {strip(d.at('lines', d.size('lines')))} as last_, {strip(d.at('own', '1'))} as top, {strip(d.at('own', d.size('own')))} as bottom from (select file, page, {lines} as lines, {own} as own from {pages} g) s),
-        l as (select file, 'h' as kind, top as line from p where top <> '' union all select file, 'f', bottom from p where bottom <> ''), c as (select file, kind, line, count(*) as n from l group by file, kind, line),
-        w as (select file, kind, line, n, sum(n) over (partition by file, kind) as total, row_number() over (partition by file, kind order by n desc, line) as k from c), z as (select file, count(*) as pages from p group by file),
+        l as (select file, 'h' as kind, top as line from p where top <> '' union all select file, 'f', bottom from p where bottom <> ''), c as ({c}),
+        w as (select file, kind, line, n, sum(own) over (partition by file, kind) as total, row_number() over (partition by file, kind order by n desc, line) as k from c), z as (select file, count(*) as pages from p group by file),
         best as (select w.file, kind, line from w join z on z.file = w.file where k = 1 and z.pages > {HEADER_PAGES} and n >= greatest(2, {HEADER_SHARE} * total)),
         o as (select p.file, p.page, lines, h.line as header, f.line as footer, case when {cut_head} then 1 else 0 end as b, case when {cut_foot} then 1 else 0 end as c from p left join best h on h.file = p.file and h.kind = 'h' left join best f on f.file = p.file and f.kind = 'f')
         select file, page, header, footer, {strip(kept)} as text from o)"""
 
 
-@template("CHK12_headers")
-def _headers(d: Dialect) -> str:
-    """Lines of the web pages of a host, one tag a line, as a file's pages."""
+def host_pages(d: Dialect, pages: str = "pages") -> str:
+    """Lines of the web pages of a host, one tag a line, as a file's pages: (file, page, text)."""
     lines = d.sub("html", ">", "'>' || chr(10)")
     host = d.extract("url", r"^https?://(?:[^/]*\.)?([^./]+\.[^./]+)(?:/|$)", 1)
-    return f"select file, page, header, footer, md5(text) as text from {without_headers(d, f'(select {host} as file, page_id as page, {lines} as text from pages)')} w"
+    return f"select {host} as file, page_id as page, {lines} as text from {pages}"
+
+
+@template("CHK12_headers")
+def _headers(d: Dialect) -> str:
+    return f"select file, page, header, footer, md5(text) as text from {without_headers(d, f'({host_pages(d)})')} w"
