@@ -56,9 +56,10 @@ def _neighbours(d: Dialect) -> str:
 
 @template("CHK04_page_spans")
 def _pages(d: Dialect) -> str:
-    """Chunks by the pages that their character spans touch: pages are 1,000 characters each."""
+    """Chunks by the pages that hold their first and last character, pages of 1,000 characters; the first page, or the
+    last one, where none does."""
     return f"""with c as {spans(d)}, p as (select doc_id, pos as page, (pos - 1) * 1000 as first_char, pos * 1000 as end_char from {d.unnest('documents', 'doc_id', d.count_up('1', 'greatest(1, floor((n_chars + 999) / 1000))'), 'page_no')} t)
-        select c.doc_id, c.start, coalesce(min(p.page), 1) as page_start, coalesce(max(p.page), 1) as page_end from c left join p on p.doc_id = c.doc_id and p.first_char < c.start + 400 and p.end_char > c.start group by c.doc_id, c.start"""
+        select c.doc_id, c.start, coalesce(min(p.page), 1) as page_start, coalesce(max(case when c.start + 400 <= p.end_char then p.page end), max(z.last_page)) as page_end from c join (select doc_id, cast(greatest(1, floor((n_chars + 999) / 1000)) as bigint) as last_page from documents) z on z.doc_id = c.doc_id left join p on p.doc_id = c.doc_id and p.first_char < c.start + 400 and p.end_char > c.start group by c.doc_id, c.start"""
 
 
 @template("SET02_intersection_coverage")

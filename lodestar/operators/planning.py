@@ -30,12 +30,15 @@ OPENINGS = ("What is", "Compare", "How to", "When was", "List all", "Show the im
 
 
 def asked(d: Dialect) -> str:
+    """Openings before whole passages, and before the last sentence of every other passage: long questions and short ones."""
     opening = "case item_id % 10 " + " ".join(f"when {i} then {d.text(o)}" for i, o in enumerate(OPENINGS)) + " end"
-    return f"(select item_id, {opening} || ' ' || substr(text, 1, 20 + cast(item_id % 9 as int) * 30) || '?' as q from benchmark)"
+    last = d.at(d.sentences("text"), d.size(d.sentences("text")))
+    return f"(select item_id, {opening} || ' ' || case when item_id % 2 = 0 then text else coalesce({last}, text) end || '?' as q from benchmark)"
 
 
 def intent(d: Dialect, q: str = "lower(q)") -> str:
-    return "case " + " ".join(f"when {d.any_of(q, words)} then '{name}'" for name, words in INTENTS) + " else 'factual' end"
+    """By the first rule that fits; a question without a word is unknown."""
+    return "case " + " ".join(f"when {d.any_of(q, words)} then '{name}'" for name, words in INTENTS) + f" when not {d.matches(q, '[a-z0-9]')} then 'unknown' else 'factual' end"
 
 
 def complexity(d: Dialect) -> str:
@@ -63,7 +66,8 @@ def strategy() -> str:
 
 _plan("PLN04_strategy", lambda d: strategy())
 _plan("PLN05_tools", lambda d: f"concat_ws(',', case when image and {d.any_of('lower(q)', OCR)} then 'ocr_extractor' end, case when {d.any_of('lower(q)', TABLE)} then 'table_parser' end, case when {d.any_of('lower(q)', COMPUTE)} then 'code_interpreter' end) as tools")
-_CONFIDENCE = "least(1e0, greatest(0e0, case when complexity = 'simple' then 1.1e0 else 1e0 end * 0.95e0 * case when n > 2 then 0.9e0 else 1e0 end))"
+#: An intent that no rule knows, a simple question, a plan by rules, more than two modalities.
+_CONFIDENCE = "least(1e0, greatest(0e0, case when intent = 'unknown' then 0.6e0 else 1e0 end * case when complexity = 'simple' then 1.1e0 else 1e0 end * 0.95e0 * case when n > 2 then 0.9e0 else 1e0 end))"
 _plan("PLN06_confidence", lambda d: f"round({_CONFIDENCE}, 6) as confidence, case when {_CONFIDENCE} >= 0.8 then 'HIGH' when {_CONFIDENCE} >= 0.5 then 'MEDIUM' else 'LOW' end as level")
 
 

@@ -52,7 +52,7 @@ def _budgeted(spark, get):
     first = s.where(F.col("upto") > budget).groupBy("source").agg(F.min("doc_id").alias("first"))
     left = F.lit(budget) - (F.col("upto") - F.col("tokens"))
     fits = F.col("upto") <= budget
-    kept = s.join(F.broadcast(first), "source", "left").where((F.col("first").isNull() | (F.col("doc_id") < F.col("first"))) & fits | (F.col("doc_id") == F.col("first")) & (left > 100))
+    kept = s.join(first, "source", "left").where((F.col("first").isNull() | (F.col("doc_id") < F.col("first"))) & fits | (F.col("doc_id") == F.col("first")) & (left > 100))
     return kept.select("source", "doc_id", F.when(fits, F.col("tokens")).otherwise(left).alias("tokens"), (F.col("cut") | ~fits).alias("truncated"))
 
 

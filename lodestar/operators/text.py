@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..catalog import template
 from ..plans.dialect import Dialect
+from .retrieval import bm25, ranked
 
 # fixed values: phrases, limits and names that define the results
 ABSTAIN = ("insufficient context", "i don't know", "cannot answer", "not enough information", "no evidence", "unable to determine", "not found in the context")
@@ -39,10 +40,14 @@ def answers(d: Dialect) -> str:
     return f"(select doc_id, source, lang, text, {said} || substr(text, 1, 60 + cast(doc_id % 7 as int) * 90) || {cited} || '. ' || substr(text, 200, 120) as answer, source || '#' || doc_id as cite from documents)"
 
 
+# fixed values: what a context takes of a video's and of an audio's text, in characters
+VIDEO_CHARS, AUDIO_CHARS = 600, 500
+
+
 def modal(d: Dialect) -> str:
     """Documents as chunks of four modalities with the fields of each."""
     kind = "case doc_id % 4 when 0 then 'text' when 1 then 'image' when 2 then 'audio' else 'video' end"
-    return f"(select doc_id, {kind} as modality, substr(text, 1, 300) as content, case when doc_id % 8 = 1 then '' else substr(text, 5, 80) end as caption, case when doc_id % 3 = 0 then '  ' else substr(text, 30, 60) end as ocr_text, case when doc_id % 5 = 0 then '' else substr(text, 60, 200) end as transcript, source, n_chars from documents)"
+    return f"(select doc_id, {kind} as modality, text as content, case when doc_id % 8 = 1 then '' else substr(text, 5) end as caption, case when doc_id % 3 = 0 then '  ' else substr(text, 30) end as ocr_text, case when doc_id % 5 = 0 then '' else substr(text, 60) end as transcript, source, n_chars from documents)"
 
 
 def picked(d: Dialect) -> str:
@@ -148,9 +153,10 @@ def _citations(d: Dialect) -> str:
 
 @template("TXT25_context_document")
 def _context(d: Dialect) -> str:
-    body = "'[' || source || '#' || doc_id || '] ' || case modality when 'video' then substr(content, 1, 60) when 'audio' then substr(content, 1, 50) else content end"
-    parts = d.gather(body, "doc_id", "chr(10)")
-    return f"select source, modality, upper(modality) || ' EVIDENCE' || chr(10) || {parts} as section from {modal(d)} m group by source, modality"
+    """A section for each modality of a query's ten best hits, best first."""
+    body = f"'[' || source || '#' || m.doc_id || '] ' || case modality when 'video' then substr(content, 1, {VIDEO_CHARS}) when 'audio' then substr(content, 1, {AUDIO_CHARS}) else content end"
+    parts = d.gather(body, "rk", "chr(10)")
+    return f"with {bm25(d)}, {ranked('top', 'bm')} select query_id, modality, upper(modality) || ' EVIDENCE' || chr(10) || {parts} as section from top t join {modal(d)} m on m.doc_id = t.doc_id group by query_id, modality"
 
 
 @template("FIL01_quality_filter")
