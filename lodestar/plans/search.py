@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import stored
+from .store import stored, written
 
 # fixed values of the scoring formula
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -249,7 +249,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield _segment(batch.slice(first, last - first), made)
                 first, made = last, made + 1
 
-    lists = stored(words.mapInArrow(run, schema))
+    lists = written(words.mapInArrow(run, schema))
     n = docs.count()
     counted = stored(lists.groupBy("term").agg(F.sum(F.size("docs").cast("bigint")).alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("cf")))
     total = counted.agg(F.sum("cf")).first()[0] or 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As stored(), in compressed columns: for large tables of which a plan reads few columns or rows."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def stamp(df: DataFrame) -> str | None:
     """What tells two versions of a table of files apart: its plan and its files' sizes and times; None for other tables."""
     files = sorted(df.inputFiles())
