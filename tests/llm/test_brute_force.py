@@ -30,7 +30,7 @@ def docs(spark):
 
 def test_oracles(results):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     for name, sql in registry.oracle_sql().items():
         found = con.execute(sql)
