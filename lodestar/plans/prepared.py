@@ -6,6 +6,7 @@ prepared anew each time.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,10 @@ Get = Callable[[str], DataFrame]
 
 #: Neighbours that are kept of a query.
 NEIGHBOURS = 24
+#: Tables that are kept at a time; the one that was asked for longest ago goes first.
+MOST_KEPT = 64
 _KEPT: dict[tuple, object] = {}
+_LOCK = threading.RLock()
 
 
 def _once(name: str, get: Get, tables: tuple[str, ...], make: Callable[[], object]) -> object:
@@ -28,9 +32,17 @@ def _once(name: str, get: Get, tables: tuple[str, ...], make: Callable[[], objec
     if None in stamps:
         return make()
     key = (name, *stamps)
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
+    with _LOCK:  # two threads do not make one table twice
+        _KEPT[key] = _KEPT.pop(key) if key in _KEPT else make()
+        while len(_KEPT) > MOST_KEPT:
+            del _KEPT[next(iter(_KEPT))]
+        return _KEPT[key]
+
+
+def release() -> None:
+    """Forget what is kept; its checkpoint files go when nothing uses them any more."""
+    with _LOCK:
+        _KEPT.clear()
 
 
 def index(get: Get) -> Index:

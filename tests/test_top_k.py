@@ -61,3 +61,16 @@ def test_many_queries_take_turns(spark, data, monkeypatch):
     want = every(index, asked, 5)
     monkeypatch.setattr(search, "FEW_TERMS", 100)
     assert rows(index.top(asked, 5)) == want
+
+
+def test_kept_tables_are_bounded(spark, data, monkeypatch):
+    from lodestar import catalog
+    from lodestar.plans import prepared
+
+    get, made = catalog.reader(spark, data), []
+    monkeypatch.setattr(prepared, "MOST_KEPT", 2)
+    monkeypatch.setattr(prepared, "_KEPT", {})
+    ask = lambda name: prepared._once(name, get, ("nation",), lambda: made.append(name) or name)
+    assert [ask(n) for n in "aababca"] == list("aababca") and made == ["a", "b", "c", "a"]
+    prepared.release()
+    assert ask("a") == "a" and made[-1] == "a" and len(made) == 5
