@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import builder, run_sql
+from ..functions.alignment import longest_common, meteor
 from ..functions.stem import stem
 from ..plans.dialect import SPARK
 from .retrieval import bm25, ranked
@@ -235,16 +236,6 @@ def bleu(candidate: list[str], reference: list[str]) -> tuple[float, float, floa
     return tuple(round(short * math.exp(sum(w * math.log(p) for w, p in zip(ws, precisions, strict=False))), 4) for ws in weights)
 
 
-def longest_common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, by rows."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
 def rouge_tokens(text: str, stemmed: bool = True) -> list[str]:
     """Lower-case runs of ASCII letters and digits; those of over three characters as stems."""
     words = re.findall("[a-z0-9]+", text.lower())
@@ -302,6 +293,7 @@ def _scored(df: DataFrame, score: Callable[[str, str], tuple], names: list[str])
 
 builder("EVL07_bleu")(lambda spark, get: _scored(_turns(get), lambda a, b: (s := bleu(a.split(), b.split())) + (round(sum(s) / 4, 4),), ["bleu_1", "bleu_2", "bleu_3", "bleu_4", "bleu_avg"]))
 builder("EVL08_rouge_l")(lambda spark, get: _scored(_turns(get), lambda a, b: (rouge_l(rouge_tokens(a, stemmed=False), rouge_tokens(b, stemmed=False)),), ["rouge_l"]))
+builder("EVL09_meteor")(lambda spark, get: _scored(_turns(get), lambda a, b: (round(meteor(a.split(), b.split()), 6),), ["meteor"]))
 builder("EVL08_rouge_stemmed")(lambda spark, get: _scored(_turns(get), rouge, ["rouge_1", "rouge_2", "rouge_l"]))
 
 
