@@ -20,7 +20,7 @@ from .plans.prepared import PREPARED, prepare
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: Modules that register operators when they are imported.
-MODULES = ("operators.text", "operators.retrieval", "operators.joins", "operators.aggregates", "operators.ranking", "operators.planning", "operators.answers", "operators.evaluation", "operators.caching", "operators.chunking", "operators.greedy", "operators.semantic", "operators.lines", "operators.ask", "sources.readers", "streaming.twins")
+MODULES = ("operators.text", "operators.retrieval", "operators.joins", "operators.aggregates", "operators.ranking", "operators.planning", "operators.answers", "operators.evaluation", "operators.caching", "operators.chunking", "operators.greedy", "operators.anchored", "operators.semantic", "operators.lines", "operators.ask", "sources.readers", "streaming.twins")
 
 Template = Callable[[Dialect], str]
 Builder = Callable[[SparkSession, Callable[[str], DataFrame]], DataFrame]

@@ -23,7 +23,7 @@ from .retrieval import bm25, ranked
 PACK, PACK_OVERLAP, SPLIT = 512, 128, 800
 LAMBDA, CANDIDATES = 0.7, 24
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_STRICT = re.compile(r"(?<=\S[.!?])\s+(?=[A-Z0-9\"'“])")
+STRICT = re.compile(r"(?<=\S[.!?])\s+(?=[A-Z0-9\"'“])")
 
 
 def sentences(text: str) -> list[str]:
@@ -31,7 +31,7 @@ def sentences(text: str) -> list[str]:
 
 
 def strict_sentences(text: str) -> list[str]:
-    return [s for s in (x.strip() for x in _STRICT.split(text)) if s]
+    return [s for s in (x.strip() for x in STRICT.split(text)) if s]
 
 
 def pack_sentences(text: str, most: int = PACK, overlap: int = PACK_OVERLAP) -> list[str]:
