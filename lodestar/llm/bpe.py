@@ -7,11 +7,13 @@ workers of a machine share its pages. Words that it lacks are merged exactly.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
 import os
 import re
+import shutil
 import tempfile
 import unicodedata
 from array import array
@@ -453,6 +455,7 @@ def ship_lexicon(spark: SparkSession, content: bytes, words: list[str]) -> str:
     words = [w for w in words if len(w.encode()) <= LEXICON_BYTES]
     lexicon = Lexicon.compile({w.encode(): ids for w, ids in zip(words, vocab.merge_all(words), strict=True)})
     folder = tempfile.mkdtemp(prefix="lodestar-lexicon-")
+    atexit.register(shutil.rmtree, folder, True)  # the driver serves the file to executors until it ends
     made = os.path.join(folder, "made")
     lexicon.save(made)
     with open(made, "rb") as f:

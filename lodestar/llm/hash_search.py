@@ -155,7 +155,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     smaller id; fewer than k candidates: all. Vectors that are null, zero, or hold null or non-finite
     components take no part, nor do rows without an id; of rows that repeat an id the smallest vector
     counts. Other columns do not matter. Each length of vectors has a model of its own, learned on about
-    sample_rows of them (the driver gets one model a length); every row is indexed. Queries meet
+    sample_rows of them (the driver gets one model a length); every row is indexed. A length whose sample
+    has under PROBES vectors is too small to fit a radius, and all its codes are reranked. Queries meet
     candidates block by block; a block is what bounds a task.
     """
     spark, empty = vectors.sparkSession, "query_id bigint, rank int, vec_id bigint, score double"

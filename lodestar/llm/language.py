@@ -96,7 +96,9 @@ def infer_mixtures(counts: np.ndarray, p: np.ndarray, rounds: int = 12, still: f
     Expectation-maximisation over all languages ranks them; then the set of the likeliest grows by one
     language at a time, with its own proportions, for as long as the likelihood less half the logarithm
     of the document's length for each further language grows. Each document stops by itself, when no
-    proportion changes by `still` or more, so its row depends on no other document.
+    proportion changes by `still` or more, or after `rounds` rounds (half as many for each set, none for one
+    language), converged or not; so its row depends on no other document, and proportions may lie short of
+    the fixed point.
     """
     c, p = counts.astype(float), p.astype(float)
     n = np.maximum(c.sum(1, keepdims=True), 1)

@@ -241,7 +241,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Vectors that are null, zero, or hold null or non-finite components link with nothing, as do rows
     whose label is null; vectors of different lengths never link. Rows of equal label and vector are
     one class with its size: they link with each other and are compared once. A repeated id counts by
-    its smallest vector; rows without an id are left out. Other columns do not matter.
+    its smallest vector; rows without an id are left out. Other columns do not matter. A label of at most
+    `leaf` different vectors of a length is one leaf: all of its pairs are compared, without splits.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vector")).where("id is not null")
     ids = rows.select("id").distinct()
