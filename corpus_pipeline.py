@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar import ship
-from lodestar.llm.common import checkpoint_folder, remove_folder, table
+from lodestar.llm.common import checkpoint_folder, remove_folder, sweep, table
 from lodestar.llm.language import fit_languages, keep_known
 from lodestar.llm.packing import pack_documents
 from lodestar.llm.quality import fit_quality, keep_good
@@ -62,7 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; what one keeps is written to the shared folder and read by the next.
 
-    A stage's table is deleted when the next one is written; the last stage's input stays for the result.
+    A stage's table is deleted when the next one is written, and so are its shuffle files; the last stage's input stays
+    for the result.
     """
     ship(spark)
     docs = table(spark, sf_dir, "documents")
@@ -75,4 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             if before:
                 remove_folder(spark, before)
             before = f"{folder}/{name}"
+            sweep(spark)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
@@ -53,6 +54,15 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the shuffle files of plans deleted that nothing names any more.
+
+    Spark's cleaner learns of them when the driver collects its garbage, which a driver with little to do puts off.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there.
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, SPACE, cut, mix, partitions, release, salted_join, table, text_buffers, word_spans
+from .common import HOT_KEYS, SPACE, cut, mix, partitions, release, salted_join, sweep, table, text_buffers, word_spans
 from .components import components
 
 BITS = 64
@@ -27,6 +27,10 @@ BITS = 64
 BUCKET = 4096
 PROBING = 1 << 16
 ROW_PRICE = 2000
+#: Rows of keys that are shuffled at a time: so many for each fingerprint, and this number in any case. How many
+#: keys a fingerprint has grows with the fingerprints.
+ROUND = 32
+LEAST_ROUND = 1 << 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -177,6 +181,25 @@ def _probes(plan: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
     return out
 
 
+def _rounds(rows: list[int], limit: int) -> list[tuple[list[int], int, int]]:
+    """(partitions, residue, modulus) of rounds of at most limit rows, given each partition's rows.
+
+    A partition with more rows has rounds of its own, one for each residue of its keys.
+    """
+    out: list[tuple[list[int], int, int]] = []
+    some, total = [], 0
+    for k, n in enumerate(rows):
+        if n > limit:
+            out += [([k], r, -(-n // limit)) for r in range(-(-n // limit))]
+            continue
+        if total + n > limit:
+            out.append((some, 0, 1))
+            some, total = [], 0
+        some.append(k)
+        total += n
+    return [*out, (some, 0, 1)] if some or not out else out
+
+
 def _near(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs within the limits between the first own rows and all rows of a bucket."""
     step = max(1, (1 << 20) // max(1, len(f)))
@@ -240,6 +263,7 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
     has the same components. With columns > 1 the first of g's fingerprints propose pairs as f does. The
     plan is fitted on sample_rows fingerprints and the exact count. A bucket's plain patterns are compared with all that probe it; where there are more than BUCKET of
     the former or PROBING of the latter, both are cut, and each part meets each slice in a group of its own.
+    Keys are dealt in rounds, and a round's shuffle is given up before the next; points should be cheap to read again.
     """
     spark = points.sparkSession
     n = points.count()
@@ -250,43 +274,56 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
         probes += [(column, len(probes) + k, mask, flips) for k, mask, flips in _probes(choose_plan(np.ascontiguousarray(sample[:, column]) if len(rows) else np.zeros(0, np.uint64), n, limit))]
     assert len(probes) <= 64  # a key's last six bits
 
-    def deal(flipped: bool):
+    def deal(flipped: bool, only: list[int], residue: int = 0, modulus: int = 1):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, len(batch), 8192):
                     part = batch.slice(lo, 8192)
                     whole = _matrix(part.column(0).to_numpy(), part.column(1).to_pylist()) if columns > 1 else None
                     of, f, given = -1, part.column(0).to_numpy().view(np.uint64), part.columns[:2]
-                    for column, k, mask, flips in probes:
+                    for column, k, mask, flips in (probes[k] for k in only):
                         if columns > 1 and column != of:
                             of, f = column, np.ascontiguousarray(whole[:, column])
                             given = [pa.array(f.view(np.int64)), pa.array([r.tobytes() for r in np.delete(whole, column, 1)], pa.binary())]
                         for i, flip in enumerate(flips if flipped else flips[:1]):
                             key = mix(((f ^ np.uint64(flip)) & np.uint64(mask)) + np.uint64(k)) & ~np.uint64(63) | np.uint64(k)
-                            yield pa.record_batch([pa.array(key.view(np.int64)), *given, part.column(2), pa.array(np.full(len(f), i == 0))], names=["key", "f", "g", "node", "plain"])
+                            out = pa.record_batch([pa.array(key.view(np.int64)), *given, part.column(2), pa.array(np.full(len(f), i == 0))], names=["key", "f", "g", "node", "plain"])
+                            yield out if modulus == 1 else out.filter(pa.array((key >> np.uint64(6)) % np.uint64(modulus) == residue))
 
         return run
 
     schema = "key bigint, f bigint, g binary, node bigint, plain boolean"
-    every = points.select("f", "g", "node").mapInArrow(deal(flipped=True), schema)
-    plain = points.select("f", "g", "node").mapInArrow(deal(flipped=False), schema)
+    all_of = list(range(len(probes)))
+    plain = points.select("f", "g", "node").mapInArrow(deal(False, all_of), schema)
     hot = cut(plain.groupBy("key").agg(F.count(F.lit(1)).alias("plains")).where(F.col("plains") > BUCKET))
+    rows = [n * len(flips) for *_, flips in probes]
     # who probes a bucket is plain in a neighbouring one, so without large buckets no bucket has many to probe it
-    if not hot.isEmpty():
+    if split := not hot.isEmpty():
+        every = points.select("f", "g", "node").mapInArrow(deal(True, all_of), schema)
         sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("plain").cast("long")).alias("plains"))
-        hot = cut(sizes.where((F.col("plains") > BUCKET) | (F.col("size") > PROBING) & (F.col("plains") > 0)).select("key", F.ceil(F.col("plains") / BUCKET).cast("int").alias("parts"), F.ceil(F.col("size") / PROBING).cast("int").alias("slices")))
-    # part -1: not split. A plain pattern of a split bucket is compared in its own part with every slice of those
-    # that probe the bucket, and is in one of these slices itself for the other parts
-    dealt = every.select("*", F.lit(-1).alias("part"), F.lit(0).alias("slice"))
-    if not hot.isEmpty():
-        keyed = every.join(F.broadcast(hot) if hot.count() <= FEW else hot, "key", "left")
-        own, at = F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("f", "node"), F.col("slices")).cast("int")
-        slices = lambda part: F.when(F.col("plain") & (part == F.col("own")), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array("at"))
-        groups = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: F.transform(slices(part), lambda k: F.struct(part.alias("part"), k.alias("slice")))))
-        one = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).alias("slice")))
-        dealt = keyed.withColumn("own", own).withColumn("at", at).withColumn("to", F.explode(F.when(F.col("parts").isNull(), one).otherwise(groups))).select("key", "f", "g", "node", "plain", "own", "to.part", "to.slice")
-        dealt = dealt.withColumn("plain", F.col("plain") & ((F.col("part") == -1) | (F.col("part") == F.col("own")))).drop("own")
-    dealt = dealt.select("key", "part", "slice", "f", "g", "node", "plain")
+        sizes = sizes.where((F.col("plains") > BUCKET) | (F.col("size") > PROBING) & (F.col("plains") > 0)).withColumn("parts", F.ceil(F.col("plains") / BUCKET).cast("int")).withColumn("slices", F.ceil(F.col("size") / PROBING).cast("int"))
+        hot = cut(sizes.select("key", "parts", "slices", (F.col("size") * (F.col("parts") - 1) + F.col("plains") * (F.col("slices") - 1)).alias("more")))
+        for r in hot.groupBy(F.col("key").bitwiseAND(63).alias("k")).agg(F.sum("more").alias("more")).collect():
+            rows[r.k] += r.more
+        hot = hot.drop("more")
+        hot = F.broadcast(hot) if hot.count() <= FEW else hot
+    rounds = _rounds(rows, max(LEAST_ROUND, ROUND * n))
+    tasks = min(partitions(spark), max(spark.sparkContext.defaultParallelism, -(-partitions(spark) // len(rounds))))
+
+    def dealt(only: list[int], residue: int, modulus: int) -> DataFrame:
+        """The keys of a round. Part -1: not split. A plain pattern of a split bucket is compared in its own part with
+        every slice of those that probe the bucket, and is in one of these slices itself for the other parts."""
+        every = points.select("f", "g", "node").mapInArrow(deal(True, only, residue, modulus), schema)
+        out = every.select("*", F.lit(-1).alias("part"), F.lit(0).alias("slice"))
+        if split:
+            keyed = every.join(hot, "key", "left")
+            own, at = F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("f", "node"), F.col("slices")).cast("int")
+            slices = lambda part: F.when(F.col("plain") & (part == F.col("own")), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array("at"))
+            groups = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: F.transform(slices(part), lambda k: F.struct(part.alias("part"), k.alias("slice")))))
+            one = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).alias("slice")))
+            out = keyed.withColumn("own", own).withColumn("at", at).withColumn("to", F.explode(F.when(F.col("parts").isNull(), one).otherwise(groups))).select("key", "f", "g", "node", "plain", "own", "to.part", "to.slice")
+            out = out.withColumn("plain", F.col("plain") & ((F.col("part") == -1) | (F.col("part") == F.col("own")))).drop("own")
+        return out.select("key", "part", "slice", "f", "g", "node", "plain")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -322,8 +359,20 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
             wait.append(batch.slice(last))
         if wait:
             yield from links(pa.Table.from_batches(wait).combine_chunks())
+        wait = []
+        release()
+
+    def linked(*of_round) -> DataFrame:
+        return dealt(*of_round).repartition(tasks, "key", "part", "slice").sortWithinPartitions("key", "part", "slice").mapInArrow(compare, "u bigint, v bigint")
 
-    return dealt.repartition(partitions(spark), "key", "part", "slice").sortWithinPartitions("key", "part", "slice").mapInArrow(compare, "u bigint, v bigint")
+    if len(rounds) == 1:
+        return linked(*rounds[0])
+    found = None
+    for of_round in rounds:
+        links = cut(linked(*of_round))
+        found = links if found is None else found.unionByName(links)
+        sweep(spark)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, limit: int = 4, seed: int = 42) -> DataFrame:
@@ -469,6 +518,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 sets = shingle_sets(data, offsets, words, seed)
                 node = np.asarray([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64)
                 yield pa.record_batch([pa.array(node.view(np.int64)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+        release()
 
     marked = cut(texts.mapInArrow(mark, "id bigint, node bigint, n bigint, f bigint, g binary"))
     classes = cut(marked.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("f").alias("f"), F.first("g").alias("g")).where(F.col("id").isNotNull()))

@@ -434,3 +434,21 @@ def test_clusters_are_compared_by_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_texts(docs, **simhash.STAGE).collect()}
     assert [got[i] for i in range(50)] == want and 1 < len(set(want)) < 50
+
+
+def test_fingerprints_link_alike_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(1 << 62))
+    f = np.unique(np.array([base ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 9), replace=False)) for _ in range(300)], np.uint64))
+    points = spark.createDataFrame([(int(x.astype(np.int64)), b"", k) for k, x in enumerate(f)], "f long, g binary, node long")
+    want = components(len(f), np.argwhere(np.bitwise_count(f[:, None] ^ f[None, :]) <= 4).tolist())
+    swept = []
+    for size in (simhash.BUCKET, 64):  # whole buckets, and buckets that are cut
+        monkeypatch.setattr(simhash, "BUCKET", size)
+        monkeypatch.setattr(simhash, "LEAST_ROUND", 200)  # some partitions alone have more rows
+        monkeypatch.setattr(simhash, "ROUND", 1)
+        monkeypatch.setattr(simhash, "sweep", lambda s: swept.append(s))
+        assert components(len(f), [(r.u, r.v) for r in simhash.hamming_links(points, 4).collect()]) == want
+        assert len(swept) > 2
+        swept.clear()
+    assert simhash._rounds([5, 5, 25, 1, 9], 10) == [([2], 0, 3), ([2], 1, 3), ([2], 2, 3), ([0, 1], 0, 1), ([3, 4], 0, 1)]
