@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar import ship
-from lodestar.llm.common import checkpoint_folder, remove_folder, sweep, table
+from lodestar.llm.common import bound_batches, checkpoint_folder, remove_folder, sweep, table
 from lodestar.llm.language import fit_languages, keep_known
 from lodestar.llm.packing import pack_documents
 from lodestar.llm.quality import fit_quality, keep_good
@@ -24,26 +24,31 @@ from lodestar.llm.word_paths import without_repeats
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is mainly in a learned language; null, empty and letterless texts go. No rows give none."""
+    bound_batches(spark)
     return keep_known(docs, fit_languages(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score at least the threshold; a null text scores as an empty one. Ids may be null or repeat."""
+    bound_batches(spark)
     return keep_good(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near copies; rows that repeat a kept id and rows without an id stay."""
+    bound_batches(spark)
     return keep_one_of_each(docs)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without words that a window of 20 repeats; a null text stays null, an empty one empty."""
+    bound_batches(spark)
     return without_repeats(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document: its token ids and its place; null and empty texts give the end id."""
+    bound_batches(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 

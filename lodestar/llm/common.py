@@ -54,6 +54,16 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """From now on this session's Arrow batches have about `most` bytes, unless it names a size of its own.
+
+    Batches of 10,000 whole texts are tens of MB, and a task holds several in the JVM and in its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(most))
+
+
 def sweep(spark: SparkSession) -> None:
     """Have the shuffle files of plans deleted that nothing names any more.
 

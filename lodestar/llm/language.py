@@ -19,8 +19,8 @@ from .common import crc_bucket, release, table, text_buffers
 
 #: Buckets of trigrams: a fixed size, so the model's size depends on the number of languages alone.
 BUCKETS = 1 << 13
-#: Documents whose mixtures are inferred together.
-BLOCK = 256
+#: Documents whose mixtures are inferred together: several tables of BLOCK x BUCKETS numbers are open at a time.
+BLOCK = 64
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -74,6 +74,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     for lang in set(own):
                         totals[lang] = totals.get(lang, 0) + counts[own == lang].sum(0)
         yield pa.record_batch([pa.array(list(totals), pa.string()), pa.array([v.astype(np.int64).tobytes() for v in totals.values()], pa.binary())], names=["lang", "counts"])
+        release()
 
     def add(key, group):
         total = np.zeros(BUCKETS, np.int64)

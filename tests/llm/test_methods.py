@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -452,3 +453,19 @@ def test_fingerprints_link_alike_in_rounds(spark, monkeypatch):
         assert len(swept) > 2
         swept.clear()
     assert simhash._rounds([5, 5, 25, 1, 9], 10) == [([2], 0, 3), ([2], 1, 3), ([2], 2, 3), ([0, 1], 0, 1), ([3, 4], 0, 1)]
+
+
+def test_stages_bound_their_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert language.BLOCK * language.BUCKETS * 8 <= 4 << 20  # a table of numbers of one block
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    own = spark.conf.getAll.get(key)
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.known_language(spark, docs, DATA)
+        assert spark.conf.get(key) == str(8 << 20)
+        spark.conf.set(key, "1000000")  # the session's own size stays
+        corpus_pipeline.known_language(spark, docs, DATA)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.set(key, own) if own else spark.conf.unset(key)
