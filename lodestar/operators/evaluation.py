@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from ..catalog import template
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..catalog import builder, template
 from ..plans.dialect import Dialect
 from .answers import checked, claim_pairs
 from .retrieval import bm25, fused, gold, ranked, two_lists
@@ -44,8 +52,40 @@ def _bleu(d: Dialect) -> str:
         select s.conv_id, s.turn, round(case when cl > rl then 1e0 else exp(1e0 - cast(rl as double) / greatest(cl, 1)) end * hit / total, 4) as bleu_1 from s join l on l.conv_id = s.conv_id and l.turn = s.turn"""
 
 
+def counted_turns(get, counts: Callable[[list, list], Sequence[int]], names: Sequence[str], added: bool = False) -> DataFrame:
+    """(conv_id, turn, names) by counts(candidates, references), lower-cased texts or nulls: those of the next turn and
+    of the turn itself. With added only the names' sums, one row for each batch.
+
+    The two meet by one shuffle, and what is counted stays in the task. A turn that stands twice is paired with each
+    next one, so it has several candidates or references.
+    """
+    turns = get("conversations").where("conv_id is not null and turn is not null").select("conv_id", "turn", F.lower("text").alias("text"))
+    kind = turns.schema["turn"].dataType
+    own = turns.select("conv_id", "turn", F.struct("text").alias("ref"), F.lit(None).cast("struct<text:string>").alias("cand"))
+    following = turns.select("conv_id", (F.col("turn") - 1).cast(kind).alias("turn"), F.lit(None).cast("struct<text:string>").alias("ref"), F.struct("text").alias("cand"))
+    met = own.unionByName(following).groupBy("conv_id", "turn").agg(F.collect_list("cand").alias("cand"), F.collect_list("ref").alias("ref")).where("size(cand) > 0 and size(ref) > 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ([[x["text"] for x in row] for row in batch.column(k).to_pylist()] for k in (2, 3))
+            rows = [counts(c, r) for c, r in zip(*texts, strict=True)]
+            if added:
+                yield pa.record_batch([pa.array([sum(r[k] for r in rows)], pa.int64()) for k in range(len(names))], names=names)
+            else:
+                yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names)))], names=["conv_id", "turn", *names])
+
+    keys = "" if added else ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn")) + ", "
+    return met.mapInArrow(run, keys + ", ".join(f"{n} bigint" for n in names))
+
+
+def clipped(candidates: list[Sequence], references: list[Sequence]) -> tuple[int, int, int]:
+    """Common grams, the candidates' and the references', of all pairs; None is in no other list."""
+    c, r = (Counter(g for x in side for g in x) for side in (candidates, references))
+    hit = sum(min(n * len(references), r[g] * len(candidates)) for g, n in c.items() if g in r and g is not None)
+    return hit, c.total() * len(references), r.total() * len(candidates)
+
+
 def _rouge(name: str, n: int) -> None:
-    @template(name)
     def sql(d: Dialect) -> str:
         def grams(x: str) -> str:
             w = d.all(f"lower({x})", "[a-z0-9]+")
@@ -57,13 +97,24 @@ def _rouge(name: str, n: int) -> None:
             cn as (select conv_id, turn, sum(n) as n from c group by conv_id, turn), rn as (select conv_id, turn, sum(n) as n from r group by conv_id, turn)
             select cn.conv_id, cn.turn, round(coalesce(2e0 * hit / (cn.n + rn.n), 0), 4) as f from cn join rn on rn.conv_id = cn.conv_id and rn.turn = cn.turn left join h on h.conv_id = cn.conv_id and h.turn = cn.turn"""
 
+    def grams_of(text: str | None) -> list[str | None]:
+        if text is None:
+            return [] if n == 1 else [None]
+        w = re.findall("[a-z0-9]+", text)
+        return w if n == 1 else [" ".join(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))]
+
+    @builder(name, sql)
+    def counted(spark, get) -> DataFrame:
+        """A text with fewer words is one gram, a null text one that equals no other."""
+        counts = lambda cand, ref: clipped([grams_of(x) for x in cand], [grams_of(x) for x in ref])
+        return counted_turns(get, counts, ["hit", "c", "r"]).where("c > 0 and r > 0").selectExpr("conv_id", "turn", "round(2e0 * hit / (c + r), 4) as f")
+
 
 _rouge("EVL08_rouge_1", 1)
 _rouge("EVL08_rouge_2", 2)
 template("EVL10_support_ratio")(lambda d: f"with {checked(d)}, {claim_pairs(d)} select doc_id, count(*) as claims, round(avg(case when score >= 0.7 then cast(1 as double) else 0 end), 6) as ratio from cl group by doc_id")
 
 
-@template("EVL09_corpus_bleu")
 def _corpus_bleu(d: Dialect) -> str:
     """BLEU-4 of all turns against the ones before: clipped n-gram counts are added up over the corpus first. The
     hypothesis is the next turn; without a match of some length the score is 0."""
@@ -78,6 +129,24 @@ def _corpus_bleu(d: Dialect) -> str:
         select round(case when min(hit) > 0 then 100 * exp(avg(ln(greatest(hit, 1) / total))) * case when max(cl) > max(rl) then 1e0 else exp(1e0 - max(rl) / max(cl)) end else 0e0 end, 4) as bleu from g cross join l"""
 
 
+def _bleu_counts(candidates: list[str | None], references: list[str | None]) -> tuple[int, ...]:
+    """For each length up to 4 the clipped matches and the candidates' n-grams, then both sides' words."""
+    cand, ref = ([[w for w in re.split(r"[ \t\n\x0b\f\r]+", x or "") if w] for x in side] for side in (candidates, references))
+    runs = lambda side, n: [list(zip(*(w[k:] for k in range(n)), strict=False)) for w in side]
+    found = [x for n in range(1, 5) for x in clipped(runs(cand, n), runs(ref, n))[:2]]
+    return (*found, sum(map(len, cand)) * len(ref), sum(map(len, ref)) * len(cand))
+
+
+@builder("EVL09_corpus_bleu", _corpus_bleu)
+def _added_bleu(spark, get) -> DataFrame:
+    """Each task adds its counts up; the score is of the sums."""
+    names = [*(f"{x}{n}" for n in range(1, 5) for x in ("hit", "total")), "cl", "rl"]
+    sums = counted_turns(get, _bleu_counts, names, added=True).selectExpr(*(f"cast(sum({x}) as double) as {x}" for x in names))
+    # a length that no candidate has does not count
+    lengths = "stack(4, " + ", ".join(f"{n}, case when total{n} > 0 then hit{n} end, nullif(total{n}, 0e0)" for n in range(1, 5)) + ") as (n, hit, total)"
+    return sums.selectExpr("cl", "rl", lengths).selectExpr("round(case when min(hit) > 0 then 100 * exp(avg(ln(greatest(hit, 1) / total))) * case when max(cl) > max(rl) then 1e0 else exp(1e0 - max(rl) / max(cl)) end else 0e0 end, 4) as bleu")
+
+
 template("EVL13_keyword_score")(lambda d: f"select doc_id, round(cast({d.count_of('lower(text)', ('the', 'and', 'machine', 'que', 'der'))} as double) / 5, 6) as score from documents")
 # fixed values: the service levels, by check
 SLO = (("retrieval recall_hit@5", "<", 0.80, 3), ("retrieval mrr", "<", 0.50, 3), ("retrieval ndcg@10", "<", 0.60, 3), ("retrieval p95_ms", ">", 500.0, 1), ("pipeline p95_ms", ">", 8000.0, 1), ("load qps", "<", 0.1, 3))
