@@ -38,24 +38,50 @@ def left_over(a: int, b: int) -> int:
 
 @cache
 def pieces(a: int) -> tuple[tuple[int, int], ...]:
-    """(begin, end) of one piece more than the characters that a line of length a or longer may leave over."""
+    """(begin, end) of one piece more than the characters that a line of length a or longer may leave over: of equal
+    widths, so that they begin alike in lines of like lengths; the last has the rest."""
     n = 1 + max(left_over(a, b) for b in range(a, max(a, HEAD) + 1))
-    return tuple((a * i // n, a * (i + 1) // n) for i in range(n)) if 1 < n <= a else ()
+    return tuple((a // n * i, a // n * (i + 1) if i + 1 < n else a) for i in range(n)) if 1 < n <= a else ()
+
+
+def measure(a: int) -> tuple[int, int]:
+    """The number of pieces and their width, the last one's cut to it."""
+    return len(pieces(a)), pieces(a)[0][1] if pieces(a) else 0
+
+
+@cache
+def places(b: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(number, width, piece, place) of what a line of length b looks for as the longer one of two.
+
+    Take the first piece up to whose end there are at most as many left over characters as pieces before it. It has
+    none itself, and exactly as many stand before it: so it is shifted by their number, or by less in steps of two,
+    and the characters after it must make up for the rest of the difference in length.
+    """
+    found = set()
+    for a in range(1, b + 1):
+        d, (n, width) = left_over(a, b), measure(a)
+        if d < b - a:
+            continue
+        for i in range(min(n, d + 1)):
+            found |= {(n, width, i, i * width + shift) for shift in range(-i, i + 1, 2) if abs(b - a - shift) <= d - i and 0 <= i * width + shift <= b - width}
+    return tuple(sorted(found))
 
 
 def keys_of(line: str) -> Iterator[tuple[str, bool]]:
     """What a line is found by as the shorter one of two (True), and what it looks for as the longer one."""
-    n = len(line)
-    for i, (lo, hi) in enumerate(pieces(n)):
-        yield f"{n} {i} {line[lo:hi]}", True
-    for a in range(1, n + 1):
-        d = left_over(a, n)
-        if d < n - a or not pieces(a):
-            continue
-        back, on = (d - n + a) // 2, (d + n - a) // 2
-        for i, (lo, hi) in enumerate(pieces(a)):
-            for found in {line[p : p + hi - lo] for p in range(max(0, lo - back), min(n - hi + lo, lo + on) + 1)}:
-                yield f"{a} {i} {found}", False
+    n, width = measure(len(line))
+    for i in range(n):
+        yield f"{n} {width} {i} {line[i * width : (i + 1) * width]}", True
+    for n, width, i, at in places(len(line)):
+        yield f"{n} {width} {i} {line[at : at + width]}", False
+
+
+def sketch(line: str) -> int:
+    """64 parities of the line's pairs of neighbours: a character that is put in or taken out changes three at most."""
+    out = 0
+    for two in zip(line, line[1:], strict=False):
+        out ^= 1 << (ord(two[0]) * 0x9E3779B1 + ord(two[1]) * 0x85EBCA77 >> 9 & 63)
+    return out - (1 << 64) if out >> 63 else out
 
 
 def alike_lines(lines: DataFrame, within: list[str], line_col: str = "line") -> DataFrame:
@@ -71,9 +97,9 @@ def alike_lines(lines: DataFrame, within: list[str], line_col: str = "line") ->
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, g, h, k, short) for i, g, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, short in keys_of(h)]
+            rows = [(i, g, mark, k, short) for i, g, h in zip(*(c.to_pylist() for c in batch.columns), strict=True) for mark in (sketch(h),) for k, short in keys_of(h)]
             columns = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)], names=["id", "group", "head", "key", "short"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["id", "group", "sketch", "key", "short"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,12 +107,16 @@ def alike_lines(lines: DataFrame, within: list[str], line_col: str = "line") ->
             rows = [x for i, j, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in ((i, j, a, b), (j, i, b, a)) if alike(x[2], x[3])]
             yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["id", "other"])
 
-    entries = heads.select("id", group.alias("group"), "head").mapInArrow(keyed, "id bigint, group bigint, head string, key string, short boolean")
-    entries = entries.withColumn("key", F.xxhash64("group", "key"))
-    short = entries.where("short").select("key", "group", F.col("id").alias("a"), F.col("head").alias("a_head"))
-    long = entries.where("not short").select("key", F.col("group").alias("b_group"), F.col("id").alias("b"), F.col("head").alias("b_head"))
-    met = short.join(long, "key").where((F.col("a") != F.col("b")) & (F.col("group") == F.col("b_group")) & (F.levenshtein("a_head", "b_head", HEAD // 10) >= 0))
-    pairs = met.select("a", "b", "a_head", "b_head").distinct().mapInArrow(compared, "id bigint, other bigint").distinct()
+    entries = heads.select("id", group.alias("group"), "head").mapInArrow(keyed, "id bigint, group bigint, sketch bigint, key string, short boolean")
+    entries = entries.select(F.xxhash64("group", "key").alias("key"), "id", "sketch", "short")
+    short = entries.where("short").select("key", F.col("id").alias("a"), F.col("sketch").alias("a_sketch"))
+    long = entries.where("not short").select("key", F.col("id").alias("b"), F.col("sketch").alias("b_sketch"))
+    most = 3 * max(left_over(a, HEAD) for a in range(1, HEAD + 1))
+    met = short.join(long, "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= most))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = lambda x: heads.select(F.col("id").alias(x), group.alias(f"{x}_group"), F.col("head").alias(f"{x}_head"))
+    near = met.join(own("a"), "a").join(own("b"), "b").where((F.col("a_group") == F.col("b_group")) & (F.levenshtein("a_head", "b_head", HEAD // 10) >= 0))
+    pairs = near.select("a", "b", "a_head", "b_head").mapInArrow(compared, "id bigint, other bigint").distinct()
     linked = pairs.join(heads.select(F.col("id").alias("other"), F.col("n").alias("other_n")), "other").groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.sum("other_n").alias("more"))
     return heads.join(linked, "id", "left").select(*within, "head", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_alike"))
 

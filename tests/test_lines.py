@@ -70,3 +70,22 @@ def test_headers_with_page_numbers(spark):
         r = out["f", i]
         assert r.header[:HEADER_CHARS] == "The Annual" and r.footer == "Confidential" and r.text == f"body {i}"
     assert out["g", 1].header is None and out["g", 1].text == "other words" and out["h", 1].text == "only page\nx"
+
+
+def test_alike_lines_share_a_key_of_few():
+    rng, met = random.Random(3), 0
+    for _ in range(6000):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.choice((20, 25, 39, 41, 49, 52, 55, 56, 57, 58, 59, 60))))
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            if rng.random() < 0.5:
+                b.insert(rng.randrange(len(b) + 1), rng.choice("abcd "))
+            elif b:
+                b.pop(rng.randrange(len(b)))
+        x, y = sorted((a, "".join(b)[: lines.HEAD]), key=len)
+        if x != y and (lines.alike(x, y) or lines.alike(y, x)):
+            met += 1
+            assert {k for k, short in lines.keys_of(x) if short} & {k for k, short in lines.keys_of(y) if not short}
+            assert (lines.sketch(x) % 2**64 ^ lines.sketch(y) % 2**64).bit_count() <= 15
+    assert met > 500
+    assert len(list(lines.keys_of("abcdefghij" * 6))) <= 40  # there were about 200, each with the line
