@@ -24,14 +24,18 @@ from .components import components
 BITS = 64
 #: Fingerprints of a bucket that are compared with each other in one task, and with how many others that
 #: probe it; larger buckets are dealt out.
-BUCKET = 4096
-PROBING = 1 << 16
+BUCKET = 1 << 14
+PROBING = 1 << 17
 ROW_PRICE = 2000
+#: Pairs of fingerprints that are compared at a time.
+PAIRS = 1 << 17
 #: Rows of keys that are shuffled at a time: so many for each fingerprint, and this number in any case. How many
 #: keys a fingerprint has grows with the fingerprints.
 ROUND = 32
 LEAST_ROUND = 1 << 22
 
+#: The bits of a byte as the bytes of a number.
+_LANES = np.asarray([sum((x >> b & 1) << 8 * b for b in range(8)) for x in range(256)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -75,15 +79,17 @@ def majorities(h: np.ndarray, n_shingles: np.ndarray, more: int = 0) -> np.ndarr
     out = np.zeros((len(n_shingles), 1 + more), np.uint64)
     full = np.flatnonzero(n_shingles)
     begin = (np.cumsum(n_shingles) - n_shingles)[full]
-    step = max(1, (1 << 22) // BITS)
+    # up to 255 hashes of a text are counted in eight numbers of eight bytes, a byte a bit
+    pieces = -(-n_shingles[full] // 255)
+    of = np.repeat(np.arange(len(full)), pieces)
+    start = begin[of] + 255 * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     for column in range(1 + more):
-        counts = np.zeros((len(full), BITS), np.int64)
-        for lo_ in range(0, len(h), step):  # bits of a bounded number of hashes at a time
-            part = h[lo_ : lo_ + step]
-            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            inside = np.searchsorted(begin, np.arange(lo_, lo_ + len(part)), "right") - 1
-            edge = np.flatnonzero(np.diff(inside, prepend=-1))
-            counts[inside[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int64)
+        counts, lo = np.zeros((len(full), BITS), np.int64), 0
+        while lo < len(of):  # bits of a bounded number of hashes at a time
+            hi = max(lo + 1, int(np.searchsorted(start, start[lo] + (1 << 14))))
+            lanes = _LANES[h[start[lo] : start[hi] if hi < len(of) else len(h)].view(np.uint8)].reshape(-1, 8)
+            np.add.at(counts, of[lo:hi], np.add.reduceat(lanes, start[lo:hi] - start[lo], axis=0).view(np.uint8))
+            lo = hi
         major = (counts * 2 > n_shingles[full][:, None]).astype(np.uint64)
         out[full, column] = (major << np.arange(BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
         h = mix(h + np.uint64(0x9E3779B97F4A7C15))
@@ -126,14 +132,14 @@ def plan_partitions(sample: np.ndarray, n: int, limit: int, parts: int) -> list[
     cost = np.full((parts, limit + 2), np.inf)  # by partition and threshold + 1
     few = sample[: 1 << 11].astype(np.uint64)
     for i, mask in enumerate(masks):
-        near = np.bitwise_count((few[:, None] ^ few[None, :]) & np.uint64(mask)) if len(few) else np.zeros((1, 1))
+        near = np.cumsum(np.bincount(np.bitwise_count((few[:, None] ^ few[None, :]) & np.uint64(mask)).ravel(), minlength=BITS + 1))
         pairs = max(1, len(few) * (len(few) - 1))
         probes, c = 0.0, 1.0
         cost[i, 0] = 0.0
         for t in range(limit + 1):
             probes += c
             c = c * (len(groups[i]) - t) / (t + 1)
-            share = max((float((near <= t).sum()) - len(few)) / pairs, probes / 2.0 ** len(groups[i]))
+            share = max((float(near[t]) - len(few)) / pairs, probes / 2.0 ** len(groups[i]))
             cost[i, t + 1] = share * n * n / 2 + probes * n * 4
     need = limit - parts + 1  # sum of the thresholds
     best = {0: (0.0, [])}
@@ -149,17 +155,19 @@ def plan_partitions(sample: np.ndarray, n: int, limit: int, parts: int) -> list[
     return [(mask, t) for mask, t in zip(masks, path, strict=True) if t >= 0]
 
 
-def choose_plan(sample: np.ndarray, n: int, limit: int) -> list[tuple[int, int]]:
+def choose_plan(sample: np.ndarray, n: int, limit: int, share: float = 1.0) -> list[tuple[int, int]]:
     """The cheapest plan over the numbers of partitions, judged by keys a fingerprint and candidates.
 
-    A key is a row that is shuffled; it costs as much as ROW_PRICE comparisons.
+    A key is a row that is shuffled, once for each part that its bucket is cut into; it costs as much as ROW_PRICE
+    comparisons. share is the part of a bucket's pairs that are compared.
     """
     best = None
     for parts in range(max(2, limit // 2), limit + 2):
-        plan = plan_partitions(sample, n, limit, parts)
-        keys = sum(sum(_choose(bin(m).count("1"), d) for d in range(t + 1)) for m, t in plan)
-        dense = sum(n / 2.0 ** bin(m).count("1") * sum(_choose(bin(m).count("1"), d) for d in range(t + 1)) for m, t in plan)
-        price = keys * ROW_PRICE + dense
+        plan, price = plan_partitions(sample, n, limit, parts), 0.0
+        for mask, t in plan:
+            size = bin(mask).count("1")
+            patterns, plains = sum(_choose(size, d) for d in range(t + 1)), n / 2.0**size
+            price += (patterns + 1) / 2 * max(1.0, plains / BUCKET) * ROW_PRICE + plains * patterns / 2 * share
         if best is None or price < best[0]:
             best = (price, plan)
     return best[1]
@@ -200,49 +208,52 @@ def _rounds(rows: list[int], limit: int) -> list[tuple[list[int], int, int]]:
     return [*out, (some, 0, 1)] if some or not out else out
 
 
-def _near(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs within the limits between the first own rows and all rows of a bucket."""
-    step = max(1, (1 << 20) // max(1, len(f)))
-    for lo in range(0, own, step):
-        a, b = np.nonzero(np.bitwise_count(f[lo : min(own, lo + step), None] ^ f[None, lo:]) <= limit)
-        a, b = a + lo, b + lo
-        ok = a < b
-        a, b = a[ok], b[ok]
+def _near(f: np.ndarray, n: np.ndarray, own: int, limit: int, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs within the limit of the first own rows, and between them and the other rows of a bucket.
+
+    Of sizes n the smaller is at least that share of the larger. Both the first own and the others are sorted by n, so
+    that a row meets a stretch of them; about PAIRS are compared at a time.
+    """
+    for first, rest in ((0, n[:own]), (own, n[own:])):
+        lo = 0
+        while lo < own:
+            begin = lo + 1 if not first else int(np.searchsorted(rest, -(-int(n[lo]) * least[0] // least[1])))
+            upto = lambda hi: int(np.searchsorted(rest, int(n[hi - 1]) * least[1] // least[0], "right"))  # noqa: B023, E731
+            hi = min(own, lo + max(1, PAIRS // max(1, upto(lo + 1) - begin)))
+            while hi - lo > 1 and (hi - lo) * (upto(hi) - begin) > PAIRS:
+                hi = lo + (hi - lo) // 2
+            end = upto(hi)
+            for at in range(begin, end, PAIRS):
+                other = f[first + at : first + min(end, at + PAIRS)]
+                close = np.flatnonzero((np.bitwise_count(f[lo:hi, None] ^ other[None, :]) <= limit).ravel())
+                if len(close):
+                    a, b = close // len(other) + lo, close % len(other) + first + at
+                    ok = (a < b) & (np.minimum(n[a], n[b]) * least[1] >= np.maximum(n[a], n[b]) * least[0])
+                    yield a[ok], b[ok]
+            lo = hi
+
+
+def _forest(f: np.ndarray, g: np.ndarray, n: np.ndarray, own: int, limit: int, overall: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of those pairs that are also within `overall`."""
+    root, us, vs = np.arange(len(f)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in _near(f, n, own, limit, least):
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
         if g.shape[1] and len(a):
             ok = np.bitwise_count(g[a] ^ g[b]).sum(1) + np.bitwise_count(f[a] ^ f[b]) <= overall
             a, b = a[ok], b[ok]
-        yield a, b
-
-
-def _forest(f: np.ndarray, g: np.ndarray, own: int, limit: int, overall: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of those pairs."""
-    root = np.arange(len(f))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    us, vs = [], []
-    for a, b in _near(f, g, own, limit, overall):
         while len(a):
-            roots = np.asarray([find(i) for i in range(len(f))]) if len(a) > len(f) else None
-            ra = roots[a] if roots is not None else np.asarray([find(i) for i in a.tolist()])
-            rb = roots[b] if roots is not None else np.asarray([find(i) for i in b.tolist()])
-            open_ = ra != rb
-            a, b = a[open_], b[open_]
-            if not len(a):
-                break
-            # one link for each root is enough in each pass
-            _, first = np.unique(ra[open_], return_index=True)
-            for i in first.tolist():
-                x, y = find(int(a[i])), find(int(b[i]))
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    us.append(int(a[i]))
-                    vs.append(int(b[i]))
-    return np.asarray(us, np.int64), np.asarray(vs, np.int64)
+            # each root hooks on to a smaller one by one link
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            _, one = np.unique(high, return_index=True)
+            us.append(a[one])
+            vs.append(b[one])
+            root[high[one]] = low[one]
+            while (root != root[root]).any():
+                root = root[root]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def _matrix(f: np.ndarray, g: list[bytes]) -> np.ndarray:
@@ -251,27 +262,40 @@ def _matrix(f: np.ndarray, g: list[bytes]) -> np.ndarray:
 
 
 def _part(t: pa.Table | pa.RecordBatch) -> np.ndarray:
-    """Part and slice of each row as one number."""
+    """Part and slice of each row as one number; zero where buckets are whole."""
+    if "part" not in t.schema.names:
+        return np.zeros(len(t), np.int64)
     return t.column("part").to_numpy().astype(np.int64) << 32 | t.column("slice").to_numpy().astype(np.int64)
 
 
-def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int = 1, sample_rows: int = 4096) -> DataFrame:
+def _size_share(n: np.ndarray, least: tuple[int, int]) -> float:
+    """The part of all pairs of sizes whose smaller one is at least that share of the larger."""
+    n = np.sort(n)
+    reach = np.searchsorted(n, n * least[1] // least[0], "right") - np.arange(len(n))
+    return 2 * float(reach.sum()) / len(n) ** 2 if len(n) else 1.0
+
+
+def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int = 1, sample_rows: int = 4096, least: tuple[int, int] = (1, 1)) -> DataFrame:
     """(u, v): links that join what links of at most limit differing bits join.
 
     points has distinct rows (f, g, node). Where g holds further fingerprints, a link must also differ in
     at most `overall` bits of f and g together. A bucket's links are thinned to a spanning forest, which
-    has the same components. With columns > 1 the first of g's fingerprints propose pairs as f does. The
+    has the same components. With columns > 1 the first of g's fingerprints propose pairs as f does. Where points has
+    sizes n, the smaller one of a link is at least the share `least` of the larger; a bucket is sorted by them and
+    compared as far as they reach. Of two patterns the one whose lowest differing bit is 0 probes the other. The
     plan is fitted on sample_rows fingerprints and the exact count. A bucket's plain patterns are compared with all that probe it; where there are more than BUCKET of
     the former or PROBING of the latter, both are cut, and each part meets each slice in a group of its own.
     Keys are dealt in rounds, and a round's shuffle is given up before the next; points should be cheap to read again.
     """
     spark = points.sparkSession
     n = points.count()
-    rows = points.orderBy(F.xxhash64("f")).limit(sample_rows).select("f", "g").collect()
+    points = points.select("f", "g", "node", F.col("n").cast("bigint").alias("n") if "n" in points.columns else F.lit(1).cast("bigint").alias("n"))
+    rows = points.orderBy(F.xxhash64("f")).limit(sample_rows).select("f", "g", "n").collect()
+    share = _size_share(np.asarray([r.n for r in rows], np.int64), least)
     sample = _matrix(np.asarray([r.f for r in rows], np.int64), [r.g for r in rows])
     probes: list[tuple[int, int, int, list[int]]] = []  # the column that proposes, then as _probes
     for column in range(columns):
-        probes += [(column, len(probes) + k, mask, flips) for k, mask, flips in _probes(choose_plan(np.ascontiguousarray(sample[:, column]) if len(rows) else np.zeros(0, np.uint64), n, limit))]
+        probes += [(column, len(probes) + k, mask, flips) for k, mask, flips in _probes(choose_plan(np.ascontiguousarray(sample[:, column]) if len(rows) else np.zeros(0, np.uint64), n, limit, share))]
     assert len(probes) <= 64  # a key's last six bits
 
     def deal(flipped: bool, only: list[int], residue: int = 0, modulus: int = 1):
@@ -287,19 +311,22 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
                             given = [pa.array(f.view(np.int64)), pa.array([r.tobytes() for r in np.delete(whole, column, 1)], pa.binary())]
                         for i, flip in enumerate(flips if flipped else flips[:1]):
                             key = mix(((f ^ np.uint64(flip)) & np.uint64(mask)) + np.uint64(k)) & ~np.uint64(63) | np.uint64(k)
-                            out = pa.record_batch([pa.array(key.view(np.int64)), *given, part.column(2), pa.array(np.full(len(f), i == 0))], names=["key", "f", "g", "node", "plain"])
-                            yield out if modulus == 1 else out.filter(pa.array((key >> np.uint64(6)) % np.uint64(modulus) == residue))
+                            out = pa.record_batch([pa.array(key.view(np.int64)), *given, *part.columns[2:], pa.array(np.full(len(f), i == 0))], names=["key", "f", "g", "node", "n", "plain"])
+                            keep = f & np.uint64(flip & -flip) == 0
+                            if modulus > 1:
+                                keep &= (key >> np.uint64(6)) % np.uint64(modulus) == residue
+                            yield out if keep.all() else out.filter(pa.array(keep))
 
         return run
 
-    schema = "key bigint, f bigint, g binary, node bigint, plain boolean"
+    schema = "key bigint, f bigint, g binary, node bigint, n bigint, plain boolean"
     all_of = list(range(len(probes)))
-    plain = points.select("f", "g", "node").mapInArrow(deal(False, all_of), schema)
+    plain = points.mapInArrow(deal(False, all_of), schema)
     hot = cut(plain.groupBy("key").agg(F.count(F.lit(1)).alias("plains")).where(F.col("plains") > BUCKET))
-    rows = [n * len(flips) for *_, flips in probes]
+    rows = [n * (len(flips) + 1) // 2 for *_, flips in probes]
     # who probes a bucket is plain in a neighbouring one, so without large buckets no bucket has many to probe it
     if split := not hot.isEmpty():
-        every = points.select("f", "g", "node").mapInArrow(deal(True, all_of), schema)
+        every = points.mapInArrow(deal(True, all_of), schema)
         sizes = every.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("plain").cast("long")).alias("plains"))
         sizes = sizes.where((F.col("plains") > BUCKET) | (F.col("size") > PROBING) & (F.col("plains") > 0)).withColumn("parts", F.ceil(F.col("plains") / BUCKET).cast("int")).withColumn("slices", F.ceil(F.col("size") / PROBING).cast("int"))
         hot = cut(sizes.select("key", "parts", "slices", (F.col("size") * (F.col("parts") - 1) + F.col("plains") * (F.col("slices") - 1)).alias("more")))
@@ -313,30 +340,31 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
     def dealt(only: list[int], residue: int, modulus: int) -> DataFrame:
         """The keys of a round. Part -1: not split. A plain pattern of a split bucket is compared in its own part with
         every slice of those that probe the bucket, and is in one of these slices itself for the other parts."""
-        every = points.select("f", "g", "node").mapInArrow(deal(True, only, residue, modulus), schema)
-        out = every.select("*", F.lit(-1).alias("part"), F.lit(0).alias("slice"))
+        every = points.mapInArrow(deal(True, only, residue, modulus), schema)
+        out = every.select("key", "f", "g", "node", "n", "plain")
         if split:
             keyed = every.join(hot, "key", "left")
             own, at = F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("f", "node"), F.col("slices")).cast("int")
             slices = lambda part: F.when(F.col("plain") & (part == F.col("own")), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array("at"))
             groups = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda part: F.transform(slices(part), lambda k: F.struct(part.alias("part"), k.alias("slice")))))
             one = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).alias("slice")))
-            out = keyed.withColumn("own", own).withColumn("at", at).withColumn("to", F.explode(F.when(F.col("parts").isNull(), one).otherwise(groups))).select("key", "f", "g", "node", "plain", "own", "to.part", "to.slice")
+            out = keyed.withColumn("own", own).withColumn("at", at).withColumn("to", F.explode(F.when(F.col("parts").isNull(), one).otherwise(groups))).select("key", "f", "g", "node", "n", "plain", "own", "to.part", "to.slice")
             out = out.withColumn("plain", F.col("plain") & ((F.col("part") == -1) | (F.col("part") == F.col("own")))).drop("own")
-        return out.select("key", "part", "slice", "f", "g", "node", "plain")
+        return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key, part = t.column("key").to_numpy(), _part(t)
             f, node, is_plain = t.column("f").to_numpy().view(np.uint64), t.column("node").to_numpy(), t.column("plain").to_numpy(zero_copy_only=False)
+            n = t.column("n").to_numpy()
             raw = b"".join(t.column("g").to_pylist())
             g = np.frombuffer(raw, np.uint64).reshape(len(f), -1)
             edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
             us, vs = [], []
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(f)], strict=True):
                 if b - a > 1 and is_plain[a:b].any():
-                    order = a + np.argsort(~is_plain[a:b], kind="stable")
-                    u, v = _forest(f[order], g[order], int(is_plain[a:b].sum()), limit, overall)
+                    order = a + np.lexsort((n[a:b], ~is_plain[a:b]))
+                    u, v = _forest(f[order], g[order], n[order], int(is_plain[a:b].sum()), limit, overall, least)
                     us.append(node[order[u]])
                     vs.append(node[order[v]])
             if us:
@@ -363,7 +391,8 @@ def hamming_links(points: DataFrame, limit: int, overall: int = 0, columns: int
         release()
 
     def linked(*of_round) -> DataFrame:
-        return dealt(*of_round).repartition(tasks, "key", "part", "slice").sortWithinPartitions("key", "part", "slice").mapInArrow(compare, "u bigint, v bigint")
+        by = ["key", "part", "slice"] if split else ["key"]
+        return dealt(*of_round).repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(compare, "u bigint, v bigint")
 
     if len(rounds) == 1:
         return linked(*rounds[0])
@@ -544,7 +573,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     many = marked.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("last"), F.count(F.lit(1)).alias("_n")).where(F.col("u") != F.col("last"))
     same = salted_join(marked, many.select("id", "u"), ["id"], counts=many.select("id", "_n")).select("u", F.col("node").alias("v"))  # an id with several texts links their sets
-    checked = verified(hamming_links(classes.select("f", "g", "node"), limit, overall, 1 + more))
+    checked = verified(hamming_links(classes.select("f", "g", "node", "n"), limit, overall, 1 + more, least=least))
     links = checked.where("ok").select("u", "v").unionByName(same)
     found = cut(components(links))
     # all that bits propose lies in one cluster; where links failed, its groups may yet belong together

@@ -469,3 +469,40 @@ def test_stages_bound_their_batches(spark):
         assert spark.conf.get(key) == "1000000"
     finally:
         spark.conf.set(key, own) if own else spark.conf.unset(key)
+
+
+def test_buckets_are_compared_as_far_as_sizes_reach(monkeypatch):
+    """All pairs of a bucket that may be alike, of the plain rows and with those that probe, and hardly any others."""
+    rng = np.random.default_rng(8)
+    own, rows = 900, 3000
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    f = base[rng.integers(0, 20, rows)] ^ (np.uint64(1) << rng.integers(0, 63, rows).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, rows).astype(np.uint64))
+    n = np.exp(rng.uniform(3, 8, rows)).astype(np.int64)
+    n[:own], n[own:] = np.sort(n[:own]), np.sort(n[own:])
+    i, j = np.nonzero((np.bitwise_count(f[:own, None] ^ f[None, :]) <= 4) & (np.minimum(n[:own, None], n) * 5 >= np.maximum(n[:own, None], n) * 4))
+    want, compared = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}, []
+    monkeypatch.setattr(simhash, "PAIRS", 500)
+    count = np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: (compared.append(x.size), count(x))[1])
+    got = [(a, b) for us, vs in simhash._near(f, n, own, 4, (4, 5)) for a, b in zip(us.tolist(), vs.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert max(compared) <= 500 and sum(compared) < own * rows / 8
+
+
+def test_plans_of_many_texts_compare_few_pairs(spark):
+    """2.4 million fingerprints had 62 keys each for a column and 265,000 comparisons."""
+    sample = np.random.default_rng(9).integers(0, 1 << 63, 4096, dtype=np.uint64)
+    probes = simhash._probes(simhash.choose_plan(sample, 2_400_000, 12, 0.13))
+    sizes = [(2.4e6 / 2 ** mask.bit_count(), len(flips)) for _, mask, flips in probes]
+    assert sum((flips + 1) / 2 for _, flips in sizes) < 40 and sum(plain * flips / 2 * 0.13 for plain, flips in sizes) < 40_000
+    points = spark.createDataFrame([(5, b"", 1, 100), (5 ^ 3 << 20, b"", 2, 80), (5 ^ 1 << 40, b"", 3, 79)], "f long, g binary, node long, n long")
+    assert {frozenset(r) for r in simhash.hamming_links(points, 4, least=(4, 5)).collect()} in ({frozenset((1, 2)), frozenset((2, 3))},)
+
+
+def test_majorities_of_long_texts():
+    rng = np.random.default_rng(10)
+    n = np.asarray([0, 1, 2, 255, 256, 700, 0, 40_000, 3, 0])
+    h = rng.integers(0, (1 << 64) - 1, int(n.sum()), dtype=np.uint64)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    want = [sum(1 << k for k in np.flatnonzero(2 * part.sum(0, dtype=int) > len(part)).tolist()) for part in np.split(bits, np.cumsum(n)[:-1])]
+    assert simhash.majorities(h, n)[:, 0].tolist() == want
