@@ -34,3 +34,23 @@ def test_vectors_without_a_product(spark):
 def test_rows_of_vectors_are_dealt_not_pairs(spark, data):
     plan = catalog.apply("RET07_similarities", spark, catalog.reader(spark, data))._jdf.queryExecution().executedPlan().toString()
     assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+def test_a_vector_travels_once_for_few_blocks(spark):
+    """Large labels have few blocks, vectors travel as they are, and unique ids are not joined."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.standard_normal(3).astype(np.float32)], k % 2) for k in range(30)]
+    plan = catalog.apply("RET07_similarities", spark, {"embeddings": spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")})._jdf.queryExecution().executedPlan().toString()
+    assert "as array<double>" not in plan and "SortMergeJoin" not in plan and retrieval.VECTORS >= 1 << 16
+
+
+def test_tiles_equal_the_products(spark, monkeypatch):
+    """Two blocks of a label, met in tiles; both orders of each pair, each once."""
+    monkeypatch.setattr(retrieval, "TILE", 8)
+    monkeypatch.setattr(retrieval, "STRIP", 3)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((50, 4)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = catalog.apply("RET07_similarities", spark, {"embeddings": df}).collect()
+    assert len(got) == 2500 and {(r.a, r.b) for r in got} == {(a, b) for a in range(50) for b in range(50)}
+    assert all(abs(r.dot - x[r.a] @ x[r.b]) < 1e-6 for r in got)
